@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import base, queries_joins, queries_planning, queries_profile, queries_quality, queries_raster, queries_scalars, queries_selection  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
