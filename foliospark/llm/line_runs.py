@@ -100,7 +100,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batc
     runs = LineRuns(spark, fanout)
     for k in range(batches):
         runs.add(hashes.where(F.col("batch") == k))
-    repeated = runs.all().where(F.col("docs") >= min_docs)
+    # Staged, so that both sides of the join are plain shuffles: Spark then splits a very common line's rows.
+    repeated = stage(runs.all().where(F.col("docs") >= min_docs))
     gone = hashes.join(repeated, ["h1", "h2"]).where("doc_id != last").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone")).withColumnRenamed("doc_id", "_id")
     joined = docs.select(*dict.fromkeys([*keep, id_col, text_col])).join(gone, F.col(id_col) == F.col("_id"), "left")
     parts = lines_of(F.col(text_col))
