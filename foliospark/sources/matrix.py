@@ -46,10 +46,10 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").option("multiLine", "true").option("columnNameOfCorruptRecord", "_bad").csv(path)
     # A matrix is one small file that a person keeps; its row numbers need its order, hence one partition.
     numbered = rows.coalesce(1).withColumn("source_row", F.monotonically_increasing_id() + 2)
-    numbered = numbered.select("source_row", "_bad", *[F.trim(F.coalesce(f"`{c}`", F.lit(""))).alias(c) for c in wanted]).cache()
-    if bad := numbered.where("_bad is not null").select("source_row").orderBy("source_row").limit(5).collect():
-        raise ValueError(f"malformed rows: {[r.source_row for r in bad]}")
-    if numbered.limit(1).count() == 0:
+    numbered = numbered.select("source_row", "_bad", *[F.trim(F.coalesce(f"`{c}`", F.lit(""))).alias(c) for c in wanted])
+    if bad := numbered.where("_bad is not null").select("source_row", *KEYS[:1]).orderBy("source_row").limit(5).collect():
+        raise ValueError(f"malformed rows: {[(r.source_row, r[KEYS[0]]) for r in bad]}")
+    if not numbered.select("source_row", *KEYS).limit(1).collect():
         raise ValueError("empty matrix")
     twice = numbered.where("`Damage ID` != ''").groupBy("Content ID", "Damage ID").count().where("count > 1").limit(5).collect()
     if twice:
