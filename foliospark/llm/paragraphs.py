@@ -23,7 +23,7 @@ _CUT = re.compile(rb"[.!?]+[ \t]+|\n")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tune_bands(similarity: float = 0.8, recall: float = 0.97, rows: int = 5) -> int:
+def tune_bands(similarity: float = 0.8, recall: float = 0.97, rows: int = 3) -> int:
     """The fewest bands of ``rows`` hashes with which pairs of ``similarity`` collide with ``recall``."""
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
@@ -158,7 +158,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_passages(
-    docs: DataFrame, *, similarity: float = 0.8, recall: float = 0.97, rows: int = 5, least_words: int = 8, passage_words: int = 25, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, similarity: float = 0.8, recall: float = 0.97, rows: int = 3, least_words: int = 8, passage_words: int = 25, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The paragraphs that repeat across documents, with which of them stay.
 
