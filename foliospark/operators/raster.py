@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import choice, stable_digest, stable_seed, uniform
 from ..functions.statistics import share
 from ..functions.text import survival_category
+from ..session import shared_folder
 
 # Fixed values of the shape families.
 EDGES = ["top", "bottom", "left", "right"]
@@ -227,6 +228,7 @@ def span_components(spans: DataFrame, max_rounds: int = 200) -> DataFrame:
     round takes the smallest label next to each span, then the label of that label; long chains so
     halve, and lineage is cut by checkpoint() every four rounds.
     """
+    shared_folder(spans.sparkSession)
     order = Window.partitionBy("page_id").orderBy("y", "x0")
     nodes = spans.select("page_id", "y", "x0", "x1").withColumn("span", F.row_number().over(order)).checkpoint()
     a, b = nodes.alias("a"), nodes.alias("b")

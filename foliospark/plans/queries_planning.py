@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_digest
+from ..session import shared_folder
 from ..sources import matrix
 from ..streaming import ingest as stream
 from . import planning as P
@@ -125,12 +126,7 @@ def incremental_ingest(spark, sf_dir):
     """The events table as a file stream, merged into a snapshot of each user's last event."""
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-")  # a local session without a shared folder
-    home = f"{base}/ingest-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id")
     source.repartition(4, "event_id").write.parquet(f"{home}/landing")
     schema = "user_id long, event_type string, value double, ts timestamp_ntz, event_id long"
@@ -156,3 +152,68 @@ def manifest_flatten(spark, sf_dir):
     made = rows.groupBy("source", "b").agg(raw.alias("raw")).select(F.concat_ws("/", "source", F.col("b").cast("string")).alias("source"), "raw")
     canvases = M.canvases_table(M.parse(made))
     return canvases.select("source", "canvas_id", "label", "sequence_index", F.size("images").alias("images"))
+
+
+_SHEET = "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN ' ' WHEN 1 THEN '----' WHEN 2 THEN 'Notation' ELSE 'HSP-' || chr(CAST(65 + p_size % 3 AS INTEGER)) || p_partkey END AS n, CASE p_partkey % 3 WHEN 0 THEN '123e4567-e89b-12d3-a456-426614174000' WHEN 1 THEN p_brand END AS g FROM part"
+
+
+def _sheet(spark, sf_dir):
+    letter = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("p_size") % 3 + 1).cast("int"))
+    k = F.col("p_partkey") % 7
+    name = F.when(k == 0, " ").when(k == 1, "----").when(k == 2, "Notation").otherwise(F.concat(F.lit("HSP-"), letter, F.col("p_partkey").cast("string")))
+    second = F.when(F.col("p_partkey") % 3 == 0, "123e4567-e89b-12d3-a456-426614174000").when(F.col("p_partkey") % 3 == 1, F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("n"), second.alias("g"))
+
+
+_TERMS = f"SELECT p_partkey AS source_row, n AS notation, CASE WHEN p_partkey % 3 = 0 THEN g END AS norm_uuid, CASE WHEN p_partkey % 3 = 1 THEN g ELSE substr(n, 5, 1) || '-code' END AS code_group FROM ({_SHEET}) WHERE p_partkey % 7 > 2"
+
+
+@query(_TERMS)
+def vocabulary_shape(spark, sf_dir):
+    """S5."""
+    from ..sources.files import vocabulary
+
+    return vocabulary(_sheet(spark, sf_dir), notation="n", group_or_uuid="g", order="p_partkey")
+
+
+@query(f"""SELECT coalesce(e.code_group, a.code_group) AS code_group, expected, coalesce(n, 0) AS actual, CASE WHEN expected IS NOT DISTINCT FROM coalesce(n, 0) THEN 'ok' ELSE 'differs' END AS status
+ FROM (SELECT DISTINCT p_brand AS code_group, 20::BIGINT AS expected FROM part UNION ALL SELECT 'D-code', 0) e FULL JOIN (SELECT code_group, count(*) AS n FROM ({_TERMS}) GROUP BY code_group) a ON e.code_group = a.code_group""")
+def vocabulary_expected(spark, sf_dir):
+    """S5, C17."""
+    from ..sources.files import vocabulary_counts
+
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("code_group"), F.lit(20).cast("long").alias("expected")).distinct()
+    extra = spark.createDataFrame([("D-code", 0)], "code_group string, expected long")
+    return vocabulary_counts(vocabulary_shape(spark, sf_dir), brands.unionByName(extra))
+
+
+@query("""SELECT page_id, count(*) AS area FROM (SELECT DISTINCT l_orderkey AS page_id, l_linenumber AS y, unnest(range(CAST(l_quantity AS INTEGER), CAST(l_quantity AS INTEGER) + 3)) AS x FROM lineitem WHERE l_returnflag = 'N') GROUP BY page_id""")
+def prefix_union_area(spark, sf_dir):
+    """The union of all regions whose label starts with N."""
+    q = F.col("l_quantity").cast("int")
+    spans = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.concat("l_returnflag", "l_linestatus").alias("label"), F.col("l_linenumber").alias("y"), q.alias("x0"), (q + 3).alias("x1"))
+    return P.prefix_union_area(spans, "label", "N")
+
+
+@query("""SELECT l.doc_id, position, n_chars, d.doc_id IS NULL AS missing FROM (SELECT doc_id + CASE WHEN doc_id % 5 = 0 THEN 1000000000 ELSE 0 END AS doc_id, doc_id AS position FROM labels) l LEFT JOIN documents d ON d.doc_id = l.doc_id""")
+def ordered_inputs(spark, sf_dir):
+    """C20: expected ids, some of them unknown, with what the registry has."""
+    ids = table(spark, sf_dir, "labels").select((F.col("doc_id") + F.when(F.col("doc_id") % 5 == 0, 1000000000).otherwise(0)).alias("doc_id"), F.col("doc_id").alias("position"))
+    return P.ordered_inputs(ids, table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", "position", "n_chars", "missing")
+
+
+@query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
+def latest_matching_run(spark, sf_dir):
+    """W4."""
+    from ..operators.reconcile import latest
+
+    return latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")
+
+
+@query("""SELECT doc_id, 'old' AS old_status, CASE WHEN n_chars >= 1000 THEN 'long' ELSE 'short' END AS band, CASE WHEN n_chars >= 1000 THEN printf('%.1f', round_even(n_chars / 1024.0::DOUBLE, 1)) || ' KB' ELSE n_chars || ' B' END AS shown FROM documents WHERE n_chars < 1000 OR n_chars >= 1024""")
+def shown_sizes(spark, sf_dir):
+    """Readable sizes."""
+    from ..functions.text import human_bytes
+
+    docs = table(spark, sf_dir, "documents").where("n_chars < 1000 or n_chars >= 1024")
+    return docs.select("doc_id", F.lit("old").alias("old_status"), F.when(F.col("n_chars") >= 1000, "long").otherwise("short").alias("band"), human_bytes(F.col("n_chars")).alias("shown"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
-from .base import query, table
+from .base import SQL, query, table
 
 _KEY = "l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey"
 
@@ -106,3 +106,20 @@ def recorded_checksums(spark, sf_dir):
     recorded = F.when(F.col("doc_id") % 6 == 0, F.lit("0")).otherwise(F.sha2("text", 256))
     rows = docs.select("doc_id", "n_chars", F.char_length("text").alias("size"), F.sha2("text", 256).alias("sha"), recorded.alias("recorded"))
     return relationship_errors(rows, {"size": F.col("n_chars") == F.col("size"), "checksum": F.col("sha") == F.col("recorded")}).select("doc_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("SELECT rule, count(*) AS violations FROM (" + " UNION ALL ".join(f"SELECT rule, key, detail FROM ({SQL[name]})" for name in ("required_fields", "closed_domains", "value_ranges", "uniqueness", "foreign_keys", "rights_state")) + ") GROUP BY rule")
+def quality_violations(spark, sf_dir):
+    """All row rules at once, counted by rule."""
+    found = Q.violations(*[f(spark, sf_dir) for f in (required_fields, closed_domains, value_ranges, uniqueness, foreign_keys, rights_state)])
+    return found.groupBy("rule").agg(F.count("*").alias("violations"))
+
+
+@query("""SELECT o_custkey, 'orders' AS differing FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) WHERE n <> (o_custkey % 3) + 9""")
+def summary_recomputed(spark, sf_dir):
+    """A stored summary (here a rule of thumb) against its recomputation."""
+    from ..operators.reconcile import field_differences
+
+    found = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"))
+    stored = found.select("o_custkey", (F.col("o_custkey") % 3 + 9).alias("orders"))
+    return field_differences(stored, found, ["o_custkey"], ["orders"]).withColumn("differing", F.array_join("differing", ","))
