@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import string
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 FOLD_FROM, FOLD_TO = string.ascii_uppercase, string.ascii_lowercase
 # White space as the line and word contracts name it: space and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -27,16 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, below ``spark.checkpoint.dir``.
-
-    Only a local session without that setting (tests) gets a temporary folder of its own.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``."""
+    base = shared_folder(spark)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
