@@ -71,21 +71,37 @@ class Grid:
         i, j = divmod(cell, len(self.books[1]))
         return [p * len(self.books[1]) + q for p, q in multi_sequence(self.apart[0][i], self.apart[1][j], count)]
 
-    def visits_for(self, sample: np.ndarray, cosine: float, recall: float, seed: int = 9) -> int:
-        """How many cells a cell must visit until ``recall`` of links are met.
-
-        Links are simulated at the threshold itself, the farthest a link can be: each sampled
-        vector and a random one at exactly that cosine. Closer links are met sooner.
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many cells are nearer to each cell of ``a`` than its partner in ``b``."""
+        width, out = len(self.books[1]), []
+        for p, q in zip(a.tolist(), b.tolist(), strict=True):
+            away = self.apart[0][p // width][:, None] + self.apart[1][p % width][None, :]
+            out.append(int((away < away[q // width, q % width]).sum()))
+        return np.array(out)
+
+    def visits_for(self, sample: np.ndarray, cosine: float, recall: float, far_recall: float, least_links: int = 200, seed: int = 9) -> int:
+        """How many cells a cell must visit until target recall.
+
+        ``recall`` is of the links among the sampled vectors, found by brute force; ``far_recall`` of
+        links simulated at the threshold, the farthest a link can be: each vector and a random one at
+        exactly that cosine. With fewer than ``least_links`` real ones the simulated links must reach ``recall``.
         """
         rng = np.random.default_rng(seed)
+        own = self.cells(sample)
         aside = rng.standard_normal(sample.shape)
         aside -= (aside * sample).sum(axis=1, keepdims=True) * sample
         aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
-        a, b = self.cells(sample), self.cells(cosine * sample + np.sqrt(1 - cosine**2) * aside)
-        total = len(self.books[0]) * len(self.books[1])
-        rank = {c: {d: r for r, d in enumerate(self.order(c, total))} for c in set(a.tolist()) | set(b.tolist())}
-        best = sorted(min(rank[p][q], rank[q][p]) for p, q in zip(a.tolist(), b.tolist(), strict=True))
-        return best[min(len(best) - 1, int(np.ceil(recall * len(best))))] + 1
+        far = own, self.cells(cosine * sample + np.sqrt(1 - cosine**2) * aside)
+
+        def visits(a: np.ndarray, b: np.ndarray, share: float) -> int:
+            best = np.sort(np.minimum(self.ranks(a, b), self.ranks(b, a)))
+            return int(best[min(len(best) - 1, int(np.ceil(share * len(best))))]) + 1
+
+        i, j = np.nonzero(np.triu(sample @ sample.T >= cosine, 1))
+        if len(i) < least_links:
+            return visits(*far, recall)
+        some = rng.permutation(len(i))[:4096]
+        return max(visits(own[i[some]], own[j[some]], recall), visits(*far, far_recall))
 
     def pairs(self, count: int) -> list[tuple[int, int]]:
         """Cells that meet, each pair once: one of them visits the other."""
@@ -144,14 +160,14 @@ def _links(cosine: float):
 
 
 def embedding_groups(
-    vectors: DataFrame, *, cosine: float = 0.9, recall: float = 0.98, sample_rows: int = 8192, cell_rows: int = 512, block_rows: int = 1024, max_centres: int = 128, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, *, cosine: float = 0.9, recall: float = 0.99, far_recall: float = 0.8, sample_rows: int = 8192, cell_rows: int = 512, block_rows: int = 1024, max_centres: int = 64, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """One row per vector: (vec_id, n_links, component_id, kept).
 
     Codebooks of both vector halves are fitted on at most ``sample_rows`` distinct vectors
     (chosen by hash) and form a product grid of about one cell for ``cell_rows`` vectors. Every
     vector is indexed. Cells are visited nearest first, by the multi-sequence algorithm, as many as
-    reach ``recall`` on simulated links at the threshold; then all vectors of cells that meet are compared
+    reach ``recall`` on the sample's own links and ``far_recall`` on links simulated at the threshold; then all vectors of cells that meet are compared
     by cosine in double precision, so nothing below ``cosine`` is linked.
 
     Equal vectors are one index entry that counts its copies. Cells over ``block_rows`` vectors are cut
@@ -178,7 +194,7 @@ def embedding_groups(
         return alone
     sample = unit_rows(np.array([r.vector for r in entry.orderBy("h1", "h2").limit(sample_rows).select("vector").collect()]))
     grid = Grid(sample, int(np.clip(np.ceil(np.sqrt(n / cell_rows)), 1, min(max_centres, len(sample)))))
-    visits = grid.visits_for(sample[:2048], cosine, recall)
+    visits = grid.visits_for(sample[:4096], cosine, recall, far_recall)
     indexed = stage(entry.select("rep", "copies", "vector").mapInArrow(_assign(spark.sparkContext.broadcast(grid)), "rep long, copies long, vector array<double>, cell long"))
 
     size = {r.cell: r["count"] for r in indexed.groupBy("cell").count().collect()}  # one row for each cell
