@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,42 +16,71 @@ from .components import connected_components
 from .tokens import slices
 
 
-def fingerprint(text: bytes | None, shingle: int) -> tuple[int, int]:
-    """(64-bit SimHash as a signed integer, number of words) of a UTF-8 text.
+WIDE = 4  # 64-bit words of the wide fingerprint
+SMALL_GROUP = 32  # keys with more members are compared in blocks
+BLOCK_ROWS = 1024
+_WIDE = [f"w{k}" for k in range(WIDE)]
+
+
+def _hashes(own: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included; too few words are one shingle."""
+    joined = b" ".join(own)
+    if len(own) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in own])
+    starts = np.concatenate([[0], ends[:-1]]).tolist()
+    digest, ends = xxhash.xxh64_intdigest, (ends - 1).tolist()
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])], np.uint64)
+
+
+def _majority(values: np.ndarray, words: int) -> np.ndarray:
+    """The bits that over half of the hashes have; beyond 64 bits each hash is stretched by SplitMix64."""
+    total = np.zeros(64 * words, np.int64)
+    for at in range(0, len(values), 1 << 15):  # bounded memory for very long texts
+        part = values[at : at + (1 << 15), None]
+        if words > 1:
+            z = part + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            part = z ^ (z >> np.uint64(31))
+        flat = np.ascontiguousarray(part).view(np.uint8)
+        total += np.unpackbits(flat, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(values), bitorder="little").view(np.int64)
+
+
+def fingerprint(text: bytes | None, shingle: int, verify_shingle: int = 0) -> tuple[int, int, list[int]]:
+    """(64-bit SimHash as a signed integer, number of words, wide fingerprint) of a UTF-8 text.
 
     A-Z are lowered, words split at ASCII white space; a bit is set if over half of the XXH64
     (seed 42) of the ``shingle``-word shingles, repeats included, have it. Fewer words make one
-    shingle; none give 0.
+    shingle; none give 0. The wide fingerprint is the same over ``verify_shingle``-word shingles and more bits.
     """
     own = (text or b"").lower().split()
     if not own:
-        return 0, 0
-    joined = b" ".join(own)
-    if len(own) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in own])
-        starts = np.concatenate([[0], ends[:-1]]).tolist()
-        digest, ends = xxhash.xxh64_intdigest, (ends - 1).tolist()
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])]
-    total = np.zeros(64, np.int64)
-    values = np.array(hashes, np.uint64)
-    for at in range(0, len(values), 1 << 16):  # bounded memory for very long texts
-        part = values[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(values), bitorder="little").view(np.int64)[0]), len(own)
+        return 0, 0, [0] * WIDE
+    wide = _majority(_hashes(own, verify_shingle), WIDE).tolist() if verify_shingle else [0] * WIDE
+    return int(_majority(_hashes(own, shingle), 1)[0]), len(own), wide
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, n_words) of each row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, *, shingle: int, verify_shingle: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, n_words, w0 to w3) of each row; a null text counts as empty. w is 0 without ``verify_shingle``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                found = [fingerprint(t, shingle) for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([f for f, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "fp", "n_words"])
+                found = [fingerprint(t, shingle, verify_shingle) for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
+                numbers = [[f for f, _, _ in found], [n for _, n, _ in found], *[[w[k] for _, _, w in found] for k in range(WIDE)]]
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), *[pa.array(c, pa.int64()) for c in numbers]], ["doc_id", "fp", "n_words", *_WIDE])
+
+    kinds = ", ".join(f"{w} long" for w in _WIDE)
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"doc_id long, fp long, n_words long, {kinds}")
+
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "doc_id long, fp long, n_words long")
+def wide_budget(similarity: float) -> int:
+    """Differing bits of the wide fingerprint to allow for a Jaccard similarity: what two sets that similar
+    are expected to show, and one standard deviation."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(64 * WIDE * p + math.sqrt(64 * WIDE * p * (1 - p)))
 
 
 def ring(max_bits: int, segments: int) -> tuple[int, list[list[tuple[int, int]]]]:
@@ -80,19 +110,21 @@ def _mask(masks: list[int], at: Column) -> Column:
     return F.element_at(F.array(*[F.lit(_signed(m)).cast("long") for m in masks]), at + 1)
 
 
-def near_pairs(groups: DataFrame, *, max_bits: int, segments: int, size_ratio: float = 0.0) -> DataFrame:
+def near_pairs(groups: DataFrame, *, max_bits: int, segments: int, size_ratio: float = 0.0, wide_bits: int | None = None) -> DataFrame:
     """(a, b): representatives of groups whose fingerprints differ in at most ``max_bits`` bits.
 
     ``groups`` has fp, rep, size: one row for each fingerprint (and size, if ``size_ratio`` > 0).
     A group is dealt once for each ring segment, by the exact bits of the leading segments
     that may not differ; partners then pass the budgets of the longer chains, and last the whole
-    Hamming distance, all inside the join condition, so only links leave the join. With
+    Hamming distance, all inside the join condition, so only links leave the join; keys of many members
+    are compared block by block and send forests, so the links returned connect the same groups. With
     ``size_ratio`` partners must also be of similar size: sizes are bucketed geometrically, and a
-    group also visits the next bucket.
+    group also visits the next bucket. With ``wide_bits`` their wide fingerprints (w0 to w3) must also differ in
+    no more bits than that.
     """
     exact, chains = ring(max_bits, segments)
     start = F.explode(F.array(*[F.lit(i) for i in range(segments)]))
-    dealt = groups.select("fp", "rep", "size", start.alias("seg"))
+    dealt = groups.select("fp", "rep", "size", *([] if wide_bits is None else _WIDE), start.alias("seg"))
     dealt = dealt.withColumn("bits", F.col("fp").bitwiseAND(_mask([c[exact - 1][0] for c in chains], F.col("seg"))))
     left, right = dealt, dealt
     keys = ["seg", "bits"]
@@ -111,6 +143,8 @@ def near_pairs(groups: DataFrame, *, max_bits: int, segments: int, size_ratio: f
             previous = budget
             if longest < segments - 1:
                 wanted = (F.bit_count(differ.bitwiseAND(_mask([c[longest][0] for c in chains], F.col("a.seg")))) <= budget) & wanted
+    if wide_bits is not None:
+        wanted = wanted & (sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in _WIDE), F.lit(0)) <= wide_bits)
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.rep") != F.col("b.rep")]
     if size_ratio > 0:
         on.append(F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * size_ratio)
@@ -121,28 +155,82 @@ def near_pairs(groups: DataFrame, *, max_bits: int, segments: int, size_ratio: f
     condition = wanted
     for c in reversed(on):
         condition = c & condition
-    return a.join(b, condition).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-
-
-def simhash_groups(docs: DataFrame, *, shingle: int = 5, max_bits: int = 7, segments: int = 15, size_ratio: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    # Few members under a key: a join. Many, as near copies make them: block by block, a forest each.
+    members = right.groupBy(*keys).agg(F.count("*").alias("members"))
+    small = members.where(F.col("members") <= SMALL_GROUP).select(*keys)
+    large = members.where(F.col("members") > SMALL_GROUP)
+    found = left.join(small, keys, "left_semi").alias("a").join(right.alias("b"), condition).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    return found.unionByName(_large_groups(left, right, large, keys, max_bits, size_ratio, wide_bits)).distinct()
+
+
+def _large_groups(left: DataFrame, right: DataFrame, large: DataFrame, keys: list[str], max_bits: int, size_ratio: float, wide_bits: int | None) -> DataFrame:
+    """Links under keys of many members: both sides are cut into blocks by hash, and every pair of blocks is a task."""
+    large = large.select(*keys, F.ceil(F.col("members") / BLOCK_ROWS).cast("int").alias("blocks"))
+    columns = ["fp", "rep", "size", *([] if wide_bits is None else _WIDE)]
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    l = left.join(large, keys).select(*keys, *columns, F.lit(0).alias("side"), own.alias("lo"), every.alias("hi"))
+    r = right.join(large, keys).select(*keys, *columns, F.lit(1).alias("side"), every.alias("lo"), own.alias("hi"))
+
+    def run(part: pa.Table) -> pa.Table:
+        rep, size = part.column("rep").to_numpy(), part.column("size").to_numpy()
+        fp, *wide = (part.column(c).to_numpy().view(np.uint64) for c in ["fp", *(_WIDE if wide_bits is not None else [])])
+        side = part.column("side").to_numpy()
+        mine, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        up: dict[int, int] = {}
+
+        def find(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        edges = []
+        for at in range(0, len(mine), 256):
+            i, j = mine[at : at + 256, None], other[None, :]
+            near = (np.bitwise_count(fp[i] ^ fp[j]) <= max_bits) & (rep[i] != rep[j])
+            if size_ratio > 0:
+                near &= np.minimum(size[i], size[j]) >= np.maximum(size[i], size[j]) * size_ratio
+            if wide:
+                near &= sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in wide) <= wide_bits
+            for x, y in zip(*np.nonzero(near), strict=True):
+                a, b = int(rep[mine[at + x]]), int(rep[other[y]])
+                p, q = find(a), find(b)
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    edges.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+
+    return l.unionByName(r).groupBy(*keys, "lo", "hi").applyInArrow(run, "a long, b long")
+
+
+def simhash_groups(
+    docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, segments: int = 17, size_ratio: float = 0.75, verify_shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row per document: (doc_id, fp, n_words, component_id).
 
-    Documents are linked if their fingerprints differ in at most ``max_bits`` bits (and, with
-    ``size_ratio`` > 0, the shorter has at least that share of the longer one's words);
-    component_id is the smallest doc_id that links reach. Equal fingerprints meet in one grouping, so
-    copies never make pairs; a common fingerprint is only a large group of narrow rows.
+    Documents are linked if their fingerprints differ in at most ``max_bits`` bits, and then, with
+    ``size_ratio`` > 0, if the shorter has at least that share of the longer one's words, and with
+    ``verify_shingle`` > 0, if 256-bit fingerprints of shingles of that many words are as close as a Jaccard
+    ``similarity`` makes them. component_id is the smallest doc_id that links reach.
+
+    By default candidates come from two-word shingles, of which an edit changes fewer, so that 64 bits
+    keep texts of 0.8 similarity in five-word shingles within 8 bits nine times in ten; five-word
+    shingles then decide. Equal fingerprints meet in one grouping, so copies never make pairs; a
+    common fingerprint is only a large group of narrow rows.
 
     Null or empty texts have fingerprint 0 and are linked like others; a null doc_id takes part
     but never names a component, which is null if it has no other member; repeated rows are each
     returned; empty tables give no rows; other columns are ignored.
     """
-    base = stage(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col))
-    by = ["fp", "n_words"] if size_ratio > 0 else ["fp"]
-    groups = base.groupBy(*by).agg(F.min("doc_id").alias("rep"))
-    sized = groups.where("rep is not null").select("fp", "rep", (F.col("n_words") if size_ratio > 0 else F.lit(0)).alias("size"))
-    links = near_pairs(sized, max_bits=max_bits, segments=segments, size_ratio=size_ratio)
+    base = stage(fingerprints(docs, shingle=shingle, verify_shingle=verify_shingle, id_col=id_col, text_col=text_col))
+    by = ["fp", *(["n_words"] if size_ratio > 0 else []), *(_WIDE if verify_shingle else [])]
+    groups = stage(base.groupBy(*by).agg(F.min("doc_id").alias("rep")))
+    sized = groups.where("rep is not null").select("fp", "rep", (F.col("n_words") if size_ratio > 0 else F.lit(0)).alias("size"), *(_WIDE if verify_shingle else []))
+    links = near_pairs(sized, max_bits=max_bits, segments=segments, size_ratio=size_ratio, wide_bits=wide_budget(similarity) if verify_shingle else None)
     roots = connected_components(links)
-    named = groups.join(roots, groups.rep == roots.node, "left").select(*by, F.coalesce("root", "rep").alias("component_id"))
+    # Staged, so that both sides of the join are plain shuffles: Spark then splits a very common fingerprint's rows.
+    named = stage(groups.join(roots, groups.rep == roots.node, "left").select(*by, F.coalesce("root", "rep").alias("component_id")))
     return base.join(named, by).select("doc_id", "fp", "n_words", "component_id")
 
 

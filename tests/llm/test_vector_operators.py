@@ -44,7 +44,7 @@ def brute_print(text, k):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash_links_all_close_fingerprints(spark, docs, words):
+def test_simhash_links_all_close_fingerprints(spark, docs, words, monkeypatch):
     r = random.Random(1)
     rows = [(k, words(k, 40)) for k in range(40)]
     for k in range(40, 120):
@@ -52,7 +52,9 @@ def test_simhash_links_all_close_fingerprints(spark, docs, words):
         own[r.randrange(40)] = "edit"
         rows.append((k, " ".join(own)))
     rows += [(200, None), (201, ""), (202, "one"), (203, "ONE"), (5, rows[5][1]), (None, rows[6][1]), (210, "w " * 30_000)]
-    for bits, m in ((2, 7), (5, 11)):
+    for bits, m, small in ((2, 7, 32), (5, 11, 0), (5, 11, 32)):
+        monkeypatch.setattr(simhash, "SMALL_GROUP", small)
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", 5)
         out = simhash.simhash_groups(docs(rows), shingle=3, max_bits=bits, segments=m, size_ratio=0, verify_shingle=0).collect()
         assert len(out) == len(rows)
         prints = {i: brute_print(t, 3) for i, t in rows if i is not None}
