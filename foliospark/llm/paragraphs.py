@@ -19,6 +19,7 @@ from .decontaminate import words
 from .tokens import slices
 
 SHINGLE = 5
+SMALL_GROUP = 16  # bands with more members are compared in blocks
 _CUT = re.compile(rb"[.!?]+[ \t]+|\n")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,8 +158,59 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band, unit = b[-1], u[-1]
 
 
+def _small_groups(full: DataFrame, similarity: float) -> DataFrame:
+    """Links in bands of few members, by a join that compares inside its condition: at most a few for each member."""
+    a, b = full.alias("a"), full.alias("b")
+    both = F.size(F.array_intersect("a.s", "b.s"))
+    small, large = F.least(F.size("a.s"), F.size("b.s")), F.greatest(F.size("a.s"), F.size("b.s"))
+    near = (small >= large * similarity) & (both >= (F.size("a.s") + F.size("b.s") - both) * similarity)
+    return a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.unit") < F.col("b.unit")) & near).select(F.col("a.unit").alias("x"), F.col("b.unit").alias("y"))
+
+
+def _block_links(similarity: float):
+    def run(part: pa.Table) -> pa.Table:
+        """A forest of the links between two blocks of a band (or within one)."""
+        lo, hi = part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
+        unit, block = part.column("unit").to_pylist(), part.column("block").to_pylist()
+        sets = [set(s) for s in part.column("s").to_pylist()]
+        up = list(range(len(unit)))
+
+        def find(k):
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        left = [k for k in range(len(unit)) if block[k] == lo]
+        right = left if lo == hi else [k for k in range(len(unit)) if block[k] == hi]
+        edges = []
+        for i in left:
+            a = sets[i]
+            for j in right:
+                if (lo == hi and j <= i) or find(i) == find(j):
+                    continue  # already connected in this task
+                b = sets[j]
+                both = len(a & b) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) else 0
+                if both >= similarity * (len(a) + len(b) - both):
+                    up[find(j)] = find(i)
+                    edges.append((unit[i], unit[j]))
+        return pa.table({"x": pa.array([a for a, _ in edges], pa.int64()), "y": pa.array([b for _, b in edges], pa.int64())})
+
+    return run
+
+
+def _large_groups(full: DataFrame, similarity: float, block_units: int) -> DataFrame:
+    """Links in bands of many members. Members go in blocks by hash, every pair of blocks is a task, and a
+    task sends a forest, so a group of near copies neither lies in one task nor leaves as all its pairs."""
+    blocks = F.ceil(F.col("members") / block_units).cast("int")
+    own = full.select("band", "unit", "s", blocks.alias("blocks"), F.pmod(F.xxhash64("unit"), blocks).cast("int").alias("block"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("band", "unit", "s", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return met.groupBy("band", "lo", "hi").applyInArrow(_block_links(similarity), "x long, y long")
+
+
 def repeated_passages(
-    docs: DataFrame, *, similarity: float = 0.8, recall: float = 0.97, rows: int = 3, least_words: int = 8, passage_words: int = 25, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, similarity: float = 0.8, recall: float = 0.97, rows: int = 3, least_words: int = 8, passage_words: int = 25, block_units: int = 256, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The paragraphs that repeat across documents, with which of them stay.
 
@@ -166,7 +218,7 @@ def repeated_passages(
     over five-word shingles is banded so that pairs of ``similarity`` collide with ``recall``; colliding
     paragraphs are linked if the exact Jaccard similarity of their shingle sets reaches it, and linked
     paragraphs and equal ones form clusters by connected components. A cluster in two documents or more
-    is a repeat. Neighbouring repeats of a document make a passage, which counts from ``passage_words``
+    is a repeat. Neighbouring repeats of a document, at most one paragraph apart, make a passage, which counts from ``passage_words``
     words on; shorter ones are common phrases.
 
     Returns (doc_id, paragraph, start, end, n_words, cluster, kept): half-open code-point spans of the
@@ -176,7 +228,7 @@ def repeated_passages(
     tables give no rows; other columns are ignored.
 
     Equal paragraphs share one number, so copies never make pairs. Bands are sorted, and single
-    members dropped while they stream by; the join compares inside its condition and emits links only.
+    members dropped while they stream by. Small bands are compared in a join, large ones block by block.
     """
     bands = tune_bands(similarity, recall, rows)
     kept = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_col)
@@ -187,19 +239,18 @@ def repeated_passages(
     member = stage(keyed.repartition(shards, "band").sortWithinPartitions("band", "unit").mapInArrow(_shared, "band long, unit long"))
     wanted = member.select("unit").distinct()
     sets = stage(units.join(wanted, "unit", "left_semi").groupBy("unit").agg(F.any_value("shingles").alias("shingles")).select("unit", F.array_distinct("shingles").alias("s")))
-    full = member.join(sets, "unit")
-    a, b = full.alias("a"), full.alias("b")
-    both = F.size(F.array_intersect("a.s", "b.s"))
-    small, large = F.least(F.size("a.s"), F.size("b.s")), F.greatest(F.size("a.s"), F.size("b.s"))
-    near = (small >= large * similarity) & (both >= (F.size("a.s") + F.size("b.s") - both) * similarity)
-    links = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.unit") < F.col("b.unit")) & near).select(F.col("a.unit").alias("x"), F.col("b.unit").alias("y"))
+    full = member.join(member.groupBy("band").agg(F.count("*").alias("members")), "band").join(sets, "unit")
+    links = _small_groups(full.where(F.col("members") <= SMALL_GROUP), similarity).unionByName(_large_groups(full.where(F.col("members") > SMALL_GROUP), similarity, block_units))
     roots = connected_components(links.distinct())
     place = units.select("doc_id", "paragraph", "start", "end", "n_words", "unit").join(roots, F.col("unit") == F.col("node"), "left")
     place = place.select("doc_id", "paragraph", "start", "end", "n_words", F.coalesce("root", "unit").alias("cluster"))
     cluster = place.groupBy("cluster").agg(F.min(F.struct("doc_id", "paragraph", "start")).alias("home"), F.max("doc_id").alias("last"))
-    cluster = cluster.where(F.col("home.doc_id") != F.col("last")).select("cluster", "home")
+    # Staged, so that both sides of the join are plain shuffles: Spark then splits a very common passage's rows.
+    cluster = stage(cluster.where(F.col("home.doc_id") != F.col("last")).select("cluster", "home"))
     repeats = place.join(cluster, "cluster")
     by_doc = Window.partitionBy("doc_id").orderBy("paragraph", "start")
-    runs = repeats.withColumn("run", F.col("paragraph") - F.row_number().over(by_doc))
+    # One paragraph that differs, as an edit leaves it, does not end a passage.
+    gap = F.when(F.col("paragraph") - F.lag("paragraph").over(by_doc) <= 2, 0).otherwise(1)
+    runs = repeats.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_doc))
     whole = runs.withColumn("passage", F.sum("n_words").over(Window.partitionBy("doc_id", "run"))).where(F.col("passage") >= passage_words)
     return whole.select("doc_id", "paragraph", "start", "end", "n_words", "cluster", (F.struct("doc_id", "paragraph", "start") == F.col("home")).alias("kept"))
