@@ -12,19 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .tokens import ChunkEncoder, slices
+from .tokens import shared_encoder, slices_by_size
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, *, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): whole texts as ids with ``end_id``, cut at ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices_by_size(whole, text_col):
                 rows: list[tuple] = []
                 ids = batch.column(id_col).to_pylist()
-                for doc_id, own in zip(ids, encoder.encode(batch.column(text_col).cast(pa.binary()).to_pylist()), strict=True):
+                for doc_id, own in zip(ids, encoder.encode(batch.column(text_col)), strict=True):
                     own = np.append(own, np.uint32(end_id)).astype("<u4")
                     for k, at in enumerate(range(0, len(own), capacity)):
                         part = own[at : at + capacity]

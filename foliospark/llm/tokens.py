@@ -2,18 +2,27 @@
 
 The tokenizer drops white space and never joins text across it, so a text's ids are those of
 its white-space-separated chunks in order. Chunks repeat, so each task keeps their ids and
-calls the tokenizer only for new ones. ``tests/llm/test_tokens.py`` holds this against plain
-encoding of whole texts.
+calls the tokenizer only for new ones. Closing punctuation after a letter or number is a piece of its own for
+the tokenizer too, so it is split off first. A run of letters is one piece and ends with the first id
+whose form ends in the end-of-word mark, which tells many runs of one call apart.
+``tests/llm/test_tokens.py`` holds this against plain encoding of whole texts.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPECIAL_MARK = b"<|"
+CLOSING = b".,;:!?%$#&*|"
+WORD_END = "</w>"
+# ASCII white space becomes a space; in the second table A-Z become a-z as well.
+_SPACED = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+_SPACED_LOWER = _SPACED.lower()
 
 
 def default_tokenizer() -> str:
@@ -22,62 +31,132 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class ChunkEncoder:
-    """Encodes texts given as UTF-8 bytes. Holds at most ``max_chunks`` chunks at a time."""
+def load(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
 
-    def __init__(self, path: str, max_chunks: int = 300_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+class ChunkEncoder:
+    """Encodes texts. Holds about ``max_chunks`` chunks at a time."""
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, max_chunks: int = 800_000):
+        self.tokenizer = load(path)
         self.max_chunks = max_chunks
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for form, i in vocabulary.items() if form.endswith(WORD_END)]] = True
+        self.has_ends = bool(self.ends_word.any())
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.flat = np.empty(1 << 18, np.uint32)
+        self.starts, self.lengths = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        coded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        for chunk, code in zip(chunks, coded, strict=True):
-            ids, k = code.ids, len(self.index)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if k == len(self.starts):
-                self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
-                self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[k], self.lengths[k] = self.used, len(ids)
-            self.index[chunk] = k
-            self.used += len(ids)
-
-    def encode(self, texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
-        """The ids of each text as uint32; a null text has none."""
-        texts = list(texts)
-        words = []
-        for text in texts:
-            text = text or b""
-            # Lower-casing first makes more chunks equal; the tokenizer does it anyway, but
-            # finds its special tokens before that, so texts that may hold one stay as they are.
-            words.append((text if SPECIAL_MARK in text else text.lower()).split())
-        for own in words:
-            if len(self.index) > self.max_chunks:
-                self._clear()
-            new = [w for w in dict.fromkeys(own) if w not in self.index]
-            if new:
-                self._learn(new)
-            if not own:
-                yield np.empty(0, np.uint32)
-                continue
-            k = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
-            n = self.lengths[k]
-            ends = np.cumsum(n)
-            yield self.flat[np.repeat(self.starts[k] - ends + n, n) + np.arange(ends[-1])]
+    def _put(self, names: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Append the ids of new names, one after another."""
+        k, n = len(self.index), len(names)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while k + n > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([a, np.empty_like(a)]) for a in (self.starts, self.lengths))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[k : k + n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[k : k + n] = lengths
+        self.index.update(zip(names, range(k, k + n), strict=True))
+        self.used += len(ids)
+
+    def _plain(self, chunks: list[bytes]) -> None:
+        coded = [c.ids for c in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
+        self._put(chunks, np.array([i for own in coded for i in own], np.uint32), np.array([len(own) for own in coded], np.int64))
+
+    def _letters(self, stems: list[bytes]) -> None:
+        """Runs of letters, many in one call: each ends with the next word-end id."""
+        for at in range(0, len(stems), 4096):
+            part = stems[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.int64)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part):
+                self._put(part, ids, np.diff(ends, prepend=0))
+            else:
+                self._plain(part)
+
+    @staticmethod
+    def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the runs numbered k of ``flat``, one after another; their lengths)."""
+        n = lengths[k]
+        ends = np.cumsum(n)
+        return flat[np.repeat(starts[k] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        letters = [p for p in pieces if self.has_ends and (p.isalpha() or p.decode("utf-8", "replace").isalpha())]
+        self._letters(letters)
+        self._plain(list(pieces.difference(letters)))
+
+    @staticmethod
+    def _cut(chunk: bytes) -> int:
+        """Where a chunk's closing punctuation starts, if a letter or number stands before it, so that
+        the tokenizer parts them there too; else its end."""
+        stem = chunk.rstrip(CLOSING)
+        if stem and len(stem) < len(chunk) and (stem[-1:].isalnum() or (stem[-1] > 127 and stem.decode("utf-8", "replace")[-1].isalnum())):
+            return len(stem)
+        return len(chunk)
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts as uint32, where each text's ids end); a null text has none.
+
+        Words are split and numbered by Arrow; only different ones are looked at one by one.
+        """
+        # Lower-casing A-Z first makes more chunks equal; the tokenizer does it anyway, but
+        # finds its special tokens before that, so texts that may hold one stay as they are.
+        text = [b"" if t is None else t.translate(_SPACED if SPECIAL_MARK in t else _SPACED_LOWER) for t in texts.cast(pa.binary()).to_pylist()]
+        words = pc.split_pattern(pa.array(text, pa.large_binary()).cast(pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        cuts = list(map(self._cut, names))
+        heads = [n[:c] for n, c in zip(names, cuts, strict=True)]
+        tails = [n[c:] for n, c in zip(names, cuts, strict=True)]
+        if len(self.index) > self.max_chunks:
+            self._clear()
+        new = set(heads).union(tails).difference(self.index)
+        if new:
+            self._learn(new)
+        pieces = np.empty((len(names), 2), np.int64)
+        pieces[:, 0] = np.fromiter(map(self.index.__getitem__, heads), np.int64, len(heads))
+        pieces[:, 1] = np.fromiter(map(self.index.__getitem__, tails), np.int64, len(tails))
+        known, n = self._gather(self.flat, self.starts, self.lengths, pieces.ravel())
+        n = n.reshape(-1, 2).sum(axis=1)
+        ids, n = self._gather(known, np.cumsum(n) - n, n, coded.indices.to_numpy(zero_copy_only=False))
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return ids, ends[pc.cumulative_sum(pc.list_value_length(words)).to_numpy(zero_copy_only=False)] if len(texts) else np.empty(0, np.int64)
+
+    def encode(self, texts) -> list[np.ndarray]:
+        """The ids of each text."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array([t.decode() if isinstance(t, bytes) else t for t in texts], pa.string())
+        ids, ends = self.encode_array(texts)
+        return np.split(ids, ends[:-1]) if len(ends) else []
+
+
+@lru_cache(1)
+def shared_encoder(path: str) -> ChunkEncoder:
+    """One encoder for all the tasks that a Python worker runs."""
+    return ChunkEncoder(path)
 
 
 def slices(batch, size: int = 128):
     """Parts of an Arrow batch, so that few texts are Python objects at a time."""
     for at in range(0, batch.num_rows, size):
         yield batch.slice(at, size)
+
+
+def slices_by_size(batch, column: str, size: int = 8 << 20):
+    """Parts of an Arrow batch with about ``size`` bytes of text in ``column``, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // size
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
