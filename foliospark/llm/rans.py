@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, stage
-from .tokens import ChunkEncoder, slices
+from .tokens import load, shared_encoder, slices, slices_by_size
 
 MAGIC = b"FRA1"
 _HEAD = struct.Struct("<4sIIIIII")  # magic, ids, lanes, steps a checkpoint, checkpoints, words, crc32 of the ids
@@ -49,7 +49,7 @@ def lookup_tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
 
 
-def encode_block(ids: np.ndarray, freq: np.ndarray, start: np.ndarray, lanes: int = 256, every: int = 256) -> bytes:
+def encode_block(ids: np.ndarray, freq: np.ndarray, start: np.ndarray, lanes: int = 1024, every: int = 128) -> bytes:
     """One block. Ids are dealt to the lanes in turn; step t codes ids t*lanes to (t+1)*lanes-1."""
     n, steps = len(ids), -(-len(ids) // lanes)
     state = np.full(lanes, LOW, np.uint64)
@@ -102,34 +102,40 @@ def decode_block(block: bytes, freq: np.ndarray, start: np.ndarray, slot: np.nda
         state[:width] = x
     if mark is not None:
         return out[first * lanes : min(n, last * lanes)]
-    if zlib.crc32(out.tobytes()) != crc:
+    if zlib.crc32(out.tobytes()) != crc or (n and (state != LOW).any()):  # every lane ends where the coder began
         raise ValueError("a block's checksum does not match its ids")
     return out
 
 
+def id_type(tokenizer: str, end_id: int) -> str:
+    """Two bytes an id while ids are passed on, if the vocabulary allows it; else four."""
+    vocabulary = load(tokenizer).get_vocab()
+    return "<u2" if max(end_id, *vocabulary.values()) < 1 << 16 else "<u4"
+
+
 def tokenize(docs: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of each whole text with ``end_id``, as little-endian uint32 bytes."""
+    """(doc_id, ids): the ids of each whole text with ``end_id``, as little-endian bytes of ``id_type``."""
+    kind = id_type(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole):
-                texts = batch.column(text_col).cast(pa.binary()).to_pylist()
-                ids = [np.append(x, np.uint32(end_id)).astype("<u4").tobytes() for x in encoder.encode(texts)]
+            for batch in slices_by_size(whole, text_col):
+                ids = [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in encoder.encode(batch.column(text_col))]
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     kept = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     return kept.mapInArrow(run, "doc_id long, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> DataFrame:
+def count_ids(tokens: DataFrame, kind: str) -> DataFrame:
     """(id, n) over all documents, summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                own = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
+            for part in slices(batch, 1024):
+                own = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), kind), minlength=len(total))
                 own[: len(total)] += total
                 total = own
         seen = np.flatnonzero(total)
@@ -138,7 +144,7 @@ def count_ids(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _pack_blocks(freq, start, block_ids: int):
+def _pack_blocks(freq, start, block_ids: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, s = freq.value, start.value
         docs: list = []
@@ -153,7 +159,7 @@ def _pack_blocks(freq, start, block_ids: int):
 
         for batch in batches:
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                ids = np.frombuffer(data, "<u4")
+                ids = np.frombuffer(data, kind).astype(np.uint32)
                 docs.append((doc_id, len(ids)))
                 parts.append(ids)
                 held += len(ids)
@@ -166,7 +172,7 @@ def _pack_blocks(freq, start, block_ids: int):
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int, path: str | None = None, block_ids: int = 131_072, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int, path: str | None = None, block_ids: int = 262_144, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every text and write the ids in ascending doc_id order as rANS blocks. Returns the path.
 
     ``path/freq`` holds the frequency table (bounded by the vocabulary), ``path/blocks`` the
@@ -181,12 +187,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int, path: str
     spark = docs.sparkSession
     path = path or shared_dir(spark)
     tokens = stage(tokenize(docs, tokenizer, end_id=end_id, id_col=id_col, text_col=text_col))
-    count_ids(tokens).orderBy("id").coalesce(1).write.parquet(f"{path}/freq")
+    kind = id_type(tokenizer, end_id)
+    count_ids(tokens, kind).orderBy("id").coalesce(1).write.parquet(f"{path}/freq")
     freq, start, _ = read_tables(spark, path)
     context = spark.sparkContext
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = tokens.repartitionByRange(shards, "doc_id", F.crc32("ids")).sortWithinPartitions("doc_id", "ids")
-    packed = ordered.mapInArrow(_pack_blocks(context.broadcast(freq), context.broadcast(start), block_ids), "block long, doc_ids array<long>, lengths array<long>, n_ids long, payload binary")
+    packed = ordered.mapInArrow(_pack_blocks(context.broadcast(freq), context.broadcast(start), block_ids, kind), "block long, doc_ids array<long>, lengths array<long>, n_ids long, payload binary")
     packed.withColumn("shard", F.spark_partition_id().cast("long")).write.option("compression", "none").parquet(f"{path}/blocks")
     return path
 
