@@ -88,6 +88,38 @@ def test_near_copies_lose_all_but_one(spark, docs, words):
     assert len(ids & set(range(20, 40))) <= 2
 
 
+def block_edits(words, seed, n, share):
+    """(kind, text, other) with one contiguous block replaced, appended or deleted, as similar as ``share`` of the words make it."""
+    for k in range(n):
+        own, new = words(seed + k, 150 + 20 * (k % 40)).split(), words(seed + 500 + k, 400).split()
+        size, at = int(len(own) * share), (7 * k) % 50
+        yield "replaced", own, own[:at] + new[:size] + own[at + size :]
+        yield "appended", own[::-1], own[::-1] + new[: 2 * size]
+        yield "deleted", own[1::2] + own[::2], (own[1::2] + own[::2])[:at] + (own[1::2] + own[::2])[at + 2 * size :]
+
+
+def test_near_copies_by_one_block_are_found(spark, docs, words, monkeypatch):
+    def jaccard(a, b):
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+        return len(a & b) / len(a | b)
+
+    rows, want, apart = [], defaultdict(list), []
+    for seed, share in ((3000, 0.07), (5000, 0.14)):
+        for kind, a, b in block_edits(words, seed, 40, share):
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+            (want[kind] if jaccard(a, b) >= 0.8 else apart).append(len(rows) - 2)
+    hub = words(1, 100).split()  # many near copies of one text
+    first = len(rows)
+    rows += [(first + k, " ".join([*hub[:k], "edit", *hub[k + 1 :]])) for k in range(60)]
+    for block in (1024, 8):
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+        kept = {r.doc_id for r in simhash.keep_one_of_each(docs(rows)).collect()}
+        for kind, pairs in want.items():
+            assert len(pairs) >= 30 and sum(k + 1 not in kept for k in pairs) >= 0.95 * len(pairs), kind
+        assert len(apart) >= 30 and all(k + 1 in kept for k in apart)
+        assert {k for k in kept if k >= first} == {first}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((30, 16))
