@@ -160,7 +160,7 @@ def _links(cosine: float):
 
 
 def embedding_groups(
-    vectors: DataFrame, *, cosine: float = 0.9, recall: float = 0.99, far_recall: float = 0.8, sample_rows: int = 8192, cell_rows: int = 512, block_rows: int = 1024, max_centres: int = 64, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, *, cosine: float = 0.9, recall: float = 0.99, far_recall: float = 0.95, sample_rows: int = 8192, cell_rows: int = 512, block_rows: int = 1024, max_centres: int = 64, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """One row per vector: (vec_id, n_links, component_id, kept).
 

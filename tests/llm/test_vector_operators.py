@@ -145,6 +145,23 @@ def test_embeddings(spark):
     assert multi_index.embedding_groups(df.where("vec_id >= 300")).count() == 7
 
 
+def test_links_near_the_threshold_beside_a_dense_group(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.standard_normal((4000, 64)))
+    aside = rng.standard_normal((800, 64))
+    aside = unit(aside - (aside * base[:800]).sum(axis=1, keepdims=True) * base[:800])
+    cosine = rng.uniform(0.901, 0.92, (800, 1))
+    partners = cosine * base[:800] + np.sqrt(1 - cosine**2) * aside
+    dense = unit(unit(rng.standard_normal((1, 64))) + 0.02 * rng.standard_normal((400, 64)))
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([base, partners, dense]))]
+    out = {r.vec_id: r.n_links for r in multi_index.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell_rows=80).collect()}
+    found = np.array([out[4000 + k] > 0 for k in range(800)])
+    for lo, hi in ((0.901, 0.91), (0.91, 0.92)):
+        assert found[(cosine[:, 0] >= lo) & (cosine[:, 0] < hi)].mean() >= 0.9, (lo, hi)
+    assert min(out[4800 + k] for k in range(400)) == 399
+
+
 def test_multi_sequence_is_nearest_first():
     rng = np.random.default_rng(1)
     a, b = rng.random(7), rng.random(5)
