@@ -29,7 +29,7 @@ def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = rans.write_token_files(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=2)
-    return rans.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return rans.read_token_files(spark, path, with_ids=False)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

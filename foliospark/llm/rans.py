@@ -6,9 +6,9 @@ interleaved coder lanes, checkpoints to start decoding inside a block, and a che
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +16,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, stage
-from .tokens import load, shared_encoder, slices, slices_by_size
+from .tokens import load, shared_encoder, slices_by_size
 
-MAGIC = b"FRA1"
-_HEAD = struct.Struct("<4sIIIIII")  # magic, ids, lanes, steps a checkpoint, checkpoints, words, crc32 of the ids
 LOW = np.uint64(1 << 31)  # a lane's state stays in [2^31, 2^63)
 SCALE = 20  # frequencies add up to 2^SCALE
+LANES, EVERY = 4096, 128  # interleaved lanes of a block; steps from one checkpoint to the next
+_BLOCK = "shard_first long, block long, doc_ids array<long>, lengths array<long>, n_ids long, lanes int, every int, marks array<struct<word:long,state:binary,crc:long>>, stream binary"
+_MARK = pa.struct([("word", pa.int64()), ("state", pa.binary()), ("crc", pa.int64())])
+_BLOCK_ARROW = pa.schema([
+    ("shard_first", pa.int64()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()),
+    ("lanes", pa.int32()), ("every", pa.int32()), ("marks", pa.list_(_MARK)), ("stream", pa.binary()),
+])
 
 
 def scale_frequencies(counts: np.ndarray, bits: int = SCALE) -> np.ndarray:
@@ -49,62 +54,70 @@ def lookup_tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
 
 
-def encode_block(ids: np.ndarray, freq: np.ndarray, start: np.ndarray, lanes: int = 1024, every: int = 128) -> bytes:
-    """One block. Ids are dealt to the lanes in turn; step t codes ids t*lanes to (t+1)*lanes-1."""
-    n, steps = len(ids), -(-len(ids) // lanes)
+@dataclass
+class Mark:
+    """A checkpoint: the next word of the stream, the state of every lane, and the crc32 of the ids up to the next checkpoint."""
+
+    word: int
+    state: bytes
+    crc: int
+
+
+def encode_block(ids: np.ndarray, freq: np.ndarray, start: np.ndarray, lanes: int = LANES, every: int = EVERY) -> tuple[list[Mark], bytes]:
+    """(checkpoints, stream of 32-bit words) of a block. Ids are dealt to the lanes in turn; step t codes ids t*lanes to (t+1)*lanes-1."""
+    steps = -(-len(ids) // lanes)
     state = np.full(lanes, LOW, np.uint64)
     words: list[np.ndarray] = []
-    marks: list[tuple[int, np.ndarray]] = []
+    marks: list[tuple[int, bytes]] = []
     count = 0
+    width, first = freq[ids], start[ids]
+    limit = width << np.uint64(63 - SCALE)
     for t in range(steps - 1, -1, -1):
-        own = ids[t * lanes : (t + 1) * lanes]
-        f, x = freq[own], state[: len(own)]
-        over = x >= (f << np.uint64(63 - SCALE))
-        if over.any():
-            words.append((x[over] & np.uint64(0xFFFFFFFF)).astype(np.uint32)[::-1])
-            count += int(over.sum())
+        now = slice(t * lanes, min((t + 1) * lanes, len(ids)))
+        f, x = width[now], state[: now.stop - now.start]
+        over = x >= limit[now]
+        if k := int(np.count_nonzero(over)):
+            words.append(x[over].astype(np.uint32)[::-1])  # the lower half
+            count += k
             x = np.where(over, x >> np.uint64(32), x)
-        state[: len(own)] = ((x // f) << np.uint64(SCALE)) + x % f + start[own]
+        q = x // f
+        state[: len(f)] = (q << np.uint64(SCALE)) + (x - q * f) + first[now]
         if t % every == 0:
-            marks.append((count, state.copy()))
+            marks.append((count, state.astype("<u8").tobytes()))
     stream = np.concatenate(words)[::-1] if words else np.empty(0, np.uint32)
-    parts = [_HEAD.pack(MAGIC, n, lanes, every, len(marks), count, zlib.crc32(ids.astype("<u4").tobytes()))]
-    for used, lane_state in reversed(marks):
-        parts += [struct.pack("<I", count - used), lane_state.astype("<u8").tobytes()]
-    return b"".join([*parts, stream.astype("<u4").tobytes()])
-
-
-def decode_block(block: bytes, freq: np.ndarray, start: np.ndarray, slot: np.ndarray, mark: int | None = None) -> np.ndarray:
-    """The ids of a block, or only those from checkpoint ``mark`` to the next one."""
-    magic, n, lanes, every, n_marks, count, crc = _HEAD.unpack_from(block)
-    if magic != MAGIC:
-        raise ValueError("not a block of this format")
-    size, base = 4 + 8 * lanes, _HEAD.size
-    stream = np.frombuffer(block, "<u4", count, base + n_marks * size).astype(np.uint64)
-    out = np.empty(n, np.uint32)
-    first = 0 if mark is None else mark * every
-    last = -(-n // lanes) if mark is None else min(-(-n // lanes), first + every)
-    if n:
-        at = struct.unpack_from("<I", block, base + (mark or 0) * size)[0]
-        state = np.frombuffer(block, "<u8", lanes, base + (mark or 0) * size + 4).astype(np.uint64)
-    for t in range(first, last):
-        width = min(lanes, n - t * lanes)
-        x = state[:width]
+    span = lanes * every
+    crcs = [zlib.crc32(ids[k * span : (k + 1) * span].astype("<u4").tobytes()) for k in range(len(marks))]
+    return [Mark(count - used, own, crc) for (used, own), crc in zip(reversed(marks), crcs, strict=True)], stream.astype("<u4").tobytes()
+
+
+def decode_from(mark: Mark, stream: bytes, n: int, end: int, freq: np.ndarray, start: np.ndarray, slot: np.ndarray, lanes: int = LANES, every: int = EVERY) -> np.ndarray:
+    """The first ``n`` ids from a checkpoint on. ``stream`` begins at the checkpoint's word; ``end`` ids are left in the block.
+
+    The ids up to the next checkpoint are held against the checkpoint's checksum, if all of them are asked for.
+    """
+    words = np.frombuffer(stream, "<u4").astype(np.uint64)
+    state = np.frombuffer(mark.state, "<u8").astype(np.uint64)
+    steps = -(-n // lanes)
+    out = np.empty(min(end, steps * lanes), np.uint32)
+    at = 0
+    for t in range(steps):
+        now = slice(t * lanes, min((t + 1) * lanes, end))
+        x = state[: now.stop - now.start]
         low = x & np.uint64((1 << SCALE) - 1)
         own = slot[low]
-        out[t * lanes : t * lanes + width] = own
+        out[now] = own
         x = freq[own] * (x >> np.uint64(SCALE)) + low - start[own]
-        under = x < LOW
-        k = int(under.sum())
-        if k:
-            x[under] = (x[under] << np.uint64(32)) | stream[at : at + k]
-            at += k
-        state[:width] = x
-    if mark is not None:
-        return out[first * lanes : min(n, last * lanes)]
-    if zlib.crc32(out.tobytes()) != crc or (n and (state != LOW).any()):  # every lane ends where the coder began
+        under = np.flatnonzero(x < LOW)
+        if len(under):
+            x[under] = (x[under] << np.uint64(32)) | words[at : at + len(under)]
+            at += len(under)
+        state[: len(x)] = x
+    whole = min(end, lanes * every)
+    if n >= whole and zlib.crc32(out[:whole].astype("<u4").tobytes()) != mark.crc:
         raise ValueError("a block's checksum does not match its ids")
-    return out
+    if n == end and (state != LOW).any():  # every lane ends where the coder began
+        raise ValueError("a block does not end where it should")
+    return out[:n]
 
 
 def id_type(tokenizer: str, end_id: int) -> str:
@@ -114,48 +127,46 @@ def id_type(tokenizer: str, end_id: int) -> str:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of each whole text with ``end_id``, as little-endian bytes of ``id_type``."""
+    """(doc_id, crc, ids, counts): the ids of each whole text with ``end_id``, as little-endian bytes of
+    ``id_type``, and their crc32. Each task ends with a row that has counts alone: how often it met each id."""
     kind = id_type(tokenizer, end_id)
+    counted = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary()), ("counts", counted)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(tokenizer)
+        total = np.zeros(end_id + 1, np.int64)
         for whole in batches:
             for batch in slices_by_size(whole, text_col):
-                ids = [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in encoder.encode(batch.column(text_col))]
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    kept = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    return kept.mapInArrow(run, "doc_id long, ids binary")
-
-
-def count_ids(tokens: DataFrame, kind: str) -> DataFrame:
-    """(id, n) over all documents, summed in each task before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for part in slices(batch, 1024):
-                own = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), kind), minlength=len(total))
+                ids, ends = encoder.encode_array(batch.column(text_col))
+                own = np.bincount(ids, minlength=len(total))
                 own[: len(total)] += total
                 total = own
+                total[end_id] += batch.num_rows
+                data, size = ids.astype(kind), np.dtype(kind).itemsize
+                end, raw = np.array([end_id], kind).tobytes(), data.tobytes()
+                rows = [raw[a * size : b * size] + end for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                arrays = [batch.column(id_col), pa.array(list(map(zlib.crc32, rows)), pa.int64()), pa.array(rows, pa.binary()), pa.nulls(len(rows), counted)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+        yield pa.RecordBatch.from_pylist([{"counts": [{"id": i, "n": n} for i, n in zip(seen.tolist(), total[seen].tolist(), strict=True)]}], schema=schema)
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    kept = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
+    return kept.mapInArrow(run, "doc_id long, crc long, ids binary, counts array<struct<id:long,n:long>>")
 
 
-def _pack_blocks(freq, start, block_ids: int, kind: str):
+def _pack_blocks(tables, block_ids: int, kind: str, lanes: int, every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, s = freq.value, start.value
-        docs: list = []
+        freq, start = tables.value
+        docs: list[tuple[int, int]] = []
         parts: list[np.ndarray] = []
-        held = number = 0
+        held = before = number = 0
 
         def block():
             ids = np.concatenate(parts)
-            row = [[number], [[d for d, _ in docs]], [[n for _, n in docs]], [len(ids)], [encode_block(ids, f, s)]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["block", "doc_ids", "lengths", "n_ids", "payload"])
+            marks, stream = encode_block(ids, freq, start, lanes, every)
+            row = {"shard_first": before, "block": number, "doc_ids": [d for d, _ in docs], "lengths": [n for _, n in docs], "n_ids": held, "lanes": lanes, "every": every, "marks": [vars(m) for m in marks], "stream": stream}
+            return pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
 
         for batch in batches:
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
@@ -165,35 +176,37 @@ def _pack_blocks(freq, start, block_ids: int, kind: str):
                 held += len(ids)
                 if held >= block_ids:
                     yield block()
-                    docs, parts, held, number = [], [], 0, number + 1
+                    before, number = before + held, number + 1
+                    docs, parts, held = [], [], 0
         if docs:
             yield block()
 
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int, path: str | None = None, block_ids: int = 262_144, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int, path: str | None = None, block_ids: int = 1 << 20, lanes: int = LANES, every: int = EVERY, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every text and write the ids in ascending doc_id order as rANS blocks. Returns the path.
 
     ``path/freq`` holds the frequency table (bounded by the vocabulary), ``path/blocks`` the
-    blocks: (shard, block, doc_ids, lengths, n_ids, payload). Shards ascend with doc_id, and blocks
-    within a shard. A block ends with a document. Parquet is the container, so that any store that
+    blocks: (shard, shard_first, block, doc_ids, lengths, n_ids, lanes, every, marks, stream). Shards ascend with doc_id, and blocks
+    within a shard; shard_first is the number of ids before the block in its shard; marks are the
+    checkpoints, with a checksum each. A block ends with a document, so a very long document is a long block. Parquet is the container, so that any store that
     Spark writes to will do and failed tasks leave no half files.
 
     Null texts give the end id alone; null doc_ids come first; repeated doc_ids stay, in order of
-    their ids' bytes; empty tables give no blocks. Texts are read and tokenized once; ids are staged,
-    counted, then range-sorted, so no step holds more than a partition and one document.
+    their ids' checksums; empty tables give no blocks; other columns, whatever their names, are ignored. Texts are read and tokenized once, and the ids counted on the way; ids are staged,
+    then range-sorted (the bounds are found from doc_id and checksum alone), so no step holds more than a partition's block and one document.
     """
     spark = docs.sparkSession
     path = path or shared_dir(spark)
-    tokens = stage(tokenize(docs, tokenizer, end_id=end_id, id_col=id_col, text_col=text_col))
-    kind = id_type(tokenizer, end_id)
-    count_ids(tokens, kind).orderBy("id").coalesce(1).write.parquet(f"{path}/freq")
+    staged = stage(tokenize(docs, tokenizer, end_id=end_id, id_col=id_col, text_col=text_col))
+    count = staged.select(F.explode("counts").alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n"))
+    count.orderBy("id").coalesce(1).write.parquet(f"{path}/freq")
     freq, start, _ = read_tables(spark, path)
-    context = spark.sparkContext
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(shards, "doc_id", F.crc32("ids")).sortWithinPartitions("doc_id", "ids")
-    packed = ordered.mapInArrow(_pack_blocks(context.broadcast(freq), context.broadcast(start), block_ids, kind), "block long, doc_ids array<long>, lengths array<long>, n_ids long, payload binary")
+    tokens = staged.where("counts is null").select("doc_id", "crc", "ids")
+    ordered = tokens.repartitionByRange(shards, "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
+    packed = ordered.select("doc_id", "ids").mapInArrow(_pack_blocks(spark.sparkContext.broadcast((freq, start)), block_ids, id_type(tokenizer, end_id), lanes, every), _BLOCK)
     packed.withColumn("shard", F.spark_partition_id().cast("long")).write.option("compression", "none").parquet(f"{path}/blocks")
     return path
 
@@ -208,34 +221,42 @@ def read_tables(spark, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return freq, *lookup_tables(freq)
 
 
-def read_token_files(spark, path: str) -> DataFrame:
-    """(doc_id, shard, block, place, n_tokens, ids_crc32, start, ids) of every document in the files.
+def read_token_files(spark, path: str, *, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files; ``ids`` only if asked for.
 
-    Blocks are decoded in parallel, each checked against its checksum; ``start`` is the number of
-    ids of all documents before it.
+    Every checkpoint of a block is a unit of work of its own: it is decoded from its states and its
+    part of the stream, checked against its checksum, and gives the documents that begin before the next
+    checkpoint (it reads on into that one's part to end the last of them). ``start`` is the number
+    of ids of all documents before: those of earlier shards (as many as the writer had shuffle partitions, so
+    their sums fit one task), of the shard's earlier blocks, and of the block.
     """
-    tables = [spark.sparkContext.broadcast(t) for t in read_tables(spark, path)]
+    tables = spark.sparkContext.broadcast(read_tables(spark, path))
     blocks = spark.read.parquet(f"{path}/blocks")
-    # Shards are as many as shuffle partitions: their sums fit one task; blocks are summed within a shard.
     shard = blocks.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     shard = shard.select("shard", (F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("ids")).alias("shard_start"))
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    starts = blocks.select("shard", "block", (F.sum("n_ids").over(before) - F.col("n_ids")).alias("block_start")).join(shard, "shard")
-    starts = starts.select("shard", "block", (F.col("block_start") + F.col("shard_start")).alias("first"))
+    unit = blocks.join(F.broadcast(shard), "shard").withColumn("first", F.col("shard_start") + F.col("shard_first"))
+    unit = unit.select("doc_ids", "lengths", "n_ids", "lanes", "every", "first", "stream", F.posexplode("marks").alias("at", "mark"))
+    unit = unit.withColumn("stream", F.expr("substring(stream, cast(mark.word * 4 + 1 as int))"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, s, slot = (t.value for t in tables)
+        freq, start, slot = tables.value
         for batch in batches:
-            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                ids = decode_block(row["payload"], f, s, slot).astype("<u4")
-                ends = np.cumsum(row["lengths"])
-                parts = [ids[e - n : e].tobytes() for e, n in zip(ends, row["lengths"], strict=True)]
-                k = len(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array([row["shard"]] * k, pa.int64()), pa.array([row["block"]] * k, pa.int64()), pa.array(range(k), pa.int64()),
-                     pa.array(ends - row["lengths"], pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(parts, pa.binary())],
-                    ["doc_id", "shard", "block", "place", "inner", "n_tokens", "ids_crc32", "ids"],
-                )
-
-    out = blocks.mapInArrow(run, "doc_id long, shard long, block long, place long, inner long, n_tokens long, ids_crc32 long, ids binary")
-    return out.join(starts, ["shard", "block"]).select("doc_id", "shard", "block", "place", (F.col("first") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", "ids")
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                size = np.array(row["lengths"], np.int64)
+                ends = np.cumsum(size)
+                begin, span = ends - size, row["lanes"] * row["every"]
+                from_id = row["at"] * span
+                own = np.flatnonzero((begin >= from_id) & (begin < from_id + span))
+                left = row["n_ids"] - from_id
+                n = max(int(ends[own[-1]]) - from_id if len(own) else 0, min(span, left))
+                ids = decode_from(Mark(**row["mark"]), row["stream"], n, left, freq, start, slot, row["lanes"], row["every"]).astype("<u4").tobytes()
+                parts = [ids[4 * (a - from_id) : 4 * (b - from_id)] for a, b in zip(begin[own].tolist(), ends[own].tolist(), strict=True)]
+                docs = row["doc_ids"]
+                arrays = [pa.array([docs[i] for i in own], pa.int64()), pa.array(row["first"] + begin[own]), pa.array(size[own]), pa.array(list(map(zlib.crc32, parts)), pa.int64())]
+                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                if with_ids:
+                    arrays, names = [*arrays, pa.array(parts, pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return unit.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))

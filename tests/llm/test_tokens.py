@@ -18,24 +18,46 @@ def test_chunks_give_the_ids_of_whole_texts():
     encoder = ChunkEncoder(default_tokenizer(), max_chunks=3)
     for _ in range(2):  # the second time from the cache
         assert [x.tolist() for x in encoder.encode(TEXTS)] == [plain(t) for t in TEXTS]
-    assert encoder.encode([]) == []
+    assert encoder.encode([]) == [] and encoder.by_chunks
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    home = str(tmp_path / "t.json")
+    odd = Tokenizer(models.BPE(vocab={"a": 0, " ": 1, "b": 2, "a b": 3, "a ": 4, "b</w>": 5}, merges=[("a", " "), ("a ", "b")]))
+    odd.save(home)
+    encoder = ChunkEncoder(home)
+    assert not encoder.by_chunks and [x.tolist() for x in encoder.encode(["a b", None, "", "a a"])] == [[3], [], [], [4, 0]]
+    odd.pre_tokenizer = pre_tokenizers.Whitespace()
+    odd.save(home)
+    assert [x.tolist() for x in ChunkEncoder(home).encode(["a b"])] == [[0, 2]]
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 1023, 1024, 1025, 300_000])
 def test_rans_round_trip_and_checkpoints(n):
     ids = (np.random.default_rng(n).pareto(1.0, n) * 3).astype(np.int64).clip(0, 999).astype(np.uint32)
     freq = rans.scale_frequencies(np.bincount(ids, minlength=1000))
-    start, slot = rans.lookup_tables(freq)
-    block = rans.encode_block(ids, freq, start)
-    assert (rans.decode_block(block, freq, start, slot) == ids).all()
-    marks = rans._HEAD.unpack_from(block)[4]
-    assert np.concatenate([rans.decode_block(block, freq, start, slot, mark=m) for m in range(marks)] or [ids]).tolist() == ids.tolist()
-    if n > 100:
-        assert len(block) < 4 * n + 20_000
-        broken = bytearray(block)
-        broken[-1] ^= 1
-        with pytest.raises((ValueError, IndexError)):
-            rans.decode_block(bytes(broken), freq, start, slot)
+    tables = freq, *rans.lookup_tables(freq)
+    for lanes, every in ((1024, 16), (64, 5), (4096, 128)):
+        marks, stream = rans.encode_block(ids, *tables[:2], lanes, every)
+        assert len(marks) == -(-n // (lanes * every))
+        for k, mark in enumerate(marks):  # each checkpoint up to the next one, on into that one's part, and to the end
+            at = k * lanes * every
+            for size in {min(lanes * every, n - at), min(lanes * every + 10, n - at), n - at}:
+                assert (rans.decode_from(mark, stream[4 * mark.word :], size, n - at, *tables, lanes, every) == ids[at : at + size]).all()
+        if n > 1100:
+            assert len(stream) < 3 * n
+            for at in (0, len(stream) // 2, len(stream) - 1):  # a broken stream raises, or the ids never depended on the broken bit
+                broken = bytearray(stream)
+                broken[at] ^= 128
+                for k, mark in enumerate(marks):
+                    left = n - k * lanes * every
+                    try:
+                        got = rans.decode_from(mark, bytes(broken)[4 * mark.word :], min(left, lanes * every), left, *tables, lanes, every)
+                    except (ValueError, IndexError):
+                        continue
+                    assert (got == ids[n - left :][: len(got)]).all()
 
 
 def test_frequencies_add_up():
@@ -44,16 +66,19 @@ def test_frequencies_add_up():
     assert freq.sum() == 1 << rans.SCALE and (freq[counts > 0] > 0).all() and freq[2] == 0
 
 
-def test_token_files(spark, docs):
-    rows = list(enumerate(TEXTS)) + [(3, TEXTS[3]), (None, "no id")]
-    path = rans.write_token_files(docs(rows), default_tokenizer(), end_id=2, block_ids=100)
-    got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in rans.read_token_files(spark, path).collect()))
+@pytest.mark.parametrize(("block", "lanes", "every"), [(100, 4096, 128), (1000, 8, 4), (10**6, 16, 3)])
+def test_token_files(spark, docs, block, lanes, every):
+    rows = list(enumerate(TEXTS)) + [(3, TEXTS[3]), (None, "no id"), (50, "long text, " * 20_000)]
+    clashing = docs(rows).selectExpr("*", "1 as start", "2 as ids", "3 as crc", "4 as counts", "5 as block")
+    path = rans.write_token_files(clashing, default_tokenizer(), end_id=2, block_ids=block, lanes=lanes, every=every)
+    got = rans.read_token_files(spark, path).collect()
     want, at = [], 0
     for i, t in sorted(rows, key=lambda x: (-1 if x[0] is None else x[0])):
         ids = np.array([*plain(t), 2], "<u4")
-        want.append((at, i, len(ids), zlib.crc32(ids.tobytes())))
+        want.append((at, i, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes()))
         at += len(ids)
-    assert got == want
+    assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32, bytes(r.ids)) for r in got) == want
+    assert sorted(tuple(r) for r in rans.read_token_files(spark, path, with_ids=False).collect() if r.doc_id is not None) == sorted((i, a, n, c) for a, i, n, c, _ in want if i is not None)
 
 
 def test_token_files_of_an_empty_table(spark, docs):
