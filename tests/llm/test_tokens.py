@@ -1,5 +1,6 @@
 import zlib
-from collections import defaultdict
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -100,8 +101,9 @@ def packed(rows, capacity):
 
 
 def test_packing(spark, docs, words):
-    rows = [(i, words(i, 3 + i * i % 90)) for i in range(80)] + [(0, words(0, 3)), (None, None), (99, words(99, 400))] + [(i, "same words here") for i in range(100, 140)]
-    out = packing.pack_documents(docs(rows), default_tokenizer(), end_id=0, capacity=64).collect()
+    rows = [(i, words(i, 3 + i * i % 90)) for i in range(80)] + [(0, words(0, 3)), (None, None), (99, words(99, 400)), (98, 'long, text ' * 20_000)] + [(i, "same words here") for i in range(100, 140)]
+    clashing = docs(rows).selectExpr("*", "1 as piece", "2 as start", "3 as length", "4 as sequence_id", "5 as offset")
+    out = packing.pack_documents(clashing, default_tokenizer(), end_id=0, capacity=64).collect()
     want = sorted((-1 if i is None else i, k, n, zlib.crc32(ids[k * 64 : k * 64 + 64].tobytes())) for i, t in rows for ids in [np.array([*plain(t), 0], "<u4")] for k, n in enumerate([len(ids[a : a + 64]) for a in range(0, len(ids), 64)]))
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.piece, r.length, r.ids_crc32) for r in out) == want
     total = sum(r.length for r in out)
@@ -109,27 +111,33 @@ def test_packing(spark, docs, words):
     assert packing.pack_documents(docs([]), default_tokenizer()).count() == 0
 
 
-def test_rounds_place_every_piece_once():
+def best_fit_decreasing(lengths, capacity):
+    gaps, opened = [], 0
+    for x in sorted(lengths, reverse=True):
+        k = bisect_left(gaps, x)
+        gap = gaps.pop(k) if k < len(gaps) else capacity
+        opened += gap == capacity
+        if gap > x:
+            insort(gaps, gap - x)
+    return opened
+
+
+def test_rounds_place_every_piece_once(spark):
     rng = np.random.default_rng(1)
-    for _ in range(30):
-        capacity = int(rng.integers(1, 60))
-        counts = {int(k): int(rng.integers(1, 50)) for k in rng.integers(1, capacity + 1, 12)}
-        used = defaultdict(int)
-        taken = defaultdict(list)
-        for length, a, b, first, offset in packing.match_rounds(counts, capacity):
-            taken[length] += range(a, b)
-            for k in range(first, first + b - a):
-                assert used[k] == offset
-                used[k] += length
-        assert {k: sorted(v) for k, v in taken.items()} == {k: list(range(n)) for k, n in counts.items()}
-        assert max(used.values()) <= capacity
-        lengths = sorted((k for k, n in counts.items() for _ in range(n)), reverse=True)
-        gaps = []
-        for x in lengths:  # plain best-fit decreasing
-            fits = [g for g in gaps if g >= x]
-            if fits:
-                gaps.remove(min(fits))
-                gaps.append(min(fits) - x)
-            else:
-                gaps.append(capacity - x)
-        assert len(used) <= len(gaps)
+    cases = [(60, rng.integers(1, 61, 400)), (64, rng.integers(1, 9, 900)), (50, [1] * 500), (30, [16] * 40), (30, [10] * 30 + [11] * 30), (2048, rng.integers(1, 2049, 1500)), (7, [7, 7, 1]), (100, [3] * 700 + [70] * 20), (1, [1, 1, 1])]
+    for capacity, lengths in cases:
+        count = Counter(int(x) for x in lengths)
+        rounds, done = packing.match_classes(spark.createDataFrame(list(count.items()), "length long, n long"), capacity=capacity)
+        used, ranks = defaultdict(list), defaultdict(list)
+        for r in done.collect():
+            for k in range(r.n):
+                ranks[r.length].append(r["rank"] + k)
+                used[r.seq + k // r.slots].append((r.offset + k % r.slots * r.length, r.length))
+        assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in count.items()}
+        for parts in used.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= capacity
+        assert len(used) <= best_fit_decreasing(lengths, capacity) * 1.02 + 2, (capacity, len(rounds))
