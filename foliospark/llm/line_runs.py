@@ -27,44 +27,50 @@ def key_hash(key: Column) -> Column:
 class LineRuns:
     """Line hashes seen so far, as sorted runs in levels: (h1, h2, docs, last).
 
-    Each batch becomes a run of level 0. When a level holds ``fanout`` runs they are merged into one
-    run of the next level, so n batches leave about fanout * log(n) runs and rewrite a hash that
-    often at most. Runs are Parquet below the shared folder, range-sorted by hash.
+    A batch is merge-anti-joined with the runs. Hashes that none of them has become the batch's own run of level 0, so every
+    hash lies in one run; hashes known already leave a row of increments (documents, largest
+    id). When a level holds ``fanout`` runs they are merged into one run of the next level, so n batches leave about
+    fanout * log(n) runs and rewrite a hash that often at most. All runs are bucketed tables with
+    the same number of buckets by hash, sorted within, so neither joins nor merges move a row.
     """
 
-    def __init__(self, spark, fanout: int = 4, path: str | None = None):
-        self.spark, self.fanout, self.path = spark, fanout, path or shared_dir(spark)
+    def __init__(self, spark, fanout: int = 4, buckets: int | None = None):
+        self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-        self.written = 0
+        self.increments: list[DataFrame] = []
+        self.written: list[str] = []
 
     def _write(self, run: DataFrame) -> str:
-        self.written += 1
-        path = f"{self.path}/run-{self.written}"
-        run.sort("h1", "h2").write.option("compression", "zstd").parquet(path)
-        return path
+        path = shared_dir(self.spark)
+        name = path.rpartition("/")[2].replace("-", "_")
+        ready = run.select("h1", "h2", "docs", "last")
+        ready.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("compression", "zstd").option("path", path).saveAsTable(name)
+        self.written.append(name)
+        return name
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, docs long, last long").parquet(*paths)
-
-    @staticmethod
-    def merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
-
-    def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
-
-    def all(self) -> DataFrame:
-        """Every hash once, over all runs."""
-        return self.merged(self._read(self.paths())) if self.paths() else self.spark.createDataFrame([], "h1 long, h2 long, docs long, last long")
+    def names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
     def unseen(self, hashes: DataFrame) -> DataFrame:
         """Rows of ``hashes`` (h1, h2, ...) that no run has: a merge anti-join with each run."""
-        return reduce(lambda left, p: left.join(self._read([p]), ["h1", "h2"], "left_anti"), self.paths(), hashes)
+        return reduce(lambda left, name: left.join(self.spark.table(name), ["h1", "h2"], "left_anti"), self.names(), hashes)
+
+    def _merge(self, names: list[str]) -> str:
+        def both(left: DataFrame, right: DataFrame) -> DataFrame:
+            one = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c)  # noqa: E731 a hash is in one run only
+            return left.alias("a").join(right.alias("b"), ["h1", "h2"], "full_outer").select("h1", "h2", one("docs"), one("last"))
+
+        return self._write(reduce(both, map(self.spark.table, names)))
 
     def add(self, batch: DataFrame) -> None:
-        """Add a batch (h1, h2, doc_id): hashes it repeats and hashes new to it go into one run of its own."""
+        """Add a batch of rows (h1, h2, doc_id); no document may come in two batches."""
         once = batch.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         run = self._write(once.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")))
+        if self.names():
+            own = self.spark.table(run)
+            run = self._write(self.unseen(own))
+            self.increments.append(stage(own.join(self.spark.table(run), ["h1", "h2"], "left_anti")))
         at = 0
         while True:
             if at == len(self.levels):
@@ -72,10 +78,24 @@ class LineRuns:
             self.levels[at].append(run)
             if len(self.levels[at]) < self.fanout:
                 return
-            run = self._write(self.merged(self._read(self.levels[at])))
+            run = self._merge(self.levels[at])
             self.levels[at] = []
             at += 1
 
+    def totals(self, least: int = 1) -> DataFrame:
+        """Every hash of at least ``least`` documents once, over all runs and increments."""
+        empty = self.spark.createDataFrame([], "h1 long, h2 long, docs long, last long")
+        more = reduce(DataFrame.unionByName, self.increments, empty)
+        more = more.groupBy("h1", "h2").agg(F.sum("docs").alias("more"), F.max("last").alias("later"))
+        docs, last = F.col("docs") + F.coalesce("more", F.lit(0)), F.greatest("last", "later")
+        each = [self.spark.table(n).join(more, ["h1", "h2"], "left").select("h1", "h2", docs.alias("docs"), last.alias("last")).where(F.col("docs") >= least) for n in self.names()]
+        return reduce(DataFrame.unionByName, each, empty)
+
+    def drop(self) -> None:
+        """Forget the tables; their files lie in the shared folder."""
+        for name in self.written:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Drop lines that many documents share, except in one of them.
@@ -83,31 +103,31 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batc
     Texts are split at newlines; a line's key is the line without white space at its ends, A-Z lowered.
     Keys of at least ``min_chars`` code points found in at least ``min_docs`` documents lose all
     their lines except in the document with the largest id. Documents go in ``batches`` (by hash of
-    the id) into ``LineRuns``; the merged runs name the repeated keys, and lines anti-join those.
+    the id) into ``LineRuns``; the runs' totals name the repeated keys, and a document is told the places of its lines to drop.
 
     Returns the columns ``keep`` (default: all; the text column rewritten) and n_lines long (before),
     n_dropped long. Columns of those names in ``docs`` are replaced. A null or empty text is one empty line.
     Documents of equal id count as one; rows without id count as no document and lose no line. Repeated
-    rows are each returned; an empty table gives no rows. A document's dropped hashes are the only thing gathered for
-    a key, and no more than its own lines.
+    rows are each returned; an empty table gives no rows. The places of its own lines are all that is gathered for
+    a document, and dropping them takes time in proportion to its lines, so very long texts do no harm.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_lines", "n_dropped")]
-    spark = docs.sparkSession
-    line = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(lines_of(F.col(text_col))).alias("line")).where(F.char_length("line") >= min_chars)
-    keyed = line.select("doc_id", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    hashes = keyed.select("doc_id", key_hash(F.col("key")).alias("h")).select("doc_id", "h.h1", "h.h2", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"))
-    hashes = stage(hashes)
-    runs = LineRuns(spark, fanout)
+    digest = F.xxhash64(F.col(text_col))
+    line = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), digest.alias("digest"), F.posexplode(lines_of(F.col(text_col))).alias("place", "line")).where(F.char_length("line") >= min_chars)
+    keyed = line.select("doc_id", "digest", "place", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    hashes = keyed.select("doc_id", "digest", "place", key_hash(F.col("key")).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"))
+    hashes = stage(hashes.select("doc_id", "digest", "place", "h.h1", "h.h2", "batch"), partition_by=["batch"])
+    runs = LineRuns(docs.sparkSession, fanout)
     for k in range(batches):
         runs.add(hashes.where(F.col("batch") == k))
     # Staged, so that both sides of the join are plain shuffles: Spark then splits a very common line's rows.
-    repeated = stage(runs.all().where(F.col("docs") >= min_docs))
-    gone = hashes.join(repeated, ["h1", "h2"]).where("doc_id != last").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone")).withColumnRenamed("doc_id", "_id")
-    joined = docs.select(*dict.fromkeys([*keep, id_col, text_col])).join(gone, F.col(id_col) == F.col("_id"), "left")
-    parts = lines_of(F.col(text_col))
-    long_enough = lambda x: F.char_length(x) >= min_chars
-    stays = F.filter(parts, lambda x: ~(long_enough(x) & long_enough(line_key(x)) & F.array_contains(F.col("_gone"), key_hash(line_key(x)))))
-    joined = joined.withColumn("_lines", F.size(parts).cast("long")).withColumn("_stay", F.when(F.col("_gone").isNotNull(), stays))
-    text = F.when(F.col("_stay").isNull(), F.col(text_col)).otherwise(F.array_join("_stay", "\n"))
-    dropped = F.coalesce(F.col("_lines") - F.size("_stay"), F.lit(0))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in keep], F.col("_lines").alias("n_lines"), F.when(F.col("_stay").isNull(), 0).otherwise(dropped).cast("long").alias("n_dropped"))
+    repeated = stage(runs.totals(min_docs))
+    runs.drop()
+    gone = hashes.join(repeated, ["h1", "h2"]).where("doc_id != last").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.collect_set("place").alias("_gone"))
+    own = docs.select(*[c for c in dict.fromkeys([*keep, id_col]) if c != text_col], digest.alias("_own"), F.split(text_col, "\n", -1).alias("_lines"))
+    joined = own.join(gone, (F.col(id_col) == F.col("_id")) & (F.col("_own") == F.col("_digest")), "left")
+    count = lambda c, none: F.when(F.col(c).isNull(), none).otherwise(F.size(c))
+    size = count("_lines", 1)
+    stay = F.array_except(F.sequence(F.lit(0), size - 1), "_gone")
+    text = F.array_join(F.coalesce(F.transform(stay, lambda k: F.get("_lines", k)), F.col("_lines")), "\n")
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in keep], size.cast("long").alias("n_lines"), count("_gone", 0).cast("long").alias("n_dropped"))

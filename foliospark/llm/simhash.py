@@ -19,7 +19,8 @@ from .tokens import slices
 WIDE = 4  # 64-bit words of the wide fingerprint
 SMALL_GROUP = 32  # keys with more members are compared in blocks
 BLOCK_ROWS = 1024
-TABLES, SAMPLED = 40, 14  # candidate tables of the wide fingerprint, and the bits that each one samples
+BANDS, ROWS = 10, 4  # MinHash bands that deal texts to candidates: 0.8 similar sets share one 99.5 times in 100
+_MINIMA = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 _WIDE = [f"w{k}" for k in range(WIDE)]
 
 
@@ -164,11 +165,12 @@ def near_pairs(groups: DataFrame, *, max_bits: int, segments: int, size_ratio: f
     small = members.where(F.col("members") <= SMALL_GROUP).select(*keys)
     large = members.where(F.col("members") > SMALL_GROUP)
     found = left.join(small, keys, "left_semi").alias("a").join(right.alias("b"), condition).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    return found.unionByName(_large_groups(left, right, large, keys, max_bits, size_ratio)).distinct()
+    return found.unionByName(_large_groups(left, right, large, keys, chains, max_bits, size_ratio)).distinct()
 
 
-def _large_groups(left: DataFrame, right: DataFrame, large: DataFrame, keys: list[str], max_bits: int, size_ratio: float) -> DataFrame:
-    """Links under keys of many members: both sides are cut into blocks by hash, and every pair of blocks is a task."""
+def _large_groups(left: DataFrame, right: DataFrame, large: DataFrame, keys: list[str], chains: list[list[tuple[int, int]]], max_bits: int, size_ratio: float) -> DataFrame:
+    """Links under keys of many members: both sides are cut into blocks by hash, and every pair of blocks is a task.
+    There too the chains of the key's segment prune pairs before the whole Hamming distance."""
     large = large.select(*keys, F.ceil(F.col("members") / BLOCK_ROWS).cast("int").alias("blocks"))
     columns = ["fp", "rep", "size"]
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -180,6 +182,8 @@ def _large_groups(left: DataFrame, right: DataFrame, large: DataFrame, keys: lis
         rep, size = part.column("rep").to_numpy(), part.column("size").to_numpy()
         fp = part.column("fp").to_numpy().view(np.uint64)
         side = part.column("side").to_numpy()
+        own_chain = chains[part.column("seg")[0].as_py()]
+        chain = [c for c, after in zip(own_chain, own_chain[1:] + [(0, -1)], strict=True) if after[1] != c[1]]  # the longest run of a budget implies the shorter ones
         mine, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         up: dict[int, int] = {}
 
@@ -192,7 +196,10 @@ def _large_groups(left: DataFrame, right: DataFrame, large: DataFrame, keys: lis
         edges = []
         for at in range(0, len(mine), 256):
             i, j = mine[at : at + 256, None], other[None, :]
-            near = (np.bitwise_count(fp[i] ^ fp[j]) <= max_bits) & (rep[i] != rep[j])
+            differ = fp[i] ^ fp[j]
+            near = rep[i] != rep[j]
+            for mask, budget in chain:  # ever longer runs; the last one is the whole ring
+                near &= np.bitwise_count(differ & np.uint64(mask)) <= budget
             if size_ratio > 0:
                 near &= np.minimum(size[i], size[j]) >= np.maximum(size[i], size[j]) * size_ratio
             for x, y in zip(*np.nonzero(near), strict=True):
@@ -231,24 +238,43 @@ def simhash_groups(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, segm
     return base.join(named, by).select("doc_id", "fp", "n_words", "component_id")
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row once for every table; the key is the table and the bits that it samples."""
-    rng = np.random.default_rng(5)
-    picks = [rng.permutation(64 * WIDE)[:SAMPLED] for _ in range(TABLES)]
-    for whole in batches:
-        for batch in slices(whole, 1024):
-            wide = np.stack([batch.column(w).to_numpy() for w in _WIDE], axis=1)
-            bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")
-            key = np.concatenate([bits[:, pick] @ (1 << np.arange(SAMPLED, dtype=np.int64)) + (t << SAMPLED) for t, pick in enumerate(picks)])
-            columns = [pa.array(np.tile(batch.column(c).to_numpy(), TABLES)) for c in ("unit", "size", *_WIDE)]
-            yield pa.RecordBatch.from_arrays([pa.array(key), *columns], ["key", "unit", "size", *_WIDE])
-
-
-def _candidates(sure_bits: int, wide_bits: int, similarity: float):
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS keys for each set of shingle hashes: hashes of ROWS minima. Sets of similarity s share one with 1 - (1 - s^ROWS)^BANDS."""
+    some = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
+    flat, starts = np.concatenate(some), np.cumsum([0, *(len(s) for s in some[:-1])])
+    factors, shifts = _MINIMA
+    keys = np.empty((len(sets), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(sets), band + 1, np.uint64)
+        for k in range(band * ROWS, (band + 1) * ROWS):
+            low = np.minimum.reduceat((flat * (factors[k] | np.uint64(1)) + shifts[k]) >> np.uint64(20), starts)
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + low
+        keys[:, band] = key
+    return keys.view(np.int64)
+
+
+def wide_ring(max_bits: int) -> list[int]:
+    """Budgets of runs of 1 to WIDE words of the wide fingerprint: some word starts a chain that keeps all of them."""
+    return [length * max_bits // WIDE for length in range(1, WIDE + 1)]
+
+
+def _near(max_bits: int, similarity: float) -> tuple[Column, Column]:
+    """(condition, differing bits) of two units a and b: of similar size, with a chain of words within the ring's budgets, and the whole distance last."""
+    differ = [F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in _WIDE]
+    sizes = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * similarity - 1e-9
+    chains = F.lit(False)
+    for start in range(WIDE):
+        held = F.lit(True)
+        for length, budget in enumerate(wide_ring(max_bits)[:-1], 1):
+            held = held & (sum(differ[(start + k) % WIDE] for k in range(length)) <= budget)
+        chains = chains | held
+    return sizes & chains & (sum(differ) <= max_bits), sum(differ)
+
+
+def _block_pairs(sure_bits: int, max_bits: int, similarity: float):
     def run(part: pa.Table) -> pa.Table:
-        """The pairs of one task: a forest of the sure ones, then all doubtful ones that it doesn't connect."""
-        part = part.sort_by("key")
-        key, unit, size, block = (part.column(c).to_numpy() for c in ("key", "unit", "size", "block"))
+        """Two blocks of a common key (or one with itself): a forest of the sure pairs, then all doubtful ones that it doesn't connect."""
+        unit, size, block = (part.column(c).to_numpy() for c in ("unit", "size", "block"))
         wide = [part.column(w).to_numpy().view(np.uint64) for w in _WIDE]
         lo, hi = part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
         up: dict[int, int] = {}
@@ -259,56 +285,63 @@ def _candidates(sure_bits: int, wide_bits: int, similarity: float):
                 x = up[x]
             return x
 
-        def compare():
-            """(rows, rows) to compare: neighbours under a key at every distance, or the two blocks of a common key."""
-            if lo < 0:
-                at, step = np.arange(len(key) - 1), 1
-                while len(at := at[at + step < len(key)]) and len(at := at[key[at] == key[at + step]]):
-                    yield at, at + step
-                    step += 1
-                return
-            mine, other = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            for k in range(0, len(mine), 64):
-                i, j = np.repeat(mine[k : k + 64], len(other)), np.tile(other, len(mine[k : k + 64]))
-                yield (i, j) if lo < hi else (i[i < j], j[i < j])
-
-        sure, doubtful = [], []
-        for i, j in compare():
+        def near_pairs_of(i, j):
             fits = np.minimum(size[i], size[j]) >= np.maximum(size[i], size[j]) * similarity - 1e-9
             i, j = i[fits], j[fits]
-            differ = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in wide)
-            near = differ <= wide_bits
-            for x, y, d in zip(unit[i[near]].tolist(), unit[j[near]].tolist(), differ[near].tolist(), strict=True):
+            differ = np.stack([np.bitwise_count(w[i] ^ w[j]) for w in wide], axis=1).astype(np.int64)
+            chains = np.zeros(len(i), bool)
+            for start in range(WIDE):
+                run = np.cumsum(np.roll(differ, -start, axis=1), axis=1)
+                chains |= (run <= wide_ring(max_bits)).all(axis=1)
+            return i[chains], j[chains], differ[chains].sum(axis=1)
+
+        sure, doubtful = [], []
+        mine, other = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        for k in range(0, len(mine), 64):
+            i, j = np.repeat(mine[k : k + 64], len(other)), np.tile(other, len(mine[k : k + 64]))
+            if lo == hi:
+                i, j = i[i < j], j[i < j]
+            i, j, differ = near_pairs_of(i, j)
+            for x, y, d in zip(unit[i].tolist(), unit[j].tolist(), differ.tolist(), strict=True):
                 if d > sure_bits:
                     doubtful.append((x, y))
                 elif (p := find(x)) != (q := find(y)):
                     up[max(p, q)] = min(p, q)
                     sure.append((x, y))
-        doubtful = [(min(p), max(p)) for p in doubtful if find(p[0]) != find(p[1])]
-        rows = sure + doubtful
-        return pa.table({"a": pa.array([a for a, _ in rows], pa.int64()), "b": pa.array([b for _, b in rows], pa.int64()), "sure": pa.array([k < len(sure) for k in range(len(rows))], pa.bool_())})
+            if len(doubtful) > 1 << 16:
+                doubtful = [p for p in doubtful if find(p[0]) != find(p[1])]
+        rows = sure + [p for p in doubtful if find(p[0]) != find(p[1])]
+        return pa.table({"a": pa.array([min(p) for p in rows], pa.int64()), "b": pa.array([max(p) for p in rows], pa.int64()), "sure": pa.array([k < len(sure) for k in range(len(rows))], pa.bool_())})
 
     return run
 
 
 def _similar_links(units: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): ``rep`` of units (unit, rep, size, w0 to w3) whose shingle sets have the Jaccard ``similarity``.
+    """(a, b): ``rep`` of units (unit, rep, size, keys, w0 to w3) whose shingle sets have the Jaccard ``similarity``.
 
-    Candidates share the sampled bits of a table and differ in at most three standard deviations more bits of
-    the wide fingerprint than expected at ``similarity``. Those three below it are sure; of the others
-    the sets are compared, unless sure links connect the two anyway.
+    At such a similarity no segment of a fingerprint is sure to be equal, so a key of minima deals the texts
+    to candidates. Those pass the ring's chains and then the Hamming distance: at most three standard deviations more
+    bits of the wide fingerprint than expected at ``similarity``. Three below it are sure; of the others
+    the sets are compared, unless sure links connect the two anyway. Keys that one text alone has go first, as narrow rows.
     """
-    dealt = units.select("unit", "size", *_WIDE).mapInArrow(_tables, f"key long, unit long, size long, {', '.join(f'{w} long' for w in _WIDE)}")
+    dealt = stage(units.select("unit", F.explode("keys").alias("key")))
+    members = stage(dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    wide = units.select("unit", "size", *_WIDE)
+    met = stage(dealt.join(members, "key").join(wide, "unit"))
+    sure_bits, max_bits = wide_budget(similarity, -3), wide_budget(similarity, 3)
+    near, differ = _near(max_bits, similarity)
+    few = met.where(F.col("members") <= SMALL_GROUP)
+    pairs = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.unit") < F.col("b.unit")) & near)
+    pairs = pairs.select(F.col("a.unit").alias("a"), F.col("b.unit").alias("b"), (differ <= sure_bits).alias("sure"))
     blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    common = stage(dealt.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK_ROWS).select("key", blocks.alias("blocks")))
-    own = dealt.join(common, "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"), F.lit(-1)))
-    own = own.withColumn("other", F.explode(F.when(F.col("block") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    task = F.when(F.col("block") < 0, F.shiftright("key", 6)).otherwise(-1 - F.col("key")).alias("task")  # rare keys go many at a time
-    met = own.select(task, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "unit", "size", "block", *_WIDE)
-    found = stage(met.groupBy("task", "lo", "hi").applyInArrow(_candidates(wide_budget(similarity, -3), wide_budget(similarity, 3), similarity), "a long, b long, sure boolean"))
-    sure = stage(found.where("sure").select("a", "b").distinct())
+    many = met.where(F.col("members") > SMALL_GROUP).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "unit", "size", "block", *_WIDE)
+    blocked = many.groupBy("key", "lo", "hi").applyInArrow(_block_pairs(sure_bits, max_bits, similarity), "a long, b long, sure boolean")
+    found = stage(pairs.unionByName(blocked).distinct())
+    sure = stage(found.where("sure").select("a", "b"))
     roots = stage(connected_components(sure))
-    open_ = found.where("not sure").select("a", "b").distinct()
+    open_ = found.where("not sure").select("a", "b")
     for side in ("a", "b"):
         open_ = open_.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
     open_ = stage(open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
@@ -335,9 +368,10 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8
     """One row per document: (doc_id, component_id).
 
     Documents are linked if the sets of their ``shingle``-word shingles have a Jaccard ``similarity``;
-    component_id is the smallest doc_id that links reach. 256-bit SimHashes of the sets give the
-    candidates (``_similar_links``); a pair right at 0.8 is among them about nineteen times in twenty, more similar ones
-    nearly always, however the edits lie. Equal sets meet in one grouping, so copies never make pairs.
+    component_id is the smallest doc_id that links reach. Keys of minima and 256-bit SimHashes of the sets give the
+    candidates (``_similar_links``); a pair right at 0.8 is among them over 98 times in a hundred, more similar ones
+    nearly always, however the edits lie. Equal sets meet in one grouping, so copies never make pairs. The work grows with
+    the number of texts, and with the square of a group of different near copies only.
 
     Null or empty texts have the empty set and are copies of each other; a null doc_id is linked by an equal set
     alone and never names a component, which is null if it has no other member; repeated rows are
@@ -351,10 +385,11 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8
                 found = [shingle_set(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
                 wide = np.array([_majority(s, WIDE) for _, s in found]).reshape(-1, WIDE)
                 numbers = [[u for u, _ in found], [len(s) for _, s in found], *wide.T]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in numbers]], ["doc_id", "unit", "size", *_WIDE])
+                keys = pa.array(list(band_keys([s for _, s in found])), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in numbers], keys], ["doc_id", "unit", "size", *_WIDE, "keys"])
 
-    base = stage(own.mapInArrow(run, f"doc_id long, unit long, size long, {', '.join(f'{w} long' for w in _WIDE)}"))
-    units = stage(base.groupBy("unit").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("size", *_WIDE)]))
+    base = stage(own.mapInArrow(run, f"doc_id long, unit long, size long, {', '.join(f'{w} long' for w in _WIDE)}, keys array<long>"))
+    units = stage(base.groupBy("unit").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("size", *_WIDE, "keys")]))
     roots = connected_components(_similar_links(units.where("rep is not null"), own, shingle, similarity))
     # Staged, so that both sides of the join are plain shuffles: Spark then splits a very common text's rows.
     named = stage(units.join(roots, units.rep == roots.node, "left").select("unit", F.coalesce("root", "rep").alias("component_id")))

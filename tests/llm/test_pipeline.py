@@ -3,7 +3,7 @@
 from collections import defaultdict
 
 import corpus_pipeline
-from foliospark.llm import quality, simhash
+from foliospark.llm import quality
 from foliospark.llm.tokens import default_tokenizer, load
 
 from .test_text_operators import brute_hits, brute_lines
@@ -42,12 +42,14 @@ def test_each_stage_matches_brute_force(spark, tmp_path, words):
     assert sorted((i, t or "") for i, t in two.items()) == [(i, t) for i, _, _, t in brute_lines(list(kept.items()))]
     assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in two_df.collect())
 
-    prints = {i: simhash.fingerprint(None if t is None else t.encode(), 2, 5) for i, t in two.items()}
-    differ = lambda a, b: (a % (1 << 64) ^ b % (1 << 64)).bit_count()
+    def shingles(text):
+        own = (text or "").encode().lower().split()
+        return {tuple(own[k : k + 5]) for k in range(max(1, len(own) - 4))} if own else set()
+
+    sets = {i: shingles(t) for i, t in two.items()}
 
     def linked(a, b):
-        (fa, na, wa), (fb, nb, wb) = prints[a], prints[b]
-        return differ(fa, fb) <= 8 and min(na, nb) >= 0.75 * max(na, nb) and sum(map(differ, wa, wb)) <= simhash.wide_budget(0.8)
+        return sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
 
     ids = sorted(two)
     roots = brute_components(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if linked(a, b)])

@@ -69,7 +69,7 @@ def brute_lines(rows, chars=40, least=5):
 def test_line_dedup(spark, docs):
     common, rare = "This Line is shared by very many documents É", "this one is only in four of the documents!!!"
     rows = [(i, f"own {i}\n  {common.upper() if i % 2 else common}\t\n{rare if i < 4 else ''}\n{common}") for i in range(9)]
-    rows += [(20, None), (21, ""), (22, "\n\n"), (None, common), (3, rows[3][1]), (30, "x" * 39 + "\n" + "y" * 200_000)]
+    rows += [(20, None), (21, ""), (22, "\n\n"), (None, common), (3, rows[3][1]), (30, "x" * 39 + "\n" + "y" * 200_000), (31, (common + "\n") * 5000), (3, f"another text of one id\n{common}")]
     out = L.dedup_lines(docs(rows), batches=3, fanout=2)
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in out.collect())
     assert got == brute_lines(rows)
@@ -84,8 +84,10 @@ def test_line_runs_compact_and_find_unseen(spark):
         fresh = {r.h1 for r in runs.unseen(batch).collect()}
         assert fresh == ({0, 7} if k == 0 else {k})
         runs.add(batch)
-    assert len(runs.paths()) == 2
-    assert {(r.h1, r.docs, r.last) for r in runs.all().collect()} == {(k, 1, k * 10) for k in range(5)} | {(7, 5, 4)}
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    assert {(r.h1, r.docs, r.last) for r in runs.totals().collect()} == {(k, 1, k * 10) for k in range(5)} | {(7, 5, 4)}
+    assert [(r.h1, r.docs) for r in runs.totals(2).collect()] == [(7, 5)]
+    runs.drop()
 
 
 def brute_secrets(text):
