@@ -28,9 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, below ``spark.checkpoint.dir``."""
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``. All folders of an application
+    lie in one folder named after it, to be removed when the application's results are written."""
     base = shared_folder(spark)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/llm-{spark.sparkContext.applicationId}/run_{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:

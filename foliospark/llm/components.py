@@ -14,8 +14,8 @@ from .common import stage
 _EDGE = "node long, root long"
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over one partition's edges; leaves one edge a node, to its smallest peer."""
+def _forest(batches: Iterator[pa.RecordBatch], held: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Union-find over one partition's edges, about ``held`` nodes at a time; leaves one edge a node, to its smallest peer."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -26,6 +26,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, up
         return top
 
+    def edges() -> pa.RecordBatch:
+        nodes = np.fromiter(parent, np.int64, len(parent))
+        roots = np.fromiter((find(int(x)) for x in nodes), np.int64, len(parent))
+        other = nodes != roots
+        return pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(roots[other])], ["node", "root"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(a), find(b)
@@ -35,10 +41,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parent[b] = a
             elif b < a:
                 parent[a] = b
-    nodes = np.fromiter(parent, np.int64, len(parent))
-    roots = np.fromiter((find(int(x)) for x in nodes), np.int64, len(parent))
-    other = nodes != roots
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(roots[other])], ["node", "root"])
+        if len(parent) > held:
+            yield edges()
+            parent.clear()
+    yield edges()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -46,7 +52,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("node", "root").union(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
     near = both if large else edges
     least = near.groupBy("node").agg(F.min("root").alias("low"))
-    least = least.select("node", F.least("node", "low").alias("low"))
+    # Staged, so that both sides of the join are plain shuffles: Spark then splits the neighbours of a component's hub.
+    least = stage(least.select("node", F.least("node", "low").alias("low")))
     wanted = both.where("root > node") if large else edges
     moved = wanted.join(least, "node").select(F.col("root").alias("a"), F.col("low").alias("b"))
     if not large:
@@ -54,7 +61,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a != b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node of ``edges`` (two long columns, any names) with its component.
 
     Returns (node long, root long): each node that has an edge to another node and isn't the
@@ -65,7 +72,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     a, b = edges.columns[:2]
     current = edges.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("root")).where("node != root")
-    for _ in range(max_rounds):
+    while True:
         current = stage(current.mapInArrow(_forest, _EDGE).distinct())
         tops = current.select(F.col("root").alias("node")).distinct()
         # A forest of stars: no node hangs on two roots, and no root hangs on another.
@@ -73,4 +80,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if twice.union(current.join(tops, "node", "left_semi").select("node")).limit(1).count() == 0:
             return current
         current = _star(_star(current, large=True), large=False)
-    raise RuntimeError("components did not settle")

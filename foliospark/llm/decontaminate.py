@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,20 +27,66 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_NORMAL).split()
 
 
-def build_automaton(items: list[tuple[str, bytes | None]], window: int):
-    """(automaton over word numbers, word numbers). A value is (words in the window, item ids)."""
-    number: dict[bytes, int] = {}
-    windows: dict[tuple[int, ...], set[str]] = {}
-    for item_id, text in items:
-        own = [number.setdefault(w, len(number) + 1) for w in words(text)]
-        for at in range(max(1, len(own) - window + 1) if own else 0):
-            windows.setdefault(tuple(own[at : at + window]), set()).add(item_id)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, ids in windows.items():
-        automaton.add_word(key, (len(key), tuple(sorted(ids))))
-    if windows:
-        automaton.make_automaton()
-    return (automaton if windows else None), number
+class Patterns:
+    """One Aho-Corasick automaton over the items' words, built when it is first used and kept by the Python worker.
+
+    Word numbers are the alphabet. The patterns are the items' aligned pieces of half a window: every window of an item holds a whole
+    one, so a piece that is met is extended in both directions as far as item and text agree, and what
+    reaches the length of a window is a run of occurrences. Items shorter than a window are one
+    pattern each. That takes about one node for each item word, where whole windows would take ten.
+    """
+
+    def __init__(self, items: list[tuple[str, bytes | None]], window: int):
+        self.items, self.window = items, window
+        self.automaton = None
+
+    def build(self) -> None:
+        self.number: dict[bytes, int] = {}
+        piece = max(1, (self.window + 1) // 2)
+        self.words = [array("i", [self.number.setdefault(w, len(self.number) + 1) for w in words(t)]) for _, t in self.items]
+        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for item, own in enumerate(self.words):
+            if len(own) < self.window:
+                if own:
+                    places.setdefault(tuple(own), []).append((item, -1))
+            else:
+                for at in range(0, len(own) - piece + 1, piece):
+                    places.setdefault(tuple(own[at : at + piece]), []).append((item, at))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, where in places.items():
+            self.automaton.add_word(key, (len(key), where))
+        if places:
+            self.automaton.make_automaton()
+
+    def find(self, own: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """(spans of hit words, items that occur) in a text's words."""
+        if self.automaton is None:
+            self.build()
+        spans, ids = [], set()
+        if not own or not len(self.automaton):
+            return spans, ids
+        text = tuple([self.number.get(w, 0) for w in own])
+        reached: dict[tuple[int, int], int] = {}  # (item, text place less item place) -> end of its last run
+        for end, (n, where) in self.automaton.iter(text):
+            first = end - n + 1
+            for item, at in where:
+                if at < 0:
+                    spans.append((first, end + 1))
+                    ids.add(self.items[item][0])
+                    continue
+                line = (item, first - at)
+                if reached.get(line, -1) > end:
+                    continue
+                theirs, lo, hi, shift = self.words[item], first, end + 1, at - first
+                while lo > 0 and lo + shift > 0 and text[lo - 1] == theirs[lo - 1 + shift]:
+                    lo -= 1
+                while hi < len(text) and hi + shift < len(theirs) and text[hi] == theirs[hi + shift]:
+                    hi += 1
+                reached[line] = hi
+                if hi - lo >= self.window:
+                    spans.append((lo, hi))
+                    ids.add(self.items[item][0])
+        return spans, ids
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -71,11 +118,10 @@ _RESULT = T.StructType([
 def _scan(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int, text_col: str, keep: list[str], more: bool) -> DataFrame:
     names = [f.name for f in _RESULT]
     schema = T.StructType([docs.schema[c] for c in keep] + list(_RESULT))
-    held = docs.sparkSession.sparkContext.broadcast(items)
+    held = docs.sparkSession.sparkContext.broadcast(Patterns(items, window))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, number = build_automaton(held.value, window)
-        get = number.get
+        patterns = held.value
         for whole in batches:
             for batch in slices(whole):
                 n_words, hit_words, hit_spans, found = [], [], [], []
@@ -83,12 +129,10 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int, t
                 had = batch.column("items").to_pylist() if more else None
                 for i, text in enumerate(batch.column(text_col).cast(pa.binary()).to_pylist()):
                     own = words(text)
-                    spans = [(s["start"], s["end"]) for s in before[i]] if more else []
-                    ids = set(had[i]) if more else set()
-                    if automaton is not None and own:
-                        for end, (n, which) in automaton.iter(tuple([get(w, 0) for w in own])):
-                            spans.append((end - n + 1, end + 1))
-                            ids.update(which)
+                    spans, ids = patterns.find(own)
+                    if more:
+                        spans += [(s["start"], s["end"]) for s in before[i]]
+                        ids.update(had[i])
                     spans = _merged(spans)
                     n_words.append(len(own))
                     hit_words.append([{"start": a, "end": b} for a, b in spans])
@@ -102,14 +146,13 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int, t
 
 
 def find_contamination(
-    docs: DataFrame, items: DataFrame, *, window: int = 10, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, block_bytes: int = 32 << 20
+    docs: DataFrame, items: DataFrame, *, window: int = 10, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, block_bytes: int = 8 << 20
 ) -> DataFrame:
     """Where test items occur in documents, in one scan of the text.
 
     Questions and answers are normalised to words (A-Z lowered; ASCII other than 0-9 and a-z
     separates). Every ``window`` consecutive words of an item, or all words of a shorter one, are
-    a pattern of one Aho-Corasick automaton that each task builds once; word numbers are its
-    alphabet. A word inside any occurrence is hit.
+    looked for by one Aho-Corasick automaton (``Patterns``) that each worker builds once. A word inside any occurrence is hit.
 
     Returns the columns ``keep`` (default: all) and n_words long, hit_words and hit_spans
     (merged half-open spans, in words and in code points of the original text), items (sorted ids
@@ -117,8 +160,8 @@ def find_contamination(
 
     Null or empty texts have no words and no hits; items without words match nothing; a null
     item id is reported as "null"; repeated rows are each reported; empty tables give no rows or
-    no hits. The items' size is measured first: up to ``block_bytes`` they are broadcast as one
-    automaton; beyond that they go in blocks of about that size, one scan each, staged in between.
+    no hits; very long texts are scanned whole. The items' size is measured first: up to ``block_bytes`` they are broadcast for one
+    automaton, which takes some fifty times the items' bytes in a worker; beyond that they go in blocks of about that size, one scan each, staged in between.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in _RESULT}]
     wanted = items.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")).alias("id"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")

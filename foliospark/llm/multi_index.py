@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -27,9 +28,10 @@ def fit_codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.n
     centres = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
         own = nearest(x, centres)
-        for j in range(len(centres)):
-            if (own == j).any():
-                centres[j] = x[own == j].mean(axis=0)
+        size = np.bincount(own, minlength=len(centres))
+        total = np.zeros_like(centres)
+        np.add.at(total, own, x)
+        centres[size > 0] = total[size > 0] / size[size > 0, None]
     return centres
 
 
@@ -79,12 +81,12 @@ class Grid:
             out.append(int((away < away[q // width, q % width]).sum()))
         return np.array(out)
 
-    def visits_for(self, sample: np.ndarray, cosine: float, recall: float, far_recall: float, least_links: int = 200, seed: int = 9) -> int:
+    def visits_for(self, sample: np.ndarray, cosine: float, recall: float, far_recall: float, seed: int = 9) -> int:
         """How many cells a cell must visit until target recall.
 
         ``recall`` is of the links among the sampled vectors, found by brute force; ``far_recall`` of
         links simulated at the threshold, the farthest a link can be: each vector and a random one at
-        exactly that cosine. With fewer than ``least_links`` real ones the simulated links must reach ``recall``.
+        exactly that cosine.
         """
         rng = np.random.default_rng(seed)
         own = self.cells(sample)
@@ -98,15 +100,19 @@ class Grid:
             return int(best[min(len(best) - 1, int(np.ceil(share * len(best))))]) + 1
 
         i, j = np.nonzero(np.triu(sample @ sample.T >= cosine, 1))
-        if len(i) < least_links:
-            return visits(*far, recall)
         some = rng.permutation(len(i))[:4096]
-        return max(visits(own[i[some]], own[j[some]], recall), visits(*far, far_recall))
+        return max(visits(*far, far_recall), visits(own[i[some]], own[j[some]], recall) if len(i) else 1)
 
-    def pairs(self, count: int) -> list[tuple[int, int]]:
-        """Cells that meet, each pair once: one of them visits the other."""
-        total = len(self.books[0]) * len(self.books[1])
-        return sorted({(min(c, d), max(c, d)) for c in range(total) for d in self.order(c, count)})
+
+def _visits(grid, count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(cell, visited cell) for every cell that holds vectors, nearest first."""
+        for batch in batches:
+            for cell in batch.column("cell").to_pylist():
+                near = grid.value.order(cell, count)
+                yield pa.RecordBatch.from_arrays([pa.array([cell] * len(near), pa.int64()), pa.array(near, pa.int64())], ["c", "d"])
+
+    return run
 
 
 def _assign(grid):
@@ -122,14 +128,12 @@ def _assign(grid):
 
 def _links(cosine: float):
     def run(part: pa.Table) -> pa.Table:
-        """The links between the two sides of one task (or within its only side)."""
-        task = part.column("task")[0].as_py()
-        side = np.array(part.column("side").to_pylist())
-        rep, copies = part.column("rep").to_numpy(), part.column("copies").to_numpy()
-        x = unit_rows(np.concatenate(part.column("vector").combine_chunks().to_numpy(zero_copy_only=False)).reshape(len(rep), -1))
-        same = task.split("|")[0] == task.split("|")[1]
-        l, r = (np.arange(len(rep)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        count, root = np.zeros(len(rep), np.int64), rep.copy()
+        """The links between a block (side 0) and the other blocks of a task, and within it in the task that is told to (self)."""
+        side, rep, copies = (part.column(c).to_numpy() for c in ("side", "rep", "copies"))
+        x = unit_rows(part.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1))
+        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        inside = bool(part.column("self").to_numpy(zero_copy_only=False)[l].any()) if len(l) else False
+        count = np.zeros(len(rep), np.int64)
         up = list(range(len(rep)))
 
         def find(k):
@@ -138,20 +142,27 @@ def _links(cosine: float):
                 k = up[k]
             return k
 
-        for at in range(0, len(l), 512):
-            own = l[at : at + 512]
-            hit = x[own] @ x[r].T >= cosine
-            if same:
-                hit[np.arange(len(own)), np.arange(at, at + len(own))] = False
-            count[own] += hit @ copies[r]
-            if not same:
-                count[r] += hit.T @ copies[own]
-            for i in np.flatnonzero(hit.any(axis=1)):
-                for j in set(map(find, r[hit[i]].tolist())):
-                    a, b = find(int(own[i])), find(j)
+        def meet(own, other, hit):
+            for k in np.flatnonzero(hit.any(axis=1)):
+                for j in set(map(find, other[hit[k]].tolist())):
+                    a, b = find(int(own[k])), find(j)
                     if a != b:
                         a, b = (a, b) if rep[a] < rep[b] else (b, a)
                         up[b] = a
+
+        for at in range(0, len(l), 512):
+            own = l[at : at + 512]
+            if inside:
+                hit = x[own] @ x[l].T >= cosine
+                hit[np.arange(len(own)), np.arange(at, at + len(own))] = False
+                count[own] += hit @ copies[l]
+                meet(own, l, hit)
+            for to in range(0, len(r), 4096):
+                other = r[to : to + 4096]
+                hit = x[own] @ x[other].T >= cosine
+                count[own] += hit @ copies[other]
+                count[other] += hit.T @ copies[own]
+                meet(own, other, hit)
         found = np.flatnonzero(count)
         root = np.array([rep[find(int(k))] for k in found], np.int64)
         return pa.table({"rep": pa.array(rep[found], pa.int64()), "links": pa.array(count[found], pa.int64()), "root": pa.array(root, pa.int64())})
@@ -159,8 +170,34 @@ def _links(cosine: float):
     return run
 
 
+def _index_links(entry: DataFrame, *, cosine: float, recall: float, far_recall: float, sample_rows: int, cell_rows: int, block_rows: int, task_blocks: int) -> DataFrame:
+    """(rep, links, root) from every task that found links among entries (h1, h2, rep, copies, vector) of one length."""
+    spark = entry.sparkSession
+    n = entry.count()
+    sample = unit_rows(np.array([r.vector for r in entry.orderBy("h1", "h2").limit(sample_rows).select("vector").collect()]))
+    grid = Grid(sample, int(np.clip(np.ceil(np.sqrt(n / cell_rows)), 1, len(sample))))
+    visits = grid.visits_for(sample[:4096], cosine, recall, far_recall)
+    held = spark.sparkContext.broadcast(grid)
+    vector = entry.schema["vector"].dataType.simpleString()
+    indexed = stage(entry.select("rep", "copies", "vector").mapInArrow(_assign(held), f"rep long, copies long, vector {vector}, cell long"))
+    cells = stage(indexed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("blocks")))
+    near = cells.select("cell").mapInArrow(_visits(held, visits), "c long, d long")
+    near = near.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct()  # one of the two visits the other
+    met = near.join(cells.select(F.col("cell").alias("c"), F.col("blocks").alias("cb")), "c").join(cells.select(F.col("cell").alias("d"), F.col("blocks").alias("db")), "d")
+    pairs = met.withColumn("x", F.explode(F.expr("sequence(0, cb - 1)"))).withColumn("y", F.explode(F.expr("sequence(if(c = d, x, 0), db - 1)")))
+    # A task: block x of cell c against some of the blocks that it meets, so a block is sent on about once for every two visits.
+    turn = Window.partitionBy("c", "x").orderBy("d", "y")
+    pairs = stage(pairs.withColumn("part", F.floor((F.row_number().over(turn) - 1) / task_blocks)).select("c", "x", "d", "y", "part"))
+    own = pairs.groupBy("c", "x", "part").agg(F.bool_or((F.col("c") == F.col("d")) & (F.col("x") == F.col("y"))).alias("self"))
+    own = own.select("c", "x", "part", F.col("c").alias("cell"), F.col("x").alias("block"), F.lit(0).alias("side"), "self")
+    other = pairs.where("c <> d or x <> y").select("c", "x", "part", F.col("d").alias("cell"), F.col("y").alias("block"), F.lit(1).alias("side"), F.lit(False).alias("self"))
+    block = indexed.join(cells, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    work = block.join(own.unionByName(other), ["cell", "block"]).select("c", "x", "part", "side", "self", "rep", "copies", "vector")
+    return work.groupBy("c", "x", "part").applyInArrow(_links(cosine), "rep long, links long, root long")
+
+
 def embedding_groups(
-    vectors: DataFrame, *, cosine: float = 0.9, recall: float = 0.99, far_recall: float = 0.95, sample_rows: int = 8192, cell_rows: int = 512, block_rows: int = 1024, max_centres: int = 64, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, *, cosine: float = 0.9, recall: float = 0.99, far_recall: float = 0.97, sample_rows: int = 8192, cell_rows: int = 512, block_rows: int = 1024, task_blocks: int = 16, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """One row per vector: (vec_id, n_links, component_id, kept).
 
@@ -171,49 +208,29 @@ def embedding_groups(
     by cosine in double precision, so nothing below ``cosine`` is linked.
 
     Equal vectors are one index entry that counts its copies. Cells over ``block_rows`` vectors are cut
-    into blocks by hash, so a task compares two blocks at most; blocks send link counts and local
-    forests, not links. Only the cell counts (``max_centres`` squared at most) reach the driver.
+    into blocks by hash; a task compares one block with ``task_blocks`` others at most and sends link counts and local
+    forests, not links. Cells and who meets whom are tables of Spark; the sample alone reaches the driver.
 
-    Vectors that are null, zero, of an unusual length or hold null or non-finite components link
-    with nothing, not even each other; a null id takes part in no link; repeated rows count as copies;
-    an empty table gives no rows; other columns are ignored.
+    Vectors that are null, zero or hold null or non-finite components link with nothing, not even each other;
+    vectors of different lengths have no cosine, so each length has an index of its own; a null id takes part in no link; repeated rows, and
+    different vectors of one id, each count and are each returned; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
-    spark = vectors.sparkSession
-    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    lengths = raw.where("vec_id is not null and vector is not null").groupBy(F.size("vector").alias("n")).count()
-    usual = lengths.orderBy(F.desc("count"), "n").first()
-    width = usual.n if usual else 0
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    good = F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") == width) & finite & F.exists("vector", lambda v: v != 0)
+    good = F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda v: v != 0)
     base = stage(raw.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit(1), F.col("vector"))))
     entry = base.where("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
-    entry = stage(entry)
-    n = entry.count()
-    alone = base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.lit(True) & F.col("vec_id").isNotNull()).alias("kept"))
-    if n == 0 or width < 2:
-        return alone
-    sample = unit_rows(np.array([r.vector for r in entry.orderBy("h1", "h2").limit(sample_rows).select("vector").collect()]))
-    grid = Grid(sample, int(np.clip(np.ceil(np.sqrt(n / cell_rows)), 1, min(max_centres, len(sample)))))
-    visits = grid.visits_for(sample[:4096], cosine, recall, far_recall)
-    indexed = stage(entry.select("rep", "copies", "vector").mapInArrow(_assign(spark.sparkContext.broadcast(grid)), "rep long, copies long, vector array<double>, cell long"))
-
-    size = {r.cell: r["count"] for r in indexed.groupBy("cell").count().collect()}  # one row for each cell
-    blocks = spark.createDataFrame([(c, -(-k // block_rows)) for c, k in size.items()], "cell long, blocks long")
-    met = spark.createDataFrame([(c, d) for c, d in grid.pairs(visits) if c in size and d in size], "c long, d long")
-    block = indexed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    # Each task: block x of cell c against block y of cell d, every unordered pair of blocks once.
-    cells = met.join(F.broadcast(blocks.withColumnRenamed("cell", "c").withColumnRenamed("blocks", "cb")), "c").join(F.broadcast(blocks.withColumnRenamed("cell", "d").withColumnRenamed("blocks", "db")), "d")
-    tasks = cells.withColumn("x", F.explode(F.expr("sequence(0, cb - 1)"))).withColumn("y", F.explode(F.expr("sequence(if(c = d, x, 0), db - 1)")))
-    name = F.concat_ws("|", F.concat_ws(".", "c", "x"), F.concat_ws(".", "d", "y"), F.col("side"))
-    sides = tasks.withColumn("side", F.explode(F.expr("if(c = d and x = y, array(0), array(0, 1))")))
-    sides = sides.select(F.when(F.col("side") == 0, F.col("c")).otherwise(F.col("d")).alias("cell"), F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("y")).alias("block"), "side", F.regexp_replace(name, "[|][01]$", "").alias("task"))
-    work = block.join(sides, ["cell", "block"]).select("task", "side", "rep", "copies", "vector")
-    found = stage(work.groupBy("task").applyInArrow(_links(cosine), "rep long, links long, root long"))
+    entry = stage(entry.withColumn("width", F.size("vector")))
+    nothing = vectors.sparkSession.createDataFrame([], "rep long, links long, root long")
+    options = {"cosine": cosine, "recall": recall, "far_recall": far_recall, "sample_rows": sample_rows, "cell_rows": cell_rows, "block_rows": block_rows, "task_blocks": task_blocks}
+    widths = [r.width for r in entry.groupBy("width").count().where("count > 1").orderBy("width").collect()]  # lengths of vectors, one in most tables
+    found = stage(reduce(DataFrame.unionByName, [_index_links(entry.where(F.col("width") == w), **options) for w in widths], nothing))
 
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select("rep", "root"))
     named = entry.select("h1", "h2", "rep", "copies").join(linked, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    named = named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "rep").alias("component"))
-    out = base.where("good").join(named, ["h1", "h2"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
+    named = stage(named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "rep").alias("component")))
+    out = base.where("good").select("vec_id", "h1", "h2").join(named, ["h1", "h2"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
     rest = base.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     return out.unionByName(rest)

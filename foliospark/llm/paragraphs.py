@@ -95,18 +95,19 @@ def _paragraph_rows(bands: int, rows: int, least: int, text_col: str):
                     cut = [c for c in cut_paragraphs(text, least) if len(c[2]) >= least]
                     if not cut:
                         continue
+                    digest = xxhash.xxh64_intdigest(text) - (1 << 63)
                     chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
                     for k, (a, b, own) in enumerate(cut):
-                        made.append((doc_id, k, int(chars[a]), int(chars[b]), len(own), xxhash.xxh64_intdigest(b" ".join(own)) - (1 << 63)))
+                        made.append((doc_id, digest, k, int(chars[a]), int(chars[b]), len(own), xxhash.xxh64_intdigest(b" ".join(own)) - (1 << 63)))
                         units.append(own)
                 if not made:
                     continue
                 shingles, offsets, keys = hasher.run(units)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 arrays = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)]
                 arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(shingles)))
                 arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(len(units) + 1) * bands, pa.int32()), pa.array(keys.ravel())))
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "paragraph", "start", "end", "n_words", "unit", "shingles", "bands"])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "paragraph", "start", "end", "n_words", "unit", "shingles", "bands"])
 
     return run
 
@@ -224,33 +225,35 @@ def repeated_passages(
     Returns (doc_id, paragraph, start, end, n_words, cluster, kept): half-open code-point spans of the
     original text. ``kept`` is true in the first place of a cluster, by doc_id and paragraph; the other
     spans are to be removed. Null and empty texts have no paragraphs; rows with a null doc_id
-    take no part; rows of equal doc_id are one document; repeated rows hence are no repeats; empty
-    tables give no rows; other columns are ignored.
+    take no part; rows of equal doc_id are one document, so what only they share is no repeat, and each of their different texts has its
+    own rows; a row that is there twice counts once; empty tables give no rows; other columns are ignored. Very long texts
+    are cut and hashed whole, a few texts at a time.
 
     Equal paragraphs share one number, so copies never make pairs. Bands are sorted, and single
     members dropped while they stream by. Small bands are compared in a join, large ones block by block.
     """
     bands = tune_bands(similarity, recall, rows)
     kept = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_col)
-    schema = "doc_id long, paragraph int, start long, end long, n_words int, unit long, shingles array<int>, bands array<long>"
-    units = stage(kept.mapInArrow(_paragraph_rows(bands, rows, least_words, text_col), schema))
+    schema = "doc_id long, digest long, paragraph int, start long, end long, n_words int, unit long, shingles array<int>, bands array<long>"
+    units = stage(kept.mapInArrow(_paragraph_rows(bands, rows, least_words, text_col), schema).withColumn("row", F.monotonically_increasing_id()))
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = units.select("unit", "bands").mapInArrow(_once, "band long, unit long")
     member = stage(keyed.repartition(shards, "band").sortWithinPartitions("band", "unit").mapInArrow(_shared, "band long, unit long"))
-    wanted = member.select("unit").distinct()
-    sets = stage(units.join(wanted, "unit", "left_semi").groupBy("unit").agg(F.any_value("shingles").alias("shingles")).select("unit", F.array_distinct("shingles").alias("s")))
+    # One place of each unit stands for all; its shingles are fetched by row, so a common paragraph's places never meet.
+    first = units.groupBy("unit").agg(F.min("row").alias("row")).join(member.select("unit").distinct(), "unit", "left_semi")
+    sets = stage(units.select("row", "shingles").join(first, "row").select("unit", F.array_distinct("shingles").alias("s")))
     full = member.join(member.groupBy("band").agg(F.count("*").alias("members")), "band").join(sets, "unit")
     links = _small_groups(full.where(F.col("members") <= SMALL_GROUP), similarity).unionByName(_large_groups(full.where(F.col("members") > SMALL_GROUP), similarity, block_units))
     roots = connected_components(links.distinct())
-    place = units.select("doc_id", "paragraph", "start", "end", "n_words", "unit").join(roots, F.col("unit") == F.col("node"), "left")
-    place = place.select("doc_id", "paragraph", "start", "end", "n_words", F.coalesce("root", "unit").alias("cluster"))
-    cluster = place.groupBy("cluster").agg(F.min(F.struct("doc_id", "paragraph", "start")).alias("home"), F.max("doc_id").alias("last"))
+    place = units.select("doc_id", "digest", "paragraph", "start", "end", "n_words", "unit").join(roots, F.col("unit") == F.col("node"), "left")
+    place = place.select("doc_id", "digest", "paragraph", "start", "end", "n_words", F.coalesce("root", "unit").alias("cluster"))
+    cluster = place.groupBy("cluster").agg(F.min(F.struct("doc_id", "digest", "paragraph", "start")).alias("home"), F.max("doc_id").alias("last"))
     # Staged, so that both sides of the join are plain shuffles: Spark then splits a very common passage's rows.
     cluster = stage(cluster.where(F.col("home.doc_id") != F.col("last")).select("cluster", "home"))
-    repeats = place.join(cluster, "cluster")
-    by_doc = Window.partitionBy("doc_id").orderBy("paragraph", "start")
+    repeats = place.join(cluster, "cluster").dropDuplicates(["doc_id", "digest", "paragraph"])  # rows that are there twice count once
+    by_text = Window.partitionBy("doc_id", "digest").orderBy("paragraph")
     # One paragraph that differs, as an edit leaves it, does not end a passage.
-    gap = F.when(F.col("paragraph") - F.lag("paragraph").over(by_doc) <= 2, 0).otherwise(1)
-    runs = repeats.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_doc))
-    whole = runs.withColumn("passage", F.sum("n_words").over(Window.partitionBy("doc_id", "run"))).where(F.col("passage") >= passage_words)
-    return whole.select("doc_id", "paragraph", "start", "end", "n_words", "cluster", (F.struct("doc_id", "paragraph", "start") == F.col("home")).alias("kept"))
+    gap = F.when(F.col("paragraph") - F.lag("paragraph").over(by_text) <= 2, 0).otherwise(1)
+    runs = repeats.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_text))
+    whole = runs.withColumn("passage", F.sum("n_words").over(Window.partitionBy("doc_id", "digest", "run"))).where(F.col("passage") >= passage_words)
+    return whole.select("doc_id", "paragraph", "start", "end", "n_words", "cluster", (F.struct("doc_id", "digest", "paragraph", "start") == F.col("home")).alias("kept"))

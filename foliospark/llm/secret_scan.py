@@ -92,15 +92,16 @@ def scan_secrets(docs: DataFrame, *, max_owners: int = 1, max_repositories: int
 
     ``base_spans`` and ``spans`` are arrays of (start, rank, kind, end), by start, then kind as
     listed. A null text is empty; null owners count as one owner; a null id is a document of its
-    own; repeated rows are each returned and count once; an empty table gives no rows; other columns
-    are ignored.
+    own; repeated rows are each returned and count once; an empty table gives no rows; other columns, whatever their names,
+    are ignored. A very long text is one row of spans, nothing more.
     """
     every = (*kinds, open_kind) if open_kind else kinds
     found = stage(find_candidates(docs, every, id_col=id_col, text_col=text_col, owner_col=owner_col))
     spans = stage(spans_of(found))
     names = [k.name for k in kinds]
     rank = F.array_position(F.array(*[F.lit(n) for n in [*names, "live"]]), F.col("kind")).cast("int")
-    known = spans.join(ownership(spans), "value_hash")
+    # Staged, so that both sides of the join are plain shuffles: Spark then splits the spans of a value copied everywhere.
+    known = spans.join(stage(ownership(spans)), "value_hash")
     live = F.col("mixed") & (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     keys = ["doc_id", "digest", "owner"]
     base = known.where(F.col("kind").isin(names)).select(*keys, "kind", "start", "end", live.alias("live"))

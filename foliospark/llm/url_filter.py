@@ -56,23 +56,22 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return targets.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 15, stage_every: int = 5) -> DataFrame:
+def personalised_rank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 15) -> DataFrame:
     """(kind, host, score): PageRank walks from ``seeds`` (kind, host, mass) over ``edges`` (kind, src, dst, weight).
 
     Each kind's seed masses add up to 1. A walk ends at a host without edges. Ranks are staged
-    every few rounds, so that the plan stays small and a lost executor repeats little.
+    every round, so that the plan stays small, a lost executor repeats little, and the edges of a hub host
+    can be split over tasks.
     """
-    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
+    out = stage(edges.groupBy("kind", "src").agg(F.sum("weight").alias("out")))
     step = stage(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out") * damping).alias("share")))
     start = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("score"))
     ranks = seeds.select("kind", "host", F.col("mass").alias("score"))
     if step.limit(1).count() == 0:
         return start
-    for k in range(1, rounds + 1):
+    for _ in range(rounds):
         moved = ranks.withColumnRenamed("host", "src").join(step, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score"))
-        ranks = start.union(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % stage_every == 0:
-            ranks = stage(ranks)
+        ranks = stage(start.union(moved).groupBy("kind", "host").agg(F.sum("score").alias("score")))
     return ranks
 
 
@@ -85,7 +84,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, ratio: float = 1.0, dampi
     ``ratio`` times its trust is blocked; a host that neither reaches is allowed.
 
     A null url, or one without ``://``, has an empty host and path: no rule fits, no link starts
-    there, it is allowed. Null html has no links; repeated rows are each returned; an empty table gives no
+    there, it is allowed. Of fitting rules as long as each other the last in the list decides. Null html has no links, very long html just more of them; repeated rows are each returned; an empty table gives no
     rows; other columns are ignored. The text is read twice and never shuffled: links are
     summed by host pair in each task, and pages meet their host's scores as narrow rows.
     """
@@ -101,7 +100,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, ratio: float = 1.0, dampi
     edges = forward.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(forward.select(F.lit("distrust"), "dst", "src", "weight"))
     ranks = personalised_rank(edges, seeds, damping=damping, rounds=rounds)
     scores = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score"))).alias("distrust"))
-    judged = ruled.join(scores, "host", "left")
+    judged = ruled.join(stage(scores), "host", "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     method = F.when(distrust > trust * ratio, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("own", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -116,6 +117,84 @@ def test_secrets(spark):
     assert S.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_ownership_against_brute_force(spark):
+    r = random.Random(2)
+    values = ["".join(r.choice("ABCDEFGHJKabcdefghjk0123456789") for _ in range(28)) for _ in range(40)] + ["onlyletters" * 3, "1234567890" * 3]
+    rows = []
+    for k in range(150):
+        parts = [r.choice(["token=", "key ", "", "secret: "]) + (values[0] if r.random() < 0.3 else r.choice(values)) for _ in range(r.randrange(4))]
+        rows.append((k, "word " + " | ".join(parts) + " é", r.choice(["a", "b", "c", None])))
+    rows += [rows[3], rows[3], (3, rows[3][1], "z"), (400, "x " * 100_000 + "token=" + values[1], "a")]
+    kinds = [*S.BASE_KINDS, S.OPEN_KIND]
+    found, repositories, owners = {}, defaultdict(set), defaultdict(set)
+    for i, t, o in rows:
+        spans = set()
+        for kind in kinds:
+            for m in re.finditer(kind.pattern, t, re.A):
+                if len(m[kind.value]) >= kind.least:
+                    spans.add((kind.name, m.start(), m.end(), m.end() - len(m[kind.value]), m[kind.value]))
+                    repositories[m[kind.value]].add((i, t, o or ""))
+                    owners[m[kind.value]].add(o or "")
+        found[i, t, o] = spans
+    live = lambda v: len(owners[v]) <= 1 and len(repositories[v]) <= 3 and re.search("[0-9]", v) and re.search("[A-Za-z]", v)
+    want = Counter()
+    for key in rows:
+        spans = found[key]
+        base = sorted((a, ["assign", "access", "hex"].index(k), k, b) for k, a, b, _, _ in spans if k != "open")
+        extra = {(v, b) for _, _, b, v, x in spans if live(x)}
+        want[key[0], tuple((k, a, b) for a, _, k, b in base), tuple(sorted(extra)), sum(not live(x) for k, _, _, _, x in spans if k != "open")] += 1
+    out = S.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    got = Counter((x.doc_id, tuple((s.kind, s.start, s.end) for s in x.base_spans), tuple(sorted((s.start, s.end) for s in x.spans if s.kind == "live")), x.n_example) for x in out)
+    assert got == want and any(k[2] for k in want) and any(k[3] for k in want)
+
+
+def test_paragraphs_against_all_pairs(spark, docs, words, monkeypatch):
+    r = random.Random(9)
+    texts = [words(k, 30).split() for k in range(60)]
+    rows = []
+    for k in range(240):
+        own = list(texts[r.randrange(60)])
+        for _ in range(r.randrange(3)):
+            own[r.randrange(30)] = "edit"
+        rows.append((k, " ".join(own)))  # one paragraph a document
+    rows += [(500, "x y z " * 40_000)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    up = {i: i for i in ids}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    groups = Counter(find(i) for i in ids)
+    want = {i for i in ids if groups[find(i)] > 1}
+    for small, block in ((16, 256), (1, 7)):
+        monkeypatch.setattr(P, "SMALL_GROUP", small)
+        out = P.repeated_passages(docs(rows), block_units=block).collect()
+        got = {x.doc_id for x in out}
+        assert got <= want and len(got) >= 0.97 * len(want)
+        cluster = {x.doc_id: x.cluster for x in out}
+        met = [(a, b) for a, b in links if a in cluster and b in cluster]
+        assert sum(cluster[a] == cluster[b] for a, b in met) >= 0.97 * len(met)
+        assert all(find(a) == find(b) for a in got for b in got if cluster[a] == cluster[b])
+
+
+def test_repeated_rows_are_no_repeated_passages(spark, docs, words):
+    line = words(77, 15)
+    one, two = (1, words(1, 40) + "\n" + line), (2, words(2, 40) + "\n" + line)
+    assert P.repeated_passages(docs([one, two])).count() == P.repeated_passages(docs([one, one, two, two])).count() == 0
+    found = [P.repeated_passages(docs(rows), passage_words=10).orderBy("doc_id").collect() for rows in ([one, two], [one, one, two])]
+    assert found[0] == found[1] and [x.doc_id for x in found[0]] == [1, 2]
+    other = (1, words(3, 40) + "\n" + words(78, 15) + "\n" + line)  # another text of document 1
+    out = P.repeated_passages(docs([one, other, two]), passage_words=10).collect()
+    assert sorted((x.doc_id, x.n_words) for x in out) == [(1, 15), (1, 15), (2, 15)] and sum(x.kept for x in out) == 1
+
+
 def test_paragraphs(spark, docs, words):
     sentence = lambda seed, n: words(seed, n).capitalize() + ". "
     passage = "".join(sentence(9000 + k, 15) for k in range(5))

@@ -1,6 +1,7 @@
 import math
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
@@ -125,16 +126,20 @@ def test_embeddings(spark):
     base = rng.standard_normal((30, 16))
     vectors = [base[k % 30] + rng.standard_normal(16) * 0.08 * (k // 30) for k in range(150)]
     rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
-    rows += [(200, rows[4][1]), (201, rows[4][1]), (202, [x * 3 for x in rows[4][1]]), (300, None), (301, [0.0] * 16), (302, [math.nan] * 16), (303, [None] * 16), (304, [math.inf] * 16), (305, [1.0, 2.0]), (306, [])]
+    rows += [(200, rows[4][1]), (201, rows[4][1]), (202, [x * 3 for x in rows[4][1]]), (300, None), (301, [0.0] * 16), (302, [math.nan] * 16), (303, [None] * 16), (304, [math.inf] * 16), (306, []), (305, [1.0, 2.0, 0.0])]
+    rows += [(400, [1.0, 2.0]), (401, [2.0, 4.0]), (402, [2.0, -1.0]), (410, [5.0]), (411, [7.0]), (412, [-7.0]), (420, rows[9][1]), (420, rows[40][1])]
     df = spark.createDataFrame([(i, v, 1, 7) for i, v in rows], "vec_id long, embedding array<double>, label int, n_links int")
     for small in ({}, {"cell_rows": 20, "block_rows": 8}):
         out = {r.vec_id: r for r in multi_index.embedding_groups(df, **small).collect()}
         good = [(i, np.array(v)) for i, v in rows if i < 300]
+        assert [(out[i].n_links, out[i].component_id) for i in (400, 401, 402, 410, 411, 412)] == [(1, 400), (1, 400), (0, 402), (1, 410), (1, 410), (0, 412)]
         x = np.array([v / np.linalg.norm(v) for _, v in good])
         near = x @ x.T >= 0.9
         np.fill_diagonal(near, False)
         ids = [i for i, _ in good]
-        want = dict(zip(ids, near.sum(axis=1).tolist(), strict=True))
+        twice = np.array([rows[9][1], rows[40][1]])  # the two rows of id 420 count for others
+        more = (x @ (twice / np.linalg.norm(twice, axis=1, keepdims=True)).T >= 0.9).sum(axis=1)
+        want = dict(zip(ids, (near.sum(axis=1) + more).tolist(), strict=True))
         got = {i: out[i].n_links for i in ids}
         assert all(got[i] <= want[i] for i in ids) and sum(got.values()) >= 0.9 * sum(want.values())
         if not small:
@@ -142,7 +147,20 @@ def test_embeddings(spark):
             assert got == want and {i: out[i].component_id for i in ids} == brute_components(ids, links)
         assert all(out[i].n_links == 0 and out[i].component_id == i and out[i].kept for i in range(300, 307))
     assert multi_index.embedding_groups(df.limit(0)).count() == 0
-    assert multi_index.embedding_groups(df.where("vec_id >= 300")).count() == 7
+    assert multi_index.embedding_groups(df.where("vec_id between 300 and 399")).count() == 7
+    assert df.where("vec_id = 420").count() == multi_index.embedding_groups(df).where("vec_id = 420").count() == 2
+
+
+def test_recall_of_every_fiftieth_vector(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((300, 64))
+    vectors = np.concatenate([base[k % 300 : k % 300 + 1] + rng.standard_normal((1, 64)) * rng.uniform(0.05, 0.6) for k in range(6000)]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    out = {r.vec_id: r.n_links for r in multi_index.embedding_groups(df, cell_rows=64, block_rows=50).collect()}
+    x = multi_index.unit_rows(vectors)
+    want = (x[::50] @ x.T >= 0.9).sum(axis=1) - 1
+    got = np.array([out[k] for k in range(0, 6000, 50)])
+    assert want.sum() > 500 and (got <= want).all() and got.sum() >= 0.95 * want.sum()
 
 
 def test_links_near_the_threshold_beside_a_dense_group(spark):
@@ -190,6 +208,53 @@ def test_url_rules_and_propagation(spark):
     assert {r.verdict for r in url_filter.judge_urls(df, []).collect()} == {"allow"}
 
 
+def brute_rank(n, links, seeds, damping, rounds):
+    out = np.zeros((n, n))
+    for a, b, w in links:
+        out[a, b] += w
+    total = out.sum(axis=1, keepdims=True)
+    step = np.divide(out, total, out=np.zeros_like(out), where=total > 0) * damping
+    ranks = seeds.copy()
+    for _ in range(rounds):
+        ranks = seeds * (1 - damping) + ranks @ step
+    return ranks
+
+
+def test_propagation_over_hosts_against_numpy(spark):
+    r = random.Random(6)
+    hosts = [f"h{k}.{r.choice(['com', 'net', 'org', 'org', 'org'])}" for k in range(300)]
+    pages, links = [], Counter()
+    for k in range(900):
+        src = k % 300
+        targets = [0 if r.random() < 0.2 else r.randrange(300) for _ in range(r.randrange(5))]  # host 0 is a hub
+        for t in targets:
+            if t != src:
+                links[src, t] += 1
+        path = r.choice(["/es/a", "/fr/b", "/c"])
+        pages.append((k, f"https://{hosts[src]}{path}", "".join(f"<a href='http://{hosts[t].upper()}/x'>" for t in targets)))
+    rules = [url_filter.Rule("allow", "com/"), url_filter.Rule("block", "net/es/"), url_filter.Rule("block", "net/fr/")]
+
+    def rule(url):
+        host, path = re.fullmatch(r"https://([^/]*)(.*)", url).groups()
+        fits = [x for x in rules if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        return max(fits, key=lambda x: len(x.text), default=None)
+
+    trust, distrust = np.zeros(300), np.zeros(300)
+    for k, url, _ in pages:
+        own = rule(url)
+        if own:
+            (trust if own.verdict == "allow" else distrust)[k % 300] += 1
+    t = brute_rank(300, [(a, b, w) for (a, b), w in links.items()], trust / trust.sum(), 0.85, 15)
+    d = brute_rank(300, [(b, a, w) for (a, b), w in links.items()], distrust / distrust.sum(), 0.85, 15)
+    out = url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()
+    assert len(out) == 900
+    for x in out:
+        host, own = x.page_id % 300, rule(pages[x.page_id][1])
+        assert math.isclose(x.trust, t[host], rel_tol=1e-9, abs_tol=1e-15) and math.isclose(x.distrust, d[host], rel_tol=1e-9, abs_tol=1e-15)
+        assert x.rule == (own.text if own else None) and x.verdict == (own.verdict if own else "block" if d[host] > t[host] else "allow")
+    assert {x.verdict for x in out if x.rule is None} == {"allow", "block"}
+
+
 def test_factorisation_machine_identity_and_learning(spark, docs, words):
     rng = np.random.default_rng(0)
     model = quality.FactorisationMachine.blank(0.5)
