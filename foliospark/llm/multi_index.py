@@ -197,7 +197,7 @@ def _index_links(entry: DataFrame, *, cosine: float, recall: float, far_recall:
 
 
 def embedding_groups(
-    vectors: DataFrame, *, cosine: float = 0.9, recall: float = 0.99, far_recall: float = 0.97, sample_rows: int = 8192, cell_rows: int = 512, block_rows: int = 1024, task_blocks: int = 16, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, *, cosine: float = 0.9, recall: float = 0.99, far_recall: float = 0.95, sample_rows: int = 8192, cell_rows: int = 512, block_rows: int = 1024, task_blocks: int = 16, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """One row per vector: (vec_id, n_links, component_id, kept).
 

@@ -258,94 +258,97 @@ def wide_ring(max_bits: int) -> list[int]:
     return [length * max_bits // WIDE for length in range(1, WIDE + 1)]
 
 
-def _near(max_bits: int, similarity: float) -> tuple[Column, Column]:
-    """(condition, differing bits) of two units a and b: of similar size, with a chain of words within the ring's budgets, and the whole distance last."""
-    differ = [F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in _WIDE]
-    sizes = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * similarity - 1e-9
-    chains = F.lit(False)
-    for start in range(WIDE):
-        held = F.lit(True)
-        for length, budget in enumerate(wide_ring(max_bits)[:-1], 1):
-            held = held & (sum(differ[(start + k) % WIDE] for k in range(length)) <= budget)
-        chains = chains | held
-    return sizes & chains & (sum(differ) <= max_bits), sum(differ)
-
-
-def _block_pairs(sure_bits: int, max_bits: int, similarity: float):
+def _compare(sure_bits: int, max_bits: int, similarity: float, exact: bool):
+    """The pairs of one task, candidates by size, the ring's chains and the whole distance, as rows (a, b, key).
+
+    First (not ``exact``): a forest of the pairs of at most ``sure_bits``, and every text in a pair beyond them, with its key (b null).
+    Then, of those texts: a forest of the pairs whose sets are similar, leaving out what ``root`` connects. So a task sends
+    rows in proportion to its texts, however many pairs there are.
+    """
+
     def run(part: pa.Table) -> pa.Table:
-        """Two blocks of a common key (or one with itself): a forest of the sure pairs, then all doubtful ones that it doesn't connect."""
-        unit, size, block = (part.column(c).to_numpy() for c in ("unit", "size", "block"))
+        part = part.sort_by("key")
+        key, unit, size, block = (part.column(c).to_numpy() for c in ("key", "unit", "size", "block"))
         wide = [part.column(w).to_numpy().view(np.uint64) for w in _WIDE]
         lo, hi = part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
-        up: dict[int, int] = {}
+        up: dict[int, int] = dict(zip(unit.tolist(), part.column("root").to_pylist(), strict=True)) if exact else {}
+        sets = [s.values.to_numpy() for s in part.column("s")] if exact else []
 
         def find(x):
             while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
+                up[x] = up[up.setdefault(up[x], up[x])]
                 x = up[x]
             return x
 
-        def near_pairs_of(i, j):
+        def pairs():
+            """(rows, rows) to compare: neighbours under a key at every distance, or the two blocks of a common key."""
+            if lo < 0:
+                at, step = np.arange(len(key)), 1
+                while len(at := at[at + step < len(key)]) and len(at := at[key[at] == key[at + step]]):
+                    yield at, at + step
+                    step += 1
+                return
+            mine, other = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            for k in range(0, len(mine), 64):
+                i, j = np.repeat(mine[k : k + 64], len(other)), np.tile(other, len(mine[k : k + 64]))
+                yield (i, j) if lo < hi else (i[i < j], j[i < j])
+
+        edges: list[tuple[int, int]] = []
+        open_ = np.zeros(len(unit), bool)
+        for i, j in pairs():
             fits = np.minimum(size[i], size[j]) >= np.maximum(size[i], size[j]) * similarity - 1e-9
             i, j = i[fits], j[fits]
             differ = np.stack([np.bitwise_count(w[i] ^ w[j]) for w in wide], axis=1).astype(np.int64)
             chains = np.zeros(len(i), bool)
             for start in range(WIDE):
-                run = np.cumsum(np.roll(differ, -start, axis=1), axis=1)
-                chains |= (run <= wide_ring(max_bits)).all(axis=1)
-            return i[chains], j[chains], differ[chains].sum(axis=1)
-
-        sure, doubtful = [], []
-        mine, other = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        for k in range(0, len(mine), 64):
-            i, j = np.repeat(mine[k : k + 64], len(other)), np.tile(other, len(mine[k : k + 64]))
-            if lo == hi:
-                i, j = i[i < j], j[i < j]
-            i, j, differ = near_pairs_of(i, j)
-            for x, y, d in zip(unit[i].tolist(), unit[j].tolist(), differ.tolist(), strict=True):
-                if d > sure_bits:
-                    doubtful.append((x, y))
-                elif (p := find(x)) != (q := find(y)):
-                    up[max(p, q)] = min(p, q)
-                    sure.append((x, y))
-            if len(doubtful) > 1 << 16:
-                doubtful = [p for p in doubtful if find(p[0]) != find(p[1])]
-        rows = sure + [p for p in doubtful if find(p[0]) != find(p[1])]
-        return pa.table({"a": pa.array([min(p) for p in rows], pa.int64()), "b": pa.array([max(p) for p in rows], pa.int64()), "sure": pa.array([k < len(sure) for k in range(len(rows))], pa.bool_())})
+                chains |= (np.cumsum(np.roll(differ, -start, axis=1), axis=1) <= wide_ring(max_bits)).all(axis=1)
+            sure = differ.sum(axis=1) <= sure_bits
+            doubtful = chains & ~sure
+            if not exact:
+                open_[i[doubtful]] = open_[j[doubtful]] = True
+            for m, n in zip(*(x[doubtful if exact else chains & sure].tolist() for x in (i, j)), strict=True):
+                if (p := find(int(unit[m]))) == (q := find(int(unit[n]))):
+                    continue
+                if exact:
+                    both = len(np.intersect1d(sets[m], sets[n], assume_unique=True))
+                    if both + 1e-9 < similarity * (len(sets[m]) + len(sets[n]) - both):
+                        continue
+                up[max(p, q)] = min(p, q)
+                edges.append((int(unit[m]), int(unit[n])))
+        alone = np.flatnonzero(open_)
+        columns = [[min(p) for p in edges] + unit[alone].tolist(), [max(p) for p in edges] + [None] * len(alone), [None] * len(edges) + key[alone].tolist()]
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "key"), columns, strict=True)})
 
     return run
 
 
+def _by_task(met: DataFrame, columns: list[str], task_rows: int = 4096) -> DataFrame:
+    """Deal rows (key, members, ...) to tasks: rare keys many at a time, the members of a common one in blocks, every pair of blocks a task."""
+    tasks = max(1, -(-met.count() // task_rows))
+    blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
+    own = met.withColumn("blocks", blocks).withColumn("block", F.when(F.col("blocks") == 1, -1).otherwise(F.pmod(F.xxhash64("unit"), F.col("blocks"))).cast("int"))
+    own = own.withColumn("other", F.explode(F.when(F.col("block") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    task = F.when(F.col("block") < 0, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.col("key")).alias("task")
+    return own.select(task, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "unit", "size", "block", *_WIDE, *columns).groupBy("task", "lo", "hi")
+
+
 def _similar_links(units: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b): ``rep`` of units (unit, rep, size, keys, w0 to w3) whose shingle sets have the Jaccard ``similarity``.
 
     At such a similarity no segment of a fingerprint is sure to be equal, so a key of minima deals the texts
     to candidates. Those pass the ring's chains and then the Hamming distance: at most three standard deviations more
-    bits of the wide fingerprint than expected at ``similarity``. Three below it are sure; of the others
+    bits of the wide fingerprint than expected at ``similarity``. Three below it are sure; for the others
     the sets are compared, unless sure links connect the two anyway. Keys that one text alone has go first, as narrow rows.
     """
     dealt = stage(units.select("unit", F.explode("keys").alias("key")))
     members = stage(dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
-    wide = units.select("unit", "size", *_WIDE)
-    met = stage(dealt.join(members, "key").join(wide, "unit"))
-    sure_bits, max_bits = wide_budget(similarity, -3), wide_budget(similarity, 3)
-    near, differ = _near(max_bits, similarity)
-    few = met.where(F.col("members") <= SMALL_GROUP)
-    pairs = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.unit") < F.col("b.unit")) & near)
-    pairs = pairs.select(F.col("a.unit").alias("a"), F.col("b.unit").alias("b"), (differ <= sure_bits).alias("sure"))
-    blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    many = met.where(F.col("members") > SMALL_GROUP).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "unit", "size", "block", *_WIDE)
-    blocked = many.groupBy("key", "lo", "hi").applyInArrow(_block_pairs(sure_bits, max_bits, similarity), "a long, b long, sure boolean")
-    found = stage(pairs.unionByName(blocked).distinct())
-    sure = stage(found.where("sure").select("a", "b"))
-    roots = stage(connected_components(sure))
-    open_ = found.where("not sure").select("a", "b")
-    for side in ("a", "b"):
-        open_ = open_.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    open_ = stage(open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    wanted = open_.select(F.explode(F.array("a", "b")).alias("unit")).distinct().join(units.select("unit", "rep"), "unit")
+    met = stage(dealt.join(members, "key").join(units.select("unit", "size", *_WIDE), "unit"))
+    bits = wide_budget(similarity, -3), wide_budget(similarity, 3), similarity
+    found = stage(_by_task(met, []).applyInArrow(_compare(*bits, exact=False), "a long, b long, key long"))
+    sure = stage(found.where("b is not null").select("a", "b").distinct())
+    roots = connected_components(sure)
+    open_ = stage(found.where("b is null").select(F.col("a").alias("unit"), "key").distinct())
+    wanted = stage(open_.select("unit").distinct().join(units.select("unit", "rep"), "unit"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -355,9 +358,8 @@ def _similar_links(units: DataFrame, docs: DataFrame, shingle: int, similarity:
 
     again = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text").mapInArrow(sets, "unit long, s array<long>")
     again = stage(again.join(wanted.select("unit"), "unit", "left_semi").groupBy("unit").agg(F.any_value("s").alias("s")))
-    pair = open_.join(again.select(F.col("unit").alias("a"), F.col("s").alias("sa")), "a").join(again.select(F.col("unit").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    held = pair.where(both + 1e-9 >= (F.size("sa") + F.size("sb") - both) * similarity).select("a", "b")
+    rest = met.join(open_, ["unit", "key"]).join(again, "unit").join(roots, F.col("unit") == F.col("node"), "left").withColumn("root", F.coalesce("root", "unit"))
+    held = _by_task(stage(rest), ["root", "s"]).applyInArrow(_compare(*bits, exact=True), "a long, b long, key long").select("a", "b").distinct()
     links = stage(sure.unionByName(held))
     for side in ("a", "b"):
         links = links.join(units.select(F.col("unit").alias(side), F.col("rep").alias(f"rep_{side}")), side)
