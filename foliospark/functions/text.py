@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ OBJECT_FORMS = {
 }
 OBJECT_STATES = ("existent", "missing", "destroyed", "displaced", "dismembered", "unknown")
 OPEN_LICENCES = ("creativecommons.org/publicdomain/zero", "creativecommons.org/publicdomain/mark", "creativecommons.org/licenses/by/")
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?"
 ARCHIVES, IMAGES = ("zip", "tar", "tar.gz", "tgz", "7z", "rar"), ("jpg", "jpeg", "png", "tif", "tiff", "webp", "jp2", "gif")
 WEIGHTS = {"pt": "pytorch", "pth": "pytorch", "ckpt": "pytorch", "safetensors": "safetensors", "onnx": "onnx", "h5": "keras", "keras": "keras", "tflite": "tensorflow", "pb": "tensorflow"}
 
@@ -119,12 +122,25 @@ def leaf_side(label: Column) -> Column:
     return F.when(label.rlike("[rR]$"), "recto").when(label.rlike("[vV]$"), "verso").otherwise("not recorded")
 
 
+def unescape_html(col: Column) -> Column:
+    """Named (HTML5) and numeric character references undone, each once; unknown ones stay as they are."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+    def decoded(m: Column) -> Column:
+        body = F.rtrim(F.substring(m, 3, 10), F.lit(";"))
+        point = F.when(m.rlike("^&#[xX]"), F.conv(F.substring(body, 2, 8), 16, 10)).when(F.startswith(m, F.lit("&#")), body).cast("long")
+        valid = (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, point)), 8, "0")), "UTF-32")
+        return F.coalesce(char, F.try_element_at(names, F.substring(m, 2, 40)), m)
+
+    gaps, found = F.split(col, ENTITY, -1), F.regexp_extract_all(col, F.lit(ENTITY), 0)
+    whole = F.array_join(F.zip_with(gaps, F.transform(found, decoded), lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+    return F.when(F.contains(col, F.lit("&")), whole).otherwise(col)
+
+
 def plain_html(col: Column) -> Column:
-    """Text without tags and with common entities undone; blank is null."""
-    out = F.regexp_replace(col, r"<[^>]+>", "")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.nullif(F.trim(out), F.lit(""))
+    """Text without tags and with character references undone; blank is null."""
+    return F.nullif(F.trim(unescape_html(F.regexp_replace(col, r"<[^>]+>", ""))), F.lit(""))
 
 
 def first_match(col: Column, patterns: list[str]) -> Column:
@@ -181,9 +197,14 @@ def page_of_file(name: Column) -> Column:
 
 
 def json_keys(col: Column) -> Column:
-    """All object keys in a JSON text, lower-cased, ``-`` as ``_``, sorted."""
-    keys = F.regexp_extract_all(col, F.lit(r'"([^"\\]+)"\s*:'), 1)
-    return F.array_sort(F.array_distinct(F.transform(keys, lambda k: F.replace(F.lower(k), F.lit("-"), F.lit("_")))))
+    """All object keys in a JSON text at any depth, lower-cased, ``-`` as ``_``, sorted; none of broken JSON.
+
+    In valid JSON quotes stand around strings only, so the text is read string by string; keys are those before a colon.
+    """
+    strings = F.regexp_extract_all(col, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:?'), 0)
+    plain = lambda k: F.try_variant_get(F.try_parse_json(F.rtrim(F.rtrim(k, F.lit(":")), F.lit(" \t\r\n"))), "$", "string")
+    keys = F.transform(F.filter(strings, lambda k: F.endswith(k, F.lit(":"))), lambda k: F.replace(F.lower(plain(k)), F.lit("-"), F.lit("_")))
+    return F.when(F.try_parse_json(col).isNotNull(), F.array_sort(F.array_distinct(keys))).otherwise(F.array().cast("array<string>"))
 
 
 def survival_category(fraction: Column) -> Column:

@@ -80,14 +80,12 @@ def run_summary(runs: DataFrame, regions: DataFrame, run: str, label: str, confi
 def run_statistics(df: DataFrame, dims: list[str], measure: str) -> DataFrame:
     """Counts and a distribution for every value of every dimension and overall, in one pass of grouping sets."""
     spark = df.sparkSession
-    view = "_run_statistics"
-    df.createOrReplaceTempView(view)
     sets = ", ".join(f"({d})" for d in dims)
     name = "CASE " + " ".join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in dims) + " ELSE 'all' END"
     value = f"coalesce({', '.join(f'cast({d} AS STRING)' for d in dims)}, '{MISSING}')"
     return spark.sql(f"""
         SELECT {name} AS dimension, {value} AS value, count(*) AS rows, bround(avg({measure}), 6) AS mean, percentile({measure}, 0.5) AS median, min({measure}) AS low, max({measure}) AS high
-        FROM {view} GROUP BY GROUPING SETS ({sets}, ())""")
+        FROM {{df}} GROUP BY GROUPING SETS ({sets}, ())""", df=df)
 
 
 def outliers(df: DataFrame, key: str, count: str, confidence: str, *, low_confidence: float = 0.4) -> DataFrame:

@@ -111,3 +111,42 @@ def preferred_or_first_ready(items: DataFrame, *, group: str, item: str, notes:
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of every key."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def batch_audit(runs: DataFrame, assets: DataFrame, *, key: str, json_col: str, paths: dict[str, str]) -> DataFrame:
+    """Runs with fields of their JSON and their asset; ``audit`` names what is missing. Runs and assets share ``key``."""
+    projected = runs.select("*", *[F.get_json_object(json_col, path).alias(name) for name, path in paths.items()])
+    lacks = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in paths])
+    joined = projected.join(assets.withColumn("_known", F.lit(True)), key, "left")
+    return joined.withColumn("audit", F.when(F.col("_known").isNull(), "missing_asset").when(lacks, "missing_field").otherwise("ok")).drop("_known")
+
+
+def batch_union(batches: list[DataFrame], keys: list[list[str]]) -> tuple[DataFrame, DataFrame]:
+    """(all rows with their batch number, refusals): a key that several rows share is refused, in one batch or across.
+
+    Refusals are rows (rule, key, rows, batches); nulls in a key are no value to share.
+    """
+    whole = reduce(DataFrame.unionByName, [b.withColumn("batch", F.lit(k)) for k, b in enumerate(batches)])
+    refusals = []
+    for key in keys:
+        value = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
+        named = whole.dropna(subset=key).groupBy(value.alias("key")).agg(F.count("*").alias("rows"), F.count_distinct("batch").alias("batches")).where("rows > 1")
+        refusals.append(named.select(F.lit("shared_" + "_".join(key)).alias("rule"), "key", "rows", "batches"))
+    return whole, reduce(DataFrame.unionByName, refusals)
+
+
+def register_tasks(planned: DataFrame, registered: DataFrame, identity: list[str]) -> DataFrame:
+    """Planned rows with ``action``: register, known (already there), or refuse (planned more than once)."""
+    often = planned.groupBy(*identity).agg(F.count("*").alias("_times"))
+    known = registered.select(*identity).distinct().withColumn("_known", F.lit(True))
+    joined = planned.join(often, identity).join(known, identity, "left")
+    return joined.withColumn("action", F.when(F.col("_times") > 1, "refuse").when(F.col("_known"), "known").otherwise("register")).drop("_times", "_known")
+
+
+def task_differences(planned: DataFrame, generated: DataFrame, identity: list[str], fields: list[str]) -> DataFrame:
+    """Generated tasks against their plan: rows (identity, status, fields that differ)."""
+    p, g = planned.select(*identity, F.struct(*fields).alias("_p")), generated.select(*identity, F.struct(*fields).alias("_g"))
+    both = p.join(g, identity, "full")
+    differ = F.array_compact(F.array(*[F.when(~F.col(f"_p.{f}").eqNullSafe(F.col(f"_g.{f}")), F.lit(f)) for f in fields]))
+    status = F.when(F.col("_g").isNull(), "not_generated").when(F.col("_p").isNull(), "not_planned").when(F.size(differ) > 0, "differs").otherwise("ok")
+    return both.select(*identity, status.alias("status"), F.when(status == "differs", F.array_join(differ, ",")).otherwise("").alias("fields"))

@@ -202,3 +202,45 @@ def region_export(spark, sf_dir):
     rows = regions(spark, sf_dir).select("run_id", "confidence", F.struct("area", "label").alias("tie"), "label", "area")
     out = export_regions(rows, "run_id", "confidence", "tie")
     return out.select("run_id", F.array_join(F.transform("regions", lambda r: F.concat_ws(":", r["label"], r["area"].cast("string"))), ",").alias("regions"))
+
+
+@query("""SELECT event_id, user_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.model') AS model, c_name,
+ CASE WHEN c_custkey IS NULL THEN 'missing_asset' WHEN json_extract_string(props, '$.k') IS NULL THEN 'missing_field' ELSE 'ok' END AS audit
+ FROM events LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON user_id = c_custkey""")
+def batch_audit(spark, sf_dir):
+    """Events are runs, customers are assets, of which every fifth is lost."""
+    assets = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("user_id"), "c_name")
+    runs = table(spark, sf_dir, "events").select("event_id", "user_id", "props")
+    out = R.batch_audit(runs, assets, key="user_id", json_col="props", paths={"k": "$.k"})
+    return out.select("event_id", "user_id", "k", F.get_json_object("props", "$.model").alias("model"), "c_name", "audit")
+
+
+@query("""WITH w AS (SELECT 0 AS batch, doc_id, sha256(text) AS content FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 1, doc_id, sha256(text) FROM documents WHERE doc_id % 2 = 1 OR doc_id % 50 = 0)
+ SELECT 'shared_doc_id' AS rule, CAST(doc_id AS VARCHAR) AS key, count(*) AS rows, count(DISTINCT batch) AS batches FROM w WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING count(*) > 1
+ UNION ALL SELECT 'shared_content', content, count(*), count(DISTINCT batch) FROM w WHERE content IS NOT NULL GROUP BY content HAVING count(*) > 1""")
+def batch_union_refusals(spark, sf_dir):
+    """Two batches that overlap in every fiftieth document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content"))
+    return R.batch_union([docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1 or doc_id % 50 = 0")], [["doc_id"], ["content"]])[1]
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem), n AS (SELECT l_orderkey, l_partkey, count(*) AS times FROM p GROUP BY ALL),
+ k AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linestatus = 'F')
+ SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN times > 1 THEN 'refuse' WHEN k.l_orderkey IS NOT NULL THEN 'known' ELSE 'register' END AS action FROM p JOIN n USING (l_orderkey, l_partkey) LEFT JOIN k USING (l_orderkey, l_partkey)""")
+def task_registration(spark, sf_dir):
+    """A line is a task, known if it is shipped; a part that an order has twice is refused."""
+    line = table(spark, sf_dir, "lineitem")
+    return R.register_tasks(line.select("l_orderkey", "l_partkey", "l_linenumber"), line.where("l_linestatus = 'F'"), ["l_orderkey", "l_partkey"])
+
+
+@query("""WITH p AS (SELECT o_orderkey, o_orderstatus AS status_code, CAST(round(o_totalprice) AS BIGINT) AS price FROM orders WHERE o_orderkey % 11 <> 0),
+ g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS status_code, CAST(round(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS price FROM orders WHERE o_orderkey % 13 <> 0),
+ j AS (SELECT coalesce(p.o_orderkey, g.o_orderkey) AS o_orderkey, p.o_orderkey IS NULL AS np, g.o_orderkey IS NULL AS ng, concat_ws(',', CASE WHEN p.status_code IS DISTINCT FROM g.status_code THEN 'status_code' END, CASE WHEN p.price IS DISTINCT FROM g.price THEN 'price' END) AS f FROM p FULL JOIN g ON p.o_orderkey = g.o_orderkey)
+ SELECT o_orderkey, CASE WHEN ng THEN 'not_generated' WHEN np THEN 'not_planned' WHEN f <> '' THEN 'differs' ELSE 'ok' END AS status, CASE WHEN NOT ng AND NOT np THEN f ELSE '' END AS fields FROM j""")
+def tasks_against_plan(spark, sf_dir):
+    """Orders are tasks; some were not generated, some not planned, some came out otherwise."""
+    key, price = F.col("o_orderkey"), F.round("o_totalprice").cast("long")
+    orders = table(spark, sf_dir, "orders")
+    planned = orders.where(key % 11 != 0).select("o_orderkey", F.col("o_orderstatus").alias("status_code"), price.alias("price"))
+    made = orders.where(key % 13 != 0).select("o_orderkey", F.when(key % 7 == 0, "X").otherwise(F.col("o_orderstatus")).alias("status_code"), (price + F.when(key % 5 == 0, 1).otherwise(0)).alias("price"))
+    return R.task_differences(planned, made, ["o_orderkey"], ["status_code", "price"])

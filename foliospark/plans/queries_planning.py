@@ -142,8 +142,8 @@ def manifest_flatten(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null")
     name = F.concat(F.lit("urn:doc:"), F.col("doc_id").cast("string"))
     image = F.struct(name.alias("id"), F.lit("Image").alias("type"), F.col("n_chars").alias("width"), F.lit(1000).alias("height"))
-    v3 = F.to_json(F.struct(name.alias("id"), F.lit("Canvas").alias("type"), F.create_map(F.lit("none"), F.array(F.substring("text", 1, 40))).alias("label"), F.array(F.struct(F.array(F.struct(image.alias("body"))).alias("items"))).alias("items")))
-    v2 = F.to_json(F.struct(name.alias("@id"), F.substring("text", 1, 40).alias("label"), F.array(F.struct(image.alias("resource"))).alias("images")))
+    v3 = F.to_json(F.struct(name.alias("id"), F.lit("Canvas").alias("type"), F.create_map(F.lit("none"), F.array("text")).alias("label"), F.array(F.struct(F.array(F.struct(image.alias("body"))).alias("items"))).alias("items")))
+    v2 = F.to_json(F.struct(name.alias("@id"), F.col("text").alias("label"), F.array(F.struct(image.alias("resource"))).alias("images")))
     # Manifests hold at most a hundred documents each: bounded groups.
     bundle = F.floor(F.col("doc_id") / 100)
     rows = docs.select("source", bundle.alias("b"), F.when(F.col("source").endswith("1"), v2).otherwise(v3).alias("c"), F.col("source").endswith("1").alias("old"))
@@ -210,10 +210,10 @@ def latest_matching_run(spark, sf_dir):
     return latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")
 
 
-@query("""SELECT doc_id, 'old' AS old_status, CASE WHEN n_chars >= 1000 THEN 'long' ELSE 'short' END AS band, CASE WHEN n_chars >= 1000 THEN printf('%.1f', round_even(n_chars / 1024.0::DOUBLE, 1)) || ' KB' ELSE n_chars || ' B' END AS shown FROM documents WHERE n_chars < 1000 OR n_chars >= 1024""")
+@query("""SELECT doc_id, 'old' AS old_status, CASE WHEN n_chars >= 1000 THEN 'long' ELSE 'short' END AS band, CASE WHEN n_chars >= 1048576 THEN printf('%.1f', round_even(n_chars / 1048576.0::DOUBLE, 1)) || ' MB' WHEN n_chars >= 1024 THEN printf('%.1f', round_even(n_chars / 1024.0::DOUBLE, 1)) || ' KB' ELSE n_chars || ' B' END AS shown FROM documents""")
 def shown_sizes(spark, sf_dir):
     """Readable sizes."""
     from ..functions.text import human_bytes
 
-    docs = table(spark, sf_dir, "documents").where("n_chars < 1000 or n_chars >= 1024")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.lit("old").alias("old_status"), F.when(F.col("n_chars") >= 1000, "long").otherwise("short").alias("band"), human_bytes(F.col("n_chars")).alias("shown"))

@@ -38,7 +38,7 @@ def slug_url_host(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.slug(url).alias("slug"), T.canonical_url(url).alias("canonical"), T.url_host(url).alias("host"))
 
 
-@query("""SELECT page_id, nullif(trim(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')), '') AS plain FROM pages""")
+@query("""SELECT page_id, nullif(trim(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&')), '') AS plain FROM pages""")
 def html_plain(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.plain_html(F.col("html")).alias("plain"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rules import rule_matches
+from ..functions.rules import REJECTION_V1, REJECTION_V2, REVIEW_V2, rule_matches
 from ..operators import profile, selection
 from .base import query, table
 
@@ -17,7 +17,7 @@ SPLIT_NAMES = ["train", "validation", "test"]
 
 def pages(spark: SparkSession, sf_dir: str, rules=RULES_1, review=()) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    label = F.substring("text", 1, 60)
+    label = F.col("text")
     codes = lambda r: F.transform(rule_matches(label, r), lambda m: m["code"])
     return docs.select(F.col("source").alias("group_id"), F.col("doc_id").alias("page_id"), F.col("doc_id").alias("sequence"), codes(rules).alias("reject_codes"), codes(review).cast("array<string>").alias("review_codes"))
 
@@ -40,7 +40,7 @@ b AS (SELECT name, sum(c) OVER (ORDER BY i) - c AS low, sum(c) OVER (ORDER BY i)
 sp AS (SELECT source, position, name AS split FROM o JOIN b ON position > low AND position <= high)
 """
 _RULED = """
-p AS (SELECT source, doc_id, substr(text, 1, 60) AS label FROM documents),
+p AS (SELECT source, doc_id, text AS label FROM documents),
 f AS (SELECT source, doc_id, concat_ws(',', CASE WHEN regexp_matches(label, '!!') THEN 'shouting' END, CASE WHEN regexp_matches(label, '[|]') THEN 'piped' END) AS codes,
       sha256(concat_ws(chr(0), 'seed', source, CAST(doc_id AS VARCHAR))) AS digest FROM p)
 """
@@ -112,19 +112,19 @@ def split_leakage(spark, sf_dir):
     return found.select("key", F.array_join("splits", ",").alias("splits"), "rows")
 
 
-@query("""WITH p AS (SELECT doc_id, substr(text, 1, 60) AS label FROM documents)
+@query("""WITH p AS (SELECT doc_id, text AS label FROM documents)
  SELECT doc_id, code, evidence FROM (
   SELECT doc_id, 'shouting' AS code, regexp_extract(label, '!!', 0) AS evidence FROM p WHERE regexp_matches(label, '!!')
   UNION ALL SELECT doc_id, 'piped', regexp_extract(label, '[|]', 0) FROM p WHERE regexp_matches(label, '[|]')
   UNION ALL SELECT doc_id, 'marked', regexp_extract(label, '[%$#&*]{3}', 0) FROM p WHERE regexp_matches(label, '[%$#&*]{3}'))""")
 def label_rejection_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode(rule_matches(F.substring("text", 1, 60), RULES_2)).alias("m")).select("doc_id", "m.code", "m.evidence")
+    return docs.select("doc_id", F.explode(rule_matches(F.col("text"), RULES_2)).alias("m")).select("doc_id", "m.code", "m.evidence")
 
 
 def _status_sql(codes: str) -> str:
     return f"""(SELECT doc_id, CASE WHEN bad THEN 'rejected' WHEN row_number() OVER (PARTITION BY source, bad ORDER BY digest, doc_id) <= 3 THEN 'selected' ELSE 'candidate' END AS status
-      FROM (SELECT source, doc_id, regexp_matches(substr(text, 1, 60), '{codes}') AS bad, sha256(concat_ws(chr(0), 'seed', source, CAST(doc_id AS VARCHAR))) AS digest FROM documents))"""
+      FROM (SELECT source, doc_id, coalesce(regexp_matches(text, '{codes}'), false) AS bad, sha256(concat_ws(chr(0), 'seed', source, CAST(doc_id AS VARCHAR))) AS digest FROM documents))"""
 
 
 @query(f"""SELECT a.status || '->' || b.status AS transition, count(*) AS rows FROM {_status_sql('!!|[|]')} a JOIN {_status_sql('!!|[|]|[%$#&*]{3}')} b USING (doc_id) GROUP BY 1""")
@@ -151,3 +151,57 @@ def split_two_grains(spark, sf_dir):
 def decision_conflicts(spark, sf_dir):
     own = decisions(spark, sf_dir).withColumn("sequence", F.col("page_id"))
     return selection.decision_conflicts(pages(spark, sf_dir), own)
+
+
+# Labels as catalogues write them, by part; every fourth one goes on with the part's name.
+PHRASES = (
+    "Front Cover", "rear  cover", "Pastedown front", "paste-down", "Binding", "Spine view", "Blank", "Empty page", "Colour chart", "color target", "Calibration image", "Test chart", "Grey scale", "digitization target",
+    "Copyright notice", "administrative page", "Digital ColorChecker", "colour profile", "ruler on page", "QP card", "Fore edge", "head B", "open view", "Accompanying materials", "accompanying materials 12r", "Folio 12r", "discovery", "spines", "blanket", "recovered leaf",
+)
+_LABELS = f"SELECT p_partkey, [{', '.join(repr(x) for x in PHRASES)}][CAST(p_partkey % {len(PHRASES)} AS INTEGER) + 1] || CASE WHEN p_partkey % 4 = 0 THEN ' ' || p_name ELSE '' END AS label FROM part"
+
+
+def _labels(spark, sf_dir) -> DataFrame:
+    phrase = F.element_at(F.array(*[F.lit(x) for x in PHRASES]), (F.col("p_partkey") % len(PHRASES)).cast("int") + 1)
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(phrase, F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(" "), F.col("p_name"))).otherwise("")).alias("label"))
+
+
+def _rules_sql(rules) -> str:
+    each = [f"SELECT p_partkey, {k} AS rule, '{code}' AS code, regexp_extract(label, '{pattern}', 0, 'i') AS evidence FROM l WHERE regexp_matches(label, '{pattern}', 'i')" for k, (code, pattern) in enumerate(rules)]
+    return f"WITH l AS ({_LABELS}) " + " UNION ALL ".join(each)
+
+
+def _ruled(spark, sf_dir, rules) -> DataFrame:
+    numbered = [(f"{k}:{code}", pattern) for k, (code, pattern) in enumerate(rules)]
+    found = _labels(spark, sf_dir).select("p_partkey", F.explode(rule_matches(F.col("label"), numbered)).alias("m"))
+    return found.select("p_partkey", F.substring_index("m.code", ":", 1).cast("int").alias("rule"), F.substring_index("m.code", ":", -1).alias("code"), "m.evidence")
+
+
+@query(_rules_sql(REJECTION_V1))
+def label_rejection_v1(spark, sf_dir):
+    """P26, first version of the rules."""
+    return _ruled(spark, sf_dir, REJECTION_V1)
+
+
+@query(_rules_sql(REJECTION_V2))
+def label_rejection_v2(spark, sf_dir):
+    """P26, second version."""
+    return _ruled(spark, sf_dir, REJECTION_V2)
+
+
+@query(_rules_sql(REVIEW_V2))
+def label_review_v2(spark, sf_dir):
+    """Doubtful labels go to a person, they are not rejected."""
+    return _ruled(spark, sf_dir, REVIEW_V2)
+
+
+@query(f"""WITH l AS ({_LABELS}), s AS (SELECT p_partkey,
+  CASE WHEN {' OR '.join(f"regexp_matches(label, '{p}', 'i')" for _, p in REJECTION_V1)} THEN 'rejected' ELSE 'candidate' END AS v1,
+  CASE WHEN {' OR '.join(f"regexp_matches(label, '{p}', 'i')" for _, p in REJECTION_V2)} THEN 'rejected' WHEN {' OR '.join(f"regexp_matches(label, '{p}', 'i')" for _, p in REVIEW_V2)} THEN 'uncertain' ELSE 'candidate' END AS v2 FROM l)
+ SELECT v1 || '->' || v2 AS transition, count(*) AS rows FROM s GROUP BY 1""")
+def label_rule_versions(spark, sf_dir):
+    """C11: what the second version of the rules changes."""
+    hit = lambda rules: F.size(rule_matches(F.col("label"), rules)) > 0
+    v1 = F.when(hit(REJECTION_V1), "rejected").otherwise("candidate")
+    v2 = F.when(hit(REJECTION_V2), "rejected").when(hit(REVIEW_V2), "uncertain").otherwise("candidate")
+    return _labels(spark, sf_dir).groupBy(F.concat_ws("->", v1, v2).alias("transition")).agg(F.count("*").alias("rows"))

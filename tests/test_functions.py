@@ -85,3 +85,22 @@ def test_boxes_and_transforms(spark):
     same = one(spark, geometry.apply(geometry.compose(geometry.invert(m), m), F.lit(3.0), F.lit(4.0)))
     assert (round(same.x, 6), round(same.y, 6)) == (3, 4)
     assert one(spark, geometry.invert(geometry.affine(1, 2, 0, 2, 4, 0))) is None
+
+
+def test_character_references_are_undone_once(spark):
+    import html
+
+    texts = ["M&uuml;nchen &amp; K&ouml;ln", "&amp;lt;b&amp;gt;", "&#233;&#xE9;&#x1F600;", "&unknown; & &&amp;", "&copy 1900", "no reference", "", "&nbsp;x&NotEqualTilde;", "a;b&#0;", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.unescape_html(F.col("t")).alias("u")).collect()
+    for r in rows:
+        if texts[r.k] is None:
+            assert r.u is None
+        elif "&#0;" not in texts[r.k]:  # not a character: stays as it is
+            assert r.u == html.unescape(texts[r.k]), texts[r.k]
+    assert spark.createDataFrame([("<p> S&ouml;hne </p>",), ("<br>",)], "t string").select(T.plain_html(F.col("t")).alias("p")).collect() == [("S\xf6hne",), (None,)]
+
+
+def test_json_keys_of_odd_texts(spark):
+    texts = ['{"a-B": 1, "c\\"d": {"x": 2}}', '{"s": "\\"y\\": 1"}', "[1]", "broken", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.json_keys(F.col("t")).alias("keys")).orderBy("k").collect()
+    assert [r["keys"] for r in rows] == [["a_b", 'c"d', "x"], ["s"], [], [], []]

@@ -174,3 +174,22 @@ def test_a_seeded_cut_has_three_fair_pieces(spark):
     assert out.area_1 + out.area_2 + out.area_3 == 900 and min(out.area_1, out.area_2, out.area_3) >= 0.18 * 900
     again = R.three_way_partition(grid(spark, 30, 30).repartition(5)).first()
     assert again == out
+
+
+def test_batches_and_tasks(spark):
+    from foliospark.operators import reconcile
+
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id int, url string")
+    two = spark.createDataFrame([(2, "d"), (3, "a"), (None, "e")], "id int, url string")
+    whole, refused = reconcile.batch_union([one, two], [["id"], ["url"]])
+    assert whole.count() == 6 and {tuple(r) for r in refused.collect()} == {("shared_id", "2", 2, 2), ("shared_url", "a", 2, 2)}
+    assert reconcile.batch_union([one.limit(0), two.limit(0)], [["id"]])[1].count() == 0
+    planned = spark.createDataFrame([(1, 5), (1, 6), (2, 7), (3, 8)], "task int, n int")
+    out = reconcile.register_tasks(planned, spark.createDataFrame([(3,), (3,)], "task int"), ["task"])
+    assert sorted((r.n, r.action) for r in out.collect()) == [(5, "refuse"), (6, "refuse"), (7, "register"), (8, "known")]
+    made = spark.createDataFrame([(2, 7), (3, 9), (4, 1)], "task int, n int")
+    out = reconcile.task_differences(planned.where("task > 1 or n = 5"), made, ["task"], ["n"])
+    assert sorted(map(tuple, out.collect())) == [(1, "not_generated", ""), (2, "ok", ""), (3, "differs", "n"), (4, "not_planned", "")]
+    runs = spark.createDataFrame([(1, 10, '{"a": {"b": "x"}}'), (2, 11, "{}"), (3, 12, None)], "run int, asset int, props string")
+    out = reconcile.batch_audit(runs, spark.createDataFrame([(10, "p"), (11, "q")], "asset int, name string"), key="asset", json_col="props", paths={"b": "$.a.b"})
+    assert sorted((r.run, r.b, r.audit) for r in out.collect()) == [(1, "x", "ok"), (2, None, "missing_field"), (3, None, "missing_asset")]
