@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages, each one of the training-data operators, over all documents."""
+"""The corpus pipeline: five stages, each one of the training-data operators, over all documents.
+
+In every stage a null text is an empty one and keeps its null; rows with a null doc_id stay unless the stage's own rule drops their
+text; repeated rows are each judged alike; an empty table stays empty; further columns of documents are carried along.
+"""
 
 from __future__ import annotations
 
@@ -11,25 +15,25 @@ from foliospark.llm.tokens import default_tokenizer
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below 0.3 go."""
+    """Documents that the classifier scores below 0.3 go. Empty texts are scored by their statistics; without labels every score is 0.5."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score_documents(docs, model).where("score >= 0.3").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that five documents or more share stay in one of them; n_chars follows the text."""
+    """Lines that five documents or more share stay in the one of largest doc_id; n_chars follows a text that changes. A text may become empty."""
     cleaned = line_runs.dedup_lines(docs)
     length = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", length).select(*docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates stays."""
+    """One document of every group of near-duplicates stays, the one of smallest doc_id (all rows of that id, if it is repeated). Empty texts are one group."""
     return simhash.keep_one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item occurs go."""
+    """Documents in which a benchmark item occurs go. Items without words occur nowhere."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
