@@ -239,17 +239,23 @@ def repeated_passages(
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = units.select("unit", "bands").mapInArrow(_once, "band long, unit long")
     member = stage(keyed.repartition(shards, "band").sortWithinPartitions("band", "unit").mapInArrow(_shared, "band long, unit long"))
-    # One place of each unit stands for all; its shingles are fetched by row, so a common paragraph's places never meet.
-    first = units.groupBy("unit").agg(F.min("row").alias("row")).join(member.select("unit").distinct(), "unit", "left_semi")
-    sets = stage(units.select("row", "shingles").join(first, "row").select("unit", F.array_distinct("shingles").alias("s")))
-    full = member.join(member.groupBy("band").agg(F.count("*").alias("members")), "band").join(sets, "unit")
-    links = _small_groups(full.where(F.col("members") <= SMALL_GROUP), similarity).unionByName(_large_groups(full.where(F.col("members") > SMALL_GROUP), similarity, block_units))
+    # Of all units, those go on that share a band or lie in two documents; one place of each stands for all, its
+    # shingles are fetched by row, so a common paragraph's places never meet.
+    own = units.groupBy("unit").agg(F.min("row").alias("row"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    met = member.select("unit").distinct().withColumn("met", F.lit(True))
+    own = stage(own.join(met, "unit", "left").where(F.col("met") | (F.col("first") != F.col("last"))))
+    sets = stage(units.select("row", "shingles").join(own.where("met").select("row", "unit"), "row").select("unit", F.array_distinct("shingles").alias("s")))
+    # Staged, so that the members of a hot band needn't meet to learn its size.
+    large = stage(member.groupBy("band").agg(F.count("*").alias("members")).where(F.col("members") > SMALL_GROUP))
+    full = member.join(large, "band", "left").join(sets, "unit")
+    links = _small_groups(full.where("members is null"), similarity).unionByName(_large_groups(full.where("members is not null"), similarity, block_units))
     roots = connected_components(links.distinct())
-    place = units.select("doc_id", "digest", "paragraph", "start", "end", "n_words", "unit").join(roots, F.col("unit") == F.col("node"), "left")
-    place = place.select("doc_id", "digest", "paragraph", "start", "end", "n_words", F.coalesce("root", "unit").alias("cluster"))
-    cluster = place.groupBy("cluster").agg(F.min(F.struct("doc_id", "digest", "paragraph", "start")).alias("home"), F.max("doc_id").alias("last"))
-    # Staged, so that both sides of the join are plain shuffles: Spark then splits a very common passage's rows.
-    cluster = stage(cluster.where(F.col("home.doc_id") != F.col("last")).select("cluster", "home"))
+    own = own.join(roots, F.col("unit") == F.col("node"), "left").select("unit", "first", "last", F.coalesce("root", "unit").alias("cluster"))
+    wide = own.groupBy("cluster").agg(F.min("first").alias("first"), F.max("last").alias("last")).where(F.col("first") != F.col("last"))
+    # Staged (here and below), so that both sides of the join are plain shuffles: Spark then splits a very common passage's rows.
+    wanted = stage(own.select("unit", "cluster").join(wide.select("cluster"), "cluster", "left_semi"))
+    place = stage(units.select("doc_id", "digest", "paragraph", "start", "end", "n_words", "unit").join(wanted, "unit").drop("unit"))
+    cluster = stage(place.groupBy("cluster").agg(F.min(F.struct("doc_id", "digest", "paragraph", "start")).alias("home")))
     repeats = place.join(cluster, "cluster").dropDuplicates(["doc_id", "digest", "paragraph"])  # rows that are there twice count once
     by_text = Window.partitionBy("doc_id", "digest").orderBy("paragraph")
     # One paragraph that differs, as an edit leaves it, does not end a passage.
