@@ -21,6 +21,10 @@ PLACEMENTS = ["start_edge", "interior", "end_edge"]
 LOBES = ((0.28, 0.31, 1.0, 0.8), (0.50, 0.49, 0.85, 1.0), (0.71, 0.69, 1.0, 0.85))
 SEVERITY_TOLERANCE = 0.005
 
+# Fixed values of the cuts: least area and ink of a piece; between which shares a layout's two cuts fall.
+PIECE_AREA, PIECE_INK = 0.18, 0.04
+LAYOUTS = {"T": ((0.36, 0.58), (0.38, 0.62)), "L": ((0.34, 0.56), (0.38, 0.62))}
+
 
 def text_cells(docs: DataFrame, page: str, text: str) -> DataFrame:
     """One cell for each word: (page_id, y, x, width, height), region = line y; no cell for an empty word.
@@ -250,31 +254,42 @@ def span_components(spans: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def three_way_partition(cells: DataFrame, *, attempts: int = 40, least_area: float = 0.18, least_ink: float = 0.08, ink: Column | None = None) -> DataFrame:
+def three_way_partition(cells: DataFrame, *, pages: DataFrame | None = None, attempts: int = 40, least_area: float = PIECE_AREA, least_ink: float = PIECE_INK, ink: Column | None = None, ink_shares: tuple[float, ...] = ()) -> DataFrame:
     """R18 (W9): (page_id, layout, attempt, area_1, area_2, area_3): the first valid seeded cut of every page.
 
-    An attempt cuts across at one share of the height, then one part down or along at a share of the
-    width: layout T cuts the lower part, layout L the upper. Cells are summed for all attempts at once; a
-    cut is valid if every piece has its least area and ink; T goes before L, then early attempts.
+    Layout T cuts across, then the lower part down; layout L cuts down, then the right part across. A cut is
+    valid if every piece has its least area and the least ink a cell. With ``ink_shares`` the least ink is at
+    most that share of the page's own ink a cell; the shares are tried in their order. Within a share the
+    layout drawn for the page goes first, then early attempts. A page without a valid cut, or without an id, has no row.
+    The lines of all attempts are drawn once a page (of ``pages``, else of the cells) and joined to its cells.
     """
-    inked = F.lit(True) if ink is None else ink
-    sized = cells.withColumn("ink", inked.cast("int"))
-    tries = sized.select("page_id", "x", "y", "width", "height", "ink", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"), F.lit(None).alias("_")).drop("_")
-    cut = tries.withColumn("a", 0.3 + 0.4 * _draw("across", "attempt")).withColumn("d", 0.3 + 0.4 * _draw("down", "attempt"))
+    ids = (cells if pages is None else pages).select("page_id").distinct()
+    tries = ids.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
+    lines = [(F.lit(low) + F.lit(high - low) * _draw(f"{layout}{k}", "attempt")).alias(f"{layout}{k}") for layout, cuts in LAYOUTS.items() for k, (low, high) in enumerate(cuts)]
     v, u = (F.col("y") + 0.5) / F.col("height"), (F.col("x") + 0.5) / F.col("width")
-    first = v < F.col("a")
-    pieces = {"T": F.when(first, 1).when(u < F.col("d"), 2).otherwise(3), "L": F.when(~first, 1).when(u < F.col("d"), 2).otherwise(3)}
-    both = cut.withColumn("p", F.explode(F.array(*[F.struct(F.lit(k).alias("layout"), p.alias("piece")) for k, p in pieces.items()]))).select("page_id", "attempt", "p.layout", "p.piece", "ink")
-    sums = both.groupBy("page_id", "layout", "attempt").agg(F.count("*").alias("n"), F.sum("ink").alias("i"), *[F.count(F.when(F.col("piece") == k, 1)).alias(f"n{k}") for k in (1, 2, 3)], *[F.sum(F.when(F.col("piece") == k, F.col("ink")).otherwise(0)).alias(f"i{k}") for k in (1, 2, 3)])
-    valid = F.lit(True)
-    for k in (1, 2, 3):
-        valid = valid & (F.col(f"n{k}") >= F.col("n") * least_area) & (F.col(f"i{k}") >= F.col("i") * least_ink)
-    best = Window.partitionBy("page_id").orderBy(F.col("layout").desc(), "attempt")
-    return sums.where(valid).withColumn("_r", F.row_number().over(best)).where("_r = 1").select("page_id", "layout", "attempt", *[F.col(f"n{k}").alias(f"area_{k}") for k in (1, 2, 3)])
+    placed = cells.select("page_id", v.alias("v"), u.alias("u"), (F.lit(1) if ink is None else ink.cast("int")).alias("ink"))
+    # Never broadcast: there are forty rows of every page.
+    cut = placed.join(tries.select("page_id", "attempt", *lines).hint("merge"), "page_id")
+    sums, stats = [F.count("*").alias("n"), F.sum("ink").alias("i")], []
+    for layout, (one, two) in {"T": ("v", "u"), "L": ("u", "v")}.items():
+        first, second = F.col(one) < F.col(f"{layout}0"), F.col(two) < F.col(f"{layout}1")
+        for k, inside in enumerate((first, ~first & second, ~first & ~second), 1):
+            sums += [F.count_if(inside).alias(f"{layout}n{k}"), F.sum(F.when(inside, F.col("ink")).otherwise(0)).alias(f"{layout}i{k}")]
+        stats.append(F.struct(F.lit(layout).alias("layout"), *[F.col(f"{layout}{c}{k}").alias(f"{c}{k}") for k in (1, 2, 3) for c in "ni"]))
+    by = cut.groupBy("page_id", "attempt").agg(*sums).select("page_id", "attempt", "n", "i", F.explode(F.array(*stats)).alias("p")).select("page_id", "attempt", "n", "i", "p.*")
+
+    def valid(least: Column) -> Column:
+        return F.least(*[(F.col(f"n{k}") >= F.col("n") * least_area) & (share(F.col(f"i{k}"), F.col(f"n{k}")) >= least) for k in (1, 2, 3)])
+
+    floors = [F.least(F.lit(least_ink), F.lit(s) * (F.col("i") / F.col("n"))) for s in ink_shares] or [F.lit(least_ink)]
+    level = F.coalesce(*[F.when(valid(floor), k) for k, floor in enumerate(floors)])
+    best = Window.partitionBy("page_id").orderBy("_level", F.col("layout") != choice(stable_seed("layout", F.col("page_id")), list(LAYOUTS)), "attempt")
+    ranked = by.withColumn("_level", level).where("_level is not null").withColumn("_r", F.row_number().over(best))
+    return ranked.where("_r = 1").select("page_id", "layout", "attempt", *[F.col(f"n{k}").alias(f"area_{k}") for k in (1, 2, 3)])
 
 
 def _draw(name: str, attempt: str) -> Column:
-    """A seeded number in [0, 1) for a page and attempt, on a grid of 2^15."""
+    """A seeded number in [0, 1) for a page and attempt, on a grid of 2^16."""
     return F.conv(F.substring(stable_digest(name, F.col("page_id"), F.col(attempt)), 1, 4), 16, 10).cast("int") / 65536
 
 

@@ -191,18 +191,23 @@ def topology_checks(spark, sf_dir):
     return R.topology(R.remove_share(cells(spark, sf_dir), "edge_loss", 0.3))
 
 
-def _draw(name: str) -> str:
-    return f"(0.3::DOUBLE + 0.4::DOUBLE * (CAST('0x' || substr(sha256(concat_ws(chr(0), '{name}', CAST(page_id AS VARCHAR), CAST(attempt AS VARCHAR))), 1, 4) AS INTEGER) / 65536))"
+def _draw(name: str, low: float, high: float) -> str:
+    return f"({low}::DOUBLE + ({high}::DOUBLE - {low}::DOUBLE) * (CAST('0x' || substr(sha256(concat_ws(chr(0), '{name}', CAST(page_id AS VARCHAR), CAST(attempt AS VARCHAR))), 1, 4) AS INTEGER) / 65536))"
 
 
-@query(f"""WITH {_CELLS}, t AS (SELECT *, {_draw('across')} AS a, {_draw('down')} AS d FROM (SELECT page_id, attempt FROM (SELECT DISTINCT page_id FROM cells), range(0, 4) r(attempt))),
- c AS (SELECT page_id, attempt, (y + 0.5::DOUBLE) / height < a AS first, (x + 0.5::DOUBLE) / width < d AS west FROM cells JOIN t USING (page_id)),
- p AS (SELECT page_id, attempt, 'T' AS layout, CASE WHEN first THEN 1 WHEN west THEN 2 ELSE 3 END AS piece FROM c UNION ALL SELECT page_id, attempt, 'L', CASE WHEN NOT first THEN 1 WHEN west THEN 2 ELSE 3 END FROM c),
- s AS (SELECT page_id, layout, attempt, count(*) AS n, count(*) FILTER (WHERE piece = 1) AS area_1, count(*) FILTER (WHERE piece = 2) AS area_2, count(*) FILTER (WHERE piece = 3) AS area_3 FROM p GROUP BY ALL),
- b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY layout DESC, attempt) AS r FROM s WHERE least(area_1, area_2, area_3) >= n * 0.18::DOUBLE)
+@query(f"""WITH {_CELLS}, t AS (SELECT *, {_draw('T0', 0.36, 0.58)} AS t0, {_draw('T1', 0.38, 0.62)} AS t1, {_draw('L0', 0.34, 0.56)} AS l0, {_draw('L1', 0.38, 0.62)} AS l1 FROM (SELECT page_id, attempt FROM (SELECT DISTINCT page_id FROM cells), range(0, 40) r(attempt))),
+ c AS (SELECT page_id, attempt, (y + 0.5::DOUBLE) / height AS v, (x + 0.5::DOUBLE) / width AS u, CAST((x * 7 + y * 3) % 29 = 0 AS INTEGER) AS ink, t0, t1, l0, l1 FROM cells JOIN t USING (page_id)),
+ p AS (SELECT page_id, attempt, 'T' AS layout, CASE WHEN v < t0 THEN 1 WHEN u < t1 THEN 2 ELSE 3 END AS piece, ink FROM c UNION ALL SELECT page_id, attempt, 'L', CASE WHEN u < l0 THEN 1 WHEN v < l1 THEN 2 ELSE 3 END, ink FROM c),
+ k AS (SELECT page_id, layout, attempt, piece, count(*) AS n, sum(ink) AS i FROM p GROUP BY ALL),
+ m AS (SELECT page_id, layout, attempt, sum(n) AS n, sum(i) / sum(n) AS density, min(n) AS least_n, min(i / n) AS least_i, count(*) AS pieces, CAST(sum(n) FILTER (WHERE piece = 1) AS BIGINT) AS area_1, CAST(sum(n) FILTER (WHERE piece = 2) AS BIGINT) AS area_2, CAST(sum(n) FILTER (WHERE piece = 3) AS BIGINT) AS area_3 FROM k GROUP BY ALL),
+ s AS (SELECT *, CASE WHEN least_i >= least(0.04::DOUBLE, 0.85::DOUBLE * density) THEN 0 WHEN least_i >= least(0.04::DOUBLE, 0.7::DOUBLE * density) THEN 1 WHEN least_i >= least(0.04::DOUBLE, 0.5::DOUBLE * density) THEN 2 END AS level, CAST('0x' || substr(sha256(concat_ws(chr(0), 'layout', CAST(page_id AS VARCHAR))), 1, 15) AS BIGINT) % 2 AS drawn FROM m WHERE pieces = 3 AND least_n >= n * 0.18::DOUBLE),
+ b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY level, layout <> CASE drawn WHEN 0 THEN 'T' ELSE 'L' END, attempt) AS r FROM s WHERE level IS NOT NULL)
  SELECT page_id, layout, CAST(attempt AS INTEGER) AS attempt, area_1, area_2, area_3 FROM b WHERE r = 1""")
 def seeded_partition(spark, sf_dir):
-    return R.three_way_partition(cells(spark, sf_dir), attempts=4)
+    """Both layouts, all forty attempts, the ink a cell relaxed in three steps; every 29th cell or so has ink."""
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"))
+    marked = (F.col("x") * 7 + F.col("y") * 3) % 29 == 0
+    return R.three_way_partition(cells(spark, sf_dir), pages=pages, ink=marked, ink_shares=(0.85, 0.7, 0.5))
 
 
 @query(f"""WITH {removal_sql('edge_loss', 0.3)}, {_SURVIVAL}, lb AS (SELECT *, CASE WHEN region_id % 3 = 0 THEN 'heading' ELSE 'body' END AS label FROM sv),

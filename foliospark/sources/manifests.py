@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import sys
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions import text as T
 
@@ -48,27 +53,53 @@ def items(v: Column) -> Column:
     return F.coalesce(F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>")), F.array().cast("array<variant>"))
 
 
-def text_value(v: Column, depth: int = 3) -> Column:
-    """Readable text of a multilingual container; containers nest ``depth`` deep at most.
+def _readers():
+    """Arrow functions over JSON texts. They are made here, so that workers get them whole and need not import this package."""
+
+    def parts(value) -> list[str]:
+        if isinstance(value, list):
+            return [p for v in value for p in parts(v) if p]
+        if isinstance(value, dict):
+            plain = not isinstance(value.get("value"), (list, dict))
+            chosen = [k for k in ("@value", "value", "none", "en") if k in value and (k != "value" or plain)]
+            return parts(value[chosen[0]]) if chosen else next((p for p in map(parts, value.values()) if any(p)), [])
+        return [] if value is None else [str(value)]
+
+    def readable(value) -> str | None:
+        found = parts(value)
+        return "; ".join(found) if found else None
+
+    def each(raw: pd.Series, read) -> pd.Series:
+        # Containers nest as deep as the JSON parser lets them, which is deeper than Python's frames do.
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10000))
+        return pd.Series([None if r is None else read(json.loads(r)) for r in raw], dtype=object)
+
+    def one(raw: pd.Series) -> pd.Series:
+        return each(raw, readable)
+
+    def labelled(raw: pd.Series) -> pd.Series:
+        def read(found):
+            pairs = [{"label": readable(m.get("label")), "value": readable(m.get("value"))} for m in found if isinstance(m, dict)]
+            return [p for p in pairs if p["label"] or p["value"]]
+
+        return each(raw, read)
+
+    text = StringType()
+    return F.pandas_udf(one, text), F.pandas_udf(labelled, ArrayType(StructType().add("label", text).add("value", text)))
+
+
+_one_text, _label_texts = _readers()
+
+
+def text_value(v: Column) -> Column:
+    """Readable text of a multilingual container, however deep it nests.
 
     A string or number is itself; a list is its filled parts, joined by "; "; an object gives its @value, a
-    scalar value, none, en, or its first filled member.
+    scalar value, none, en, or its first filled member (in the order of names, as VARIANT has no other); null without any.
+    Recursion has no column form, so what is no string goes through an Arrow function.
     """
-    scalar = F.try_variant_get(v, "$", "string")
-    if depth == 0:
-        return F.when(~is_object(v) & ~is_array(v), scalar)
-    inner = lambda x: text_value(x, depth - 1)
-    parts = F.filter(F.transform(items(v), inner), lambda p: p.isNotNull() & (p != ""))
-    member = lambda name: F.try_variant_get(v, f'$["{name}"]', "variant")
-    has = lambda name: member(name).isNotNull()
-    plain = has("value") & ~is_object(member("value")) & ~is_array(member("value"))
-    entries = F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
-    first = F.try_element_at(F.filter(F.transform(entries, inner), lambda p: p.isNotNull() & (p != "")), F.lit(1))
-    return (
-        F.when(is_array(v), F.nullif(F.array_join(parts, "; "), F.lit("")))
-        .when(is_object(v), F.when(has("@value"), inner(member("@value"))).when(plain, inner(member("value"))).when(has("none"), inner(member("none"))).when(has("en"), inner(member("en"))).otherwise(first))
-        .otherwise(scalar)
-    )
+    plain = kind_of(v) == "STRING"
+    return F.when(plain, F.try_variant_get(v, "$", "string")).otherwise(_one_text(F.when(~plain, F.to_json(v))))
 
 
 def identifier(v: Column) -> Column:
@@ -101,10 +132,8 @@ def manifest_version(doc: Column) -> Column:
 
 def metadata_of(doc: Column) -> Column:
     """array<struct<label, value>>, without items that have neither."""
-    raw = F.filter(items(F.try_variant_get(doc, "$.metadata", "variant")), is_object)
-    pairs = F.transform(raw, lambda m: F.struct(text_value(F.try_variant_get(m, "$.label", "variant"), 2).alias("label"), text_value(F.try_variant_get(m, "$.value", "variant"), 2).alias("value")))
-    filled = lambda c: c.isNotNull() & (c != "")
-    return F.filter(pairs, lambda p: filled(p["label"]) | filled(p["value"]))
+    raw = F.try_variant_get(doc, "$.metadata", "variant")
+    return F.coalesce(_label_texts(F.when(is_array(raw), F.to_json(raw))), F.array().cast("array<struct<label:string,value:string>>"))
 
 
 def manifests_table(manifests: DataFrame) -> DataFrame:
@@ -113,11 +142,11 @@ def manifests_table(manifests: DataFrame) -> DataFrame:
     rights = F.when(F.col("version") == 2, get(doc, "$.license")).otherwise(get(doc, "$.rights"))
     provider = F.try_variant_get(doc, "$.provider", "variant")
     first_provider = F.when(is_array(provider), F.try_variant_get(provider, "$[0]", "variant")).otherwise(provider)
-    attribution = F.when(F.col("version") == 2, text_value(F.try_variant_get(doc, "$.attribution", "variant"), 2)).otherwise(
-        F.coalesce(F.nullif(text_value(F.try_variant_get(doc, "$.requiredStatement.value", "variant"), 2), F.lit("")), text_value(F.try_variant_get(first_provider, "$.label", "variant"), 2))
+    attribution = F.when(F.col("version") == 2, text_value(F.try_variant_get(doc, "$.attribution", "variant"))).otherwise(
+        F.coalesce(F.nullif(text_value(F.try_variant_get(doc, "$.requiredStatement.value", "variant")), F.lit("")), text_value(F.try_variant_get(first_provider, "$.label", "variant")))
     )
     base = manifests.withColumn("version", manifest_version(doc)).where("version is not null")
-    base = base.select("source", "version", "doc", identifier(doc).alias("manifest_id"), text_value(F.try_variant_get(doc, "$.label", "variant"), 2).alias("label"), metadata_of(doc).alias("metadata"), rights.alias("rights"), attribution.alias("attribution"))
+    base = base.select("source", "version", "doc", identifier(doc).alias("manifest_id"), text_value(F.try_variant_get(doc, "$.label", "variant")).alias("label"), metadata_of(doc).alias("metadata"), rights.alias("rights"), attribution.alias("attribution"))
     return base.withColumn("policy", T.rights_policy(F.col("rights")))
 
 
@@ -152,7 +181,7 @@ def canvases_table(manifests: DataFrame) -> DataFrame:
     shape = lambda i: F.struct(identifier(i).alias("source_url"), service(i).alias("service_url"), get(i, "$.format").alias("media_type"), integer(i, "$.width").alias("width"), integer(i, "$.height").alias("height"))
     name = F.concat(F.lit("unknown-v"), F.col("version").cast("string"), F.lit("-canvas-"), F.col("sequence_index").cast("string"))
     return rows.select(
-        "source", F.coalesce(identifier(c), name).alias("canvas_id"), text_value(F.try_variant_get(c, "$.label", "variant"), 2).alias("label"), integer(c, "$.width").alias("width"), integer(c, "$.height").alias("height"),
+        "source", F.coalesce(identifier(c), name).alias("canvas_id"), text_value(F.try_variant_get(c, "$.label", "variant")).alias("label"), integer(c, "$.width").alias("width"), integer(c, "$.height").alias("height"),
         "sequence_index", F.transform(F.when(F.col("version") == 2, v2).otherwise(v3), shape).alias("images"),
     )
 

@@ -174,6 +174,14 @@ def test_a_seeded_cut_has_three_fair_pieces(spark):
     assert out.area_1 + out.area_2 + out.area_3 == 900 and min(out.area_1, out.area_2, out.area_3) >= 0.18 * 900
     again = R.three_way_partition(grid(spark, 30, 30).repartition(5)).first()
     assert again == out
+    # One cell of fifty has ink: below the least, above half of the page's own.
+    sparse = F.expr("(x * 7 + y * 3) % 50 = 0")
+    assert R.three_way_partition(grid(spark, 30, 30), ink=sparse).count() == 0
+    assert R.three_way_partition(grid(spark, 30, 30), ink=sparse, ink_shares=(0.85, 0.5)).count() == 1
+    # Both layouts are drawn first for some of twenty pages.
+    many = grid(spark, 30, 30).crossJoin(spark.range(1, 21).withColumnRenamed("id", "k")).withColumn("page_id", F.concat("page_id", F.lit("-"), "k"))
+    assert {r.layout for r in R.three_way_partition(many).collect()} == {"T", "L"}
+    assert R.three_way_partition(many, ink=F.lit(False)).count() == 0 and R.three_way_partition(many.limit(0)).count() == 0
 
 
 def test_batches_and_tasks(spark):

@@ -39,6 +39,18 @@ def test_both_manifest_versions_flatten(spark):
     assert manifests.images_table(manifests.canvases_table(rows)).count() == 2
 
 
+def test_containers_nest_at_any_depth(spark):
+    deep = "end"
+    for _ in range(200):
+        deep = [{"x": [], "y": {"none": [deep]}}]
+    cases = ["a", "", 5, None, [], {}, ["a", "", ["b", {"de": "c"}]], {"value": {"en": "v"}}, {"value": 3, "none": "n"}, {"none": "", "en": "e"}, {"de": "", "fr": ["f"]}, deep]
+    rows = read(spark, *[{"items": [], "label": c, "metadata": [{"label": c, "value": "w"}, {"label": None}, 7]} for c in cases], {"items": [], "metadata": "none"})
+    out = {int(r.source): r for r in manifests.manifests_table(rows).collect()}
+    assert [out[k].label for k in range(len(cases))] == ["a", "", "5", None, None, None, "a; b; c", "v", "3", "", "f", "end"]
+    assert [out[k].metadata[0].label for k in range(len(cases))] == [out[k].label for k in range(len(cases))] and all(len(out[k].metadata) == 1 for k in range(len(cases)))
+    assert out[len(cases)].metadata == [] and out[len(cases)].label is None
+
+
 def test_files_by_digest_and_reference(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.tar.gz").write_bytes(b"1234567890")
