@@ -134,7 +134,8 @@ def incremental_ingest(spark, sf_dir):
     return stream.current(spark, f"{home}/snapshot", schema).select("user_id", "event_type", "value", "ts")
 
 
-@query()
+@query("""SELECT concat_ws('/', source, CAST(doc_id // 100 AS VARCHAR)) AS source, 'urn:doc:' || doc_id AS canvas_id, CASE WHEN suffix(source, '1') THEN text ELSE nullif(text, '') END AS label,
+ CAST(row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS INTEGER) AS sequence_index, 1::INTEGER AS images FROM documents WHERE text IS NOT NULL""")
 def manifest_flatten(spark, sf_dir):
     """Manifests made of each source's documents (v2 or v3 by source), parsed and flattened to canvases."""
     from ..sources import manifests as M

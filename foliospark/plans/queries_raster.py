@@ -44,6 +44,16 @@ _SHAPES = {
         "abs(CASE WHEN a = 'vertical' THEN u ELSE v END - CAST(b AS DOUBLE))",
         "false",
     ),
+    "connected_piece_loss": (
+        "CASE WHEN seed % 2 = 1 THEN 0.69::DOUBLE ELSE 0.31::DOUBLE END AS a, CASE WHEN seed % 2 = 1 THEN 0.51::DOUBLE ELSE 0.49::DOUBLE END AS b, CASE WHEN seed % 2 = 1 THEN 0.31::DOUBLE ELSE 0.69::DOUBLE END AS c",
+        "least(pow((u - 0.28) / 1.0, 2) + pow((v - a) / 0.8, 2), pow((u - 0.50) / 0.85, 2) + pow((v - b) / 1.0, 2), pow((u - 0.71) / 1.0, 2) + pow((v - c) / 0.85, 2))",
+        "false",
+    ),
+    "edge_tear": (
+        "list_extract(['top', 'bottom', 'left', 'right'], CAST(seed % 4 AS INTEGER) + 1) AS a, ((seed >> 8) % 6284) / 1000.0::DOUBLE AS b",
+        "CASE a WHEN 'top' THEN v WHEN 'bottom' THEN 1 - v WHEN 'left' THEN u ELSE 1 - u END / (0.85::DOUBLE + 0.15::DOUBLE * sin(12.566370614359172::DOUBLE * CASE WHEN a IN ('top', 'bottom') THEN u ELSE v END + b) + 0.10::DOUBLE * sin(31.41592653589793::DOUBLE * CASE WHEN a IN ('top', 'bottom') THEN u ELSE v END + b))",
+        "CASE WHEN a IN ('top', 'bottom') THEN x = 0 OR x = width - 1 OR y = CASE a WHEN 'top' THEN height - 1 ELSE 0 END ELSE y = 0 OR y = height - 1 OR x = CASE a WHEN 'left' THEN width - 1 ELSE 0 END END",
+    ),
 }
 
 
@@ -99,15 +109,15 @@ def content_calibrated_removal(spark, sf_dir):
     return _report(spark, sf_dir, "edge_loss", 0.35, F.col("y") % 2 == 0)
 
 
-@query()
+@query(f"WITH {removal_sql('edge_tear', 0.3)} {_REPORT.format(0.3)}")
 def edge_tear_removal(spark, sf_dir):
-    """Rows only, as its profile is made of sines."""
+    """Scores are rounded, so that sines of other libraries decide nothing."""
     return _report(spark, sf_dir, "edge_tear", 0.3)
 
 
-@query()
+@query(f"WITH {removal_sql('connected_piece_loss', 0.3)} {_REPORT.format(0.3)}")
 def connected_piece_removal(spark, sf_dir):
-    """Rows only beside the families that SQL checks."""
+    """R11."""
     return _report(spark, sf_dir, "connected_piece_loss", 0.3)
 
 
