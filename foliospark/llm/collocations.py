@@ -2,22 +2,169 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, stage
-
-PIECE_ENDS = "[.,;:!?\\x0A-\\x0D]"
-BLANK_RUN = "[\\x20\\x09]+"
+from ..operators.ranking import numbered
+from .common import shared_dir, stage
+from .tokens import slices
+
+# A-Z are lowered, tabs are spaces, and every byte that ends a piece becomes 0xFF, which UTF-8 never holds.
+_END = b"\xff"
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 255 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
+_ID_BITS = 31
+
+
+def tokens(text: bytes | None) -> list[bytes]:
+    """The words of a text, with ``_END`` where a piece ends."""
+    return (text or b"").translate(_FOLD).replace(_END, b" \xff ").split()
+
+
+class _Block:
+    """Words of one language, numbered in the order in which the block meets them; number 0 ends a piece."""
+
+    def __init__(self):
+        self.number: defaultdict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.number[_END] = 0
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, text: bytes | None) -> None:
+        own = tokens(text)
+        own.append(_END)
+        self.parts.append(np.fromiter(map(self.number.__getitem__, own), np.int32, len(own)))
+        self.size += len(own)
+
+    def rows(self, block: int, lang: str) -> Iterator[pa.RecordBatch]:
+        """One row for each distinct word, then one with the sequence of numbers (low halves, then high halves, which are mostly 0)."""
+        seq = np.concatenate(self.parts)
+        names = list(self.number)[1:]
+        counts = np.bincount(seq, minlength=len(names) + 1)[1:]
+        none = pa.nulls(len(names), pa.binary())
+        yield _batch([block] * len(names), [lang] * len(names), np.arange(1, len(names) + 1), pa.array(names, pa.binary()), counts, none)
+        halves = seq.view("<u2").reshape(-1, 2).T.tobytes()
+        yield _batch([block], [lang], [None], pa.array([None], pa.binary()), [None], pa.array([halves], pa.binary()))
+
+
+def _batch(block, lang, at, word, c, seq) -> pa.RecordBatch:
+    arrays = [pa.array(block, pa.int64()), pa.array(lang, pa.string()), pa.array(at, pa.int64()), word, pa.array(c, pa.int64()), seq]
+    return pa.RecordBatch.from_arrays(arrays, ["block", "lang", "at", "word", "c", "seq"])
+
+
+def word_blocks(docs: DataFrame, *, block_words: int, text_col: str, lang_col: str) -> DataFrame:
+    """The texts as blocks of about ``block_words`` words of one language: their distinct words with counts, and their sequences (``_Block.rows``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        open_: dict[str, _Block] = {}
+        for whole in batches:
+            for batch in slices(whole):
+                for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                    block = open_.setdefault(lang, _Block())
+                    block.add(text)
+                    if block.size >= block_words:
+                        yield from open_.pop(lang).rows(part << 32 | made, lang)
+                        made += 1
+                if sum(b.size for b in open_.values()) >= 2 * block_words:
+                    lang = max(open_, key=lambda x: open_[x].size)
+                    yield from open_.pop(lang).rows(part << 32 | made, lang)
+                    made += 1
+        for lang, block in open_.items():
+            yield from block.rows(part << 32 | made, lang)
+            made += 1
+
+    own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
+    return own.mapInArrow(run, "block long, lang string, at long, word binary, c long, seq binary")
+
+
+def _windows(longest: int):
+    """A block's windows: at each place the frequent words from there on, 2 to ``longest`` of them, each window once with its count, in the order of the words' numbers.
+
+    Two words share a column k0, k1, ...; 0 stands for none.
+    """
 
+    def run(block: pa.Table, ids: pa.Table) -> pa.Table:
+        keys = [np.empty(0, np.int64)] * (-(-longest // 2))
+        counts = np.empty(0, np.int64)
+        if block.num_rows and ids.num_rows:
+            halves = np.frombuffer(block.column("seq")[0].as_buffer(), "<u2")
+            seq = np.ascontiguousarray(halves.reshape(2, -1).T).view("<i4").ravel()
+            names = np.zeros(int(seq.max()) + 1, np.int64)
+            names[ids.column("at").to_numpy()] = ids.column("id").to_numpy()
+            own = np.concatenate([names[seq], np.zeros(longest, np.int64)])
+            at = np.flatnonzero((own[:-1] > 0) & (own[1:] > 0))
+            cols = [own[at], own[at + 1]]
+            for j in range(2, longest):
+                cols.append(np.where(cols[-1] > 0, own[at + j], 0))
+            keys = [cols[j] << _ID_BITS | (cols[j + 1] if j + 1 < longest else 0) for j in range(0, longest, 2)]
+            order = np.lexsort(keys[::-1])
+            keys = [k[order] for k in keys]
+            new = reduce(np.logical_or, [np.diff(k, prepend=-1) != 0 for k in keys])
+            first = np.flatnonzero(new)
+            keys, counts = [k[first] for k in keys], np.diff(np.append(first, len(order)))
+        return pa.table([pa.array(a, pa.int64()) for a in (*keys, counts)], names=[*[f"k{j}" for j in range(len(keys))], "c"])
+
+    return run
+
+
+def _word(j: int) -> Column:
+    key = F.col(f"k{j // 2}")
+    return F.shiftright(key, _ID_BITS) if j % 2 == 0 else key.bitwiseAND(F.lit((1 << _ID_BITS) - 1))
+
+
+def _prefix(m: int, keys: int) -> Column:
+    """The first m words of a window, as its keys would be without the others."""
+    cut = lambda j: F.col(f"k{j}") if 2 * j + 2 <= m else F.shiftleft(_word(2 * j), _ID_BITS) if 2 * j + 1 == m else F.lit(0).cast("long")
+    return F.struct(F.lit(m).alias("m"), *[cut(j).alias(f"k{j}") for j in range(keys)])
+
+
+def phrase_counts(docs: DataFrame, *, least: int = 100, longest: int = 5, block_words: int = 2_000_000, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """(counts, totals): the phrases of 1 to ``longest`` words that occur at least ``least`` times, (lang, phrase, f); and (lang, n), all words of a language.
 
-def pieces_of(text: Column) -> Column:
-    """Arrays of words, one for each piece of the text: no phrase crosses the end of a piece."""
-    pieces = F.split(ascii_lower(F.coalesce(text, F.lit(""))), PIECE_ENDS, -1)
-    return F.filter(F.transform(pieces, lambda p: F.filter(F.split(p, BLANK_RUN, -1), lambda w: w != "")), lambda p: F.size(p) > 0)
+    Texts are read once, into blocks that keep each distinct word once and the sequence as numbers. The frequent words of all blocks get ids, and every block is
+    told those of its own words, so no table of words is broadcast. Rare words and ends of pieces stop a window. Blocks send their windows sorted and counted; windows of one first pair meet in one
+    place, where the pair's count says whether they stay, and are counted by their prefixes there.
+    """
+    spark = docs.sparkSession
+    path = shared_dir(spark)
+    table = path.rpartition("/")[2].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = word_blocks(docs, block_words=block_words, text_col=text_col, lang_col=lang_col)
+    try:
+        # Bucketed, so that the sequences stay where they are when the blocks' ids come to them.
+        made.write.format("parquet").bucketBy(buckets, "block").option("compression", "zstd").option("path", path).saveAsTable(table)
+        blocks = spark.table(table)
+        listed = blocks.where("word is not null").select("block", "lang", "at", F.col("word").cast("string").alias("word"), "c")
+        totals = stage(listed.groupBy("lang").agg(F.sum("c").alias("n")))
+        vocabulary = numbered(listed.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least), [F.desc("f"), "lang", "word"], "id")
+        vocabulary = stage(vocabulary)
+        counts = vocabulary.select("lang", F.col("word").alias("phrase"), "f")
+        if longest < 2:
+            return stage(counts), totals
+        keys = -(-longest // 2)
+        ids = listed.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select("block", "at", "id")
+        sequences = spark.table(table).where("seq is not null").select(F.col("block").alias("owner"), "seq")
+        names = [f"k{j}" for j in range(keys)]
+        windows = sequences.groupBy("owner").cogroup(ids.groupBy("block")).applyInArrow(_windows(longest), ", ".join(f"{k} long" for k in [*names, "c"]))
+        kept = windows.repartition("k0").withColumn("f", F.sum("c").over(Window.partitionBy("k0"))).where(F.col("f") >= least)
+        words = sum((F.when(_word(j) > 0, 1).otherwise(0) for j in range(2, longest)), F.lit(2))
+        prefixes = F.explode(F.slice(F.array(*[_prefix(m, keys) for m in range(2, longest + 1)]), F.lit(1), words - 1))
+        found = kept.select(prefixes.alias("p"), "c").select("p.*", "c").groupBy(*names, "m").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+        found = stage(found)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spelt = found.select(*names, "m", "f", F.posexplode(F.slice(F.array(*[_word(j) for j in range(longest)]), F.lit(1), F.col("m"))).alias("j", "id")).join(vocabulary.select("id", "lang", "word"), "id")
+    spelt = spelt.groupBy(*names, "m", "f").agg(F.any_value("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("j", "word"))).alias("w"))
+    return stage(counts.unionByName(spelt.select("lang", F.array_join("w.word", " ").alias("phrase"), "f"))), totals
 
 
 def first_words(phrase: Column | str, k: Column | int) -> Column:
@@ -34,40 +181,6 @@ def backwards(phrase: str) -> Column:
     return F.array_join(F.reverse(F.split(phrase, " ", -1)), " ")
 
 
-def phrase_counts(docs: DataFrame, *, least: int = 100, longest: int = 5, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """(counts, totals): the phrases of 1 to ``longest`` words that occur at least ``least`` times, (lang, phrase, f); and (lang, n), all words of a language.
-
-    One pass counts words and pairs. A longer phrase that is frequent has frequent pairs only, so the second pass keeps, at each place, the words up
-    to the first rare pair: windows are joined with the frequent pairs, pair by pair, and the windows without any fall out at the
-    first join. Spark broadcasts the pairs if they are few and merges otherwise; the counts are the same. What is left is counted by its prefixes.
-    """
-    pieces = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.explode(pieces_of(F.col(text_col))).alias("piece"))
-    size = F.size("piece")
-    pairs = F.when(size > 1, F.zip_with(F.slice("piece", F.lit(1), size - 1), F.slice("piece", F.lit(2), size - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    each = pieces.select("lang", F.explode(F.concat("piece", F.coalesce(pairs, F.array().cast("array<string>")))).alias("phrase"))
-    single = F.instr("phrase", " ") == 0
-    short = stage(each.groupBy("lang", "phrase").agg(F.count("*").alias("f")).where(single | (F.col("f") >= least)))
-    totals = stage(short.where(single).groupBy("lang").agg(F.sum("f").alias("n")))
-    counts = [short.where(F.col("f") >= least)]
-    if longest > 2:
-        frequent = stage(counts[0].where(~single).select(F.col("lang").alias("_lang"), F.col("phrase").alias("pair")))
-        windows = F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.array_join(F.slice("piece", i, F.lit(longest)), " "))
-        left = pieces.where(size > 2).select("lang", F.explode(windows).alias("phrase"))
-        grown = []
-        for k in range(1, longest):
-            # The windows whose first k - 1 pairs are frequent; those of which the next pair is too go on.
-            pair = F.substring_index(first_words("phrase", k + 1), " ", -2)
-            left = left.join(frequent, (F.col("lang") == F.col("_lang")) & (pair == F.col("pair")), "left_semi")
-            if k == 2:
-                left = stage(left)
-            if k >= 2:
-                grown.append(left.select("lang", first_words("phrase", k + 1).alias("phrase")))
-                left = left.where(words_in("phrase") > k + 1)
-        longer = reduce(DataFrame.unionByName, grown).groupBy("lang", "phrase").agg(F.count("*").alias("f"))
-        counts.append(longer.where(F.col("f") >= least))
-    return stage(reduce(DataFrame.unionByName, counts)), totals
-
-
 def count_streams(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same counts in prefix order (key: the phrase) and in suffix order (key: its words from last to first): (lang, key, size, f) sorted by lang and key."""
     keyed = [counts.select("lang", key.alias("key"), words_in("phrase").alias("size"), "f") for key in (F.col("phrase"), backwards("phrase"))]
