@@ -122,9 +122,9 @@ def _word(j: int) -> Column:
 
 
 def _prefix(m: int, keys: int) -> Column:
-    """The first m words of a window, as its keys would be without the others."""
+    """The first m words of a window of two words or more, as its keys after k0 would be without the others."""
     cut = lambda j: F.col(f"k{j}") if 2 * j + 2 <= m else F.shiftleft(_word(2 * j), _ID_BITS) if 2 * j + 1 == m else F.lit(0).cast("long")
-    return F.struct(F.lit(m).alias("m"), *[cut(j).alias(f"k{j}") for j in range(keys)])
+    return F.struct(F.lit(m).alias("m"), *[cut(j).alias(f"k{j}") for j in range(1, keys)])
 
 
 def phrase_counts(docs: DataFrame, *, least: int = 100, longest: int = 5, block_words: int = 2_000_000, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -158,7 +158,8 @@ def phrase_counts(docs: DataFrame, *, least: int = 100, longest: int = 5, block_
         kept = windows.repartition("k0").withColumn("f", F.sum("c").over(Window.partitionBy("k0"))).where(F.col("f") >= least)
         words = sum((F.when(_word(j) > 0, 1).otherwise(0) for j in range(2, longest)), F.lit(2))
         prefixes = F.explode(F.slice(F.array(*[_prefix(m, keys) for m in range(2, longest + 1)]), F.lit(1), words - 1))
-        found = kept.select(prefixes.alias("p"), "c").select("p.*", "c").groupBy(*names, "m").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+        # k0 is the same in all prefixes, so they are counted where they are.
+        found = kept.select("k0", prefixes.alias("p"), "c").select("k0", "p.*", "c").groupBy(*names, "m").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
         found = stage(found)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")

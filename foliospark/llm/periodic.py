@@ -34,7 +34,7 @@ def find_runs(w: np.ndarray, min_length: int = 6, min_exponent: int = 4) -> list
 
     A run has smallest period q, length >= max(min_length, min_exponent * q), and no neighbour extends it. Words q apart
     therefore agree over at least max(min_length - q, (min_exponent - 1) * q) places. Periods go in classes [2^j, 2^(j+1)); a class indexes
-    the k-grams of its least such overlap, k. As k is no less than any period of the class, a k-gram inside a run of smallest period q comes again
+    the k-grams of the least such overlap of its periods and all greater ones, k. As k is no less than any period of the class, a k-gram inside a run of smallest period q comes again
     q words on and not before (else the period would not be the smallest), so neighbouring occurrences are all pairs that are needed.
     Each is a seed on the diagonal of its lag; it is extended both ways unless the diagonal is covered already.
     k-grams are numbered by doubling, from pairs of shorter ones, so they are exact. When none of a class repeats, no longer one does.
@@ -44,7 +44,7 @@ def find_runs(w: np.ndarray, min_length: int = 6, min_exponent: int = 4) -> list
     n, runs = len(w), []
     gram, size, low = w.astype(np.int64), 1, 1  # gram: numbers of the size-grams
     while low * min_exponent <= n:
-        k = min(max(min_length - q, (min_exponent - 1) * q) for q in range(low, min(2 * low, min_length + 1))) if low <= min_length else (min_exponent - 1) * low
+        k = min(max(min_length - q, (min_exponent - 1) * q) for q in range(low, max(low, min_length) + 1))
         if k > n:
             break
         while 2 * size <= k:
