@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 def distribution(col: Column | str, prefix: str = "", places: int = 10) -> list[Column]:
     """A1: count, mean, exact median, min, max and population SD over the values present.
 
+    The median holds a group's distinct values in one task: for groups of bounded size (``profile.profile`` has none of that).
+
     Over no values all but the count are null; the SD of fewer than two is null, never 0.
     """
     col = F.col(col) if isinstance(col, str) else col

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.statistics import distribution
+from . import ranking
 
 MISSING = "[missing]"
 
@@ -78,19 +78,18 @@ def run_summary(runs: DataFrame, regions: DataFrame, run: str, label: str, confi
 
 
 def run_statistics(df: DataFrame, dims: list[str], measure: str) -> DataFrame:
-    """Counts and a distribution for every value of every dimension and overall, in one pass of grouping sets."""
-    spark = df.sparkSession
-    sets = ", ".join(f"({d})" for d in dims)
-    name = "CASE " + " ".join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in dims) + " ELSE 'all' END"
-    value = f"coalesce({', '.join(f'cast({d} AS STRING)' for d in dims)}, '{MISSING}')"
-    return spark.sql(f"""
-        SELECT {name} AS dimension, {value} AS value, count(*) AS rows, bround(avg({measure}), 6) AS mean, percentile({measure}, 0.5) AS median, min({measure}) AS low, max({measure}) AS high
-        FROM {{df}} GROUP BY GROUPING SETS ({sets}, ())""", df=df)
+    """Counts and a distribution for every value of every dimension and overall."""
+    sets = [F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit(MISSING)).alias("value")) for d in dims]
+    tall = df.select(F.explode(F.array(*sets, F.struct(F.lit("all").alias("dimension"), F.lit(MISSING).alias("value")))).alias("_s"), measure).select("_s.*", measure)
+    by = ["dimension", "value"]
+    plain = tall.groupBy(*by).agg(F.count("*").alias("rows"), F.bround(F.avg(measure), 6).alias("mean"), F.min(measure).alias("low"), F.max(measure).alias("high"))
+    middle = ranking.exact_quantiles(tall, by, measure, [0.5]).select(*by, F.col("q0").alias("median"))
+    return plain.join(middle, by, "left").select(*by, "rows", "mean", "median", "low", "high")
 
 
 def outliers(df: DataFrame, key: str, count: str, confidence: str, *, low_confidence: float = 0.4) -> DataFrame:
     """Rows outside 1.5 IQR of the inclusive quartiles (from four rows on), without regions, or of low confidence."""
-    q = df.agg(F.percentile(count, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.count("*").alias("_n"))
+    q = ranking.exact_quantiles(df, [], count, [0.25, 0.75]).select(F.array("q0", "q1").alias("_q")).join(df.agg(F.count("*").alias("_n")))  # one row beside one row
     spread = F.col("_q")[1] - F.col("_q")[0]
     enough = F.col("_n") >= 4
     flags = F.array_compact(F.array(
@@ -102,9 +101,22 @@ def outliers(df: DataFrame, key: str, count: str, confidence: str, *, low_confid
     return df.join(F.broadcast(q)).select(key, count, confidence, flags.alias("flags")).where(F.size("flags") > 0)  # a one-row aggregate
 
 
-def profile(df: DataFrame, by: list[str], measure: str, prefix: str = "") -> DataFrame:
-    """A1, A2, A12."""
-    return df.groupBy(*by).agg(*distribution(measure, prefix))
+def profile(df: DataFrame, by: list[str], measure: str, prefix: str = "", places: int = 10) -> DataFrame:
+    """Count, mean, exact median, min, max and population SD of the values present, by group.
+
+    Over no values all but the count are null; the SD of fewer than two is null. The median comes from counts of values in ranges
+    (``ranking.exact_quantiles``), the rest from partial aggregates, so a group of any size is spread over tasks.
+    """
+    n = F.count(measure)
+    plain = df.groupBy(*by).agg(
+        n.alias(f"{prefix}n"), F.bround(F.avg(measure), places).alias(f"{prefix}mean"), F.min(measure).alias(f"{prefix}min"), F.max(measure).alias(f"{prefix}max"),
+        F.when(n >= 2, F.bround(F.stddev_pop(measure), places)).alias(f"{prefix}sd"),
+    )
+    middle = ranking.exact_quantiles(df, by, measure, [0.5]).select(*[F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)], F.col("q0").alias(f"{prefix}median"))
+    on = F.lit(True)
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_by_{i}"))
+    return plain.join(middle, on, "left").select(*by, *[f"{prefix}{c}" for c in ("n", "mean", "median", "min", "max", "sd")])
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -23,3 +23,65 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "number") ->
     before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = placed.withColumn("_part", part).join(before, "_part")
     return own.withColumn(name, F.col("_before") + place + 1).drop("_part", "_place", "_before")
+
+
+def _range_placed(df: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
+    """The rows range-partitioned by group and order, written once with the number of their range, so that a large group lies in many ranges."""
+    return staged(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def ranks(df: DataFrame, by: list[str], order: list[Column | str], flags: dict[str, Column]) -> DataFrame:
+    """The rows with, for each name, their rank (from 1) by ``order`` among those rows of their group for which the flag holds; null for the others.
+
+    Two-level: rows are range-partitioned by group and order, ranked within their range, and shifted by the counts of
+    the group's ranges before it. No task holds a group, however large; ``order`` must be total.
+    """
+    held = {n: F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0) for n, c in flags.items()}
+    placed = _range_placed(df.select("*", *[c.alias(f"_is_{n}") for n, c in held.items()]), by, order)
+    upto = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.select("*", *[F.sum(f"_is_{n}").over(upto).alias(f"_at_{n}") for n in flags])
+    parts = placed.groupBy("_range", *by).agg(*[F.sum(f"_is_{n}").alias(f"_n_{n}") for n in flags])
+    both = _shifted(local, parts, by, {f"_n_{n}": f"_before_{n}" for n in flags})
+    drop = [f"{p}{n}" for n in flags for p in ("_is_", "_at_", "_before_")]
+    out = both.select("*", *[F.when(F.col(f"_is_{n}") == 1, F.col(f"_before_{n}") + F.col(f"_at_{n}")).cast("int").alias(n) for n in flags])
+    return out.drop("_range", *drop)
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, fractions: list[float]) -> DataFrame:
+    """(by ..., n, q0, q1, ...): exact quantiles with linear interpolation between neighbours (inclusive), nulls left out.
+
+    Equal values are counted first; the counts are range-partitioned by group and value, so the rows at the wanted places are found by
+    adding up counts, and no task holds a group's values.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_count"))
+    placed = _range_placed(counted, by, ["_value"])
+    upto = Window.partitionBy("_range", *by).orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.withColumn("_upto", F.sum("_count").over(upto))
+    parts = placed.groupBy("_range", *by).agg(F.sum("_count").alias("_size"))
+    both = _shifted(local, parts, by, {"_size": "_before"}, {"_size": "_n"})
+    last = F.col("_before") + F.col("_upto")
+    first = last - F.col("_count") + 1
+    aggregates = []
+    for i, p in enumerate(fractions):
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        for side, k in (("l", F.floor(at) + 1), ("h", F.ceil(at) + 1)):
+            aggregates.append(F.max(F.when((first <= k) & (k <= last), F.col("_value"))).alias(f"_{side}{i}"))
+    found = both.groupBy(*by).agg(F.max("_n").alias("n"), *aggregates)
+    at = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    mix = lambda i, p: F.when(F.floor(at(p)) == F.ceil(at(p)), F.col(f"_l{i}").cast("double")).otherwise((F.ceil(at(p)) - at(p)) * F.col(f"_l{i}") + (at(p) - F.floor(at(p))) * F.col(f"_h{i}"))
+    return found.select(*by, "n", *[mix(i, p).alias(f"q{i}") for i, p in enumerate(fractions)])
+
+
+def _shifted(rows: DataFrame, parts: DataFrame, by: list[str], before: dict[str, str], total: dict[str, str] | None = None) -> DataFrame:
+    """The rows with sums over their group's ranges before their own (``before``: from, to) and over all its ranges (``total``).
+
+    ``parts`` has a row for each group and range it touches, so a window holds one row for each range of a group.
+    """
+    own = Window.partitionBy(*[F.col(b) for b in by]) if by else Window.partitionBy()
+    ahead = own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(a).over(ahead), F.lit(0)).alias(b) for a, b in before.items()] + [F.sum(a).over(own).alias(b) for a, b in (total or {}).items()]
+    parts = parts.select(F.col("_range").alias("_r"), *[F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)], *sums)
+    on = F.col("_range") == F.col("_r")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_by_{i}"))
+    return rows.join(parts, on).drop("_r", *[f"_by_{i}" for i in range(len(by))])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_digest
+from . import ranking
 
 SPLITS = {"train": 0.70, "validation": 0.15, "test": 0.15}
 
@@ -36,10 +37,11 @@ def select_pages(pages: DataFrame, *, seed, quota: int, decisions: DataFrame | N
     ruled, doubt = F.size("reject_codes") > 0, F.size("review_codes") > 0
     df = df.withColumn("digest", stable_digest(seed, F.col("group_id"), F.col("page_id")))
     df = df.withColumn("original", ~ruled & ~doubt).withColumn("accepted", ~F.col("unsuitable") & ~ruled & (~doubt | keep) & ~reject)
-    rank = lambda flag: F.when(F.col(flag), F.row_number().over(Window.partitionBy("group_id", flag).orderBy("digest", "sequence", "page_id")))
-    df = df.withColumn("original_rank", rank("original")).withColumn("rank", rank("accepted"))
-    gone = F.when(reject & (F.col("original_rank") <= quota), F.struct(F.col("original_rank").alias("r"), F.col("page_id").alias("p")))
-    df = df.withColumn("replaced", F.transform(F.array_sort(F.collect_list(gone).over(Window.partitionBy("group_id"))), lambda x: x["p"].cast("string")))
+    df = ranking.ranks(df, ["group_id"], ["digest", "sequence", "page_id"], {"original_rank": F.col("original"), "rank": F.col("accepted")})
+    # At most ``quota`` rejected pages of a group stood within the quota, so this list is bounded.
+    gone = df.where(reject & (F.col("original_rank") <= quota)).groupBy(F.col("group_id").alias("_group")).agg(F.collect_list(F.struct(F.col("original_rank").alias("r"), F.col("page_id").alias("p"))).alias("_gone"))
+    df = df.join(gone, F.col("group_id").eqNullSafe(F.col("_group")), "left").drop("_group")
+    df = df.withColumn("replaced", F.transform(F.array_sort(F.coalesce("_gone", F.array().cast(gone.schema["_gone"].dataType))), lambda x: x["p"].cast("string")))
     chosen = F.col("rank") <= quota
     replacement = chosen & (F.col("original_rank") > quota) & (F.size("replaced") > 0)
     one = lambda *codes: F.array(*[F.lit(c) for c in codes])
@@ -92,12 +94,11 @@ def split_sizes(total: int, ratios: dict[str, float] = SPLITS) -> dict[str, int]
 def assign_splits(groups: DataFrame, key: str, *, seed, ratios: dict[str, float] = SPLITS) -> DataFrame:
     """(key, position, split): whole groups in seeded order, cut into contiguous splits.
 
-    The order is over distinct groups, which are few next to pages; positions come from one
-    window over them, the sizes from their number.
+    Positions come from ranges of the order and the counts before them, the sizes from the number of groups, so no task orders them all.
     """
     keys = groups.select(key).distinct()
-    order = Window.orderBy(stable_digest(seed, F.col(key)), key)
-    placed = keys.withColumn("position", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy()))
+    numbered = ranking.numbered(keys.withColumn("_digest", stable_digest(seed, F.col(key))), ["_digest", key], "position").drop("_digest")
+    placed = numbered.withColumn("position", F.col("position").cast("int")).join(F.broadcast(keys.agg(F.count("*").alias("total"))))  # a one-row aggregate
     exact = {k: F.col("total") * F.lit(r) for k, r in ratios.items()}
     # The rest by remainder is worked out in columns, so the number of groups never comes to the driver.
     rest = F.array_sort(F.array(*[F.struct((-(v - F.floor(v))).alias("r"), F.lit(i).alias("i")) for i, v in enumerate(exact.values())]))

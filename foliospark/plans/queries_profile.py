@@ -30,9 +30,7 @@ def distribution_by_group(spark, sf_dir):
 
 @query(f"WITH r AS ({REGIONS}) SELECT label, count(*) AS n, round_even(avg(confidence), 6) AS mean, quantile_cont(confidence, 0.5) AS median, min(confidence) AS min, max(confidence) AS max, CASE WHEN count(*) >= 2 THEN round_even(stddev_pop(confidence), 6) END AS sd FROM r GROUP BY label")
 def confidence_summary(spark, sf_dir):
-    from ..functions.statistics import distribution
-
-    return regions(spark, sf_dir).groupBy("label").agg(*distribution("confidence", places=6))
+    return profile.profile(regions(spark, sf_dir), ["label"], "confidence", places=6)
 
 
 @query("""WITH j AS (SELECT d.doc_id, lang, source, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id)), n AS (SELECT count(*) AS n FROM j)
