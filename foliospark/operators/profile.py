@@ -89,7 +89,8 @@ def run_statistics(df: DataFrame, dims: list[str], measure: str) -> DataFrame:
 
 def outliers(df: DataFrame, key: str, count: str, confidence: str, *, low_confidence: float = 0.4) -> DataFrame:
     """Rows outside 1.5 IQR of the inclusive quartiles (from four rows on), without regions, or of low confidence."""
-    q = ranking.exact_quantiles(df, [], count, [0.25, 0.75]).select(F.array("q0", "q1").alias("_q")).join(df.agg(F.count("*").alias("_n")))  # one row beside one row
+    quartiles = ranking.exact_quantiles(df, [], count, [0.25, 0.75]).select(F.array("q0", "q1").alias("_q"))
+    q = df.agg(F.count("*").alias("_n")).join(quartiles, F.lit(True), "left")  # one row beside one row
     spread = F.col("_q")[1] - F.col("_q")[0]
     enough = F.col("_n") >= 4
     flags = F.array_compact(F.array(

@@ -69,7 +69,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, fractions: list[fl
     found = both.groupBy(*by).agg(F.max("_n").alias("n"), *aggregates)
     at = lambda p: (F.col("n") - 1) * F.lit(float(p))
     mix = lambda i, p: F.when(F.floor(at(p)) == F.ceil(at(p)), F.col(f"_l{i}").cast("double")).otherwise((F.ceil(at(p)) - at(p)) * F.col(f"_l{i}") + (at(p) - F.floor(at(p))) * F.col(f"_h{i}"))
-    return found.select(*by, "n", *[mix(i, p).alias(f"q{i}") for i, p in enumerate(fractions)])
+    return found.where("n is not null").select(*by, "n", *[mix(i, p).alias(f"q{i}") for i, p in enumerate(fractions)])
 
 
 def _shifted(rows: DataFrame, parts: DataFrame, by: list[str], before: dict[str, str], total: dict[str, str] | None = None) -> DataFrame:

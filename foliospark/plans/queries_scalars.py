@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, hashing
 from ..functions import text as T
+from ..sources import json_tree
 from .base import query, table
 
 _DISPLAY = """CASE o_orderkey % 6 WHEN 0 THEN 'circa ' || (1000 + o_custkey % 900) WHEN 1 THEN (1 + o_custkey % 20) || 'th century' WHEN 2 THEN (1 + o_custkey % 9) || 'th century to ' || (10 + o_custkey % 9) || 'th century'
@@ -167,3 +168,36 @@ def transform_round_trip(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(*_ID.split(", "), there.alias("t"), geometry.invert(place).alias("m"))
     back = geometry.apply(F.col("m"), F.col("t.x"), F.col("t.y"))
     return rows.select(*_ID.split(", "), back.alias("b")).select(*_ID.split(", "), (F.round("b.x", 6) + 0.0).alias("x"), (F.round("b.y", 6) + 0.0).alias("y"))
+
+
+# An order as a nested record: relationship terms at three depths, in several spellings, some of their values empty.
+_RECORD = """concat('{"Leaf-Id":"', CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END, '","canvases":[{"id":', o_custkey % 7, ',"metadata":[{"label":"Clerk","value":"clerk ', o_custkey % 50, '"},{"label":"', o_orderstatus,
+ '","paired_canvas_id":', o_custkey % 3, '}]},{"Recto-Canvas-Id":null,"leaf_relationship":', CASE WHEN o_orderkey % 2 = 0 THEN '{}' ELSE '{"verso_canvas_id":[1,{"opposite_side":true}]}' END, '}],"note":', CASE WHEN o_orderkey % 5 = 0 THEN 'false' ELSE '[[0.0]]' END, '}')"""
+_TREE = f"WITH d AS (SELECT o_orderkey, {_RECORD} AS record FROM orders), t AS (SELECT o_orderkey, e.key, e.value, e.type, e.fullkey, e.path FROM d, json_tree(d.record) e WHERE e.fullkey <> '$')"
+_PATH = """ltrim(replace(replace(replace(replace(fullkey, '"', ''), '$', ''), '[', '/'), ']', ''), '.')"""
+
+
+def _members(spark, sf_dir):
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_RECORD).alias("record"))
+    return json_tree.json_members(docs, ["o_orderkey"], "record")
+
+
+@query(f"""{_TREE} SELECT o_orderkey, replace({_PATH}, '.', '/') AS path, replace(lower(key), '-', '_') AS term, CAST(value AS VARCHAR) AS value FROM t
+ WHERE replace(lower(key), '-', '_') IN ('leaf_id', 'physical_leaf_id', 'paired_canvas_id', 'opposite_side', 'recto_canvas_id', 'verso_canvas_id', 'leaf_relationship', 'recto_verso_pair')
+ AND CAST(value AS VARCHAR) NOT IN ('null', 'false', '0', '0.0', '""', '[]', '{{}}')""")
+def json_terms(spark, sf_dir):
+    """The relationship terms of nested records, with their paths and values."""
+    found = json_tree.term_members(_members(spark, sf_dir))
+    return found.select("o_orderkey", F.array_join("path", "/").alias("path"), "term", F.to_json("value").alias("value"))
+
+
+@query(f"{_TREE} SELECT key, count(*) AS members, count(DISTINCT o_orderkey) AS documents FROM t WHERE NOT ends_with(fullkey, ']') GROUP BY key")
+def json_key_catalogue(spark, sf_dir):
+    """All object keys of nested records."""
+    return json_tree.key_catalogue(_members(spark, sf_dir), ["o_orderkey"])
+
+
+@query(f"{_TREE} SELECT CAST(value ->> '$' AS VARCHAR) AS label, count(*) AS items FROM t WHERE key = 'label' AND regexp_matches(path, '\\.metadata\\[[0-9]+\\]$') GROUP BY 1")
+def json_metadata_labels(spark, sf_dir):
+    """The labels that metadata lists use."""
+    return json_tree.label_catalogue(_members(spark, sf_dir))
