@@ -1,4 +1,4 @@
-"""Idempotent merges of table snapshots."""
+"""Idempotent merges of table snapshots."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import row_fingerprint
+from ..session import staged
 
 
 @dataclass(frozen=True)
@@ -92,40 +93,43 @@ def resume(inputs: DataFrame, stored: DataFrame, fresh: DataFrame, key: str, val
     return joined.select(key, F.coalesce("_new", "_old").alias(value), origin.alias("origin"))
 
 
-def fingerprint(df: DataFrame, group_by: list[str] = [], buckets: int = 256) -> DataFrame:  # noqa: B006
-    """(…, rows, rows_sha256): a digest of the rows that no partitioning changes.
+def digest_tree(rows: DataFrame, group_by: list[str], leaf: int = 4096) -> DataFrame:
+    """(group_by ..., rows, rows_sha256): a hash tree over the column ``d``, SHA-256 digests in hex, that no partitioning changes.
 
-    Row digests are sorted and hashed within buckets by their first byte, then the buckets' digests in
-    order, so no task gathers more than a bucket; more rows ask for more ``buckets`` (up to 16^8).
+    A node holds the digests of one prefix. With at most ``leaf`` distinct ones its hash is that of its sorted entries ``digest:count``, else that of its
+    sixteen children's hashes in order. Equal digests are counted first, and the tree grows from prefixes so long that a node there
+    holds a sixteenth of a leaf; so no task gathers more than sixteen leaves of a group, however large the group or often a row is repeated.
     """
-    digits = max(1, len(f"{buckets - 1:x}"))
-    rows = df.select(*group_by, row_fingerprint(*df.columns).alias("d"))
-    inner = rows.groupBy(*group_by, F.substring("d", 1, digits).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("h"))
-    pair = F.array_sort(F.collect_list(F.struct("b", "h")))
-    return inner.groupBy(*group_by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(pair, lambda x: x["h"]), ""), 256).alias("rows_sha256"))
-
-
-def changed(old: DataFrame, new: DataFrame) -> bool:
-    """Whether the rows differ; two one-row digests reach the driver."""
-    a, b = fingerprint(old).first(), fingerprint(new).first()
-    return (a and tuple(a)) != (b and tuple(b))
-
-
-def write_stable(df: DataFrame, path: str, *, immutable: bool = False) -> bool:
-    """Write Parquet only if the stored rows differ. ``immutable``: differing rows are an error."""
-    spark = df.sparkSession
-    from pyspark.errors import AnalysisException
-
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:
-        df.write.parquet(path)
-        return True
-    if sorted(stored.columns) == sorted(df.columns) and not changed(stored.select(*df.columns), df):
-        return False
-    if immutable:
-        raise ValueError(f"stored rows differ: {path}")
-    version = f"{path.rstrip('/')}.next"
-    df.write.mode("overwrite").parquet(version)
-    spark.read.parquet(version).write.mode("overwrite").parquet(path)
-    return True
+    counted = staged(rows.groupBy(*group_by, "d").agg(F.count("*").alias("c")))
+    most = counted.groupBy(*group_by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    depth = 0
+    while 16**depth * leaf < 16 * most:
+        depth += 1
+    entry = F.struct("d", F.concat_ws(":", "d", F.col("c").cast("string")).alias("e"))
+    own = F.sha2(F.array_join("entries", ""), 256)
+    at = lambda n: [F.substring("p", 1, n).alias("p")] if n else []
+    nodes = counted.withColumn("p", F.substring("d", 1, max(depth, 1))).groupBy(*group_by, *at(depth)).agg(
+        F.sum("c").alias("rows"), F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("entries"), F.lit(None).cast("string").alias("h")
+    )
+    for level in range(depth - 1, -1, -1):
+        children = nodes.withColumn("child", F.struct("p", "entries", F.coalesce("h", own).alias("h")))
+        above = children.groupBy(*group_by, *at(level)).agg(F.sum("rows").alias("rows"), F.sum(F.coalesce(F.size("entries"), F.lit(0))).alias("n"), F.count_if(F.col("entries").isNull()).alias("split"), F.array_sort(F.collect_list("child")).alias("child"))
+        whole = (F.col("split") == 0) & (F.col("n") <= leaf)
+        listed = F.when(whole, F.flatten(F.transform("child", lambda x: x["entries"])))
+        hashed = F.when(~whole, F.sha2(F.array_join(F.transform("child", lambda x: x["h"]), ""), 256))
+        nodes = above.select(*group_by, *(["p"] if level else []), "rows", listed.alias("entries"), hashed.alias("h"))
+    return nodes.select(*group_by, F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("h", own, F.sha2(F.lit(""), 256)).alias("rows_sha256"))
+
+
+def fingerprint(df: DataFrame, group_by: list[str] = [], leaf: int = 4096) -> DataFrame:  # noqa: B006
+    """(..., rows, rows_sha256): a digest of the rows, by group (``digest_tree``)."""
+    return digest_tree(df.select(*group_by, row_fingerprint(*df.columns).alias("d")), group_by, leaf)
+
+
+def file_snapshot(files: DataFrame, by: str, leaf: int = 4096) -> DataFrame:
+    """(by, files, bytes, content_sha256, state_sha256) of an inventory (path, size, sha256, modified): the digests of the contents, and of contents with times of change."""
+    sizes = files.groupBy(by).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    for name, columns in (("content_sha256", ("path", "sha256")), ("state_sha256", ("path", "sha256", "modified"))):
+        own = digest_tree(files.select(by, row_fingerprint(*columns).alias("d")), [by], leaf)
+        sizes = sizes.join(own.select(F.col(by).alias("_by"), F.col("rows_sha256").alias(name)), F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+    return sizes

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_digest, uuid5
 from ..operators import raster
+from ..operators.merge import digest_tree
 from ..sources.matrix import AREA_PRESETS
 
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"  # RFC 4122, URL
@@ -59,11 +60,12 @@ def input_manifest(selected: DataFrame) -> DataFrame:
     return selected.select(F.substring(stable_digest(F.col("group_id"), F.col("page_id")), 1, 20).alias("sample_id"), "group_id", "page_id", "split")
 
 
-def run_identity(inputs: DataFrame, model: str, settings: dict, *, key: str, checksum: str, group: str) -> DataFrame:
-    """(group, run_identity): a digest of model, settings and the sorted checksums of a run's sources."""
-    entry = F.array_sort(F.collect_list(F.concat_ws("=", F.col(key).cast("string"), F.col(checksum))))
+def run_identity(inputs: DataFrame, model: str, settings: dict, *, key: str, checksum: str, group: str, leaf: int = 4096) -> DataFrame:
+    """(group, run_identity): a digest of model, settings and the checksums of a run's sources, as a hash tree over ``key=checksum`` (``merge.digest_tree``)."""
+    entry = F.concat_ws("=", F.col(key).cast("string"), F.col(checksum))
+    sources = digest_tree(inputs.select(group, F.sha2(entry, 256).alias("d")), [group], leaf)
     fixed = ";".join(f"{k}={settings[k]}" for k in sorted(settings))
-    return inputs.groupBy(group).agg(F.sha2(F.concat_ws(chr(0), F.lit(model), F.lit(fixed), F.array_join(entry, ",")), 256).alias("run_identity"))
+    return sources.select(group, F.sha2(F.concat_ws(chr(0), F.lit(model), F.lit(fixed), F.col("rows_sha256")), 256).alias("run_identity"))
 
 
 def to_run(inputs: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:

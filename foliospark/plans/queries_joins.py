@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import merge as M
 from ..operators import reconcile as R
-from .base import query, table
+from ..operators import versions
+from ..session import shared_folder
+from .base import query, table, tree_sql
 from .queries_profile import regions
 
 _ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -179,20 +183,30 @@ def resume_results(spark, sf_dir):
     return M.resume(docs, stored, docs.where("doc_id % 4 = 0").withColumn("result", F.lit("new")), "doc_id", "result")
 
 
-_FINGER = """WITH r AS (SELECT {key} AS k, sha256('{{"c_acctbal":' || CAST(CAST(round(c_acctbal * 100) AS BIGINT) AS VARCHAR) || ',"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}}') AS d FROM customer),
- b AS (SELECT k, substr(d, 1, 2) AS b, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS h FROM r GROUP BY ALL) SELECT {out} CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(h, '' ORDER BY b)) AS rows_sha256 FROM b GROUP BY k"""
+_CUSTOMER = """SELECT 0 AS k, sha256('{"c_acctbal":' || CAST(CAST(round(c_acctbal * 100) AS BIGINT) AS VARCHAR) || ',"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}') AS d FROM customer"""
+_SEGMENT = """SELECT c_mktsegment AS k, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}') AS d FROM customer"""
 
 
-@query(_FINGER.format(key="0", out=""))
+@query(f"WITH {tree_sql(_CUSTOMER, 512)} SELECT rows, rows_sha256 FROM tree")
 def table_fingerprint(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.round(F.col("c_acctbal") * 100).cast("long").alias("c_acctbal"))
-    return M.fingerprint(rows)
+    return M.fingerprint(rows, leaf=512)
 
 
-@query("""WITH r AS (SELECT c_mktsegment, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}') AS d FROM customer),
- b AS (SELECT c_mktsegment, substr(d, 1, 2) AS b, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS h FROM r GROUP BY ALL) SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(h, '' ORDER BY b)) AS rows_sha256 FROM b GROUP BY c_mktsegment""")
+@query(f"WITH {tree_sql(_SEGMENT, 64)} SELECT k AS c_mktsegment, rows, rows_sha256 FROM tree")
 def fingerprint_by_kind(spark, sf_dir):
-    return M.fingerprint(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), ["c_mktsegment"])
+    return M.fingerprint(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), ["c_mktsegment"], leaf=64)
+
+
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 5 = 0 THEN 'R' ELSE o_orderstatus END AS o_orderstatus, 'true,false,true,false' AS written FROM orders""")
+def versioned_writes(spark, sf_dir):
+    """The newest version after a first write, an unchanged one, a changed one and an unchanged immutable one."""
+    home = versions.VersionedTable(spark, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}")
+    first = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    second = first.withColumn("o_orderstatus", F.when(F.col("o_custkey") % 5 == 0, "R").otherwise(F.col("o_orderstatus")))
+    wrote = [home.write(first), home.write(first.repartition(3)), home.write(second), home.write(second.repartition(5), immutable=True)]
+    home.expire(keep=1)
+    return home.read().withColumn("written", F.lit(",".join(map(str, wrote)).lower()))
 
 
 @query("SELECT run_id, string_agg(label || ':' || CAST(area AS VARCHAR), ',' ORDER BY confidence DESC NULLS LAST, area, label) AS regions FROM (SELECT l_orderkey AS run_id, l_returnflag || l_linestatus AS label, round(least(1.0, l_discount * 10), 6) AS confidence, CAST(l_quantity AS BIGINT) AS area FROM lineitem) GROUP BY run_id")

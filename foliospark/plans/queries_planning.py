@@ -9,7 +9,7 @@ from ..session import shared_folder
 from ..sources import matrix
 from ..streaming import ingest as stream
 from . import planning as P
-from .base import query, table
+from .base import query, table, tree_sql
 
 DAMAGES = list(matrix.DAMAGES)
 _DECISIONS = ["do not generate", "generate for general training", "generate as edge case", "?"]
@@ -84,10 +84,13 @@ def input_manifest(spark, sf_dir):
     return P.input_manifest(table(spark, sf_dir, "documents").select(F.col("source").alias("group_id"), F.col("doc_id").alias("page_id"), split.alias("split")))
 
 
-@query("SELECT source, sha256(concat_ws(chr(0), 'model', 'conf=0.25;size=640', string_agg(doc_id || '=' || sha256(coalesce(text, '')), ',' ORDER BY doc_id || '=' || sha256(coalesce(text, ''))))) AS run_identity FROM documents GROUP BY source")
+_SOURCES = "SELECT source AS k, sha256(doc_id || '=' || sha256(coalesce(text, ''))) AS d FROM documents"
+
+
+@query(f"WITH {tree_sql(_SOURCES, 64)} SELECT k AS source, sha256(concat_ws(chr(0), 'model', 'conf=0.25;size=640', rows_sha256)) AS run_identity FROM tree")
 def run_identity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    return P.run_identity(docs, "model", {"size": 640, "conf": 0.25}, key="doc_id", checksum="sha", group="source")
+    return P.run_identity(docs, "model", {"size": 640, "conf": 0.25}, key="doc_id", checksum="sha", group="source", leaf=64)
 
 
 @query("SELECT doc_id FROM documents WHERE NOT (doc_id % 3 = 0 AND doc_id % 2 = 0)")

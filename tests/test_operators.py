@@ -81,12 +81,59 @@ def test_fingerprint_follows_rows_only(spark):
     assert M.fingerprint(df.withColumn("s", F.coalesce("s", F.lit("")))).first().rows_sha256 != a.rows_sha256
 
 
-def test_stable_and_immutable_writes(spark, tmp_path):
-    path, df = str(tmp_path / "t"), spark.range(5).toDF("x")
-    assert M.write_stable(df, path) and not M.write_stable(df.repartition(3), path, immutable=True)
+def test_digest_tree_by_hand(spark):
+    import hashlib
+    from collections import Counter
+
+    def brute(digests, leaf):
+        def node(prefix, own):
+            if len(own) <= leaf:
+                return hashlib.sha256("".join(f"{d}:{c}" for d, c in sorted(own.items())).encode()).hexdigest()
+            parts = [{d: c for d, c in own.items() if d[len(prefix)] == x} for x in "0123456789abcdef"]
+            return hashlib.sha256("".join(node(prefix + x, p) for x, p in zip("0123456789abcdef", parts, strict=True) if p).encode()).hexdigest()
+
+        return node("", Counter(digests))
+
+    rows = [("big", hashlib.sha256(str(k % 900).encode()).hexdigest()) for k in range(2000)] + [("small", hashlib.sha256(b"x").hexdigest())] * 500 + [(None, hashlib.sha256(str(k).encode()).hexdigest()) for k in range(60)]
+    df = spark.createDataFrame(rows, "g string, d string").repartition(5)
+    got = {r.g: (r.rows, r.rows_sha256) for r in M.digest_tree(df, ["g"], leaf=20).collect()}
+    assert got == {g: (sum(k == g for k, _ in rows), brute([d for k, d in rows if k == g], 20)) for g in ("big", "small", None)}
+    assert tuple(M.digest_tree(df.limit(0).select("d"), []).first()) == (0, hashlib.sha256(b"").hexdigest())
+
+
+def test_versioned_table_survives_crashes(spark, tmp_path, monkeypatch):
+    from foliospark.operators import versions as V
+
+    home, df = V.VersionedTable(spark, str(tmp_path / "t")), spark.range(5).toDF("x")
+    with pytest.raises(FileNotFoundError):
+        home.read()
+    assert home.write(df) and not home.write(df.repartition(3), immutable=True)
+    files = lambda: sorted(str(p) for p in tmp_path.rglob("*"))
+    before = files()
+    assert not home.write(df) and files() == before  # an unchanged rerun writes nothing
     with pytest.raises(ValueError, match="differ"):
-        M.write_stable(df.limit(3), path, immutable=True)
-    assert M.write_stable(df.limit(3), path) and spark.read.parquet(path).count() == 3
+        home.write(df.limit(3), immutable=True)
+    assert files() == before
+    put = V.put_commit
+    monkeypatch.setattr(V, "put_commit", lambda *a: 1 / 0)  # the driver is lost after the data and before the commit
+    with pytest.raises(ZeroDivisionError):
+        home.write(df.limit(3))
+    assert home.read().count() == 5
+    monkeypatch.setattr(V, "put_commit", put)
+    assert home.write(df.limit(3)) and home.read().count() == 3
+    with pytest.raises(Exception, match="2"):
+        V.put_commit(spark, home.path, 2, {})  # another writer has published this number
+    home.expire(keep=1)
+    assert home.read().count() == 3 and len(V.commits(spark, home.path)) == 1 and len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("version-")]) == 1
+
+
+def test_file_snapshot(spark):
+    rows = [("a", "p1", 3, "x", 1), ("a", "p2", 4, "y", 2), (None, "p3", 5, "z", 3)]
+    df = spark.createDataFrame(rows, "kind string, path string, size long, sha256 string, modified long")
+    one = {r.kind: r for r in M.file_snapshot(df, "kind").collect()}
+    two = {r.kind: r for r in M.file_snapshot(df.withColumn("modified", F.col("modified") + (F.col("path") == "p1").cast("long")), "kind").collect()}
+    assert (one["a"].files, one["a"].bytes, one[None].files) == (2, 7, 1) and one[None] == two[None]
+    assert one["a"].content_sha256 == two["a"].content_sha256 and one["a"].state_sha256 != two["a"].state_sha256
 
 
 def test_distribution_null_rules(spark):

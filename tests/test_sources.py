@@ -114,3 +114,45 @@ def test_generation_skips_test_pages(spark):
     seen, gone, skipped = P.generate(pages, cells, planned, {"edge_loss": 0.35})
     assert (seen.count(), gone.count(), {r.page_id for r in seen.collect()}) == (65, 35, {1})
     assert {(r.page_id, r.status) for r in skipped.collect()} == {(2, "frozen_test_page"), (3, "no_matrix_row")}
+
+
+def test_ingest_rewrites_touched_buckets_only(spark, tmp_path):
+    from foliospark.operators.versions import commits, load_commit
+
+    land, snap, kind = str(tmp_path / "in"), str(tmp_path / "snap"), "k long, v string, t long"
+    put = lambda rows: spark.createDataFrame(rows, kind).write.mode("append").parquet(land)
+    run = lambda off: ingest.ingest(spark, land, snap, str(tmp_path / off), schema=kind, keys=["k"], order="t", buckets=16)
+    put([(k, "a", 1) for k in range(200)])
+    run("off")
+    first = load_commit(spark, snap, commits(spark, snap)[-1])["buckets"]
+    put([(7, "b", 2)])
+    run("off")
+    second = load_commit(spark, snap, commits(spark, snap)[-1])["buckets"]
+    assert len(first) == 16 and sum(first[b] != second[b] for b in first) == 1
+    assert {(r.k, r.v) for r in ingest.current(spark, snap, kind).collect()} == {(k, "b" if k == 7 else "a") for k in range(200)}
+    run("other")  # a stream that starts anew reads everything again and merges it to the same snapshot
+    assert ingest.current(spark, snap, kind).count() == 200 and len(commits(spark, snap)) == 2
+
+
+def test_json_members_at_any_depth(spark):
+    import json
+
+    from foliospark.sources import json_tree as J
+
+    def walk(value, path, out):
+        for key, child in value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ():
+            out.append((tuple(path + [str(key)]), key if isinstance(value, dict) else None, json.dumps(child, separators=(",", ":"))))
+            walk(child, path + [str(key)], out)
+        return out
+
+    deep = {"Leaf-ID": "x"}
+    for k in range(12):
+        deep = [deep] if k % 2 else {"metadata": [deep, {"label": f"l{k}"}], "paired_canvas_id": 0}
+    texts = [json.dumps(deep), "[1,[2,{\"opposite_side\":false}],{}]", '"plain"', "broken{", None, "{}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    members = J.json_members(docs, ["id"], "body")
+    got = sorted((r.id, tuple(r.path), str(r.key), r.v) for r in members.selectExpr("id", "path", "key", "to_json(value) v").collect())
+    assert got == sorted((i, p, str(k), v) for i, t in enumerate(texts[:3]) for p, k, v in walk(json.loads(t), [], []))
+    assert [r.term for r in J.term_members(members).collect()] == ["leaf_id"]
+    assert {r.label: r["items"] for r in J.label_catalogue(members).collect()} == {f"l{k}": 1 for k in range(0, 12, 2)}
+    assert {r.key: (r.members, r.documents) for r in J.key_catalogue(members, ["id"]).collect()}["paired_canvas_id"] == (6, 1)
