@@ -27,6 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain_columns(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns in_0, in_1, ..., and the new name of each old one: no column of a caller can clash with one of an operator's own then, in any case."""
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def named(names: dict[str, str], wanted: str) -> str | None:
+    """The new name of a column, whatever the case, or null."""
+    return names.get(wanted) or next((n for c, n in names.items() if c.lower() == wanted.lower()), None)
+
+
+def as_before(df: DataFrame, names: dict[str, str], keep: list[str] | None = None, results: tuple[str, ...] = ()) -> DataFrame:
+    """The caller's columns (``keep``: which; default all) under their names, then ``results``, which stand for columns of the same name in any case."""
+    taken = {r.lower() for r in results}
+    own = [F.col(named(names, c)).alias(c) for c in (names if keep is None else keep) if c.lower() not in taken]
+    return df.select(*own, *results)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share, below ``spark.checkpoint.dir``. All folders of an application
     lie in one folder named after it, to be removed when the application's results are written."""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import as_before, named, plain_columns, stage
 from .tokens import slices
 
 # A-Z become a-z; the other ASCII characters outside 0-9 and a-z separate words. UTF-8 bytes of
@@ -156,14 +156,14 @@ def find_contamination(
 
     Returns the columns ``keep`` (default: all) and n_words long, hit_words and hit_spans
     (merged half-open spans, in words and in code points of the original text), items (sorted ids
-    as strings). Columns of those names in ``docs`` are replaced.
+    as strings). Columns of those names in ``docs``, in any case, give way to the results.
 
     Null or empty texts have no words and no hits; items without words match nothing; a null
     item id is reported as "null"; repeated rows are each reported; empty tables give no rows or
     no hits; very long texts are scanned whole. The items' size is measured first: up to ``block_bytes`` they are broadcast for one
     automaton, which takes some fifty times the items' bytes in a worker; beyond that they go in blocks of about that size, one scan each, staged in between.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in _RESULT}]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {f.name for f in _RESULT}]
     wanted = items.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")).alias("id"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
     size = wanted.select(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
@@ -190,7 +190,8 @@ def contamination_report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents in which no test item occurs, columns as they were."""
-    found = find_contamination(docs, items, keep=docs.columns, **options)
-    return found.where(F.size("hit_words") == 0).select(*docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The documents in which no test item occurs, columns and values as they were, whatever their names."""
+    plain, names = plain_columns(docs)
+    found = find_contamination(plain, items, text_col=named(names, text_col), **options)
+    return as_before(found.where(F.size("hit_words") == 0), names)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, shared_dir, stage
+from .common import BLANKS, as_before, ascii_lower, named, plain_columns, shared_dir, stage
 
 
 def lines_of(text: Column) -> Column:
@@ -106,28 +106,47 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batc
     the id) into ``LineRuns``; the runs' totals name the repeated keys, and a document is told the places of its lines to drop.
 
     Returns the columns ``keep`` (default: all; the text column rewritten) and n_lines long (before),
-    n_dropped long. Columns of those names in ``docs`` are replaced. A null or empty text is one empty line.
+    n_dropped long. Columns of those names in ``docs``, in any case, give way to the results; other names never clash. A null or empty text is one empty line.
     Documents of equal id count as one; rows without id count as no document and lose no line. Repeated
-    rows are each returned; an empty table gives no rows. The places of its own lines are all that is gathered for
+    rows are each returned, alike; the largest id is one, so there are no ties; an empty table gives no rows. The places of its own lines are all that is gathered for
     a document, and dropping them takes time in proportion to its lines, so very long texts do no harm.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_lines", "n_dropped")]
+    plain, names = plain_columns(docs)
+    kept = docs.columns if keep is None else keep
+    found = _deduped(plain, named(names, id_col), named(names, text_col), min_chars=min_chars, min_docs=min_docs, batches=batches, fanout=fanout)
+    return as_before(found, names, kept, ("n_lines", "n_dropped"))
+
+
+def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+    """``dedup_lines`` with the caller's columns only, all values but the text's (and its length's, where lines went) as they were."""
+    plain, names = plain_columns(docs)
+    found = _deduped(plain, named(names, id_col), named(names, text_col), **options)
+    size = named(names, length_col)
+    if size:
+        found = found.withColumn(size, F.when(F.col("n_dropped") > 0, F.char_length(named(names, text_col)).cast("long")).otherwise(F.col(size)))
+    return as_before(found, names)
+
+
+def _deduped(docs: DataFrame, id_col: str, text_col: str, *, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
+    """All columns (of ``common.plain_columns``), the text rewritten, n_lines and n_dropped."""
     digest = F.xxhash64(F.col(text_col))
     line = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), digest.alias("digest"), F.posexplode(lines_of(F.col(text_col))).alias("place", "line")).where(F.char_length("line") >= min_chars)
     keyed = line.select("doc_id", "digest", "place", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     hashes = keyed.select("doc_id", "digest", "place", key_hash(F.col("key")).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"))
     hashes = stage(hashes.select("doc_id", "digest", "place", "h.h1", "h.h2", "batch"), partition_by=["batch"])
     runs = LineRuns(docs.sparkSession, fanout)
-    for k in range(batches):
-        runs.add(hashes.where(F.col("batch") == k))
-    # Staged, so that both sides of the join are plain shuffles: Spark then splits a very common line's rows.
-    repeated = stage(runs.totals(min_docs))
-    runs.drop()
+    try:
+        for k in range(batches):
+            runs.add(hashes.where(F.col("batch") == k))
+        # Staged, so that both sides of the join are plain shuffles: Spark then splits a very common line's rows.
+        repeated = stage(runs.totals(min_docs))
+    finally:
+        runs.drop()
     gone = hashes.join(repeated, ["h1", "h2"]).where("doc_id != last").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.collect_set("place").alias("_gone"))
-    own = docs.select(*[c for c in dict.fromkeys([*keep, id_col]) if c != text_col], digest.alias("_own"), F.split(text_col, "\n", -1).alias("_lines"))
+    own = docs.select(*[c for c in docs.columns if c != text_col], digest.alias("_own"), F.split(text_col, "\n", -1).alias("_lines"))
     joined = own.join(gone, (F.col(id_col) == F.col("_id")) & (F.col("_own") == F.col("_digest")), "left")
     count = lambda c, none: F.when(F.col(c).isNull(), none).otherwise(F.size(c))
     size = count("_lines", 1)
     stay = F.array_except(F.sequence(F.lit(0), size - 1), "_gone")
     text = F.array_join(F.coalesce(F.transform(stay, lambda k: F.get("_lines", k)), F.col("_lines")), "\n")
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in keep], size.cast("long").alias("n_lines"), count("_gone", 0).cast("long").alias("n_dropped"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], size.cast("long").alias("n_lines"), count("_gone", 0).cast("long").alias("n_dropped"))

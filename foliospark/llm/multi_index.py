@@ -121,7 +121,7 @@ def _assign(grid):
             if batch.num_rows:
                 flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
                 cells = grid.value.cells(unit_rows(flat.reshape(batch.num_rows, -1)))
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("vector"), pa.array(cells, pa.int64())], ["rep", "copies", "vector", "cell"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("number", "rep", "copies", "vector")], pa.array(cells, pa.int64())], ["number", "rep", "copies", "vector", "cell"])
 
     return run
 
@@ -129,7 +129,7 @@ def _assign(grid):
 def _links(cosine: float):
     def run(part: pa.Table) -> pa.Table:
         """The links between a block (side 0) and the other blocks of a task, and within it in the task that is told to (self)."""
-        side, rep, copies = (part.column(c).to_numpy() for c in ("side", "rep", "copies"))
+        side, number, rep, copies = (part.column(c).to_numpy() for c in ("side", "number", "rep", "copies"))
         x = unit_rows(part.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1))
         l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         inside = bool(part.column("self").to_numpy(zero_copy_only=False)[l].any()) if len(l) else False
@@ -165,13 +165,13 @@ def _links(cosine: float):
                 meet(own, other, hit)
         found = np.flatnonzero(count)
         root = np.array([rep[find(int(k))] for k in found], np.int64)
-        return pa.table({"rep": pa.array(rep[found], pa.int64()), "links": pa.array(count[found], pa.int64()), "root": pa.array(root, pa.int64())})
+        return pa.table({"number": pa.array(number[found], pa.int64()), "rep": pa.array(rep[found], pa.int64()), "links": pa.array(count[found], pa.int64()), "root": pa.array(root, pa.int64())})
 
     return run
 
 
 def _index_links(entry: DataFrame, *, cosine: float, recall: float, far_recall: float, sample_rows: int, cell_rows: int, block_rows: int, task_blocks: int) -> DataFrame:
-    """(rep, links, root) from every task that found links among entries (h1, h2, rep, copies, vector) of one length."""
+    """(number, rep, links, root) from every task that found links among entries (number, h1, h2, rep, copies, vector) of one length."""
     spark = entry.sparkSession
     n = entry.count()
     sample = unit_rows(np.array([r.vector for r in entry.orderBy("h1", "h2").limit(sample_rows).select("vector").collect()]))
@@ -179,7 +179,7 @@ def _index_links(entry: DataFrame, *, cosine: float, recall: float, far_recall:
     visits = grid.visits_for(sample[:4096], cosine, recall, far_recall)
     held = spark.sparkContext.broadcast(grid)
     vector = entry.schema["vector"].dataType.simpleString()
-    indexed = stage(entry.select("rep", "copies", "vector").mapInArrow(_assign(held), f"rep long, copies long, vector {vector}, cell long"))
+    indexed = stage(entry.select("number", "rep", "copies", "vector").mapInArrow(_assign(held), f"number long, rep long, copies long, vector {vector}, cell long"))
     cells = stage(indexed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("blocks")))
     near = cells.select("cell").mapInArrow(_visits(held, visits), "c long, d long")
     near = near.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct()  # one of the two visits the other
@@ -191,9 +191,9 @@ def _index_links(entry: DataFrame, *, cosine: float, recall: float, far_recall:
     own = pairs.groupBy("c", "x", "part").agg(F.bool_or((F.col("c") == F.col("d")) & (F.col("x") == F.col("y"))).alias("self"))
     own = own.select("c", "x", "part", F.col("c").alias("cell"), F.col("x").alias("block"), F.lit(0).alias("side"), "self")
     other = pairs.where("c <> d or x <> y").select("c", "x", "part", F.col("d").alias("cell"), F.col("y").alias("block"), F.lit(1).alias("side"), F.lit(False).alias("self"))
-    block = indexed.join(cells, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    work = block.join(own.unionByName(other), ["cell", "block"]).select("c", "x", "part", "side", "self", "rep", "copies", "vector")
-    return work.groupBy("c", "x", "part").applyInArrow(_links(cosine), "rep long, links long, root long")
+    block = indexed.join(cells, "cell").withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks")))
+    work = block.join(own.unionByName(other), ["cell", "block"]).select("c", "x", "part", "side", "self", "number", "rep", "copies", "vector")
+    return work.groupBy("c", "x", "part").applyInArrow(_links(cosine), "number long, rep long, links long, root long")
 
 
 def embedding_groups(
@@ -221,15 +221,16 @@ def embedding_groups(
     good = F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda v: v != 0)
     base = stage(raw.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit(1), F.col("vector"))))
     entry = base.where("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
-    entry = stage(entry.withColumn("width", F.size("vector")))
-    nothing = vectors.sparkSession.createDataFrame([], "rep long, links long, root long")
+    # Two vectors of one id are two entries with one smallest id, so links are counted by the entry's number.
+    entry = stage(entry.withColumn("width", F.size("vector")).withColumn("number", F.monotonically_increasing_id()))
+    nothing = vectors.sparkSession.createDataFrame([], "number long, rep long, links long, root long")
     options = {"cosine": cosine, "recall": recall, "far_recall": far_recall, "sample_rows": sample_rows, "cell_rows": cell_rows, "block_rows": block_rows, "task_blocks": task_blocks}
     widths = [r.width for r in entry.groupBy("width").count().where("count > 1").orderBy("width").collect()]  # lengths of vectors, one in most tables
     found = stage(reduce(DataFrame.unionByName, [_index_links(entry.where(F.col("width") == w), **options) for w in widths], nothing))
 
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    linked = found.groupBy("number").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select("rep", "root"))
-    named = entry.select("h1", "h2", "rep", "copies").join(linked, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    named = entry.select("number", "h1", "h2", "rep", "copies").join(linked, "number", "left").join(roots, F.col("rep") == F.col("node"), "left")
     named = stage(named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "rep").alias("component")))
     out = base.where("good").select("vec_id", "h1", "h2").join(named, ["h1", "h2"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
     rest = base.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import as_before, named, plain_columns
 from .tokens import slices
 
 WORD_BUCKETS = 1 << 15
@@ -110,7 +111,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _with_length(docs: DataFrame, length_col: str) -> Column:
-    return (F.col(length_col).cast("long") if length_col in docs.columns else F.lit(None).cast("long")).alias("_length")
+    return (F.col(length_col).cast("long") if length_col.lower() in map(str.lower, docs.columns) else F.lit(None).cast("long")).alias("_length")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 3000, rank: int = 8, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", label_col: str = "quality") -> FactorisationMachine:
@@ -143,21 +144,35 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 3000, rank:
     return model
 
 
-def score_documents(docs: DataFrame, model: FactorisationMachine, *, text_col: str = "text", length_col: str = "n_chars", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) and ``score`` from 0 to 1, from the whole text.
-
-    Null or empty texts are scored by their statistics; repeated rows are each scored; a column named score
-    is replaced. One pass, no shuffle; the model has a fixed size.
-    """
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
+def _scored(plain: DataFrame, model: FactorisationMachine, text: str, length: str | None, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` (of ``common.plain_columns``) and score."""
+    held = plain.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([plain.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = held.value
         for whole in batches:
             for batch in slices(whole):
-                scores = [machine.score(*features(t, n)) for t, n in zip(batch.column(text_col).cast(pa.binary()).to_pylist(), batch.column("_length").to_pylist(), strict=True)]
+                scores = [machine.score(*features(t, n)) for t, n in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("length").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(scores, pa.float64())], [*keep, "score"])
 
-    return docs.select(*dict.fromkeys([*keep, text_col]), _with_length(docs, length_col)).mapInArrow(run, schema)
+    size = F.col(length).cast("long") if length else F.lit(None).cast("long")
+    return plain.select(*dict.fromkeys([*keep, text]), size.alias("length")).mapInArrow(run, schema)
+
+
+def score_documents(docs: DataFrame, model: FactorisationMachine, *, text_col: str = "text", length_col: str = "n_chars", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all) and ``score`` from 0 to 1, from the whole text.
+
+    Null or empty texts are scored by their statistics; repeated rows and ties are each scored, alike; a kept column named score, in any case,
+    gives way to the result, and other names never clash; an empty table gives no rows. One pass, no shuffle; the model has a fixed size.
+    """
+    plain, names = plain_columns(docs)
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != "score"]
+    return as_before(_scored(plain, model, named(names, text_col), named(names, length_col), [named(names, c) for c in kept]), names, kept, ("score",))
+
+
+def keep_good(docs: DataFrame, model: FactorisationMachine, *, least: float = 0.3, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The documents that score at least ``least``, their columns and values as they were, whatever their names."""
+    plain, names = plain_columns(docs)
+    found = _scored(plain, model, named(names, text_col), named(names, length_col), list(names.values()))
+    return as_before(found.where(F.col("score") >= least), names)

@@ -35,10 +35,11 @@ def _quick(kind: Kind) -> str:
 
 
 def _matches(text: Column, kind: Kind) -> Column:
-    """Struct of the matches, their values, and the lengths of the gaps before and after each."""
+    """Struct of the lengths of the matches and of the gaps before and after each, and of each value length, hash and make-up: what is staged holds no secret."""
     pattern = F.lit(_quick(kind))
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    value = F.regexp_extract_all(text, pattern, F.lit(kind.value))
+    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.char_length)
+    shape = lambda v: F.struct(F.char_length(v).alias("n"), F.xxhash64(v, F.char_length(v)).alias("hash"), (v.rlike("[0-9]") & v.rlike("[A-Za-z]")).alias("mixed"))
+    value = F.transform(F.regexp_extract_all(text, pattern, F.lit(kind.value)), shape)
     gaps = F.transform(F.split(text, _quick(kind), -1), F.char_length)
     some = text.rlike(_quick(kind))
     return F.when(some, F.struct(F.lit(kind.name).alias("kind"), F.lit(kind.least).alias("least"), gaps.alias("gaps"), found.alias("found"), value.alias("value")))
@@ -62,11 +63,10 @@ def spans_of(candidates: DataFrame) -> DataFrame:
     once = candidates.where(F.size("hits") > 0).dropDuplicates(keys)
     each = once.select(*keys, F.explode("hits").alias("h")).select(*keys, "h.kind", "h.least", F.posexplode(F.arrays_zip("h.gaps", "h.found", "h.value")).alias("pos", "m"))
     upto = Window.partitionBy(*keys, "kind").orderBy("pos")
-    length = F.coalesce(F.char_length("m.found"), F.lit(0))
+    length = F.coalesce("m.found", F.lit(0))
     each = each.withColumn("end", F.sum(F.col("m.gaps") + length).over(upto))
-    each = each.where("m.found is not null").where(F.char_length("m.value") >= F.col("least"))
-    mixed = F.col("m.value").rlike("[0-9]") & F.col("m.value").rlike("[A-Za-z]")
-    return each.select(*keys, "kind", (F.col("end") - length).alias("start"), "end", (F.col("end") - F.char_length("m.value")).alias("value_start"), F.xxhash64("m.value", F.char_length("m.value")).alias("value_hash"), mixed.alias("mixed"))
+    each = each.where("m.found is not null").where(F.col("m.value.n") >= F.col("least"))
+    return each.select(*keys, "kind", (F.col("end") - length).alias("start"), "end", (F.col("end") - F.col("m.value.n")).alias("value_start"), F.col("m.value.hash").alias("value_hash"), F.col("m.value.mixed").alias("mixed"))
 
 
 def ownership(spans: DataFrame) -> DataFrame:

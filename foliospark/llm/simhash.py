@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import as_before, named, plain_columns, stage
 from .components import connected_components
 from .tokens import slices
 
@@ -398,11 +398,13 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8
     return base.join(named, "unit").select("doc_id", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The first document of every near-duplicate group, columns as they were.
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The first document of every near-duplicate group, columns and values as they were, whatever their names.
 
-    Among rows with equal doc_id all stay if it is the group's smallest; rows without doc_id stay.
+    Among rows with equal doc_id (ties) all stay if it is the group's smallest; rows without doc_id stay.
     """
-    groups = similar_groups(docs, id_col=id_col, **options)
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    plain, names = plain_columns(docs)
+    own = named(names, id_col)
+    groups = similar_groups(plain, id_col=own, text_col=named(names, text_col), **options)
+    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
+    return as_before(plain.join(dropped, F.col(own).cast("long") == F.col("gone"), "left_anti"), names)

@@ -76,3 +76,38 @@ def test_each_stage_matches_brute_force(spark, tmp_path, words):
             at += length
         assert at <= 2048
     assert {r.doc_id for r in corpus_pipeline.run(spark, home).select("doc_id").distinct().collect()} == set(four)
+
+CLASHING = ("_id", "_gone", "_length", "_lines", "_own", "_digest", "Score", "N_WORDS", "items", "n_lines", "N_dropped", "hit_words", "Component_ID", "gone", "in_0", "length", "unit")
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path, words):
+    """Columns named like an operator's own, in any case, come out of every stage with the values that went in."""
+    home = str(tmp_path / "sf")
+    plain = tables(spark, home, words)
+    # Values follow the document, so that a value that stands for another one shows.
+    more = plain.selectExpr(*[f"concat('{c}', coalesce(doc_id, -1)) AS `{c}`" for c in CLASHING[:8]], "*", *[f"array(doc_id, {k}) AS `{c}`" for k, c in enumerate(CLASHING[8:])])
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, more, home)
+        assert out.columns == more.columns and out.schema == more.schema, name
+        got = {r.doc_id: r for r in out.collect()}
+        assert got and set(got) == {r.doc_id for r in step(spark, plain, home).collect()}, name
+        for r in more.collect():
+            for c in more.columns:
+                if r.doc_id in got and not (name == "line_dedup" and c in ("text", "n_chars")):
+                    assert got[r.doc_id][c] == r[c], (name, c)
+    packed = corpus_pipeline.STAGES[-1][1](spark, more, home)
+    assert packed.count() >= more.count()
+
+
+def test_operators_replace_results_in_any_case(spark, docs, words):
+    from pyspark.sql import functions as F
+
+    from foliospark.llm import decontaminate, line_runs
+
+    odd = docs([(k, words(k, 30)) for k in range(6)]).withColumn("_gone", F.lit("g")).withColumn("_lines", F.lit("l")).withColumnRenamed("n_words", "N_Words").withColumnRenamed("score", "SCORE").withColumn("N_LINES", F.lit(9)).withColumn("Items", F.lit(8))
+    lines = line_runs.dedup_lines(odd)
+    assert {r.n_lines for r in lines.collect()} == {1} and {(r["_gone"], r["_lines"]) for r in lines.collect()} == {("g", "l")}
+    found = decontaminate.find_contamination(odd, spark.createDataFrame([(1, "none of it")], "item_id long, text string"))
+    assert {r.n_words for r in found.collect()} == {30}
+    model = quality.train(odd, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r.score for r in quality.score_documents(odd, model).collect()} == {0.5}

@@ -146,6 +146,13 @@ def test_embeddings(spark):
             links = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near), strict=True)]
             assert got == want and {i: out[i].component_id for i in ids} == brute_components(ids, links)
         assert all(out[i].n_links == 0 and out[i].component_id == i and out[i].kept for i in range(300, 307))
+    # Every row of a repeated id has the links of its own vector.
+    twice = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.99, 0.01, 0.0]), (3, [0.01, 0.99, 0.0]), (4, [0.0, 0.99, 0.05]), (1, [1.0, 0.0, 0.0]), (5, [0.0, 0.0, 1.0]), (5, [0.5, 0.5, 0.5])]
+    unit = np.array([np.array(v) / np.linalg.norm(v) for _, v in twice])
+    rows_of = spark.createDataFrame(twice, "vec_id long, embedding array<double>")
+    got = multi_index.embedding_groups(rows_of).collect()
+    assert sorted((r.vec_id, r.n_links) for r in got) == sorted((i, int((unit @ u >= 0.9).sum()) - 1) for (i, _), u in zip(twice, unit, strict=True))
+    assert {(r.vec_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
     assert multi_index.embedding_groups(df.limit(0)).count() == 0
     assert multi_index.embedding_groups(df.where("vec_id between 300 and 399")).count() == 7
     assert df.where("vec_id = 420").count() == multi_index.embedding_groups(df).where("vec_id = 420").count() == 2
