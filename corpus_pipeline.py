@@ -1,13 +1,12 @@
 """The corpus pipeline: five stages, each one of the training-data operators, over all documents.
 
 In every stage a null text is an empty one and keeps its null; rows with a null doc_id stay unless the stage's own rule drops their
-text; repeated rows are each judged alike; an empty table stays empty; further columns of documents are carried along.
+text; repeated rows are each judged alike; an empty table stays empty; further columns of documents are carried along with their values, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foliospark.llm import decontaminate, line_runs, packing, quality, simhash
 from foliospark.llm.common import shared_dir, table
@@ -17,14 +16,12 @@ from foliospark.llm.tokens import default_tokenizer
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.3 go. Empty texts are scored by their statistics; without labels every score is 0.5."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model).where("score >= 0.3").select(*docs.columns)
+    return quality.keep_good(docs, model, least=0.3)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five documents or more share stay in the one of largest doc_id; n_chars follows a text that changes. A text may become empty."""
-    cleaned = line_runs.dedup_lines(docs)
-    length = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.withColumn("n_chars", length).select(*docs.columns)
+    return line_runs.drop_repeated_lines(docs)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
