@@ -97,9 +97,11 @@ def slug(col: Column, length: int = 80, default: str = "asset") -> Column:
     return F.coalesce(F.nullif(F.substring(F.trim(dashed, F.lit("-._")), 1, length), F.lit("")), F.lit(default))
 
 
-def image_request(service: Column, source: Column, size: str = "full") -> Column:
-    """The IIIF image address, or the source address; null if there is neither."""
-    return F.coalesce(F.concat(F.rtrim(service, F.lit("/")), F.lit(f"/full/{size}/0/default.jpg")), source)
+def image_request(service: Column, source: Column, *, region: str = "full", size: str = "full", rotation: str = "0", quality: str = "default", extension: str = "jpg") -> Column:
+    """The IIIF image address, or the source address; an error where there is neither (null and empty alike)."""
+    address = F.concat(F.rtrim(service, F.lit("/")), F.lit(f"/{region}/{size}/{rotation}/{quality}.{extension}"))
+    neither = F.raise_error(F.lit("image has neither a source address nor a service address")).cast("string")
+    return F.when(service != "", address).when(source != "", source).otherwise(neither)
 
 
 def canonical_url(col: Column) -> Column:

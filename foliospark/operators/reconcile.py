@@ -150,3 +150,28 @@ def task_differences(planned: DataFrame, generated: DataFrame, identity: list[st
     differ = F.array_compact(F.array(*[F.when(~F.col(f"_p.{f}").eqNullSafe(F.col(f"_g.{f}")), F.lit(f)) for f in fields]))
     status = F.when(F.col("_g").isNull(), "not_generated").when(F.col("_p").isNull(), "not_planned").when(F.size(differ) > 0, "differs").otherwise("ok")
     return both.select(*identity, status.alias("status"), F.when(status == "differs", F.array_join(differ, ",")).otherwise("").alias("fields"))
+
+
+def required(df: DataFrame, key: str, found: Column, what: str) -> DataFrame:
+    """The rows, where one without ``found`` is an error that names its key.
+
+    The check is part of the plan, in the key column, so nothing is counted on the driver: whoever reads the key of an unmatched row fails.
+    """
+    return df.withColumn(key, F.when(found, F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(df.schema[key].dataType)))
+
+
+def registration(pages: DataFrame, cache: DataFrame, repositories: DataFrame, manuscripts: DataFrame, canvases: DataFrame, assets: DataFrame) -> DataFrame:
+    """The stored ids of every page (page_id, manifest_url, canvas_url, source_url): cache, repository, manuscript, canvas and asset.
+
+    ``cache``: cache_id, manifest_url, repository_id, manuscript_id. ``repositories``: repository_id. ``manuscripts``: manuscript_id. ``canvases``: canvas_id, manuscript_id, canvas_url.
+    ``assets``: asset_id, canvas_id, source_url, which compares null-safely. Of several matches the smallest ids count; a page without any is an error.
+    """
+    found = pages.select("page_id", "manifest_url", "canvas_url", "source_url").join(cache, "manifest_url", "left")
+    found = found.join(repositories.select("repository_id", F.lit(True).alias("_repository")), "repository_id", "left").join(manuscripts.select("manuscript_id", F.lit(True).alias("_manuscript")), "manuscript_id", "left")
+    found = found.join(canvases, ["manuscript_id", "canvas_url"], "left")
+    a = assets.select("asset_id", F.col("canvas_id").alias("_canvas"), F.col("source_url").alias("_url"))
+    found = found.join(a, (F.col("canvas_id") == F.col("_canvas")) & F.col("source_url").eqNullSafe(F.col("_url")), "left")
+    whole = F.col("_repository") & F.col("_manuscript") & F.col("asset_id").isNotNull()
+    ids = F.struct("cache_id", "repository_id", "manuscript_id", "canvas_id", "asset_id")
+    best = found.groupBy("page_id").agg(F.min(F.when(whole, ids)).alias("row"))
+    return required(best.select("page_id", "row.*"), "page_id", F.col("asset_id").isNotNull(), "page is not registered")

@@ -25,6 +25,19 @@ def five_way_lookup(spark, sf_dir):
     return chain.join(places, F.col("n_nationkey").eqNullSafe(F.col("c_nationkey")), "left").select(*_ID, "c_name", "n_name", "r_name")
 
 
+@query("""SELECT doc_id AS page_id, min(doc_id) + 1 AS cache_id, min(n_nationkey) AS repository_id, source AS manuscript_id, doc_id AS canvas_id, doc_id * 10 AS asset_id FROM documents JOIN nation ON n_nationkey = length(source) GROUP BY doc_id, source""")
+def registration_lookup(spark, sf_dir):
+    """Documents as pages of their source; every third has no source address, which matches none only if null equals null."""
+    docs = table(spark, sf_dir, "documents")
+    url = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("m:"), "source", F.lit(":"), "doc_id").alias("manifest_url"), F.concat(F.lit("c:"), F.col("doc_id").cast("string")).alias("canvas_url"), url.alias("source_url"))
+    cache = docs.select((F.col("doc_id") + 1).alias("cache_id"), F.concat(F.lit("m:"), "source", F.lit(":"), "doc_id").alias("manifest_url"), F.char_length("source").cast("long").alias("repository_id"), F.col("source").alias("manuscript_id"))
+    repositories = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("repository_id"))
+    canvases = docs.select(F.col("doc_id").alias("canvas_id"), F.col("source").alias("manuscript_id"), F.concat(F.lit("c:"), F.col("doc_id").cast("string")).alias("canvas_url"))
+    assets = docs.select((F.col("doc_id") * 10).alias("asset_id"), F.col("doc_id").alias("canvas_id"), url.alias("source_url"))
+    return R.registration(pages, cache, repositories, docs.select(F.col("source").alias("manuscript_id")).distinct(), canvases, assets)
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_totalprice > 20000)")
 def orphan_regions(spark, sf_dir):
     return R.orphans(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").where("o_totalprice > 20000"), "l_orderkey", "o_orderkey").select(*_ID)

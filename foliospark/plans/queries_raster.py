@@ -240,9 +240,17 @@ def box_survival(spark, sf_dir):
     return out.select("page_id", F.col("region_id.y").alias("region_id"), "area", "surviving")
 
 
-@query()
+_TOUCH = "b.page_id = a.page_id AND b.y = a.y + 1 AND a.x0 < b.x1 AND b.x0 < a.x1"
+
+
+@query(f"""WITH RECURSIVE {removal_sql('edge_loss', 0.3)},
+ sp AS (SELECT page_id, y, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT page_id, y, x, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS part FROM removed WHERE removed) GROUP BY page_id, y, part),
+ n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x0) AS span FROM sp),
+ e AS (SELECT a.page_id, a.span AS u, b.span AS v FROM n a JOIN n b ON {_TOUCH} UNION ALL SELECT a.page_id, b.span, a.span FROM n a JOIN n b ON {_TOUCH}),
+ reach AS (SELECT page_id, span, span AS root FROM n UNION SELECT e.page_id, e.v, reach.root FROM reach JOIN e ON e.page_id = reach.page_id AND e.u = reach.span WHERE reach.root < e.v)
+ SELECT page_id, count(DISTINCT low) AS components, count(*) AS spans FROM (SELECT page_id, span, min(root) AS low FROM reach GROUP BY page_id, span) GROUP BY page_id""")
 def span_components(spark, sf_dir):
-    """Components of each page's removed cells; rows only, as it iterates."""
+    """Components of each page's removed cells."""
     gone = R.remove_share(cells(spark, sf_dir), "edge_loss", 0.3).where("removed")
     labelled = R.span_components(R.spans_from_cells(gone, ["page_id"]))
     return labelled.groupBy("page_id").agg(F.count_distinct("component").alias("components"), F.count("*").alias("spans"))

@@ -201,3 +201,11 @@ def json_key_catalogue(spark, sf_dir):
 def json_metadata_labels(spark, sf_dir):
     """The labels that metadata lists use."""
     return json_tree.label_catalogue(_members(spark, sf_dir))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN rtrim(url, '/') || '/square/2000,/90/gray.png' ELSE url END AS request FROM pages WHERE url <> ''""")
+def image_requests(spark, sf_dir):
+    """Every third page has a service address, the others their source address."""
+    url = table(spark, sf_dir, "pages").where("url <> ''")
+    service = F.when(F.col("page_id") % 3 == 0, F.col("url"))
+    return url.select("page_id", T.image_request(service, F.col("url"), region="square", size="2000,", rotation="90", quality="gray", extension="png").alias("request"))

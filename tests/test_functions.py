@@ -70,6 +70,9 @@ def test_small_texts(spark):
     assert one(spark, T.human_bytes(F.lit(1536))) == "1.5 KB" and one(spark, T.code_group(F.lit("HSP-C012"))) == "C-code"
     assert one(spark, T.json_keys(F.lit('{"a-B": {"c": 1}}'))) == ["a_b", "c"]
     assert one(spark, T.image_request(F.lit("https://x/iiif/1/"), F.lit(None))) == "https://x/iiif/1/full/full/0/default.jpg"
+    assert one(spark, T.image_request(F.lit(""), F.lit("https://x/a.jpg"))) == "https://x/a.jpg"
+    with pytest.raises(Exception, match="neither"):
+        one(spark, T.image_request(F.lit(None).cast("string"), F.lit("")))
 
 
 def test_boxes_and_transforms(spark):

@@ -248,3 +248,19 @@ def test_batches_and_tasks(spark):
     runs = spark.createDataFrame([(1, 10, '{"a": {"b": "x"}}'), (2, 11, "{}"), (3, 12, None)], "run int, asset int, props string")
     out = reconcile.batch_audit(runs, spark.createDataFrame([(10, "p"), (11, "q")], "asset int, name string"), key="asset", json_col="props", paths={"b": "$.a.b"})
     assert sorted((r.run, r.b, r.audit) for r in out.collect()) == [(1, "x", "ok"), (2, None, "missing_field"), (3, None, "missing_asset")]
+
+
+def test_a_page_without_registration_is_an_error(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    sides = [
+        make([(5, "m1", 1, 10), (4, "m1", 1, 10), (6, "m2", 2, 11)], "cache_id long, manifest_url string, repository_id long, manuscript_id long"),
+        make([(1,)], "repository_id long"), make([(10,), (11,)], "manuscript_id long"),
+        make([(100, 10, "c1"), (101, 10, "c2"), (102, 11, "c1")], "canvas_id long, manuscript_id long, canvas_url string"),
+        make([(1000, 100, "u"), (1001, 101, None), (1002, 102, "u")], "asset_id long, canvas_id long, source_url string"),
+    ]
+    kind = "page_id string, manifest_url string, canvas_url string, source_url string"
+    good = C.registration(make([("p1", "m1", "c1", "u"), ("p2", "m1", "c2", None)], kind), *sides).collect()
+    assert sorted(map(tuple, good)) == [("p1", 4, 1, 10, 100, 1000), ("p2", 4, 1, 10, 101, 1001)]
+    for page in (("p3", "m2", "c1", "u"), ("p4", "m1", "c1", None), ("p5", "none", "c1", "u")):
+        with pytest.raises(Exception, match=f"not registered: {page[0]}"):
+            C.registration(make([page], kind), *sides).collect()
