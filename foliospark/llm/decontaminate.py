@@ -18,13 +18,13 @@ from .tokens import slices
 
 # A-Z become a-z; the other ASCII characters outside 0-9 and a-z separate words. UTF-8 bytes of
 # other characters are word bytes, so bytes and code points give the same words.
-_NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
 
 
 def words(text: bytes | None) -> list[bytes]:
     """The normalised words of a text: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lowered."""
-    return (text or b"").translate(_NORMAL).split()
+    return (text or b"").translate(NORMAL).split()
 
 
 class Patterns:
@@ -101,7 +101,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _char_spans(text: bytes, spans: list[tuple[int, int]]) -> list[dict]:
     """Word spans as code-point offsets of the original text."""
-    places = [m.span() for m in _WORD.finditer(text.translate(_NORMAL))]
+    places = [m.span() for m in _WORD.finditer(text.translate(NORMAL))]
     chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
     return [{"start": int(chars[places[a][0]]), "end": int(chars[places[b - 1][1]])} for a, b in spans]
 

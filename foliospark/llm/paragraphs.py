@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -15,13 +14,13 @@ from pyspark.sql import functions as F
 
 from .common import stage
 from .components import connected_components
-from .decontaminate import words
+from .decontaminate import NORMAL
 from .tokens import slices
 
 SHINGLE = 5
 SMALL_GROUP = 16  # bands with more members are compared in blocks
-_CUT = re.compile(rb"[.!?]+[ \t]+|\n")
-_P = np.uint64(0x9E3779B97F4A7C15)
+BRIDGE = 2  # so many paragraphs that differ, as one edit leaves them, do not end a passage
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tune_bands(similarity: float = 0.8, recall: float = 0.97, rows: int = 3) -> int:
@@ -29,27 +28,41 @@ def tune_bands(similarity: float = 0.8, recall: float = 0.97, rows: int = 3) ->
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def cut_paragraphs(text: bytes | None, least: int) -> list[tuple[int, int, list[bytes]]]:
-    """(start, end, words) in bytes of a text's paragraphs.
+def cut_places(hashes: np.ndarray, radius: int) -> np.ndarray:
+    """Where a sequence of word hashes is cut: behind each word that ends a pair whose hash is the least within ``radius`` words.
 
-    A paragraph ends at a newline, or after a sentence of at least ``least`` words. Both
-    depend on the text right there alone, so that a passage pasted into another paragraph
-    is cut as it was at home, but for its first words.
+    A place depends on the ``radius`` + 1 words before it and the ``radius`` words behind it, and on nothing
+    else. Cuts lie more than ``radius`` words apart, nine on average for four.
     """
-    text = text or b""
-    edges = [m.end() for m in _CUT.finditer(text)]
-    if not edges or edges[-1] < len(text):
-        edges.append(len(text))
-    out, start, own, at = [], 0, [], 0
-    for edge in edges:
-        sentence = words(text[at:edge])
-        own += sentence
-        if len(sentence) >= least or text[edge - 1 : edge] == b"\n" or edge == len(text):
-            if own:
-                out.append((start, edge, own))
-            start, own = edge, []
-        at = edge
-    return out
+    n = len(hashes)
+    if n <= 2 * radius + 1:
+        return np.empty(0, np.int64)
+    pair = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    mixed = (hashes[:-1] * _P) ^ (hashes[1:] * _Q)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * _P
+    pair[1:] = mixed ^ (mixed >> np.uint64(32))
+    low = np.ones(n, bool)
+    low[:radius] = low[n - radius - 1 :] = False
+    for k in range(1, radius + 1):
+        low[k:] &= pair[k:] < pair[:-k]
+        low[:-k] &= pair[:-k] <= pair[k:]
+    return np.flatnonzero(low) + 1
+
+
+def cut_paragraphs(text: bytes | None, radius: int = 4) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(words, their hashes, first word of each paragraph, its first byte), the last two with the end of the text behind them.
+
+    Paragraphs are cut by content (``cut_places``), whatever the lines and sentences are, so that a passage
+    pasted at any word of another text is cut there as it was at home, but for some ten words at either end.
+    A paragraph has more than ``radius`` words, unless the text has fewer.
+    """
+    plain = (text or b"").translate(NORMAL)
+    own = plain.split()
+    hashes = np.fromiter(map(zlib.crc32, own), np.uint64, len(own))
+    inside = np.concatenate([[False], np.frombuffer(plain, np.uint8) != 32])
+    at = np.flatnonzero(inside[1:] & ~inside[:-1])
+    edges = np.concatenate([np.zeros(min(len(own), 1), np.int64), cut_places(hashes, radius)])
+    return own, hashes, np.append(edges, len(own)), np.append(at[edges], len(plain))
 
 
 class MinHasher:
@@ -61,10 +74,8 @@ class MinHasher:
         self.a = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
 
-    def run(self, units: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes of all shingles, offsets by unit, band keys) of units of at least SHINGLE words."""
-        n = np.array([len(u) for u in units], np.int64)
-        flat = np.fromiter((zlib.crc32(w) for u in units for w in u), np.uint64, int(n.sum()))
+    def run(self, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes of all shingles, offsets by unit, band keys) of units of ``n`` words, at least SHINGLE each, whose hashes are ``flat``."""
         joined = flat[: len(flat) - SHINGLE + 1].copy()
         for k in range(1, SHINGLE):
             joined = (joined ^ (joined >> np.uint64(29))) * _P + flat[k : len(flat) - SHINGLE + 1 + k]
@@ -73,9 +84,9 @@ class MinHasher:
         size = n - SHINGLE + 1
         offsets = np.concatenate([[0], np.cumsum(size)])
         own = joined[np.repeat(first - offsets[:-1], size) + np.arange(offsets[-1])]
-        keys = np.empty((len(units), self.bands), np.uint64)
+        keys = np.empty((len(n), self.bands), np.uint64)
         for band in range(self.bands):
-            key = np.full(len(units), np.uint64(band + 1))
+            key = np.full(len(n), np.uint64(band + 1))
             for k in range(band * self.rows, (band + 1) * self.rows):
                 low = np.minimum.reduceat((own * self.a[k] + self.b[k]) >> np.uint64(32), offsets[:-1])
                 key = (key ^ (key >> np.uint64(31))) * _P + low
@@ -83,30 +94,33 @@ class MinHasher:
         return (own >> np.uint64(16)).astype(np.uint32).view(np.int32), offsets, keys.view(np.int64)
 
 
-def _paragraph_rows(bands: int, rows: int, least: int, text_col: str):
+def _paragraph_rows(bands: int, rows: int, radius: int, similarity: float, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHasher(bands, rows)
         for whole in batches:
             for batch in slices(whole, 64):
-                made, units = [], []
+                made, parts = [], []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column(text_col).cast(pa.binary()).to_pylist(), strict=True):
-                    if not text:
-                        continue
-                    cut = [c for c in cut_paragraphs(text, least) if len(c[2]) >= least]
-                    if not cut:
+                    own, hashes, first, edge = cut_paragraphs(text, radius)
+                    if len(own) < SHINGLE:
                         continue
                     digest = xxhash.xxh64_intdigest(text) - (1 << 63)
-                    chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-                    for k, (a, b, own) in enumerate(cut):
-                        made.append((doc_id, digest, k, int(chars[a]), int(chars[b]), len(own), xxhash.xxh64_intdigest(b" ".join(own)) - (1 << 63)))
-                        units.append(own)
+                    chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])[edge].tolist()
+                    first = first.tolist()
+                    for k, (a, b) in enumerate(zip(first, first[1:], strict=False)):
+                        made.append((doc_id, digest, k, chars[k], chars[k + 1], b - a, xxhash.xxh64_intdigest(b" ".join(own[a:b])) - (1 << 63)))
+                    parts.append(hashes)
                 if not made:
                     continue
-                shingles, offsets, keys = hasher.run(units)
+                columns = list(zip(*made, strict=True))
+                shingles, offsets, keys = hasher.run(np.concatenate(parts), np.array(columns[5], np.int64))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                arrays = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)]
+                arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
                 arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(shingles)))
-                arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(len(units) + 1) * bands, pa.int32()), pa.array(keys.ravel())))
+                # With so few shingles only an equal set is similar enough, and equal sets meet in any band: one will do.
+                size = np.diff(offsets)
+                sent = np.arange(bands) < np.where(size < similarity * (size + 1), 1, bands)[:, None]
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sent.sum(1))]), pa.int32()), pa.array(keys[sent])))
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "paragraph", "start", "end", "n_words", "unit", "shingles", "bands"])
 
     return run
@@ -211,20 +225,21 @@ def _large_groups(full: DataFrame, similarity: float, block_units: int) -> DataF
 
 
 def repeated_passages(
-    docs: DataFrame, *, similarity: float = 0.8, recall: float = 0.97, rows: int = 3, least_words: int = 8, passage_words: int = 25, block_units: int = 256, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, similarity: float = 0.8, recall: float = 0.97, rows: int = 3, radius: int = 4, passage_words: int = 20, block_units: int = 256, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The paragraphs that repeat across documents, with which of them stay.
 
-    Texts are cut into paragraphs (``cut_paragraphs``) of at least ``least_words`` words. Their MinHash
+    Texts are cut into paragraphs by their words (``cut_paragraphs``: more than ``radius`` words, nine on average for four). Their MinHash
     over five-word shingles is banded so that pairs of ``similarity`` collide with ``recall``; colliding
     paragraphs are linked if the exact Jaccard similarity of their shingle sets reaches it, and linked
     paragraphs and equal ones form clusters by connected components. A cluster in two documents or more
-    is a repeat. Neighbouring repeats of a document, at most one paragraph apart, make a passage, which counts from ``passage_words``
-    words on; shorter ones are common phrases.
+    is a repeat. Neighbouring repeats of a document, at most ``BRIDGE`` paragraphs apart, make a passage, which counts from ``passage_words``
+    words in repeats on; shorter ones are common phrases. A repeat of 50 words or more has that many wherever it stands, as it loses
+    some ten words at either end. A stretch whose words come again every ``radius`` words or sooner is one paragraph.
 
     Returns (doc_id, paragraph, start, end, n_words, cluster, kept): half-open code-point spans of the
-    original text. ``kept`` is true in the first place of a cluster, by doc_id and paragraph; the other
-    spans are to be removed. Null and empty texts have no paragraphs; rows with a null doc_id
+    original text, up to the next paragraph's first word. ``kept`` is true in the first place of a cluster, by doc_id and paragraph (ties: the text's digest); the other
+    spans are to be removed. Null, empty and texts of under five words have no paragraphs; rows with a null doc_id
     take no part; rows of equal doc_id are one document, so what only they share is no repeat, and each of their different texts has its
     own rows; a row that is there twice counts once; empty tables give no rows; other columns are ignored. Very long texts
     are cut and hashed whole, a few texts at a time.
@@ -232,10 +247,12 @@ def repeated_passages(
     Equal paragraphs share one number, so copies never make pairs. Bands are sorted, and single
     members dropped while they stream by. Small bands are compared in a join, large ones block by block.
     """
+    if radius < SHINGLE - 1:
+        raise ValueError(f"a radius of at least {SHINGLE - 1} words: paragraphs need a shingle")
     bands = tune_bands(similarity, recall, rows)
     kept = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_col)
     schema = "doc_id long, digest long, paragraph int, start long, end long, n_words int, unit long, shingles array<int>, bands array<long>"
-    units = stage(kept.mapInArrow(_paragraph_rows(bands, rows, least_words, text_col), schema).withColumn("row", F.monotonically_increasing_id()))
+    units = stage(kept.mapInArrow(_paragraph_rows(bands, rows, radius, similarity, text_col), schema).withColumn("row", F.monotonically_increasing_id()))
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = units.select("unit", "bands").mapInArrow(_once, "band long, unit long")
     member = stage(keyed.repartition(shards, "band").sortWithinPartitions("band", "unit").mapInArrow(_shared, "band long, unit long"))
@@ -258,8 +275,7 @@ def repeated_passages(
     cluster = stage(place.groupBy("cluster").agg(F.min(F.struct("doc_id", "digest", "paragraph", "start")).alias("home")))
     repeats = place.join(cluster, "cluster").dropDuplicates(["doc_id", "digest", "paragraph"])  # rows that are there twice count once
     by_text = Window.partitionBy("doc_id", "digest").orderBy("paragraph")
-    # One paragraph that differs, as an edit leaves it, does not end a passage.
-    gap = F.when(F.col("paragraph") - F.lag("paragraph").over(by_text) <= 2, 0).otherwise(1)
+    gap = F.when(F.col("paragraph") - F.lag("paragraph").over(by_text) <= BRIDGE + 1, 0).otherwise(1)
     runs = repeats.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_text))
     whole = runs.withColumn("passage", F.sum("n_words").over(Window.partitionBy("doc_id", "digest", "run"))).where(F.col("passage") >= passage_words)
     return whole.select("doc_id", "paragraph", "start", "end", "n_words", "cluster", (F.struct("doc_id", "digest", "paragraph", "start") == F.col("home")).alias("kept"))

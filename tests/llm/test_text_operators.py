@@ -1,8 +1,11 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from foliospark.llm import decontaminate as D
 from foliospark.llm import line_runs as L
 from foliospark.llm import paragraphs as P
@@ -148,51 +151,118 @@ def test_ownership_against_brute_force(spark):
     assert got == want and any(k[2] for k in want) and any(k[3] for k in want)
 
 
+def brute_cuts(own, radius=4):
+    """Paragraphs of a list of words, by looking at every place."""
+    h = [zlib.crc32(w.encode()) for w in own]
+    mask = (1 << 64) - 1
+
+    def pair(i):
+        x = (h[i - 1] * 0x9E3779B97F4A7C15 & mask) ^ (h[i] * 0xC2B2AE3D27D4EB4F & mask)
+        x = (x ^ x >> 29) * 0x9E3779B97F4A7C15 & mask
+        return x ^ x >> 32
+
+    pairs = [mask, *map(pair, range(1, len(h)))]
+    edges = [0] + [i + 1 for i in range(radius, len(h) - radius - 1) if all(pairs[i] < x for x in pairs[i - radius : i]) and all(pairs[i] <= x for x in pairs[i + 1 : i + radius + 1])] + [len(h)]
+    return [tuple(own[a:b]) for a, b in zip(edges, edges[1:]) if b > a]
+
+
 def test_paragraphs_against_all_pairs(spark, docs, words, monkeypatch):
+    """Documents of many paragraphs, all pairs of which are compared."""
     r = random.Random(9)
-    texts = [words(k, 30).split() for k in range(60)]
+    texts = [words(k, 90).split() for k in range(40)]
     rows = []
-    for k in range(240):
-        own = list(texts[r.randrange(60)])
-        for _ in range(r.randrange(3)):
-            own[r.randrange(30)] = "edit"
-        rows.append((k, " ".join(own)))  # one paragraph a document
+    for k in range(120):
+        own = [w for _ in range(3) for w in texts[r.randrange(40)][r.randrange(30) : r.randrange(50, 90)]]
+        for _ in range(r.randrange(4)):
+            own[r.randrange(len(own))] = "edit"
+        for at in sorted((r.randrange(len(own)) for _ in range(6)), reverse=True):
+            own[at] += r.choice([".", "\n", ";\n\n", "! "])
+        rows.append((k, " ".join(own)))
     rows += [(500, "x y z " * 40_000)]
-    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
-    ids = sorted(sets)
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    up = {i: i for i in ids}
+    cut = {i: brute_cuts(WORD.findall(low(t))) for i, t in rows}
+    units = sorted({u for c in cut.values() for u in c})
+    sets = [{u[k : k + 5] for k in range(len(u) - 4)} for u in units]
+    up = list(range(len(units)))
 
     def find(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for a, b in links:
-        a, b = find(a), find(b)
-        up[max(a, b)] = min(a, b)
-    groups = Counter(find(i) for i in ids)
-    want = {i for i in ids if groups[find(i)] > 1}
+    for a in range(len(units)):
+        for b in range(a + 1, len(units)):
+            if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    root = {u: find(k) for k, u in enumerate(units)}
+    holders = defaultdict(set)
+    for i, c in cut.items():
+        for u in c:
+            holders[root[u]].add(i)
+    want = set()
+    for i, c in cut.items():
+        own = [k for k, u in enumerate(c) if len(holders[root[u]]) > 1]
+        runs = []
+        for k in own:
+            if runs and k - runs[-1][-1] <= P.BRIDGE + 1:
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+        want |= {(i, k) for run in runs if sum(len(c[k]) for k in run) >= 20 for k in run}
+    assert len(want) > 1000 and len({root[u] for u in units}) < len(units)
+    text = dict(rows)
     for small, block in ((16, 256), (1, 7)):
         monkeypatch.setattr(P, "SMALL_GROUP", small)
         out = P.repeated_passages(docs(rows), block_units=block).collect()
-        got = {x.doc_id for x in out}
-        assert got <= want and len(got) >= 0.97 * len(want)
-        cluster = {x.doc_id: x.cluster for x in out}
-        met = [(a, b) for a, b in links if a in cluster and b in cluster]
-        assert sum(cluster[a] == cluster[b] for a, b in met) >= 0.97 * len(met)
-        assert all(find(a) == find(b) for a in got for b in got if cluster[a] == cluster[b])
+        got = {(x.doc_id, x.paragraph) for x in out}
+        assert len(got) == len(out) and len(got ^ want) <= 0.01 * len(want)
+        cluster, of = defaultdict(set), defaultdict(set)
+        for x in out:
+            assert tuple(WORD.findall(low(text[x.doc_id][x.start : x.end]))) == cut[x.doc_id][x.paragraph] and x.n_words == len(cut[x.doc_id][x.paragraph])
+            cluster[x.cluster].add(root[cut[x.doc_id][x.paragraph]])
+            of[root[cut[x.doc_id][x.paragraph]]].add(x.cluster)
+        assert all(len(v) == 1 for v in cluster.values()) and sum(len(v) > 1 for v in of.values()) <= 0.01 * len(of)
+
+
+def test_passages_at_any_place_are_found(spark, docs, words):
+    """Passages of 50 to 200 words, pasted at any word of two other texts."""
+    r, rows, pasted = random.Random(4), [], {}
+    for n in (50, 60, 80, 120, 200):
+        for k in range(60):
+            passage = words(n * 1000 + k, n).split()
+            for side in (0, 1):
+                i = len(rows)
+                own = words(500_000 + i, r.randrange(120, 400)).split()
+                at = r.randrange(len(own))
+                end = r.choice([".", "", "\n", "!\n\n"])
+                rows.append((i, " ".join([*own[:at], *passage]) + end + " " + " ".join(own[at:])))
+                pasted[i] = (n, at, at + n)
+    rows += [(len(rows) + k, words(900_000 + k, 300)) for k in range(50)]
+    found = defaultdict(int)
+    for x in P.repeated_passages(docs(rows)).collect():
+        assert x.doc_id in pasted
+        at = len(dict(rows)[x.doc_id][: x.start].split())
+        # Similar ones may begin or end with another word or two.
+        assert pasted[x.doc_id][1] - 3 <= at and at + x.n_words <= pasted[x.doc_id][2] + 3
+        found[x.doc_id] += x.n_words
+    for n in (50, 60, 80, 120, 200):
+        own = [i for i, p in pasted.items() if p[0] == n]
+        assert sum(found[i] > 0 for i in own) >= 0.95 * len(own), n
+        assert sum(found[i] for i in own) >= (n - 24) * 0.95 * len(own), n
+    short = [(k, "\n".join(words(700 + j, 4) for j in range(20)) + "\n" + words(800 + k, 60)) for k in range(2)]  # lines of four words each
+    assert {x.doc_id for x in P.repeated_passages(docs(short)).collect()} == {0, 1}
 
 
 def test_repeated_rows_are_no_repeated_passages(spark, docs, words):
-    line = words(77, 15)
+    line = words(77, 20)
     one, two = (1, words(1, 40) + "\n" + line), (2, words(2, 40) + "\n" + line)
     assert P.repeated_passages(docs([one, two])).count() == P.repeated_passages(docs([one, one, two, two])).count() == 0
-    found = [P.repeated_passages(docs(rows), passage_words=10).orderBy("doc_id").collect() for rows in ([one, two], [one, one, two])]
-    assert found[0] == found[1] and [x.doc_id for x in found[0]] == [1, 2]
-    other = (1, words(3, 40) + "\n" + words(78, 15) + "\n" + line)  # another text of document 1
-    out = P.repeated_passages(docs([one, other, two]), passage_words=10).collect()
-    assert sorted((x.doc_id, x.n_words) for x in out) == [(1, 15), (1, 15), (2, 15)] and sum(x.kept for x in out) == 1
+    found = [P.repeated_passages(docs(rows), passage_words=5).orderBy("doc_id", "paragraph").collect() for rows in ([one, two], [one, one, two])]
+    assert found[0] == found[1] and {x.doc_id for x in found[0]} == {1, 2}
+    other = (1, words(3, 40) + "\n" + words(78, 20) + "\n" + line)  # another text of document 1
+    out = P.repeated_passages(docs([one, other, two]), passage_words=5).collect()
+    n = [sum(x.n_words for x in out if x.doc_id == i) for i in (1, 2)]
+    assert n[0] == 2 * n[1] > 10 and sum(x.kept for x in out) == len({x.cluster for x in out})
 
 
 def test_paragraphs(spark, docs, words):
@@ -223,7 +293,7 @@ def test_bands_reach_the_recall(words):
     for k in range(200):
         a = words(k, 60).split()
         b = [*a[:57], "x", "y", "z"]
-        _, _, keys = hasher.run([[w.encode() for w in a], [w.encode() for w in b]])
+        _, _, keys = hasher.run(np.array([zlib.crc32(w.encode()) for w in a + b], np.uint64), np.array([60, 60]))
         met += bool((keys[0] == keys[1]).any())
     assert met >= 190
 
