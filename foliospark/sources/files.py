@@ -11,11 +11,15 @@ from ..functions import text as T
 def inventory(spark: SparkSession, path: str, *, digest_limit: int = 1 << 30) -> DataFrame:
     """(path, size, extension, kind, framework, sha256, status) of every file below ``path``.
 
-    Contents are read and hashed where they lie; files over ``digest_limit`` bytes get no digest.
+    Two scans without a shuffle: files up to ``digest_limit`` bytes are read and hashed where they lie; of the
+    others only the listing is read, whatever their size. The limit on ``length`` reaches both scans.
+    Spark's file listings leave out empty files, so they have no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    small, length = F.col("length") <= digest_limit, F.col("length").alias("size")
+    rows = files.where(small).select("path", length, F.sha2("content", 256).alias("sha256")).unionByName(files.where(~small).select("path", length, F.lit(None).cast("string").alias("sha256")))
     ext = T.extension(F.col("path"))
-    rows = files.select("path", F.col("length").alias("size"), ext.alias("extension"), F.when(F.col("length") <= digest_limit, F.sha2("content", 256)).alias("sha256"))
+    rows = rows.select("path", "size", ext.alias("extension"), "sha256")
     return rows.withColumn("kind", T.file_kind(F.col("extension"))).withColumn("framework", T.framework(F.col("extension"))).withColumn("status", F.when(F.col("sha256").isNull(), "too_large_to_hash").otherwise("hashed"))
 
 
@@ -34,9 +38,12 @@ def artifact_references(expected: DataFrame, files: DataFrame) -> DataFrame:
     return expected.join(files.select("path", "size", "sha256"), "path", "left").withColumn("error", F.when(F.col("size").isNull(), F.concat(F.lit("missing_artifact:"), F.col("path"))))
 
 
-def read_corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(source, manuscript columns, page struct): corpus documents with manuscripts[] and their pages[]."""
-    docs = spark.read.schema(schema).option("multiLine", "true").json(path).withColumn("source", F.col("_metadata.file_path"))
+def read_corpus(spark: SparkSession, path: str, schema: str, *, multi_line: bool = True) -> DataFrame:
+    """(source, manuscript columns, page struct): corpus documents with manuscripts[] and their pages[].
+
+    A file is one document, or without ``multi_line`` a document a line, which Spark can split. A manuscript without pages has one row with a null page.
+    """
+    docs = spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path).withColumn("source", F.col("_metadata.file_path"))
     rows = docs.select("source", "corpus_id", F.explode("manuscripts").alias("m"))
     return rows.select("source", "corpus_id", F.col("m.id").alias("manuscript_id"), F.col("m.split").alias("split"), F.explode_outer("m.pages").alias("page"))
 

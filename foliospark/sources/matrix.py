@@ -35,15 +35,16 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """S3: the wide matrix, cells trimmed, with ``source_row`` (the header is row 1) and ``issues``.
 
     Columns may come in any order and further ones are ignored. Missing columns, rows with too few
-    or too many cells, an empty file and repeated (content, damage) keys are errors.
+    or too many cells, an empty file and repeated (content, damage) keys are errors. Quoted cells may hold
+    line breaks and doubled quotes.
     """
     wanted = [*KEYS, *[f"{s} {f}" for s in AREA_PRESETS for f in LEVEL_FIELDS.values()]]
-    lines = spark.read.option("header", "true").option("multiLine", "true").csv(path)
+    lines = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
     header = [c.lstrip("﻿").strip() for c in lines.columns]
     if missing := [c for c in wanted if c not in header]:
         raise ValueError(f"matrix lacks columns: {missing}")
     schema = ", ".join(f"`{c}` string" for c in header) + ", `_bad` string"
-    rows = spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").option("multiLine", "true").option("columnNameOfCorruptRecord", "_bad").csv(path)
+    rows = spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").option("multiLine", "true").option("escape", '"').option("columnNameOfCorruptRecord", "_bad").csv(path)
     # A matrix is one small file that a person keeps; its row numbers need its order, hence one partition.
     numbered = rows.coalesce(1).withColumn("source_row", F.monotonically_increasing_id() + 2)
     numbered = numbered.select("source_row", "_bad", *[F.trim(F.coalesce(f"`{c}`", F.lit(""))).alias(c) for c in wanted])

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.plans import planning as P
+from foliospark.plans import queries_files
 from foliospark.sources import files, manifests, matrix
 from foliospark.streaming import ingest
 
@@ -63,6 +64,26 @@ def test_files_by_digest_and_reference(spark, tmp_path):
     assert [r.path for r in files.largest(found, 1).collect()] == ["x.tar.gz"]
 
 
+def test_inventory_reads_no_contents_over_the_limit(spark, tmp_path):
+    (tmp_path / "big.bin").write_bytes(b"x" * 5000)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/s.txt").write_bytes(b"1")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100")  # reading more is an error
+    try:
+        out = {r.path[-7:]: (r.size, r.status) for r in files.inventory(spark, str(tmp_path), digest_limit=100).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert out == {"big.bin": (5000, "too_large_to_hash"), "a/s.txt": (1, "hashed")}
+
+
+def test_corpus_documents_of_many_lines_and_in_arrays(spark, tmp_path):
+    (tmp_path / "one.json").write_text('{\n "corpus_id": "c",\n "manuscripts": [{"id": "m1", "split": "train", "pages": [{"page_id": "p1", "position": 1},\n {"page_id": "p2"}]}, {"id": "m2", "pages": []}]\n}')
+    (tmp_path / "two.json").write_text('[{"corpus_id": "d", "manuscripts": [{"id": "m3", "more": 1}]}, {"corpus_id": "e", "manuscripts": []}]')
+    rows = files.read_corpus(spark, str(tmp_path), queries_files._CORPUS).collect()
+    assert sorted((r.corpus_id, r.manuscript_id, r.split or "", r.page.page_id if r.page else "") for r in rows) == [("c", "m1", "train", "p1"), ("c", "m1", "train", "p2"), ("c", "m2", "", ""), ("d", "m3", "", "")]
+    assert {r.source.rsplit("/", 1)[1] for r in rows} == {"one.json", "two.json"}
+
+
 def header(extra=""):
     return ",".join(["Damage ID", "Content ID", "Content type", "Damage type", "Visual class", *[f"S{s} {f}" for s in range(1, 5) for f in matrix.LEVEL_FIELDS.values()]]) + extra
 
@@ -82,7 +103,9 @@ def test_matrix_import_and_plan(spark, tmp_path):
     assert P.plan(matrix.to_levels(matrix.read_matrix(spark, str(path))), include_edge_cases=True).where("status = 'eligible'").count() == 1
     with pytest.raises(ValueError, match="unknown content"):
         P.plan(matrix.to_levels(matrix.read_matrix(spark, str(path))), content_id="none")
-    for bad, why in (("Content ID\nx", "lacks"), (header() + "\n" + line("D2-01") + "\n" + line("D2-01"), "repeated"), (header(), "empty")):
+    path.write_text("\n".join([header(), line("D2-01", levels=((' do not generate ', '"a ""b"",\nc"'),) * 4)]))
+    assert {(r.decision, r.note, r.source_row) for r in matrix.to_levels(matrix.read_matrix(spark, str(path))).collect()} == {("do not generate", 'a "b",\nc', 2)}
+    for bad, why in ((header() + "\nD2-01,c", "malformed"), (header() + "\n" + line("D2-01") + ",more", "malformed"), ("Content ID\nx", "lacks"), (header() + "\n" + line("D2-01") + "\n" + line("D2-01"), "repeated"), (header(), "empty")):
         path.write_text(bad)
         with pytest.raises(ValueError, match=why):
             matrix.read_matrix(spark, str(path))
