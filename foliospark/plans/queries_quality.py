@@ -115,11 +115,13 @@ def quality_violations(spark, sf_dir):
     return found.groupBy("rule").agg(F.count("*").alias("violations"))
 
 
-@query("""SELECT o_custkey, 'orders' AS differing FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) WHERE n <> (o_custkey % 3) + 9""")
+@query("""WITH l AS (SELECT l_orderkey, count(*) AS lines, round(sum(round(l_extendedprice * 100)) / 100, 2) AS price FROM lineitem GROUP BY 1)
+ SELECT * FROM (SELECT o_orderkey, concat_ws(',', CASE WHEN coalesce(lines, 0) NOT BETWEEN 1 AND 7 THEN 'lines' END, CASE WHEN price IS DISTINCT FROM round(o_totalprice, 2) THEN 'price' END) AS differing FROM orders LEFT JOIN l ON l_orderkey = o_orderkey) WHERE differing <> ''""")
 def summary_recomputed(spark, sf_dir):
-    """A stored summary (here a rule of thumb) against its recomputation."""
-    from ..operators.reconcile import field_differences
+    """The totals stored with the orders against those recomputed from their lines; an order has one to seven."""
+    from ..operators.reconcile import relationship_errors
 
-    found = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"))
-    stored = found.select("o_custkey", (F.col("o_custkey") % 3 + 9).alias("orders"))
-    return field_differences(stored, found, ["o_custkey"], ["orders"]).withColumn("differing", F.array_join("differing", ","))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum(F.round(F.col("l_extendedprice") * 100)) / 100, 2).alias("price"))
+    rows = table(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    rules = {"lines": F.coalesce("lines", F.lit(0)).between(1, 7), "price": F.col("price").eqNullSafe(F.round("o_totalprice", 2))}
+    return relationship_errors(rows, rules).select("o_orderkey", F.array_join("errors", ",").alias("differing"))

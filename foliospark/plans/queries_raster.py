@@ -262,11 +262,16 @@ def effect_coverage(spark, sf_dir):
     return R.effect_coverage(marked, "hit", "body")
 
 
-@query("""SELECT doc_id AS page_id, 'x' AS problem FROM documents WHERE false""")
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS page_id, l_linenumber AS y, CAST(l_quantity AS INTEGER) AS x, l_returnflag, l_linestatus FROM lineitem), c AS (SELECT DISTINCT page_id, y, x FROM l SEMI JOIN orders ON o_orderkey = page_id AND o_orderstatus <> 'P'),
+ d AS (SELECT DISTINCT page_id, y, x FROM l WHERE l_returnflag = 'R'), s AS (SELECT DISTINCT page_id, y, x FROM l WHERE l_linestatus = 'O'), k AS (SELECT * FROM c UNION SELECT * FROM d UNION SELECT * FROM s),
+ p AS (SELECT *, CASE WHEN (page_id, y, x) NOT IN (SELECT (page_id, y, x) FROM c) THEN 'not_a_cell' WHEN (page_id, y, x) IN (SELECT (page_id, y, x) FROM d) THEN CASE WHEN (page_id, y, x) IN (SELECT (page_id, y, x) FROM s) THEN 'both' END WHEN (page_id, y, x) NOT IN (SELECT (page_id, y, x) FROM s) THEN 'neither' END AS problem FROM k)
+ SELECT page_id, y, x, problem FROM p WHERE problem IS NOT NULL""")
 def complement_errors(spark, sf_dir):
-    """Damage and survivors are complements on every page: no rows."""
-    done = R.remove_share(cells(spark, sf_dir), "corner_loss", 0.3)
-    return R.complement_errors(done, done.where("removed"), done.where("not removed")).select("page_id", "problem")
+    """Lines are cells; what was returned is damage, what is open survived. Some are both, some neither, some lie on no page that is settled."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("y"), F.col("l_quantity").cast("int").alias("x"), "l_returnflag", "l_linestatus")
+    settled = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("page_id"))
+    place = lambda df: df.select("page_id", "y", "x").distinct()
+    return R.complement_errors(place(lines.join(settled, "page_id", "left_semi")), place(lines.where("l_returnflag = 'R'")), place(lines.where("l_linestatus = 'O'")))
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, queries_experiment, queries_files, queries_joins, queries_planning, queries_profile, queries_quality, queries_raster, queries_scalars, queries_selection  # noqa: F401
+from .plans import base, queries_audit, queries_experiment, queries_files, queries_joins, queries_planning, queries_profile, queries_quality, queries_raster, queries_scalars, queries_selection  # noqa: F401
 
 
 def queries() -> dict:
