@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 
 HUMAN_STATES = ("approved_for_training", "rejected_for_training", "needs_follow_up")
 STATES = ("pending", *HUMAN_STATES)
+# The words that decisions may hold.
+PAGE_DECISIONS = ("keep", "reject")
+PAGE_SCOPES = ("training_corpus_selection", "replacement_suitability_review")
+APPLICATIONS = ("batch_selection", "audit_only_frozen_corpus", "review_evidence_only")
+SUITABILITY_DECISIONS = ("suitable_for_training_corpus", "unsuitable_for_training_corpus")
+SUITABILITY_SCOPE = "manuscript_training_corpus_suitability"
+SPLITS = ("train", "validation", "test")
 
 
 def row_rules(df: DataFrame, key: Column, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -22,6 +29,36 @@ def required(df: DataFrame, key: Column, fields: list[str]) -> DataFrame:
     return row_rules(df, key, {f"required:{f}": (F.col(f).isNull() | (F.trim(F.col(f).cast("string")) == ""), F.lit(f)) for f in fields})
 
 
+def _outside(name: str, value: Column, allowed: tuple) -> dict[str, tuple[Column, Column]]:
+    return {f"domain:{name}": (value.isNotNull() & ~value.isin(*allowed), F.col(name))}
+
+
+def _elsewhere(corpus: str | None) -> dict[str, tuple[Column, Column]]:
+    return {} if corpus is None else {"decision:other_corpus": (~F.col("corpus_id").eqNullSafe(F.lit(corpus)), F.col("corpus_id"))}
+
+
+def page_decisions(df: DataFrame, key: Column, *, corpus: str | None = None, batch: bool = False) -> DataFrame:
+    """V3: faults of decisions (decision, decision_scope, selection_application, sequence_index, split) on pages; nulls are for ``required`` to find.
+
+    Case and outer spaces of the decision do not count. With ``batch`` only decisions of batch selection, in the scope of corpus selection, may
+    take effect; with ``corpus`` only those of this ``corpus_id``.
+    """
+    rules = _outside("decision", F.lower(F.trim("decision")), PAGE_DECISIONS) | _outside("decision_scope", F.col("decision_scope"), PAGE_SCOPES)
+    rules |= _outside("selection_application", F.col("selection_application"), APPLICATIONS) | _outside("split", F.col("split"), SPLITS)
+    rules["decision:negative_sequence"] = F.col("sequence_index") < 0, F.col("sequence_index")
+    if batch:
+        rules["decision:not_batch_selection"] = F.col("selection_application") != "batch_selection", F.col("selection_application")
+        rules["decision:not_corpus_scope"] = F.col("decision_scope") != "training_corpus_selection", F.col("decision_scope")
+    return row_rules(df, key, rules | _elsewhere(corpus))
+
+
+def suitability_decisions(df: DataFrame, key: Column, *, corpus: str | None = None) -> DataFrame:
+    """V3: faults of decisions (decision, decision_scope, selection_application) on whole groups; they always act on batch selection."""
+    rules = _outside("decision", F.lower(F.trim("decision")), SUITABILITY_DECISIONS) | _outside("decision_scope", F.col("decision_scope"), (SUITABILITY_SCOPE,))
+    rules["decision:not_batch_selection"] = F.col("selection_application") != "batch_selection", F.col("selection_application")
+    return row_rules(df, key, rules | _elsewhere(corpus))
+
+
 def domains(df: DataFrame, key: Column, allowed: dict[str, tuple]) -> DataFrame:
     """V3, V4: values outside a closed domain."""
     return row_rules(df, key, {f"domain:{f}": (F.col(f).isNotNull() & ~F.col(f).isin(*a), F.col(f)) for f, a in allowed.items()})

@@ -127,3 +127,27 @@ def matrix_import(spark, sf_dir):
     wide.coalesce(1).write.option("header", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
     long = matrix.to_levels(matrix.read_matrix(spark, path))
     return long.select("source_row", "content_id", "damage_id", "damage_type", "severity", "decision", "note", "family", "cohort", F.array_join("issues", ",").alias("issues"))
+
+
+@query("""WITH s AS (SELECT 'doc-' || doc_id % 400 AS manuscript_id, doc_id AS source_order, nullif(trim(source), '') AS repository, lang, n_chars, CASE WHEN doc_id % 5 = 0 THEN 'Carolingian' END AS script FROM documents),
+ f AS (SELECT *, row_number() OVER (PARTITION BY manuscript_id ORDER BY source_order) AS r FROM s)
+ SELECT manuscript_id, repository, 'MS ' || source_order AS shelfmark, CAST(NULL AS VARCHAR) AS title, 'about ' || n_chars AS date_display, n_chars AS date_not_before, n_chars + 10 AS date_not_after, CAST(NULL AS VARCHAR) AS date_method, 'c. ' || n_chars AS century,
+ concat_ws('|', CASE WHEN coalesce(lang, 'Latin') NOT IN ('Latin', 'en') THEN lang END, 'Latin', 'en') AS languages, coalesce(script, 'hand of ' || repository) AS script_or_hand, 'Roman' AS typeface_or_font, 'Parchment & ink' AS material, CAST(NULL AS VARCHAR) AS document_type,
+ '10.1/' || source_order AS doi, CAST(n_chars AS VARCHAR) || ' mm' AS dimensions, CAST(n_chars AS VARCHAR) AS page_count, repository AS place_of_origin, CAST(NULL AS VARCHAR) AS online_since, repository AS digitized_by, CAST(NULL AS VARCHAR) AS persons, 'A text of ' || n_chars AS summary,
+ 'https://example.org/' || source_order AS manifest_url, 'documents' AS metadata_source FROM f WHERE r = 1""")
+def public_catalogue(spark, sf_dir):
+    """Documents are the sources' records of 400 manuscripts; the first record of each counts."""
+    d, n = F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
+    repository = F.nullif(F.trim("source"), F.lit(""))
+    item = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
+    metadata = F.array(
+        item("CENTURY", F.concat(F.lit("<b>c. "), n, F.lit("</b>"))), item("Text Language", F.lit("Latin")), item("text language", F.lit("en")), item("Text Language", F.lit(" Latin ")), item("Hand", F.concat(F.lit("hand of "), repository)), item("Font", F.lit("Roman")), item("Typeface", F.lit("Gothic")),
+        item("Material", F.lit("Parchment &amp; ink")), item("Material note", F.lit("thin")), item("DOI", F.concat(F.lit("10.1/"), d)), item("Physical Dimensions", F.concat(n, F.lit(" mm"))), item("Number of Pages", n), item("Origin", repository), item("Digitized by", repository),
+        item("Persons", F.lit("<i> </i>")), item("Summary (English)", F.concat(F.lit("A text of "), n)),
+    )
+    sources = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc-"), (F.col("doc_id") % 400).cast("string")).alias("manuscript_id"), F.col("doc_id").alias("source_order"), "source", repository.alias("repository"), F.concat(F.lit("<span>MS "), d, F.lit("</span>")).alias("shelfmark"), F.lit(" ").alias("title"),
+        F.concat(F.lit("about "), n).alias("date_display"), F.col("n_chars").alias("date_not_before"), (F.col("n_chars") + 10).alias("date_not_after"), F.lit(None).cast("string").alias("date_method"), F.col("lang").alias("language"), F.when(F.col("doc_id") % 5 == 0, "Carolingian").alias("script"),
+        F.lit("").alias("material"), metadata.alias("metadata"), F.concat(F.lit("https://example.org/"), d).alias("manifest_url"), F.lit("documents").alias("metadata_source"),
+    )
+    return files.catalogue(sources).withColumn("languages", F.array_join("languages", "|"))

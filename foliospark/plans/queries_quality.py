@@ -125,3 +125,31 @@ def summary_recomputed(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     rules = {"lines": F.coalesce("lines", F.lit(0)).between(1, 7), "price": F.col("price").eqNullSafe(F.round("o_totalprice", 2))}
     return relationship_errors(rows, rules).select("o_orderkey", F.array_join("errors", ",").alias("differing"))
+
+
+@query("""WITH p AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE o_orderstatus WHEN 'F' THEN ' Keep' WHEN 'O' THEN 'reject' ELSE 'maybe' END AS decision, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'validation' ELSE 'pending' END AS split,
+  CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'training_corpus_selection' WHEN o_orderpriority = '3-MEDIUM' THEN 'replacement_suitability_review' ELSE o_orderpriority END AS scope,
+  CASE o_orderpriority WHEN '2-HIGH' THEN 'audit_only_frozen_corpus' WHEN '3-MEDIUM' THEN 'review_evidence_only' WHEN '5-LOW' THEN 'later' ELSE 'batch_selection' END AS application, CAST(floor(o_totalprice) AS BIGINT) - 50000 AS seq, CAST(year(o_orderdate) AS VARCHAR) AS corpus FROM orders),
+ c AS (SELECT CAST(c_custkey AS VARCHAR) AS key, CASE c_mktsegment WHEN 'BUILDING' THEN 'Suitable_for_training_corpus ' WHEN 'MACHINERY' THEN 'unsuitable_for_training_corpus' ELSE c_mktsegment END AS decision, CASE WHEN c_acctbal >= 0 THEN 'manuscript_training_corpus_suitability' ELSE 'training_corpus_selection' END AS scope, CASE WHEN c_nationkey < 20 THEN 'batch_selection' ELSE 'review_evidence_only' END AS application FROM customer)
+ SELECT 'page' AS kind, 'domain:decision' AS rule, key, decision AS detail FROM p WHERE decision = 'maybe' UNION ALL SELECT 'page', 'domain:split', key, split FROM p WHERE split = 'pending'
+ UNION ALL SELECT 'page', 'domain:decision_scope', key, scope FROM p WHERE scope NOT IN ('training_corpus_selection', 'replacement_suitability_review') UNION ALL SELECT 'page', 'decision:not_corpus_scope', key, scope FROM p WHERE scope <> 'training_corpus_selection'
+ UNION ALL SELECT 'page', 'domain:selection_application', key, application FROM p WHERE application = 'later' UNION ALL SELECT 'page', 'decision:not_batch_selection', key, application FROM p WHERE application <> 'batch_selection'
+ UNION ALL SELECT 'page', 'decision:negative_sequence', key, CAST(seq AS VARCHAR) FROM p WHERE seq < 0 UNION ALL SELECT 'page', 'decision:other_corpus', key, corpus FROM p WHERE corpus <> '1996'
+ UNION ALL SELECT 'group', 'domain:decision', key, decision FROM c WHERE lower(trim(decision)) NOT IN ('suitable_for_training_corpus', 'unsuitable_for_training_corpus') UNION ALL SELECT 'group', 'domain:decision_scope', key, scope FROM c WHERE scope = 'training_corpus_selection'
+ UNION ALL SELECT 'group', 'decision:not_batch_selection', key, application FROM c WHERE application <> 'batch_selection'""")
+def decision_rules(spark, sf_dir):
+    """V3: orders as decisions on pages of the corpus 1996, customers as decisions on groups."""
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(status == "F", " Keep").when(status == "O", "reject").otherwise("maybe").alias("decision"), F.when(status == "F", "train").when(status == "O", "validation").otherwise("pending").alias("split"),
+        F.when(priority.isin("1-URGENT", "2-HIGH"), "training_corpus_selection").when(priority == "3-MEDIUM", "replacement_suitability_review").otherwise(priority).alias("decision_scope"),
+        F.when(priority == "2-HIGH", "audit_only_frozen_corpus").when(priority == "3-MEDIUM", "review_evidence_only").when(priority == "5-LOW", "later").otherwise("batch_selection").alias("selection_application"),
+        (F.floor("o_totalprice") - 50000).alias("sequence_index"), F.year("o_orderdate").cast("string").alias("corpus_id"),
+    )
+    segment = F.col("c_mktsegment")
+    customers = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(segment == "BUILDING", "Suitable_for_training_corpus ").when(segment == "MACHINERY", "unsuitable_for_training_corpus").otherwise(segment).alias("decision"),
+        F.when(F.col("c_acctbal") >= 0, Q.SUITABILITY_SCOPE).otherwise("training_corpus_selection").alias("decision_scope"), F.when(F.col("c_nationkey") < 20, "batch_selection").otherwise("review_evidence_only").alias("selection_application"),
+    )
+    found = Q.page_decisions(orders, F.col("o_orderkey"), corpus="1996", batch=True).withColumn("kind", F.lit("page"))
+    return found.unionByName(Q.suitability_decisions(customers, F.col("c_custkey")).withColumn("kind", F.lit("group")))

@@ -68,12 +68,41 @@ def vocabulary_counts(terms: DataFrame, expected: DataFrame) -> DataFrame:
     return both.select("code_group", "expected", F.coalesce("n", F.lit(0)).alias("actual"), F.when(F.col("expected").eqNullSafe(F.coalesce("n", F.lit(0))), "ok").otherwise("differs").alias("status"))
 
 
-def catalogue(manifests: DataFrame) -> DataFrame:
-    """The public record of a manuscript: exact labels, values in order, joined."""
-    m = F.col("metadata")
-    one = lambda name: F.nullif(F.array_join(T.exact_lookup(m, name), "; "), F.lit(""))
-    fields = ("Title", "Shelfmark", "Location", "Collection Name", "Date of Origin", "Place of Origin", "Material", "Text Language", "Summary", "DOI")
-    return manifests.select("source", "manifest_id", "label", *[one(f).alias(f.lower().replace(" ", "_")) for f in fields], "rights", "attribution")
+CATALOGUE_LABELS = {
+    "century": ("Century",), "typeface_or_font": ("Typeface", "Font"), "document_type": ("Document Type",), "doi": ("DOI",), "dimensions": ("Dimensions", "Physical Dimensions"), "page_count": ("Number of Pages",),
+    "place_of_origin": ("Place of Origin", "Place of Origin (English)", "Origin"), "online_since": ("Online Since",), "digitized_by": ("Digitized by",), "persons": ("Persons",), "summary": ("Summary", "Summary (English)"),
+}
+
+
+def catalogue(manuscripts: DataFrame) -> DataFrame:
+    """The public record of every manuscript, 24 fields; of several sources of one manuscript the first counts (least ``source_order``).
+
+    ``manuscripts``: manuscript_id, repository, shelfmark, title, date_display, date_not_before, date_not_after, date_method, language, script, material,
+    metadata (array of label and value), manifest_url, metadata_source, source_order. Texts are without tags, and null if blank. A field that is read from
+    the metadata is the first value, in the metadata's order, under any of its labels; the manuscript's own script and material go before those.
+    Languages are all values of ``Text Language``, with the manuscript's own before them unless it is among them.
+    """
+    given = [c for c in manuscripts.columns if c not in ("manuscript_id", "source_order")]
+    first = manuscripts.groupBy("manuscript_id").agg(F.min_by(F.struct(*given), "source_order").alias("m")).select("manuscript_id", "m.*")
+    # All texts are made plain in one expression each, as a field is looked up under many labels.
+    texts = ("repository", "shelfmark", "title", "date_display", "date_method", "language", "script", "material")
+    own = F.transform(F.array(*[F.col(c).cast("string") for c in texts]), T.plain_html)
+    items = F.transform("metadata", lambda x: F.struct(F.lower(x["label"]).alias("label"), T.plain_html(x["value"]).alias("value")))
+    clean = first.select("manuscript_id", "date_not_before", "date_not_after", "manifest_url", "metadata_source", own.alias("own"), items.alias("items"))
+    named = {c: F.col("own")[i] for i, c in enumerate(texts)}
+
+    def values(*labels: str) -> Column:
+        held = F.filter("items", lambda x: x["label"].isin(*[name.lower() for name in labels]))
+        return F.array_distinct(F.array_compact(F.transform(held, lambda x: x["value"])))
+
+    found = lambda *labels: F.try_element_at(values(*labels), F.lit(1))
+    languages = F.coalesce(values("Text Language"), F.array().cast("array<string>"))
+    all_languages = F.when(named["language"].isNull() | F.array_contains(languages, named["language"]), languages).otherwise(F.array_prepend(languages, named["language"]))
+    read = [found(*labels).alias(c) for c, labels in CATALOGUE_LABELS.items()]
+    return clean.select(
+        "manuscript_id", *[named[c].alias(c) for c in texts[:5]], "date_not_before", "date_not_after", all_languages.alias("languages"),
+        F.coalesce(named["script"], found("Script", "Hand")).alias("script_or_hand"), F.coalesce(named["material"], found("Material")).alias("material"), *read, "manifest_url", "metadata_source",
+    )
 
 
 def match_samples(samples: DataFrame, files: DataFrame) -> DataFrame:

@@ -122,3 +122,33 @@ def test_image_audit(spark):
     assert tuple(audit.image_counts(images).first()) == (4, 2, 1, 2)
     by = {r.measure: r for r in audit.image_distributions(images).collect()}
     assert (by["aspect_ratio"].n, by["aspect_ratio"].max, by["size"].n, by["size"].median, by["width"].median) == (3, 2.0, 3, 50.0, 7.0)
+
+
+def test_decision_rules(spark):
+    from pyspark.sql import functions as F
+
+    from foliospark.operators import quality
+
+    good = (" KEEP ", "training_corpus_selection", "batch_selection", 0, "test", "c")
+    rows = [(1, *good), (2, "drop", *good[1:]), (3, "keep", "other", "later", -1, "pilot", "d"), (4, *[None] * 4, None, None), (5, "reject", "replacement_suitability_review", "review_evidence_only", 3, "train", "c")]
+    df = spark.createDataFrame(rows, "id int, decision string, decision_scope string, selection_application string, sequence_index int, split string, corpus_id string")
+    got = lambda found: {(int(r.key), r.rule.split(":")[1]) for r in found.collect()}
+    plain = {(2, "decision"), (3, "decision_scope"), (3, "selection_application"), (3, "split"), (3, "negative_sequence")}
+    assert got(quality.page_decisions(df, F.col("id"))) == plain
+    batch = {(k, r) for k in (3, 5) for r in ("not_batch_selection", "not_corpus_scope")} | {(3, "other_corpus"), (4, "other_corpus")}
+    assert got(quality.page_decisions(df, F.col("id"), corpus="c", batch=True)) == plain | batch
+    own = spark.createDataFrame([(1, "Suitable_for_training_corpus", quality.SUITABILITY_SCOPE, "batch_selection"), (2, "keep", "x", "later")], "id int, decision string, decision_scope string, selection_application string")
+    assert got(quality.suitability_decisions(own, F.col("id"))) == {(2, "decision"), (2, "decision_scope"), (2, "not_batch_selection")}
+
+
+def test_catalogue(spark):
+    from foliospark.sources import files
+
+    fields = "manuscript_id string, source_order int, repository string, shelfmark string, title string, date_display string, date_not_before int, date_not_after int, date_method string, language string, script string, material string, metadata array<struct<label:string,value:string>>, manifest_url string, metadata_source string"
+    items = [("text language", "<i>la</i>"), ("Text Language", "de"), ("TEXT LANGUAGE", "la"), ("Font", " "), ("Typeface", "A &amp; B"), ("Hand", "h"), ("Origin", "Rome"), ("Place of Origin", "Pisa"), (None, "x"), ("Persons", None), ("Material", "paper")]
+    rows = [("m", 2, "late", *[None] * 11, "b"), ("m", 1, "<b>R</b>", "s", " ", "d", 1, 2, None, "en", None, "vellum", items, "u", "a"), ("n", 1, *[None] * 12, "a"), ("o", 1, *[None] * 7, "de", None, None, items, None, "a")]
+    got = {r.manuscript_id: r for r in files.catalogue(spark.createDataFrame(rows, fields)).collect()}
+    m = got["m"]
+    assert len(m) == 24 and (m.repository, m.title, m.languages, m.script_or_hand, m.material, m.typeface_or_font) == ("R", None, ["en", "la", "de"], "h", "vellum", "A & B")
+    assert (m.place_of_origin, m.persons, m.doi, m.manifest_url, m.metadata_source) == ("Rome", None, None, "u", "a")
+    assert got["n"].languages == [] and got["n"].script_or_hand is None and got["o"].languages == ["la", "de"] and got["o"].material == "paper"
