@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..sources import files, matrix
 from .base import query, table
 
 DIGEST_LIMIT = 40  # bytes; some of the landed files are longer
+FILES_A_TASK = 400
 
 
 def _landing(spark) -> str:
@@ -19,8 +21,12 @@ def _landing(spark) -> str:
 
 
 def land_suppliers(spark, sf_dir) -> str:
-    """A folder for each supplier: even ones hold a JSON record, odd ones and every tenth a note."""
+    """A folder for each supplier: even ones hold a JSON record, odd ones and every tenth a note.
+
+    The table is small and its files are many, so the tasks are counted by files: Spark's own split, by bytes, is one task.
+    """
     rows, path = table(spark, sf_dir, "supplier"), _landing(spark)
+    rows = rows.repartition(max(1, math.ceil(rows.count() / FILES_A_TASK)), "s_suppkey")
     key = F.col("s_suppkey")
     note = F.concat("s_name", F.lit(" "), F.repeat(F.lit("x"), (key % 40).cast("int")))
     rows.where(key % 2 == 0).select(key.alias("supplier"), "s_name").write.partitionBy("supplier").json(path)

@@ -179,3 +179,11 @@ def test_json_members_at_any_depth(spark):
     assert [r.term for r in J.term_members(members).collect()] == ["leaf_id"]
     assert {r.label: r["items"] for r in J.label_catalogue(members).collect()} == {f"l{k}": 1 for k in range(0, 12, 2)}
     assert {r.key: (r.members, r.documents) for r in J.key_catalogue(members, ["id"]).collect()}["paired_canvas_id"] == (6, 1)
+
+
+def test_landing_is_spread_over_tasks(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, f"S{k}") for k in range(60)], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(queries_files, "FILES_A_TASK", 10)
+    landed = queries_files.land_suppliers(spark, str(tmp_path))
+    found = files.inventory(spark, landed).select(F.regexp_extract("path", r"/part-(\d+)-", 1).alias("task")).collect()
+    assert len(found) == 66 and len({r.task for r in found}) > 3
