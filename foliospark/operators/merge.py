@@ -93,17 +93,18 @@ def resume(inputs: DataFrame, stored: DataFrame, fresh: DataFrame, key: str, val
     return joined.select(key, F.coalesce("_new", "_old").alias(value), origin.alias("origin"))
 
 
-def digest_tree(rows: DataFrame, group_by: list[str], leaf: int = 4096) -> DataFrame:
+def digest_tree(rows: DataFrame, group_by: list[str], leaf: int = 4096, levels: int | None = None) -> DataFrame:
     """(group_by ..., rows, rows_sha256): a hash tree over the column ``d``, SHA-256 digests in hex, that no partitioning changes.
 
     A node holds the digests of one prefix. With at most ``leaf`` distinct ones its hash is that of its sorted entries ``digest:count``, else that of its
     sixteen children's hashes in order. Equal digests are counted first, and the tree grows from prefixes so long that a node there
     holds a sixteenth of a leaf; so no task gathers more than sixteen leaves of a group, however large the group or often a row is repeated.
+    With ``levels`` no prefix is longer than that, and a node there is a list whatever it holds: one task then hashes the 16**levels-th part of a group.
     """
     counted = staged(rows.groupBy(*group_by, "d").agg(F.count("*").alias("c")))
     most = counted.groupBy(*group_by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
     depth = 0
-    while 16**depth * leaf < 16 * most:
+    while (levels is None or depth < levels) and 16**depth * leaf < 16 * most:
         depth += 1
     entry = F.struct("d", F.concat_ws(":", "d", F.col("c").cast("string")).alias("e"))
     own = F.sha2(F.array_join("entries", ""), 256)
@@ -111,6 +112,9 @@ def digest_tree(rows: DataFrame, group_by: list[str], leaf: int = 4096) -> DataF
     nodes = counted.withColumn("p", F.substring("d", 1, max(depth, 1))).groupBy(*group_by, *at(depth)).agg(
         F.sum("c").alias("rows"), F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("entries"), F.lit(None).cast("string").alias("h")
     )
+    if depth == levels:  # lists longer than a leaf are hashed here, as no node above may list them
+        long = F.size("entries") > leaf
+        nodes = nodes.withColumn("h", F.when(long, own)).withColumn("entries", F.when(~long, F.col("entries")))
     for level in range(depth - 1, -1, -1):
         children = nodes.withColumn("child", F.struct("p", "entries", F.coalesce("h", own).alias("h")))
         above = children.groupBy(*group_by, *at(level)).agg(F.sum("rows").alias("rows"), F.sum(F.coalesce(F.size("entries"), F.lit(0))).alias("n"), F.count_if(F.col("entries").isNull()).alias("split"), F.array_sort(F.collect_list("child")).alias("child"))
@@ -121,9 +125,9 @@ def digest_tree(rows: DataFrame, group_by: list[str], leaf: int = 4096) -> DataF
     return nodes.select(*group_by, F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("h", own, F.sha2(F.lit(""), 256)).alias("rows_sha256"))
 
 
-def fingerprint(df: DataFrame, group_by: list[str] = [], leaf: int = 4096) -> DataFrame:  # noqa: B006
+def fingerprint(df: DataFrame, group_by: list[str] = [], leaf: int = 4096, levels: int | None = None) -> DataFrame:  # noqa: B006
     """(..., rows, rows_sha256): a digest of the rows, by group (``digest_tree``)."""
-    return digest_tree(df.select(*group_by, row_fingerprint(*df.columns).alias("d")), group_by, leaf)
+    return digest_tree(df.select(*group_by, row_fingerprint(*df.columns).alias("d")), group_by, leaf, levels)
 
 
 def file_snapshot(files: DataFrame, by: str, leaf: int = 4096) -> DataFrame:

@@ -60,10 +60,10 @@ def input_manifest(selected: DataFrame) -> DataFrame:
     return selected.select(F.substring(stable_digest(F.col("group_id"), F.col("page_id")), 1, 20).alias("sample_id"), "group_id", "page_id", "split")
 
 
-def run_identity(inputs: DataFrame, model: str, settings: dict, *, key: str, checksum: str, group: str, leaf: int = 4096) -> DataFrame:
+def run_identity(inputs: DataFrame, model: str, settings: dict, *, key: str, checksum: str, group: str, leaf: int = 4096, levels: int | None = None) -> DataFrame:
     """(group, run_identity): a digest of model, settings and the checksums of a run's sources, as a hash tree over ``key=checksum`` (``merge.digest_tree``)."""
     entry = F.concat_ws("=", F.col(key).cast("string"), F.col(checksum))
-    sources = digest_tree(inputs.select(group, F.sha2(entry, 256).alias("d")), [group], leaf)
+    sources = digest_tree(inputs.select(group, F.sha2(entry, 256).alias("d")), [group], leaf, levels)
     fixed = ";".join(f"{k}={settings[k]}" for k in sorted(settings))
     return sources.select(group, F.sha2(F.concat_ws(chr(0), F.lit(model), F.lit(fixed), F.col("rows_sha256")), 256).alias("run_identity"))
 

@@ -101,6 +101,22 @@ def test_digest_tree_by_hand(spark):
     assert tuple(M.digest_tree(df.limit(0).select("d"), []).first()) == (0, hashlib.sha256(b"").hexdigest())
 
 
+def test_digest_tree_of_given_levels_lists_what_lies_below(spark):
+    import hashlib
+
+    digests = sorted(hashlib.sha256(str(k).encode()).hexdigest() for k in range(700))
+    sha = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    prefixes = lambda n: sorted({d[:n] for d in digests})
+    listed = lambda p: sha(f"{d}:1" for d in digests if d.startswith(p))
+    df = spark.createDataFrame([(d,) for d in digests], "d string").repartition(3)
+    one = M.digest_tree(df, [], leaf=4, levels=1).first()
+    assert (one.rows, one.rows_sha256) == (700, sha(listed(p) for p in prefixes(1)))
+    two = M.digest_tree(df, [], leaf=4, levels=2).first()
+    assert two.rows_sha256 == sha(sha(listed(p) for p in prefixes(2) if p[0] == q) for q in prefixes(1))
+    assert two.rows_sha256 != M.digest_tree(df, [], leaf=4).first().rows_sha256
+    assert M.digest_tree(df, [], leaf=700, levels=2).first().rows_sha256 == M.digest_tree(df, [], leaf=700).first().rows_sha256 == listed("")
+
+
 def test_versioned_table_survives_crashes(spark, tmp_path, monkeypatch):
     from foliospark.operators import versions as V
 
