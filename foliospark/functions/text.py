@@ -185,10 +185,12 @@ def framework(ext: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair]), ext)
 
 
-def human_bytes(col: Column) -> Column:
-    """P41."""
-    out = F.concat(F.format_string("%.1f", F.bround(col / float(1 << 40), 1)), F.lit(" TB"))
-    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
+def human_bytes(col: Column, largest: str = "TB") -> Column:
+    """In the units up to ``largest``."""
+    units = ("B", "KB", "MB", "GB", "TB")
+    top = units.index(largest)
+    out = F.concat(F.format_string("%.1f", F.bround(col / float(1 << 10 * top), 1)), F.lit(f" {largest}"))
+    for power, unit in reversed(list(enumerate(units[1:top], 1))):
         out = F.when(col < (1 << 10 * (power + 1)), F.concat(F.format_string("%.1f", F.bround(col / float(1 << 10 * power), 1)), F.lit(f" {unit}"))).otherwise(out)
     return F.when(col < 1024, F.concat(col.cast("string"), F.lit(" B"))).otherwise(out)
 

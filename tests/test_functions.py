@@ -108,6 +108,13 @@ def test_references_without_a_semicolon_stay_when_closed_ones_are_asked_for(spar
         assert (one(spark, T.plain_html(F.lit(text))), one(spark, T.plain_html(F.lit(text), closed=True))) == (plain, closed)
 
 
+def test_sizes_stop_at_the_largest_unit(spark):
+    sizes = F.array(*[F.lit(n).cast("long") for n in (5, 1 << 10, 3 << 19, (1 << 40) - 1, 1 << 40, 5 << 42)])
+    shown = lambda **k: one(spark, F.transform(sizes, lambda n: T.human_bytes(n, **k)))
+    assert shown() == ["5 B", "1.0 KB", "1.5 MB", "1024.0 GB", "1.0 TB", "20.0 TB"]
+    assert shown(largest="GB") == ["5 B", "1.0 KB", "1.5 MB", "1024.0 GB", "1024.0 GB", "20480.0 GB"]
+
+
 def test_json_keys_of_odd_texts(spark):
     texts = ['{"a-B": 1, "c\\"d": {"x": 2}}', '{"s": "\\"y\\": 1"}', "[1]", "broken", None]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.json_keys(F.col("t")).alias("keys")).orderBy("k").collect()
