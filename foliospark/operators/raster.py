@@ -26,15 +26,18 @@ PIECE_AREA, PIECE_INK = 0.18, 0.04
 LAYOUTS = {"T": ((0.36, 0.58), (0.38, 0.62)), "L": ((0.34, 0.56), (0.38, 0.62))}
 
 
-def text_cells(docs: DataFrame, page: str, text: str) -> DataFrame:
+def text_cells(docs: DataFrame, page: str, text: str, *, tasks: int | None = None, **more: Column) -> DataFrame:
     """One cell for each word: (page_id, y, x, width, height), region = line y; no cell for an empty word.
 
-    Width is the most words of any line, height the number of lines.
+    Width is the most words of any line, height the number of lines. With ``tasks`` the texts are dealt by page to that many
+    tasks, so that what is grouped by page later needs no shuffle of cells. ``more``: columns of a page, made once a page.
     """
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda l: F.split(l, " ", -1))
-    sized = docs.select(F.col(page).alias("page_id"), lines.alias("l"))
-    sized = sized.select("page_id", F.array_max(F.transform("l", lambda w: F.size(w))).alias("width"), F.size("l").alias("height"), F.posexplode("l").alias("y", "w"))
-    return sized.select("page_id", "y", F.posexplode("w").alias("x", "word"), "width", "height").where("word != ''").drop("word")
+    pages = docs.select(F.col(page).alias("page_id"), F.col(text).alias("t"))
+    pages = pages if tasks is None else pages.repartition(tasks, "page_id")
+    lines = F.transform(F.split(F.coalesce("t", F.lit("")), "\n", -1), lambda l: F.split(l, " ", -1))
+    sized = pages.select("page_id", lines.alias("l"), *[c.alias(name) for name, c in more.items()])
+    sized = sized.select("page_id", F.array_max(F.transform("l", lambda w: F.size(w))).alias("width"), F.size("l").alias("height"), *more, F.posexplode("l").alias("y", "w"))
+    return sized.select("page_id", "y", F.posexplode("w").alias("x", "word"), "width", "height", *more).where("word != ''").drop("word")
 
 
 def spans_from_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -153,19 +156,22 @@ def damage_seed(family: str, page: Column, severity: Column | float) -> Column:
     return stable_seed(family, page.cast("string"), F.lit(severity).cast("string") if not isinstance(severity, Column) else severity.cast("string"))
 
 
-def remove_share(cells: DataFrame, family: str, severity: float, *, content: Column | None = None) -> DataFrame:
+def remove_share(cells: DataFrame, family: str, severity: float, *, content: Column | None = None, seed: str | None = None) -> DataFrame:
     """R12 (W7): every cell with ``removed``, and its page's ``status``.
 
     Exactly the rounded share of a page's cells goes: the lowest scores, ties row by row. A page whose
     share rounds to none or all, or exceeds its unguarded cells, is rejected, never relaxed.
     With ``content`` (R13, W8) the share is of the content cells: the last of them fixes the threshold
     score and place, and every cell up to it goes, content or not.
-    Scores are rounded to 9 places, so that the last bits of a sum decide no tie.
+    Scores are rounded to 9 places, so that the last bits of a sum decide no tie. ``seed``: the column with the page's
+    ``damage_seed``, if the cells have one; it is dropped. All counts share one order, so a page's cells are sorted once.
     """
-    score, guarded = shape_score(family, damage_seed(family, F.col("page_id"), severity))
-    df = cells.withColumn("guarded", guarded).withColumn("score", F.round(score, 9)).withColumn("content", F.lit(True) if content is None else content)
-    page = Window.partitionBy("page_id")
+    if seed is None:
+        cells, seed = cells.withColumn("_seed", damage_seed(family, F.col("page_id"), severity)), "_seed"
+    score, guarded = shape_score(family, F.col(seed))
+    df = cells.withColumn("guarded", guarded).withColumn("score", F.round(score, 9)).withColumn("content", F.lit(True) if content is None else content).drop(seed)
     order = Window.partitionBy("page_id").orderBy("_blocked", "score", "y", "x")
+    page = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = df.withColumn("_blocked", F.when(F.col("guarded"), 1).otherwise(0))
     total = F.count(F.when(F.col("content"), 1)).over(page)
     room = F.count(F.when(F.col("content") & ~F.col("guarded"), 1)).over(page)

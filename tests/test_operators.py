@@ -280,3 +280,22 @@ def test_a_page_without_registration_is_an_error(spark):
     for page in (("p3", "m2", "c1", "u"), ("p4", "m1", "c1", None), ("p5", "none", "c1", "u")):
         with pytest.raises(Exception, match=f"not registered: {page[0]}"):
             C.registration(make([page], kind), *sides).collect()
+
+
+def test_cells_dealt_by_page_are_counted_without_another_shuffle(spark):
+    docs = spark.createDataFrame([(k, "\n".join(" ".join(["w"] * (3 + (k + y) % 5)) for y in range(4 + k % 3))) for k in range(40)], "id long, t string")
+    seed = R.damage_seed("edge_tear", F.col("page_id"), 0.3)
+    dealt = R.remove_share(R.text_cells(docs, "id", "t", tasks=3, seed=seed), "edge_tear", 0.3, content=F.col("y") % 2 == 0, seed="seed")
+    plain = R.remove_share(R.text_cells(docs, "id", "t"), "edge_tear", 0.3, content=F.col("y") % 2 == 0)
+    assert dealt.columns == plain.columns and sorted(dealt.collect()) == sorted(plain.collect())
+    report = R.removal_report(dealt, 0.3)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    assert sorted(report.collect()) == sorted(R.removal_report(plain, 0.3).collect()) and {r.status for r in report.collect()} >= {"ok"}
+
+
+def test_span_pieces_of_both_kinds_give_the_overlap_of_whole_lines(spark):
+    cells = spark.createDataFrame([(1, 0, x, x in (2, 3, 7)) for x in (0, 1, 2, 3, 4, 7, 9)] + [(1, 1, x, True) for x in (0, 1)], "page_id long, y int, x int, removed boolean").withColumn("region_id", F.col("y"))
+    pieces = R.spans_from_cells(cells, ["page_id", "region_id", "removed"])
+    out = R.span_overlap(pieces, pieces.where("not removed").select("page_id", "y", "x0", "x1"))
+    assert sorted((r.region_id, r.area, r.surviving) for r in out.collect()) == [(0, 7, 4), (1, 2, 0)]
