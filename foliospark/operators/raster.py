@@ -267,20 +267,37 @@ def three_way_partition(cells: DataFrame, *, pages: DataFrame | None = None, att
     valid if every piece has its least area and the least ink a cell. With ``ink_shares`` the least ink is at
     most that share of the page's own ink a cell; the shares are tried in their order. Within a share the
     layout drawn for the page goes first, then early attempts. A page without a valid cut, or without an id, has no row.
-    The lines of all attempts are drawn once a page (of ``pages``, else of the cells) and joined to its cells.
+    The lines of all attempts are drawn once a page (of ``pages``, else of the cells) and joined to its runs of neighbouring cells of one ink.
     """
     ids = (cells if pages is None else pages).select("page_id").distinct()
     tries = ids.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
     lines = [(F.lit(low) + F.lit(high - low) * _draw(f"{layout}{k}", "attempt")).alias(f"{layout}{k}") for layout, cuts in LAYOUTS.items() for k, (low, high) in enumerate(cuts)]
-    v, u = (F.col("y") + 0.5) / F.col("height"), (F.col("x") + 0.5) / F.col("width")
-    placed = cells.select("page_id", v.alias("v"), u.alias("u"), (F.lit(1) if ink is None else ink.cast("int")).alias("ink"))
+    row = ["page_id", "y", "width", "height", "ink"]
+    along = Window.partitionBy(*row).orderBy("x")
+    placed = cells.select("page_id", "y", "x", "width", "height", (F.lit(1) if ink is None else ink.cast("int")).alias("ink"))
+    apart = placed.withColumn("_new", F.when(F.col("x") == F.lag("x").over(along) + 1, 0).otherwise(1))
+    runs = apart.withColumn("_g", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy(*row, "_g").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"))
     # Never broadcast: there are forty rows of every page.
-    cut = placed.join(tries.select("page_id", "attempt", *lines).hint("merge"), "page_id")
-    sums, stats = [F.count("*").alias("n"), F.sum("ink").alias("i")], []
-    for layout, (one, two) in {"T": ("v", "u"), "L": ("u", "v")}.items():
-        first, second = F.col(one) < F.col(f"{layout}0"), F.col(two) < F.col(f"{layout}1")
-        for k, inside in enumerate((first, ~first & second, ~first & ~second), 1):
-            sums += [F.count_if(inside).alias(f"{layout}n{k}"), F.sum(F.when(inside, F.col("ink")).otherwise(0)).alias(f"{layout}i{k}")]
+    cut = runs.join(tries.select("page_id", "attempt", *lines).hint("merge"), "page_id")
+    own = F.col("x1") - F.col("x0")
+
+    def before(line: str) -> Column:
+        """How many cells of a run lie left of the line: those with (x + 0.5) / width < line, by that very comparison."""
+        left = lambda x: ((x + 0.5) / F.col("width") < F.col(line)).cast("long")
+        at = F.floor(F.col(line) * F.col("width") - 0.5)
+        return F.greatest(F.lit(0), F.least(at + left(at) + left(at + 1), F.col("x1")) - F.col("x0"))
+
+    above = lambda line: (F.col("y") + 0.5) / F.col("height") < F.col(line)
+    cut = cut.select("page_id", "attempt", "ink", own.alias("own"), above("T0").alias("T_up"), above("L1").alias("L_up"), before("T1").alias("T_left"), before("L0").alias("L_left"))
+    none, (T_up, L_up) = F.lit(0), (F.col("T_up"), F.col("L_up"))
+    pieces = {
+        "T": (F.when(T_up, F.col("own")).otherwise(none), F.when(T_up, none).otherwise(F.col("T_left")), F.when(T_up, none).otherwise(F.col("own") - F.col("T_left"))),
+        "L": (F.col("L_left"), F.when(L_up, F.col("own") - F.col("L_left")).otherwise(none), F.when(L_up, none).otherwise(F.col("own") - F.col("L_left"))),
+    }
+    sums, stats = [F.sum("own").alias("n"), F.sum(F.col("own") * F.col("ink")).alias("i")], []
+    for layout, held in pieces.items():
+        for k, inside in enumerate(held, 1):
+            sums += [F.sum(inside).alias(f"{layout}n{k}"), F.sum(F.when(inside == 0, 0).otherwise(inside * F.col("ink"))).alias(f"{layout}i{k}")]
         stats.append(F.struct(F.lit(layout).alias("layout"), *[F.col(f"{layout}{c}{k}").alias(f"{c}{k}") for k in (1, 2, 3) for c in "ni"]))
     by = cut.groupBy("page_id", "attempt").agg(*sums).select("page_id", "attempt", "n", "i", F.explode(F.array(*stats)).alias("p")).select("page_id", "attempt", "n", "i", "p.*")
 

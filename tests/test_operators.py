@@ -299,3 +299,33 @@ def test_span_pieces_of_both_kinds_give_the_overlap_of_whole_lines(spark):
     pieces = R.spans_from_cells(cells, ["page_id", "region_id", "removed"])
     out = R.span_overlap(pieces, pieces.where("not removed").select("page_id", "y", "x0", "x1"))
     assert sorted((r.region_id, r.area, r.surviving) for r in out.collect()) == [(0, 7, 4), (1, 2, 0)]
+
+
+def test_partition_counts_runs_as_it_would_cells(spark):
+    from foliospark.functions.hashing import choice, stable_seed
+
+    places = [(p, y, x, w, h) for p, (w, h) in enumerate([(9, 7), (16, 8), (31, 12), (40, 3), (1, 1)]) for y in range(h) for x in range(w) if (x * 5 + y * 3 + p) % 11]
+    cells = spark.createDataFrame(places, "page_id long, y int, x int, width int, height int")
+    marked = (F.col("x") * 7 + F.col("y") * 3) % 4 == 0
+    out = R.three_way_partition(cells, attempts=12, ink=marked, ink_shares=(0.85, 0.5))
+    got = {r.page_id: tuple(r)[1:] for r in out.collect()}
+    lines = [(F.lit(low) + F.lit(high - low) * R._draw(f"{layout}{k}", "a")).alias(f"{layout}{k}") for layout, cuts in R.LAYOUTS.items() for k, (low, high) in enumerate(cuts)]
+    drawn = spark.range(5).toDF("page_id").select("page_id", choice(stable_seed("layout", F.col("page_id")), ["T", "L"]).alias("drawn"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("a")).select("page_id", "drawn", "a", *lines).collect()
+    want = {}
+    for d in drawn:
+        own = [((y + 0.5) / h, (x + 0.5) / w, (x * 7 + y * 3) % 4 == 0) for p, y, x, w, h in places if p == d.page_id]
+        for layout in "TL":
+            n, i = [0, 0, 0], [0, 0, 0]
+            for v, u, inked in own:
+                one, two = (v < d.T0, u < d.T1) if layout == "T" else (u < d.L0, v < d.L1)
+                k = 0 if one else 1 if two else 2
+                n[k], i[k] = n[k] + 1, i[k] + inked
+            if min(n) == 0 or min(n) < len(own) * R.PIECE_AREA:
+                continue
+            least, dense = min(a / b for a, b in zip(i, n, strict=True)), sum(i) / sum(n)
+            for level, s in enumerate((0.85, 0.5)):
+                if least >= min(R.PIECE_INK, s * dense):
+                    want.setdefault(d.page_id, []).append((level, layout != d.drawn, d.a, layout, *n))
+                    break
+    assert got == {p: (c[3], c[2], *c[4:]) for p, c in ((p, min(cs)) for p, cs in want.items())} and len(got) > 2
+    assert "x0" in out._jdf.queryExecution().analyzed().toString()  # runs, not cells, meet the attempts
