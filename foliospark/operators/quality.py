@@ -77,16 +77,26 @@ def ranges(df: DataFrame, key: Column, bounds: dict[str, tuple]) -> DataFrame:
     return row_rules(df, key, rules)
 
 
-def unique(df: DataFrame, fields: list[str], name: str) -> DataFrame:
-    """V6: repeated keys, with how often they occur."""
+def _dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
+def unique(df: DataFrame, fields: list[str], name: str, *, tasks: int | None = None) -> DataFrame:
+    """V6: repeated keys, with how often they occur.
+
+    Fields are counted as they are and only repeated ones are spelt. With ``tasks`` rows are dealt to that many tasks, where Spark would
+    count tasks by compressed bytes, of which keys are many times as many in memory.
+    """
+    found = _dealt(df.select(*fields), tasks, *fields).groupBy(*fields).agg(F.count("*").alias("_n")).where("_n > 1")
     key = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("null")) for f in fields])
-    return df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(f"unique:{name}").alias("rule"), "key", F.col("n").cast("string").alias("detail"))
+    return found.select(F.lit(f"unique:{name}").alias("rule"), key.alias("key"), F.col("_n").cast("string").alias("detail"))
 
 
-def foreign_keys(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str, name: str) -> DataFrame:
-    """V7: child keys without a parent, each once, with the number of rows."""
-    lost = children.where(F.col(child_key).isNotNull()).join(parents.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti")
-    return lost.groupBy(child_key).agg(F.count("*").alias("n")).select(F.lit(f"foreign_key:{name}").alias("rule"), F.col(child_key).cast("string").alias("key"), F.col("n").cast("string").alias("detail"))
+def foreign_keys(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str, name: str, *, tasks: int | None = None) -> DataFrame:
+    """V7: child keys without a parent, each once, with the number of rows. ``tasks`` as for ``unique``."""
+    held = _dealt(children.where(F.col(child_key).isNotNull()).select(child_key), tasks, child_key).groupBy(child_key).agg(F.count("*").alias("n"))
+    lost = held.join(_dealt(parents.select(F.col(parent_key).alias(child_key)), tasks, child_key), child_key, "left_anti")
+    return lost.select(F.lit(f"foreign_key:{name}").alias("rule"), F.col(child_key).cast("string").alias("key"), F.col("n").cast("string").alias("detail"))
 
 
 def isolated(df: DataFrame, group: Column, split: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(rows: DataFrame, each: int) -> int:
+    """How many tasks hold about ``each`` rows."""
+    return max(1, math.ceil(rows.count() / each))
+
+
 def tree_sql(rows: str, leaf: int) -> str:
     """CTEs that end in ``tree`` (k, rows, rows_sha256): the hash tree over ``rows`` (k, d), two levels deep, which holds 256 leaves."""
     listed = "sha256(string_agg(e, '' ORDER BY d))"

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
-from .base import SQL, query, table
+from .base import SQL, query, table, tasks
 
+KEYS_A_TASK = 500_000
 _KEY = "l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey"
 
 
@@ -17,7 +18,8 @@ def _line_key():
 @query("""SELECT 'required:' || f AS rule, CAST(doc_id AS VARCHAR) AS key, f AS detail FROM (
  SELECT doc_id, unnest(list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'text' END, CASE WHEN trim(coalesce(lang, '')) = '' THEN 'lang' END, CASE WHEN quality IS NULL THEN 'quality' END], lambda x: x IS NOT NULL)) AS f FROM documents LEFT JOIN labels USING (doc_id))""")
 def required_fields(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    # Of a text the first character behind its blanks stands for it, so that texts are not shuffled.
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.left(F.trim("text"), F.lit(1)).alias("text"), "lang").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return Q.required(docs, F.col("doc_id"), ["text", "lang", "quality"])
 
 
@@ -36,12 +38,14 @@ def value_ranges(spark, sf_dir):
 
 @query("""SELECT 'unique:line' AS rule, l_orderkey || '|' || l_linenumber AS key, CAST(count(*) AS VARCHAR) AS detail FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
 def uniqueness(spark, sf_dir):
-    return Q.unique(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "line")
+    lines = table(spark, sf_dir, "lineitem")
+    return Q.unique(lines, ["l_orderkey", "l_linenumber"], "line", tasks=tasks(lines, KEYS_A_TASK))
 
 
 @query("""SELECT 'foreign_key:order' AS rule, CAST(l_orderkey AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS detail FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY l_orderkey""")
 def foreign_keys(spark, sf_dir):
-    return Q.foreign_keys(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").where("o_orderstatus != 'P'"), "l_orderkey", "o_orderkey", "order")
+    lines = table(spark, sf_dir, "lineitem")
+    return Q.foreign_keys(lines, table(spark, sf_dir, "orders").where("o_orderstatus != 'P'"), "l_orderkey", "o_orderkey", "order", tasks=tasks(lines, KEYS_A_TASK))
 
 
 @query("""SELECT 'isolation' AS rule, sha256(text) AS key, string_agg(DISTINCT s, ',' ORDER BY s) AS detail FROM (SELECT text, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'validation' ELSE 'test' END AS s FROM documents WHERE text IS NOT NULL) GROUP BY text HAVING count(DISTINCT s) > 1""")
