@@ -4,7 +4,7 @@ Tasks are (task_id, family, severity, manuscript, page, measured): ``severity``
 page that went (null if nothing was measured). Regions are (task_id, label, fraction): what is left of each region of a task.
 Page statistics are over tasks and region statistics over regions: the two are aggregated apart and joined afterwards, so no task counts
 once for each of its regions. A task without regions counts as a task; a region whose task is missing counts nowhere.
-Medians are exact, and no group lies in one task (``profile.profile``).
+Rows are counted by equal values first. Medians are exact, and no large group lies in one task (``profile.profile``).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import survival_category
+from ..session import staged
 from . import profile
 
 DIMENSIONS = {"mask_family": "family", "requested_severity": "severity", "manuscript": "manuscript", "page": "page"}
@@ -22,10 +23,18 @@ CATEGORIES = ("almost_complete", "partial", "mostly_destroyed", "fully_removed",
 RATES = {"fully_removed_rate": "fully_removed", "mostly_removed_rate": "mostly_destroyed", "partial_rate": "partial", "almost_complete_rate": "almost_complete"}
 
 
-def _tall(df: DataFrame, dims: dict[str, str], *keep: str) -> DataFrame:
-    """(dimension, value, *keep): a row for every dimension of every row; null values are one bucket."""
-    sets = [F.struct(F.lit(n).alias("dimension"), F.coalesce(F.col(c).cast("string"), F.lit(profile.MISSING)).alias("value")) for n, c in dims.items()]
-    return df.select(F.explode(F.array(*sets)).alias("_set"), *keep).select("_set.*", *keep)
+def _tall(df: DataFrame, dims: dict[str, str], measure: str, own: str | None = None) -> DataFrame:
+    """(dimension, value, measure, _rows): for every dimension how many rows have a value and measure, written once; null values are one bucket.
+
+    Rows are counted by all dimensions together before these come apart, except ``own``, which has so many values that it is counted by itself.
+    """
+    few = [c for c in dims.values() if c != own]
+    sets = [[*few, measure]] + ([[own, measure]] if own else [])
+    counted = df.groupingSets(sets, *(few + [own] if own else few), measure).agg(F.count("*").alias("_rows"), (F.grouping(own) if own else F.lit(1)).alias("_few"))
+    bucket = lambda n, c: F.struct(F.lit(n).alias("dimension"), F.coalesce(F.col(c).cast("string"), F.lit(profile.MISSING)).alias("value"))
+    shown = {held: F.array(*[bucket(n, c) for n, c in dims.items() if (c == own) is held]) for held in (False, True) if not held or own}
+    buckets = F.when(F.col("_few") == 1, shown[False]).otherwise(shown[True]) if own else shown[False]
+    return staged(counted.select(F.explode(buckets).alias("_set"), measure, "_rows").select("_set.*", measure, "_rows"))
 
 
 def _beside(by: list[str], first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -39,12 +48,17 @@ def _beside(by: list[str], first: DataFrame, *others: DataFrame) -> DataFrame:
     return reduce(add, others, first)
 
 
-def _categories(measured: DataFrame, by: list[str]) -> DataFrame:
-    return measured.groupBy(*by).agg(F.count("*").alias("regions"), *[F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES])
+def _categories(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Regions and those of every category, from counts (fraction, _rows)."""
+    category = survival_category(F.col("fraction"))
+    return counted.groupBy(*by).agg(F.sum("_rows").alias("regions"), *[F.sum(F.when(category == c, F.col("_rows")).otherwise(0)).alias(c) for c in CATEGORIES])
 
 
-def _measured(tasks: DataFrame, regions: DataFrame) -> DataFrame:
-    return regions.select("task_id", "label", "fraction").join(tasks, "task_id").withColumn("category", survival_category(F.col("fraction")))
+def _held(tasks: DataFrame, regions: DataFrame) -> DataFrame:
+    """The tasks, a row for each class they hold."""
+    labels = regions.groupBy("task_id").agg(F.collect_set("label").alias("_labels"), F.bool_or(F.col("label").isNull()).alias("_none"))
+    held = F.when(F.col("_none"), F.array_append("_labels", F.lit(None).cast("string"))).otherwise(F.col("_labels"))
+    return labels.select("task_id", held.alias("_labels")).join(tasks, "task_id").withColumn("label", F.explode("_labels")).drop("_labels")
 
 
 def summary(tasks: DataFrame, regions: DataFrame) -> DataFrame:
@@ -54,13 +68,11 @@ def summary(tasks: DataFrame, regions: DataFrame) -> DataFrame:
     """
     by = ["dimension", "value"]
     tasks = tasks.withColumn("surviving", 1 - F.col("measured"))
-    measured = _measured(tasks, regions)
-    region_rows = _tall(measured, DIMENSIONS | {"layout_class": "label"}, "fraction", "category")
-    holders = regions.select("task_id", "label").distinct().join(tasks.select("task_id", "surviving"), "task_id")
-    task_rows = _tall(tasks, DIMENSIONS, "surviving").unionByName(_tall(holders, {"layout_class": "label"}, "surviving"))
+    region_rows = _tall(regions.select("task_id", "label", "fraction").join(tasks, "task_id"), DIMENSIONS | {"layout_class": "label"}, "fraction", "page")
+    task_rows = _tall(tasks, DIMENSIONS, "surviving", "page").unionByName(_tall(_held(tasks.select("task_id", "surviving"), regions), {"layout_class": "label"}, "surviving"))
     out = _beside(
-        by, task_rows.groupBy(*by).agg(F.count("*").alias("tasks")), _categories(region_rows, by),
-        profile.profile(task_rows, by, "surviving", "page_"), profile.profile(region_rows, by, "fraction", "region_"),
+        by, task_rows.groupBy(*by).agg(F.sum("_rows").alias("tasks")), _categories(region_rows, by),
+        profile.profile(task_rows, by, "surviving", "page_", weight="_rows"), profile.profile(region_rows, by, "fraction", "region_", weight="_rows"),
     )
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("regions", *CATEGORIES, "region_n")]
     stats = [f"{p}_{s}" for p in ("page", "region") for s in ("n", "mean", "median", "min", "max", "sd") if (p, s) != ("region", "n")]
@@ -77,20 +89,23 @@ def metrics(tasks: DataFrame, regions: DataFrame) -> DataFrame:
     Levels: ``overall``, ``group`` (family and severity) and ``class`` (with the label, over the tasks that hold it and its own regions).
     ``loss`` is what was measured, ``error`` its distance from what was asked for.
     """
-    tasks = tasks.select("task_id", "family", "severity", F.col("measured").alias("loss"), F.abs(F.col("measured") - F.col("severity")).alias("error"))
-    measured = _measured(tasks, regions)
+    tasks = tasks.select("task_id", "family", "severity", F.col("measured").alias("loss"))
     level = lambda name, family, severity, label: F.struct(F.lit(name).alias("level"), family.alias("family"), severity.alias("severity"), label.alias("label"))
     none = F.lit(None)
     overall = level("overall", none.cast("string"), none.cast("double"), none.cast("string"))
     group = level("group", F.col("family"), F.col("severity").cast("double"), none.cast("string"))
     own = level("class", F.col("family"), F.col("severity").cast("double"), F.col("label"))
-    spread = lambda df, levels, *keep: df.select(F.explode(F.array(*levels)).alias("_l"), *keep).select("_l.*", *keep)
-    holders = regions.select("task_id", "label").distinct().join(tasks, "task_id")
-    task_rows = spread(tasks, [overall, group], "loss", "error").unionByName(spread(holders, [own], "loss", "error"))
-    region_rows = spread(measured, [overall, group, own], "fraction", "category")
+    # Counted within their class or group first: the levels above are made of these counts.
+    count = lambda df, *by: df.groupBy("family", "severity", *by).agg(F.count("*").alias("_rows"))
+    spread = lambda df, levels, *keep: df.select(F.explode(F.array(*levels)).alias("_l"), *keep, "_rows").select("_l.*", *keep, "_rows")
+    error = F.abs(F.col("loss") - F.col("severity"))
+    each = lambda df, levels: spread(df.withColumn("error", error), levels, "loss", "error")
+    task_rows = staged(each(count(tasks, "loss"), [overall, group]).unionByName(each(count(_held(tasks, regions), "label", "loss"), [own])))
+    measured = count(regions.select("task_id", "label", "fraction").join(tasks, "task_id"), "label", "fraction")
+    region_rows = staged(spread(measured, [overall, group, own], "fraction"))
     out = _beside(
-        _LEVEL, task_rows.groupBy(*_LEVEL).agg(F.count("*").alias("tasks")), _categories(region_rows, _LEVEL),
-        profile.profile(task_rows, _LEVEL, "loss", "loss_"), profile.profile(task_rows, _LEVEL, "error", "error_"), profile.profile(region_rows, _LEVEL, "fraction", "survival_"),
+        _LEVEL, task_rows.groupBy(*_LEVEL).agg(F.sum("_rows").alias("tasks")), _categories(region_rows, _LEVEL),
+        *[profile.profile(rows, _LEVEL, c, f"{name}_", weight="_rows") for name, rows, c in (("loss", task_rows, "loss"), ("error", task_rows, "error"), ("survival", region_rows, "fraction"))],
     )
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("regions", "survival_n")]
     stats = [f"{m}_{s}" for m in _METRICS for s in ("n", "mean", "median", "min", "max", "sd") if (m, s) != ("survival", "n")]

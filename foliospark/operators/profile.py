@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from . import ranking
 
 MISSING = "[missing]"
@@ -102,22 +103,20 @@ def outliers(df: DataFrame, key: str, count: str, confidence: str, *, low_confid
     return df.join(F.broadcast(q)).select(key, count, confidence, flags.alias("flags")).where(F.size("flags") > 0)  # a one-row aggregate
 
 
-def profile(df: DataFrame, by: list[str], measure: str, prefix: str = "", places: int = 10) -> DataFrame:
+def profile(df: DataFrame, by: list[str], measure: str, prefix: str = "", places: int = 10, weight: str | None = None) -> DataFrame:
     """Count, mean, exact median, min, max and population SD of the values present, by group.
 
-    Over no values all but the count are null; the SD of fewer than two is null. The median comes from counts of values in ranges
-    (``ranking.exact_quantiles``), the rest from partial aggregates, so a group of any size is spread over tasks.
+    Over no values all but the count are null; the SD of fewer than two is null. The rows are read once, into counts of equal values (``weight``: they are
+    such counts already), and everything comes from these (``ranking.counted_places``), so a group of any size is spread over tasks.
     """
-    n = F.count(measure)
-    plain = df.groupBy(*by).agg(
-        n.alias(f"{prefix}n"), F.bround(F.avg(measure), places).alias(f"{prefix}mean"), F.min(measure).alias(f"{prefix}min"), F.max(measure).alias(f"{prefix}max"),
-        F.when(n >= 2, F.bround(F.stddev_pop(measure), places)).alias(f"{prefix}sd"),
+    counts = staged(df.groupBy(*by, F.col(measure).alias("_value")).agg(F.count("*").alias("_count"))) if weight is None else df.select(*by, F.col(measure).alias("_value"), F.col(weight).alias("_count"))
+    aggregates, (median,) = ranking.at_places([0.5])
+    value, mean = F.col("_value").cast("double"), F.col("_sum") / F.nullif(F.col("_n"), F.lit(0))
+    found = ranking.counted_places(counts, by).groupBy(*by).agg(
+        F.coalesce(F.max("_n"), F.lit(0)).alias("n"), F.max(mean).alias("mean"), *aggregates, F.min("_value").alias("min"), F.max("_value").alias("max"), F.sum(F.col("_count") * (value - mean) ** 2).alias("_squares")
     )
-    middle = ranking.exact_quantiles(df, by, measure, [0.5]).select(*[F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)], F.col("q0").alias(f"{prefix}median"))
-    on = F.lit(True)
-    for i, b in enumerate(by):
-        on = on & F.col(b).eqNullSafe(F.col(f"_by_{i}"))
-    return plain.join(middle, on, "left").select(*by, *[f"{prefix}{c}" for c in ("n", "mean", "median", "min", "max", "sd")])
+    sd = F.when(F.col("n") >= 2, F.bround(F.sqrt(F.col("_squares") / F.col("n")), places))
+    return found.select(*by, *[c.alias(f"{prefix}{s}") for s, c in {"n": F.col("n"), "mean": F.bround("mean", places), "median": median, "min": F.col("min"), "max": F.col("max"), "sd": sd}.items()])
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:

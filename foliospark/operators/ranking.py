@@ -47,29 +47,63 @@ def ranks(df: DataFrame, by: list[str], order: list[Column | str], flags: dict[s
     return out.drop("_range", *drop)
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, fractions: list[float]) -> DataFrame:
-    """(by ..., n, q0, q1, ...): exact quantiles with linear interpolation between neighbours (inclusive), nulls left out.
+# A group of at most so many counts is sorted in one task; larger ones are spread over ranges.
+GROUP_IN_TASK = 50_000
+
 
-    Equal values are counted first; the counts are range-partitioned by group and value, so the rows at the wanted places are found by
-    adding up counts, and no task holds a group's values.
+def counted_places(counted: DataFrame, by: list[str], in_task: int = GROUP_IN_TASK) -> DataFrame:
+    """Counts of values (by ..., _value, _count; any number of rows a value; read more than once) with ``_first`` and ``_last``, the places their values
+    take in the group's order, and over the whole group ``_n`` and ``_sum``, the number and the sum of its values. Nulls take no place.
+
+    Groups of at most ``in_task`` counts are shuffled once, by group. The counts of larger ones are range-partitioned by group and value and
+    written once, so places are found by adding up counts, and no task holds such a group's values.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_count"))
-    placed = _range_placed(counted, by, ["_value"])
+    counted = counted.select(*by, "_value", F.when(F.col("_value").isNotNull(), F.col("_count")).otherwise(0).alias("_count"))
+    large = staged(counted.groupBy(*by).agg(F.count("*").alias("_counts")).where(F.col("_counts") > in_task).select(*[F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)], "_counts"))
+    value = F.col("_count") * F.col("_value").cast("double")
+    if large.isEmpty():
+        return _places(counted, by, value)
+    on = F.lit(True)
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_by_{i}"))
+    placed = _range_placed(counted.join(large, on, "left_semi"), by, ["_value"])
     upto = Window.partitionBy("_range", *by).orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = placed.withColumn("_upto", F.sum("_count").over(upto))
-    parts = placed.groupBy("_range", *by).agg(F.sum("_count").alias("_size"))
-    both = _shifted(local, parts, by, {"_size": "_before"}, {"_size": "_n"})
+    parts = placed.groupBy("_range", *by).agg(F.sum("_count").alias("_size"), F.sum(value).alias("_part"))
+    both = _shifted(local, parts, by, {"_size": "_before"}, {"_size": "_n", "_part": "_sum"})
     last = F.col("_before") + F.col("_upto")
-    first = last - F.col("_count") + 1
-    aggregates = []
+    spread = both.select(*by, "_value", "_count", (last - F.col("_count") + 1).alias("_first"), last.alias("_last"), "_n", "_sum")
+    return _places(counted.join(large, on, "left_anti"), by, value).unionByName(spread) if by else spread
+
+
+def _places(counted: DataFrame, by: list[str], value: Column) -> DataFrame:
+    whole = Window.partitionBy(*[F.col(b) for b in by])
+    last = F.sum("_count").over(whole.orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    over = counted.select(*by, "_value", "_count", last.alias("_last"), F.sum("_count").over(whole).alias("_n"), F.sum(value).over(whole).alias("_sum"))
+    return over.select(*by, "_value", "_count", (F.col("_last") - F.col("_count") + 1).alias("_first"), "_last", "_n", "_sum")
+
+
+def at_places(fractions: list[float]) -> tuple[list[Column], list[Column]]:
+    """For ``counted_places``: aggregates, and over them and ``n`` the quantiles with linear interpolation between neighbours (inclusive)."""
+    aggregates, mixed = [], []
     for i, p in enumerate(fractions):
         at = (F.col("_n") - 1) * F.lit(float(p))
         for side, k in (("l", F.floor(at) + 1), ("h", F.ceil(at) + 1)):
-            aggregates.append(F.max(F.when((first <= k) & (k <= last), F.col("_value"))).alias(f"_{side}{i}"))
-    found = both.groupBy(*by).agg(F.max("_n").alias("n"), *aggregates)
-    at = lambda p: (F.col("n") - 1) * F.lit(float(p))
-    mix = lambda i, p: F.when(F.floor(at(p)) == F.ceil(at(p)), F.col(f"_l{i}").cast("double")).otherwise((F.ceil(at(p)) - at(p)) * F.col(f"_l{i}") + (at(p) - F.floor(at(p))) * F.col(f"_h{i}"))
-    return found.where("n is not null").select(*by, "n", *[mix(i, p).alias(f"q{i}") for i, p in enumerate(fractions)])
+            aggregates.append(F.max(F.when((F.col("_first") <= k) & (k <= F.col("_last")), F.col("_value"))).alias(f"_{side}{i}"))
+        at = (F.col("n") - 1) * F.lit(float(p))
+        mixed.append(F.when(F.floor(at) == F.ceil(at), F.col(f"_l{i}").cast("double")).otherwise((F.ceil(at) - at) * F.col(f"_l{i}") + (at - F.floor(at)) * F.col(f"_h{i}")))
+    return aggregates, mixed
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, fractions: list[float]) -> DataFrame:
+    """(by ..., n, q0, q1, ...): exact quantiles with linear interpolation between neighbours (inclusive), nulls left out.
+
+    Equal values are counted first (``counted_places``).
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_count"))
+    aggregates, mixed = at_places(fractions)
+    found = counted_places(staged(counted), by).groupBy(*by).agg(F.max("_n").alias("n"), *aggregates)
+    return found.where("n is not null").select(*by, "n", *[q.alias(f"q{i}") for i, q in enumerate(mixed)])
 
 
 def _shifted(rows: DataFrame, parts: DataFrame, by: list[str], before: dict[str, str], total: dict[str, str] | None = None) -> DataFrame:
