@@ -6,13 +6,17 @@ decoded: on text a page is a document, y a line, x a word in it, and a region a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import choice, stable_digest, stable_seed, uniform
 from ..functions.statistics import share
 from ..functions.text import survival_category
-from ..session import shared_folder
+from ..session import shared_folder, staged
 
 # Fixed values of the shape families.
 EDGES = ["top", "bottom", "left", "right"]
@@ -231,16 +235,84 @@ def survival_window(pages: DataFrame, fraction: float, tolerance: float = 0.02)
     return sized.withColumn("x0", x0).withColumn("y0", y0).select("page_id", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"), F.bround(measured, 9).alias("measured"), F.when(F.abs(measured - fraction) <= tolerance, "ok").otherwise("outside_tolerance").alias("status"))
 
 
-def span_components(spans: DataFrame, max_rounds: int = 200) -> DataFrame:
+# A page of at most so many spans is labelled by one task, row by row; larger ones in rounds of joins.
+SPANS_IN_TASK = 200_000
+
+
+def _page_components(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """The least number (from 1, in the order given) of the component of every span of a page; spans are sorted by y and x0 and one row's do not overlap."""
+    parent = list(range(len(y)))
+
+    def top(u: int) -> int:
+        while parent[u] != u:
+            parent[u] = u = parent[parent[u]]
+        return u
+
+    rows = [*np.flatnonzero(np.diff(y, prepend=y[0] - 1)).tolist(), len(y)]
+    left, right = x0.tolist(), x1.tolist()
+    for at in range(1, len(rows) - 1):
+        above, u, end = rows[at - 1], rows[at], rows[at + 1]
+        if y[u] != y[above] + 1:
+            continue
+        while above < rows[at] and u < end:
+            if left[above] < right[u] and left[u] < right[above]:
+                a, b = top(above), top(u)
+                parent[max(a, b)] = min(a, b)
+            if right[above] < right[u]:
+                above += 1
+            else:
+                u += 1
+    return np.array([top(u) + 1 for u in range(len(y))], np.int32)
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, span, component) of batches sorted by page and span; a page may lie in several batches."""
+
+    def labelled(table: pa.Table) -> pa.RecordBatch:
+        span, y, x0, x1 = (table.column(c).to_numpy() for c in ("span", "y", "x0", "x1"))
+        firsts = [*np.flatnonzero(span == 1).tolist(), len(span)]
+        own = [_page_components(y[a:b], x0[a:b], x1[a:b]) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+        pages = table.column("page_id").combine_chunks()
+        return pa.RecordBatch.from_arrays([pages, pa.array(span, pa.int32()), pa.array(np.concatenate(own), pa.int32())], ["page_id", "span", "component"])
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        firsts = np.flatnonzero(table.column("span").to_numpy() == 1)
+        # The last page may go on in the next batch.
+        cut = int(firsts[-1]) if len(firsts) else 0
+        if cut:
+            yield labelled(table.slice(0, cut))
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield labelled(held)
+
+
+def span_components(spans: DataFrame, max_rounds: int = 200, in_task: int = SPANS_IN_TASK) -> DataFrame:
     """(page_id, span, component): 4-neighbour components of spans (page_id, y, x0, x1).
 
-    A span's number is its order on the page; touching spans of neighbouring rows are edges. Every
-    round takes the smallest label next to each span, then the label of that label; long chains so
-    halve, and lineage is cut by checkpoint() every four rounds.
+    A span's number is its order on the page; touching spans of neighbouring rows are edges. Pages of up to ``in_task`` spans lie in one task,
+    sorted, and are labelled there in one go along the rows; larger ones are labelled in rounds (``_components_in_rounds``). Spans of one row that
+    overlap, or empty ones, go in rounds too.
     """
-    shared_folder(spans.sparkSession)
-    order = Window.partitionBy("page_id").orderBy("y", "x0")
-    nodes = spans.select("page_id", "y", "x0", "x1").withColumn("span", F.row_number().over(order)).checkpoint()
+    page = Window.partitionBy("page_id")
+    order = page.orderBy("y", "x0")
+    overlaps = (F.lag("y").over(order) == F.col("y")) & (F.lag("x1").over(order) > F.col("x0"))
+    odd = F.col("y").isNull() | F.coalesce(F.col("x0") >= F.col("x1"), F.lit(True)) | F.coalesce(overlaps, F.lit(False))
+    placed = spans.select("page_id", "y", "x0", "x1", F.row_number().over(order).alias("span"), odd.alias("_odd"))
+    small = (F.count("*").over(page) <= in_task) & ~F.bool_or("_odd").over(page) & F.col("page_id").isNotNull()
+    nodes = staged(placed.withColumn("_small", small).drop("_odd"))
+    rest = nodes.where(~F.col("_small")).drop("_small")
+    own = nodes.where("_small").select("page_id", "span", *[F.col(c).cast("long") for c in ("y", "x0", "x1")])
+    own = own.repartition("page_id").sortWithinPartitions("page_id", "span").mapInArrow(_whole_pages, f"page_id {nodes.schema['page_id'].dataType.simpleString()}, span int, component int")
+    return own if rest.isEmpty() else own.unionByName(_components_in_rounds(rest, max_rounds))
+
+
+def _components_in_rounds(nodes: DataFrame, max_rounds: int) -> DataFrame:
+    """(page_id, span, component) of numbered spans, however many a page has: every round takes the smallest label next to each span, then the
+    label of that label; long chains so halve, and lineage is cut by checkpoint() every four rounds."""
+    shared_folder(nodes.sparkSession)
     a, b = nodes.alias("a"), nodes.alias("b")
     touch = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("b.y") == F.col("a.y") + 1) & (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1"))
     down = a.join(b, touch).select(F.col("a.page_id").alias("page_id"), F.col("a.span").alias("u"), F.col("b.span").alias("v"))
