@@ -101,17 +101,16 @@ def digest_tree(rows: DataFrame, group_by: list[str], leaf: int = 4096, levels:
     holds a sixteenth of a leaf; so no task gathers more than sixteen leaves of a group, however large the group or often a row is repeated.
     With ``levels`` no prefix is longer than that, and a node there is a list whatever it holds: one task then hashes the 16**levels-th part of a group.
     """
-    counted = staged(rows.groupBy(*group_by, "d").agg(F.count("*").alias("c")))
+    # Digests travel as bytes, half as long as their hex, and are spelt where they are hashed; both have the same order.
+    counted = staged(rows.select(*group_by, F.unhex("d").alias("d")).groupBy(*group_by, "d").agg(F.count("*").alias("c")))
     most = counted.groupBy(*group_by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
     depth = 0
     while (levels is None or depth < levels) and 16**depth * leaf < 16 * most:
         depth += 1
-    entry = F.struct("d", F.concat_ws(":", "d", F.col("c").cast("string")).alias("e"))
-    own = F.sha2(F.array_join("entries", ""), 256)
+    own = F.sha2(F.array_join(F.transform("entries", lambda x: F.concat_ws(":", F.lower(F.hex(x["d"])), x["c"].cast("string"))), ""), 256)
     at = lambda n: [F.substring("p", 1, n).alias("p")] if n else []
-    nodes = counted.withColumn("p", F.substring("d", 1, max(depth, 1))).groupBy(*group_by, *at(depth)).agg(
-        F.sum("c").alias("rows"), F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("entries"), F.lit(None).cast("string").alias("h")
-    )
+    prefix = F.substring(F.lower(F.hex("d")), 1, max(depth, 1))
+    nodes = counted.withColumn("p", prefix).groupBy(*group_by, *at(depth)).agg(F.sum("c").alias("rows"), F.array_sort(F.collect_list(F.struct("d", "c"))).alias("entries"), F.lit(None).cast("string").alias("h"))
     if depth == levels:  # lists longer than a leaf are hashed here, as no node above may list them
         long = F.size("entries") > leaf
         nodes = nodes.withColumn("h", F.when(long, own)).withColumn("entries", F.when(~long, F.col("entries")))
