@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.ranking import numbered
 from .common import shared_dir, stage
 from .tokens import slices
 
@@ -21,6 +20,7 @@ from .tokens import slices
 _END = b"\xff"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 255 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 _ID_BITS = 31
+_ID_MASK = (1 << _ID_BITS) - 1
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -44,24 +44,42 @@ class _Block:
         self.parts.append(np.fromiter(map(self.number.__getitem__, own), np.int32, len(own)))
         self.size += len(own)
 
-    def rows(self, block: int, lang: str) -> Iterator[pa.RecordBatch]:
-        """One row for each distinct word, then one with the sequence of numbers (low halves, then high halves, which are mostly 0)."""
+    def row(self, block: int, lang: str) -> pa.RecordBatch:
+        """The distinct words in the order of their hashes, their counts, and the sequence of their numbers (from 1) in that order."""
         seq = np.concatenate(self.parts)
         names = list(self.number)[1:]
-        counts = np.bincount(seq, minlength=len(names) + 1)[1:]
-        none = pa.nulls(len(names), pa.binary())
-        yield _batch([block] * len(names), [lang] * len(names), np.arange(1, len(names) + 1), pa.array(names, pa.binary()), counts, none)
-        halves = seq.view("<u2").reshape(-1, 2).T.tobytes()
-        yield _batch([block], [lang], [None], pa.array([None], pa.binary()), [None], pa.array([halves], pa.binary()))
+        counts = np.bincount(seq, minlength=len(names) + 1)
+        order = np.argsort(_hashes(names), kind="stable")
+        place = np.zeros(len(names) + 1, np.int32)
+        place[order + 1] = np.arange(1, len(names) + 1)
+        words = _END.join([names[k] for k in order.tolist()])
+        arrays = [pa.array([v], t) for v, t in ((block, pa.int64()), (lang, pa.string()), (int(counts[1:].sum()), pa.int64()), (words, pa.binary()), (_planes(counts[order + 1]), pa.binary()), (_planes(place[seq]), pa.binary()))]
+        return pa.RecordBatch.from_arrays(arrays, ["block", "lang", "n", "words", "counts", "seq"])
 
 
-def _batch(block, lang, at, word, c, seq) -> pa.RecordBatch:
-    arrays = [pa.array(block, pa.int64()), pa.array(lang, pa.string()), pa.array(at, pa.int64()), word, pa.array(c, pa.int64()), seq]
-    return pa.RecordBatch.from_arrays(arrays, ["block", "lang", "at", "word", "c", "seq"])
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 as their lowest bytes, then their second ones, and so on: the higher ones are mostly 0 and compress well."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _pack(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
 
 
 def word_blocks(docs: DataFrame, *, block_words: int, text_col: str, lang_col: str) -> DataFrame:
-    """The texts as blocks of about ``block_words`` words of one language: their distinct words with counts, and their sequences (``_Block.rows``)."""
+    """The texts as blocks of about ``block_words`` words of one language, a row each (``_Block.row``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -72,100 +90,207 @@ def word_blocks(docs: DataFrame, *, block_words: int, text_col: str, lang_col: s
                     block = open_.setdefault(lang, _Block())
                     block.add(text)
                     if block.size >= block_words:
-                        yield from open_.pop(lang).rows(part << 32 | made, lang)
+                        yield open_.pop(lang).row(part << 32 | made, lang)
                         made += 1
                 if sum(b.size for b in open_.values()) >= 2 * block_words:
                     lang = max(open_, key=lambda x: open_[x].size)
-                    yield from open_.pop(lang).rows(part << 32 | made, lang)
+                    yield open_.pop(lang).row(part << 32 | made, lang)
                     made += 1
         for lang, block in open_.items():
-            yield from block.rows(part << 32 | made, lang)
+            yield block.row(part << 32 | made, lang)
             made += 1
 
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "block long, lang string, at long, word binary, c long, seq binary")
+    return own.mapInArrow(run, "block long, lang string, n long, words binary, counts binary, seq binary")
 
 
-def _windows(longest: int):
-    """A block's windows: at each place the frequent words from there on, 2 to ``longest`` of them, each window once with its count, in the order of the words' numbers.
+# What a block asks: the n keys from its place ``at`` on, packed with their counts; all keys of a bucket meet in one group.
+_ASKED = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("block", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("keys", pa.binary())])
+# What a bucket answers: to each block the ids of its keys (0: rare), and a row for each frequent key.
+_ANSWER = pa.schema([("lang", pa.string()), ("block", pa.int64()), ("at", pa.int32()), ("ids", pa.binary()), ("id", pa.int32()), ("word", pa.binary()), ("first", pa.int32()), ("second", pa.int32()), ("f", pa.int64())])
 
-    Two words share a column k0, k1, ...; 0 stands for none.
-    """
 
-    def run(block: pa.Table, ids: pa.Table) -> pa.Table:
-        keys = [np.empty(0, np.int64)] * (-(-longest // 2))
-        counts = np.empty(0, np.int64)
-        if block.num_rows and ids.num_rows:
-            halves = np.frombuffer(block.column("seq")[0].as_buffer(), "<u2")
-            seq = np.ascontiguousarray(halves.reshape(2, -1).T).view("<i4").ravel()
-            names = np.zeros(int(seq.max()) + 1, np.int64)
-            names[ids.column("at").to_numpy()] = ids.column("id").to_numpy()
-            own = np.concatenate([names[seq], np.zeros(longest, np.int64)])
-            at = np.flatnonzero((own[:-1] > 0) & (own[1:] > 0))
-            cols = [own[at], own[at + 1]]
-            for j in range(2, longest):
-                cols.append(np.where(cols[-1] > 0, own[at + j], 0))
-            keys = [cols[j] << _ID_BITS | (cols[j + 1] if j + 1 < longest else 0) for j in range(0, longest, 2)]
-            order = np.lexsort(keys[::-1])
-            keys = [k[order] for k in keys]
-            new = reduce(np.logical_or, [np.diff(k, prepend=-1) != 0 for k in keys])
-            first = np.flatnonzero(new)
-            keys, counts = [k[first] for k in keys], np.diff(np.append(first, len(order)))
-        return pa.table([pa.array(a, pa.int64()) for a in (*keys, counts)], names=[*[f"k{j}" for j in range(len(keys))], "c"])
+def _spark_schema(schema: pa.Schema) -> str:
+    kinds = {pa.string(): "string", pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
+
+
+def _asked(lang: str, block: int, bucket: np.ndarray, keys) -> pa.Table:
+    """The questions of a block whose keys lie in the order of their buckets; ``keys(a, b)``: the packed keys from place a to b."""
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(starts[1:], len(bucket))
+    return pa.table([[lang] * len(starts), bucket[starts], [block] * len(starts), starts, ends - starts, [keys(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]], schema=_ASKED)
+
+
+def _ask_words(buckets: int):
+    """A block's words and counts, dealt by hash."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if not table.column("n")[0].as_py():
+            return _ASKED.empty_table()
+        words, counts = table.column("words")[0].as_py().split(_END), _numbers(table.column("counts")[0].as_py())
+        bucket = _hashes(words) * buckets >> 32
+        return _asked(table.column("lang")[0].as_py(), table.column("block")[0].as_py(), bucket, lambda a, b: _pack(_planes(counts[a:b]) + _END.join(words[a:b])))
 
     return run
 
 
-def _word(j: int) -> Column:
-    key = F.col(f"k{j // 2}")
-    return F.shiftright(key, _ID_BITS) if j % 2 == 0 else key.bitwiseAND(F.lit((1 << _ID_BITS) - 1))
+class _Pairs:
+    """The pairs of neighbours in a sequence of ids (0: none), each once, by bucket, first and second; ``at`` and ``which``: where pairs begin, and which ones."""
+
+    def __init__(self, seq: np.ndarray, buckets: int):
+        self.at = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
+        keys = seq[self.at] << _ID_BITS | seq[self.at + 1]
+        order, starts = _runs(keys)
+        keys = keys[order[starts]]
+        first, second = keys >> _ID_BITS, keys & _ID_MASK
+        by_bucket = np.argsort((first + second) % buckets, kind="stable")
+        self.first, self.second, self.counts = first[by_bucket], second[by_bucket], np.diff(starts, append=len(order))[by_bucket]
+        self.bucket = (self.first + self.second) % buckets
+        place = np.empty(len(keys), np.int64)
+        place[by_bucket] = np.arange(len(keys))
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.repeat(place, np.diff(starts, append=len(order)))
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts the keys, and where each key's run starts in it."""
+    order = np.argsort(keys, kind="stable")
+    return order, np.flatnonzero(np.diff(keys[order], prepend=-1))
+
+
+def _pack_pairs(first: np.ndarray, second: np.ndarray, counts: np.ndarray, buckets: int) -> bytes:
+    """Sorted pairs of one bucket as differences; what the bucket says of the second id is left out."""
+    step, part = np.diff(first, prepend=0), second // buckets
+    return _pack(_planes(step) + _planes(part - np.where(step == 0, np.roll(part, 1), 0)) + _planes(counts))
+
+
+def _unpack_pairs(packed: bytes, n: int, bucket: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = _unpack(packed)
+    step, more, counts = (_numbers(data[4 * n * k : 4 * n * (k + 1)]) for k in range(3))
+    first, part = np.cumsum(step), np.cumsum(more)
+    new = step != 0
+    part -= (part - more)[new][np.cumsum(new) - 1]
+    return first, part * buckets + (bucket - first) % buckets, counts
+
+
+def _ask_pairs(size: int, buckets: int):
+    """A block's phrases of ``size`` words, as pairs of frequent ones a word shorter, from its words and the answers on all shorter phrases."""
+
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        if not block.num_rows or not told.num_rows:
+            return _ASKED.empty_table()
+        seq = _numbers(block.column("seq")[0].as_py())
+        answers = defaultdict(list)
+        for m, at, ids in zip(told.column("m").to_pylist(), told.column("at").to_pylist(), told.column("ids").to_pylist(), strict=True):
+            answers[m].append((at, _numbers(_unpack(ids))))
+
+        def known(m: int, n: int) -> np.ndarray:
+            out = np.zeros(n, np.int64)
+            for at, ids in answers[m]:
+                out[at : at + len(ids)] = ids
+            return out
+
+        seq = np.append(0, known(1, int(seq.max())))[seq]
+        pairs = _Pairs(seq, buckets)
+        for m in range(2, size):
+            seq = np.zeros(len(seq), np.int64)
+            seq[pairs.at] = known(m, len(pairs.first))[pairs.which]
+            pairs = _Pairs(seq, buckets)
+        if not len(pairs.first):
+            return _ASKED.empty_table()
+        return _asked(block.column("lang")[0].as_py(), block.column("owner")[0].as_py(), pairs.bucket, lambda a, b: _pack_pairs(pairs.first[a:b], pairs.second[a:b], pairs.counts[a:b], buckets))
+
+    return run
 
 
-def _prefix(m: int, keys: int) -> Column:
-    """The first m words of a window of two words or more, as its keys after k0 would be without the others."""
-    cut = lambda j: F.col(f"k{j}") if 2 * j + 2 <= m else F.shiftleft(_word(2 * j), _ID_BITS) if 2 * j + 1 == m else F.lit(0).cast("long")
-    return F.struct(F.lit(m).alias("m"), *[cut(j).alias(f"k{j}") for j in range(1, keys)])
+def _answer(size: int, buckets: int, least: int):
+    """The counts of a bucket's keys, the ids of the frequent ones (most frequent first), and each block's answer."""
+
+    def run(key: tuple, asked: pa.Table) -> pa.Table:
+        lang, bucket = (k.as_py() for k in key)
+        sizes, packed = asked.column("n").to_pylist(), asked.column("keys").to_pylist()
+        if size == 1:
+            number: defaultdict[bytes, int] = defaultdict()
+            number.default_factory = number.__len__
+            keys, counts = [], []
+            for n, one in zip(sizes, packed, strict=True):
+                data = _unpack(one)
+                counts.append(_numbers(data[: 4 * n]))
+                keys.append(np.fromiter(map(number.__getitem__, data[4 * n :].split(_END)), np.int64, n))
+        else:
+            found = [_unpack_pairs(one, n, bucket, buckets) for n, one in zip(sizes, packed, strict=True)]
+            keys, counts = [first << _ID_BITS | second for first, second, _ in found], [c for _, _, c in found]
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        order, starts = _runs(keys)
+        f = np.add.reduceat(counts[order], starts)
+        often = np.flatnonzero(f >= least)
+        often = often[np.argsort(-f[often], kind="stable")]
+        own = np.arange(len(often)) * buckets + bucket + 1
+        if len(own) and own[-1] > _ID_MASK:
+            raise OverflowError("too many frequent phrases for the ids")
+        ids = np.zeros(len(f), np.int64)
+        ids[often] = own
+        each = np.empty(len(order), np.int64)
+        each[order] = np.repeat(ids, np.diff(starts, append=len(order)))
+        ends = np.cumsum(sizes)
+        rows = np.array([k for k, (n, end) in enumerate(zip(sizes, ends.tolist(), strict=True)) if each[end - n : end].any()], np.int64)
+        no, none = len(rows), [None] * len(rows)
+        told = pa.table([[lang] * no, asked.column("block").take(rows), asked.column("at").take(rows), [_pack(_planes(each[ends[k] - sizes[k] : ends[k]])) for k in rows], none, none, none, none, none], schema=_ANSWER)
+        kept, none = keys[order[starts[often]]], [None] * len(often)
+        if size == 1:
+            names = list(number)
+            what = [[names[k] for k in kept.tolist()], none, none]
+        else:
+            what = [none, kept >> _ID_BITS, kept & _ID_MASK]
+        return pa.concat_tables([told, pa.table([[lang] * len(often), none, none, none, own, *what, f[often]], schema=_ANSWER)])
+
+    return run
 
 
-def phrase_counts(docs: DataFrame, *, least: int = 100, longest: int = 5, block_words: int = 2_000_000, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, *, least: int = 100, longest: int = 5, block_words: int = 2_000_000, bucket_words: int = 4_000_000, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(counts, totals): the phrases of 1 to ``longest`` words that occur at least ``least`` times, (lang, phrase, f); and (lang, n), all words of a language.
 
-    Texts are read once, into blocks that keep each distinct word once and the sequence as numbers. The frequent words of all blocks get ids, and every block is
-    told those of its own words, so no table of words is broadcast. Rare words and ends of pieces stop a window. Blocks send their windows sorted and counted; windows of one first pair meet in one
-    place, where the pair's count says whether they stay, and are counted by their prefixes there.
+    Texts are read once, into blocks that keep each distinct word once and the sequence as numbers. Then there is a round for each length. Every block asks for
+    its distinct phrases, sorted, as differences and with their counts; all that is asked for one phrase meets in a bucket, which counts it and answers every block
+    with the ids of the frequent ones. A phrase is asked for only if both phrases a word shorter are frequent, as the pair of their ids. Rare words and
+    ends of pieces have no id. Buckets grow in number with the words, ``bucket_words`` to one at most; no table of words or phrases is broadcast.
     """
     spark = docs.sparkSession
     path = shared_dir(spark)
     table = path.rpartition("/")[2].replace("-", "_")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = word_blocks(docs, block_words=block_words, text_col=text_col, lang_col=lang_col)
+    rounds = []
     try:
-        # Bucketed, so that the sequences stay where they are when the blocks' ids come to them.
-        made.write.format("parquet").bucketBy(buckets, "block").option("compression", "zstd").option("path", path).saveAsTable(table)
+        # Bucketed, so that the sequences stay where they are when the answers come to them.
+        made.write.format("parquet").bucketBy(tasks, "block").option("compression", "zstd").option("path", path).saveAsTable(table)
         blocks = spark.table(table)
-        listed = blocks.where("word is not null").select("block", "lang", "at", F.col("word").cast("string").alias("word"), "c")
-        totals = stage(listed.groupBy("lang").agg(F.sum("c").alias("n")))
-        vocabulary = numbered(listed.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least), [F.desc("f"), "lang", "word"], "id")
-        vocabulary = stage(vocabulary)
-        counts = vocabulary.select("lang", F.col("word").alias("phrase"), "f")
-        if longest < 2:
-            return stage(counts), totals
-        keys = -(-longest // 2)
-        ids = listed.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select("block", "at", "id")
-        sequences = spark.table(table).where("seq is not null").select(F.col("block").alias("owner"), "seq")
-        names = [f"k{j}" for j in range(keys)]
-        windows = sequences.groupBy("owner").cogroup(ids.groupBy("block")).applyInArrow(_windows(longest), ", ".join(f"{k} long" for k in [*names, "c"]))
-        kept = windows.repartition("k0").withColumn("f", F.sum("c").over(Window.partitionBy("k0"))).where(F.col("f") >= least)
-        words = sum((F.when(_word(j) > 0, 1).otherwise(0) for j in range(2, longest)), F.lit(2))
-        prefixes = F.explode(F.slice(F.array(*[_prefix(m, keys) for m in range(2, longest + 1)]), F.lit(1), words - 1))
-        # k0 is the same in all prefixes, so they are counted where they are.
-        found = kept.select("k0", prefixes.alias("p"), "c").select("k0", "p.*", "c").groupBy(*names, "m").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-        found = stage(found)
+        totals = stage(blocks.groupBy("lang").agg(F.sum("n").alias("n")))
+        # Some buckets a task, so that tasks are alike.
+        buckets = max(4 * tasks, -(-(totals.agg(F.sum("n")).first()[0] or 0) // bucket_words))
+        sequences = blocks.select(F.col("block").alias("owner"), "lang", "seq")
+        told = None
+        for m in range(1, longest + 1):
+            if m == 1:
+                asked = blocks.select("block", "lang", "n", "words", "counts").groupBy("block").applyInArrow(_ask_words(buckets), _spark_schema(_ASKED))
+            else:
+                asked = sequences.groupBy("owner").cogroup(told.groupBy("block")).applyInArrow(_ask_pairs(m, buckets), _spark_schema(_ASKED))
+            answer = stage(asked.groupBy("lang", "bucket").applyInArrow(_answer(m, buckets, least), _spark_schema(_ANSWER)))
+            rounds.append(answer.where("id is not null"))
+            own = answer.where("block is not null").select(F.lit(m).alias("m"), "block", "at", "ids")
+            told = own if told is None else told.unionByName(own)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spelt = found.select(*names, "m", "f", F.posexplode(F.slice(F.array(*[_word(j) for j in range(longest)]), F.lit(1), F.col("m"))).alias("j", "id")).join(vocabulary.select("id", "lang", "word"), "id")
-    spelt = spelt.groupBy(*names, "m", "f").agg(F.any_value("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("j", "word"))).alias("w"))
-    return stage(counts.unionByName(spelt.select("lang", F.array_join("w.word", " ").alias("phrase"), "f"))), totals
+    spelt = rounds[0].select("lang", "id", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), "f")
+    counts = spelt.select("lang", "phrase", "f")
+    for found in rounds[1:]:
+        left = spelt.select("lang", F.col("id").alias("first"), "phrase")
+        right = spelt.select("lang", F.col("id").alias("second"), "last")
+        spelt = found.select("lang", "id", "first", "second", "f").join(left, ["lang", "first"]).join(right, ["lang", "second"])
+        spelt = stage(spelt.select("lang", "id", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f"))
+        counts = counts.unionByName(spelt.select("lang", "phrase", "f"))
+    return counts, totals
 
 
 def first_words(phrase: Column | str, k: Column | int) -> Column:
