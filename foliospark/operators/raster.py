@@ -78,6 +78,13 @@ def union_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.groupBy(*keys, "y", "_g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_g")
 
 
+def newly_covered(keys: list[str]) -> Column:
+    """How many cells of its row a span covers that no earlier span of the row does; these add up to the area of the union."""
+    order = Window.partitionBy(*keys, "y").orderBy("x0", "x1")
+    reach = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return F.greatest(F.lit(0), F.col("x1") - F.greatest("x0", reach))
+
+
 def span_overlap(regions: DataFrame, survivors: DataFrame) -> DataFrame:
     """(page_id, region_id, area, surviving, fraction, category); no overlap counts as 0.
 
