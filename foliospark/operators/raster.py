@@ -80,9 +80,9 @@ def union_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 def newly_covered(keys: list[str]) -> Column:
     """How many cells of its row a span covers that no earlier span of the row does; these add up to the area of the union."""
-    order = Window.partitionBy(*keys, "y").orderBy("x0", "x1")
-    reach = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return F.greatest(F.lit(0), F.col("x1") - F.greatest("x0", reach))
+    # Ordered by row rather than partitioned by it: what lies by ``keys`` stays where it is.
+    before = F.max(F.struct("y", "x1")).over(Window.partitionBy(*keys).orderBy("y", "x0", "x1").rowsBetween(Window.unboundedPreceding, -1))
+    return F.greatest(F.lit(0), F.col("x1") - F.greatest(before, F.struct("y", F.col("x0").alias("x1")))["x1"])
 
 
 def span_overlap(regions: DataFrame, survivors: DataFrame) -> DataFrame:
